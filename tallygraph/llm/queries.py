@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import divergence, language_id, quality, sharding
+from . import divergence, language_id, pieces, quality, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,9 +29,14 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.judge(_table(spark, sf_dir, "documents"))
 
 
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode_and_verify(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op4_quality": op4_quality,
     "op5_sharding": op5_sharding,
     "op9_quality_rules": op9_quality_rules,
+    "op10_sentencepiece": op10_sentencepiece,
 }
