@@ -29,9 +29,9 @@ def labelled_ids(labels: DataFrame, label: str, modulus: int, held_out: int, bou
 
 
 def labelled_texts(docs: DataFrame, ids: DataFrame, max_bytes: int = MAX_TRAIN_BYTES) -> DataFrame:
-    """The texts of bounded labelled ids, one row an id; ids hold no more rows than their bound, so they are broadcast."""
+    """The texts of bounded labelled ids, one row an id and text; ids hold no more rows than their bound, so they are broadcast."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(F.col("text").isNotNull() & (F.octet_length("text") <= max_bytes))
-    return texts.join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"])
+    return texts.join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"]).withColumn("copy", F.xxhash64("text")).dropDuplicates(["copy"]).drop("copy")
 
 
 def to_driver(sample: DataFrame) -> pd.DataFrame:
