@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, divergence, jaccard, language_id, pieces, quality, sharding, substring, toxicity
+from . import decontaminate, divergence, jaccard, language_id, lines, pieces, quality, sharding, substring, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,10 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumns({"law": F.lit("rows"), "grown_shard": F.lit(None).cast("int")})
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup_report(_table(spark, sf_dir, "documents"))
+
+
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(_table(spark, sf_dir, "documents"), width=3, num=90, den=100)
 
@@ -55,6 +59,7 @@ QUERIES = {
     "op3_substring_dedup": op3_substring_dedup,
     "op4_quality": op4_quality,
     "op5_sharding": op5_sharding,
+    "op6_line_dedup": op6_line_dedup,
     "op7_ngram_jaccard": op7_ngram_jaccard,
     "op8_toxicity": op8_toxicity,
     "op9_quality_rules": op9_quality_rules,
