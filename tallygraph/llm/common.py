@@ -30,6 +30,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Tables of at most so many rows are broadcast; larger ones are joined by key.
+BROADCAST_ROWS = 1_000_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """df, marked for broadcasting if it has few enough rows."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
 def fold(doc_id: str | Column, modulus: int) -> Column:
     """crc32 of doc_id as text, modulo: the split that decides which labels may be learned."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id

@@ -10,11 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, small
 
 WINDOW = 10
-#: Tables of at most so many rows (terms, phrase parts, candidate ids) are broadcast; larger ones are joined by key.
-BROADCAST_ROWS = 1_000_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Words once A-Z are lower-cased are [^\x00-\x2F\x3A-\x60\x7B-\x7F]+; on the text as it is, these runs.
 _RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -29,11 +27,6 @@ def raw_words(text: str | Column) -> Column:
     return F.regexp_extract_all(text, F.lit(_RAW_WORD), F.lit(0))
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """df, marked for broadcasting if it is small enough."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
-
-
 def index_terms(phrases: DataFrame) -> DataFrame:
     """term, term_id for each distinct word of phrases(words)."""
     terms = phrases.select(F.explode("words").alias("term")).distinct()
@@ -43,7 +36,7 @@ def index_terms(phrases: DataFrame) -> DataFrame:
 def build_index(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """Token postings term_id, doc_id, pos of documents(doc_id, text) for the given terms(term, term_id), written to the shared folder."""
     tokens = docs.select("doc_id", F.posexplode(raw_words("text")).alias("pos", "word")).withColumn("key", F.lower("word"))
-    keyed = _small(terms.select(F.lower("term").alias("key"), "term", "term_id"))
+    keyed = small(terms.select(F.lower("term").alias("key"), "term", "term_id"))
     # lower() also folds letters beyond ASCII; the term itself decides.
     same = (F.col("word") == F.col("term")) | (_lower_ascii(F.col("word")) == F.col("term"))
     return materialize(tokens.join(keyed, "key").filter(same).select("term_id", "doc_id", "pos"), "postings")
@@ -75,19 +68,19 @@ def phrase_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW)
     seeds = materialize(seeds, "phrase-seeds")
 
     def starts(term: str, place: str) -> DataFrame:
-        some = index.join(_small(seeds.select("item", "p1", "p2", F.col(term).alias("term_id"))), "term_id")
+        some = index.join(small(seeds.select("item", "p1", "p2", F.col(term).alias("term_id"))), "term_id")
         return some.select("doc_id", "item", "p1", "p2", (F.col("pos") - F.col(place)).alias("diag"))
 
     met = starts("t1", "p1").join(starts("t2", "p2"), ["doc_id", "item", "p1", "p2", "diag"]).select("doc_id", "item", "diag").distinct()
     met = materialize(met, "phrase-starts")
 
-    near = index.join(_small(met.select("doc_id").distinct()), "doc_id", "left_semi")
-    wanted = met.join(_small(parts.select("item", "n", "w", "ipos", "term_id")), "item").withColumn("pos", F.col("diag") + F.col("ipos"))
+    near = index.join(small(met.select("doc_id").distinct()), "doc_id", "left_semi")
+    wanted = met.join(small(parts.select("item", "n", "w", "ipos", "term_id")), "item").withColumn("pos", F.col("diag") + F.col("ipos"))
     hits = wanted.join(near, ["doc_id", "pos", "term_id"]).select("doc_id", "item", "diag", "ipos", "w").distinct()
     run = F.col("ipos") - F.row_number().over(Window.partitionBy("doc_id", "item", "diag").orderBy("ipos"))
     runs = hits.withColumn("run", run).groupBy("doc_id", "item", "diag", "run").agg(F.min("ipos").alias("lo"), F.max("ipos").alias("hi"), F.first("w").alias("w"))
     runs = runs.filter("hi - lo + 1 >= w")
-    return runs.join(_small(phrases.select("item", "item_id")), "item").select("doc_id", "item_id", (F.col("diag") + F.col("lo")).alias("begin"), (F.col("diag") + F.col("hi")).alias("end"))
+    return runs.join(small(phrases.select("item", "item_id")), "item").select("doc_id", "item_id", (F.col("diag") + F.col("lo")).alias("begin"), (F.col("diag") + F.col("hi")).alias("end"))
 
 
 def proximity_matches(index: DataFrame, queries: DataFrame, terms: DataFrame, slop: int) -> DataFrame:
@@ -100,8 +93,8 @@ def proximity_matches(index: DataFrame, queries: DataFrame, terms: DataFrame, sl
     asked = asked.join(index.groupBy("term_id").count(), "term_id", "left").withColumn("count", F.coalesce("count", F.lit(0)))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("count", "term_id"))
     asked = asked.withColumn("rank", rank)
-    anchor = index.join(_small(asked.filter("rank = 1").select("query_id", "k", "term_id")), "term_id").select("query_id", "k", "doc_id", F.col("pos").alias("at"))
-    other = index.join(_small(asked.filter("rank > 1").select("query_id", "term_id")), "term_id")
+    anchor = index.join(small(asked.filter("rank = 1").select("query_id", "k", "term_id")), "term_id").select("query_id", "k", "doc_id", F.col("pos").alias("at"))
+    other = index.join(small(asked.filter("rank > 1").select("query_id", "term_id")), "term_id")
     close = anchor.join(other, ["query_id", "doc_id"], "left").filter((F.col("k") == 1) | (F.abs(F.col("pos") - F.col("at")) <= slop))
     close = close.groupBy("query_id", "k", "doc_id", "at").agg(F.countDistinct("term_id").alias("met"))
     return close.filter((F.col("met") == F.col("k") - 1) | (F.col("k") == 1)).select("query_id", "doc_id", F.col("at").alias("pos"))
@@ -131,4 +124,4 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDO
     """The rows of docs, all columns unchanged, that hold no window of the benchmark."""
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     bad = materialize(phrase_matches(ids, benchmark, window).select("doc_id").distinct(), "contaminated")
-    return docs.join(_small(bad), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(small(bad.withColumnRenamed("doc_id", "_bad_id")), docs["doc_id"].cast("long") == F.col("_bad_id"), "left_anti").select(*docs.columns)

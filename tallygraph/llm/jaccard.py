@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, NON_SPACE, byte_view, materialize, mix64, text_slices, window_hashes, word_hashes, word_spans
+from .common import LOWER, NON_SPACE, byte_view, materialize, mix64, small, text_slices, window_hashes, word_hashes, word_spans
 from .components import components
 
 #: A posting list of at most so many sets gives all its pairs at once.
@@ -199,3 +199,10 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int
     out = sets.join(found, ["sig", "n"], "left")
     own_id = F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), own_id.alias("component_id"))
+
+
+def keep_one_of_each(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """The rows of docs, all columns unchanged, whose doc_id is the least of its component; those without shingles or id stay."""
+    found = jaccard_components(docs, width, num, den)
+    gone = materialize(found.filter("n_shingles > 0 and doc_id > component_id").select("doc_id").distinct(), "near-duplicates")
+    return docs.join(small(gone.withColumnRenamed("doc_id", "_gone_id")), docs["doc_id"].cast("long") == F.col("_gone_id"), "left_anti").select(*docs.columns)

@@ -12,12 +12,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, small
 
 THRESHOLD = 2
 MIN_CHARS = 20
-#: Tables of at most so many rows are broadcast; larger ones are joined by key.
-BROADCAST_ROWS = 1_000_000
 _INK = r"[^\x20\x09-\x0D]"
 
 
@@ -81,10 +79,6 @@ def probe_keys(line: Column, n: Column, threshold: int) -> Column:
     return F.array(*keys)
 
 
-def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
-
-
 def _lines(docs: DataFrame) -> DataFrame:
     """doc_id, line_no, line, k1, k2 of every line with ink."""
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).filter(F.col("line").rlike(_INK))
@@ -105,10 +99,10 @@ def near_pairs(docs: DataFrame, firsts: DataFrame, threshold: int, min_chars: in
     met = materialize(met.select("k1", "other").distinct(), "line-pairs")
 
     ids = met.select("k1").unionAll(met.select("other")).distinct()
-    wanted = firsts.join(_small(ids), "k1", "left_semi").select("doc_id", "line_no", "k1")
+    wanted = firsts.join(small(ids), "k1", "left_semi").select("doc_id", "line_no", "k1")
     wanted = materialize(wanted, "line-places")
-    some = docs.join(_small(wanted.select("doc_id").distinct()), "doc_id", "left_semi")
-    texts = some.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).join(_small(wanted), ["doc_id", "line_no"])
+    some = docs.join(small(wanted.select("doc_id").distinct()), "doc_id", "left_semi")
+    texts = some.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).join(small(wanted), ["doc_id", "line_no"])
     texts = materialize(texts.select("k1", "line", F.struct("doc_id", "line_no").alias("at")).dropDuplicates(["k1"]), "line-texts")
     x = texts.select("k1", F.col("line").alias("x"), F.col("at").alias("x_at"))
     y = texts.select(F.col("k1").alias("other"), F.col("line").alias("y"), F.col("at").alias("y_at"))
@@ -126,7 +120,7 @@ def removed_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int =
     near = materialize(near_pairs(docs, firsts, threshold, min_chars).select(F.col("other").alias("k1")).distinct(), "near-lines")
     again = firsts.filter("n > 1").select("k1", "k2", F.struct("doc_id", "line_no").alias("first"))
     later = places.join(again, ["k1", "k2"]).filter(F.struct("doc_id", "line_no") > F.col("first")).select("doc_id", "line_no")
-    edited = places.join(_small(near), "k1", "left_semi").select("doc_id", "line_no")
+    edited = places.join(small(near), "k1", "left_semi").select("doc_id", "line_no")
     return later.unionAll(edited).groupBy("doc_id").agg(F.array_sort(F.collect_set("line_no")).alias("removed"))
 
 
