@@ -2,11 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from .plans.oracle import ORACLE
+from .plans.queries import QUERIES, flagship
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
-
-
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("user_id").count()
+__all__ = ["ORACLE", "QUERIES", "flagship"]
