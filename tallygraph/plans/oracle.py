@@ -92,7 +92,7 @@ FROM (SELECT src AS acct, count(*) AS out_count, count(DISTINCT dst) AS out_degr
 _add("acct_degree_stats", _TX, _DEG.format(t="tx"))
 _add("order_degree_stats", "ot AS (SELECT o_custkey AS src, l_suppkey AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey)", _DEG.format(t="ot"))
 _add("acct_amount_stats", _TX, "SELECT acct, round(pm, 6) AS paid_mean, round(ps, 6) AS paid_std, round(pq, 6) AS paid_p95, round(rm, 6) AS rec_mean, round(rs, 6) AS rec_std FROM (SELECT src AS acct, avg(amt_paid) AS pm, stddev_samp(amt_paid) AS ps, quantile_cont(amt_paid, 0.95) AS pq FROM tx GROUP BY src) FULL JOIN (SELECT dst AS acct, avg(amt_rec) AS rm, stddev_samp(amt_rec) AS rs FROM tx GROUP BY dst) USING (acct)")
-_add("acct_first_seen_age", _TX, "SELECT row_id, round((t - min(t) OVER (PARTITION BY src)) / 86400.0::DOUBLE, 6) AS src_age_days, round((t - min(t) OVER (PARTITION BY dst)) / 86400.0::DOUBLE, 6) AS dst_age_days FROM tx")
+_add("acct_first_seen_age", _TX, "SELECT row_id, t - min(t) OVER (PARTITION BY src) AS src_age_seconds, t - min(t) OVER (PARTITION BY dst) AS dst_age_seconds FROM tx")
 _add("acct_day_burst", _TX, "SELECT row_id, count(amt_paid) OVER (PARTITION BY src, ts::DATE) AS src_day_count, count(amt_rec) OVER (PARTITION BY dst, ts::DATE) AS dst_day_count FROM tx")
 _add("time_flags", _TX, "SELECT row_id, hour(ts) AS hour, isodow(ts) - 1 AS weekday, CASE WHEN hour(ts) < 8 OR hour(ts) > 18 THEN 1 ELSE 0 END AS off_hours, CASE WHEN isodow(ts) >= 6 THEN 1 ELSE 0 END AS is_weekend FROM tx")
 _add("bank_currency_flags", _TX, "SELECT row_id, (coalesce(from_bank <> to_bank, true))::BIGINT AS cross_bank, (from_bank IS NOT DISTINCT FROM to_bank)::BIGINT AS same_bank, (cur_rec IS NOT DISTINCT FROM cur_paid)::BIGINT AS same_currency FROM tx")

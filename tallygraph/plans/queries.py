@@ -64,7 +64,8 @@ def acct_amount_stats(spark, d):
 
 @query
 def acct_first_seen_age(spark, d):
-    return r6(A.ages(_tx(spark, d)))
+    days = A.ages(_tx(spark, d))
+    return days.select("row_id", *[F.round(F.col(f"{k}_age_days") * 86400).cast("bigint").alias(f"{k}_age_seconds") for k in ("src", "dst")])
 
 
 @query
