@@ -80,9 +80,10 @@ def _element_lists(docs: DataFrame, width: int) -> DataFrame:
         for batch in text_slices(batches):
             sets = shingle_sets(batch.column("text"), width)
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array([signature(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), lists], ["sig", "n", "hs"])
+            cols = [batch.column("doc_id"), pa.array([signature(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), lists]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "sig", "n", "hs"])
 
-    return docs.mapInArrow(run, "sig long, n long, hs array<long>")
+    return docs.mapInArrow(run, "doc_id long, sig long, n long, hs array<long>")
 
 
 class _Threshold:
@@ -150,18 +151,19 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int
     classes = sets.filter("n > 0").groupBy("sig", "n").agg(F.min("doc_id").alias("doc_id"))
     classes = materialize(classes, "classes")
 
-    every = max(1, int(0.6 * den / (den - num))) if num < den else 1 << 20
+    # A prefix is a share of 1 - num/den of a set; two and a half times as much of it is screened.
+    every = max(1, int(0.4 * den / (den - num))) if num < den else 1 << 20
     alone = _sampled_elements(docs, width, every).groupBy("h").agg(F.min("sig").alias("sig"), F.max("sig").alias("other")).filter("sig = other")
     own = alone.groupBy("sig").agg(F.count("*").alias("own"))
     left = classes.join(own, "sig", "left").filter(F.coalesce("own", F.lit(0)) < t.prefix("n")).select("sig", "doc_id")
     left = materialize(left, "screened")
 
-    texts = docs.join(left.select("doc_id").distinct(), "doc_id", "left_semi")
-    lists = _element_lists(texts, width).groupBy("sig", "n").agg(F.first("hs").alias("hs")).join(left.select("sig"), "sig", "left_semi")
+    texts = docs.join(small(left.select("doc_id").distinct()), "doc_id", "left_semi")
+    lists = _element_lists(texts, width).join(small(left), ["sig", "doc_id"], "left_semi").select("sig", "n", "hs")
     lists = materialize(lists, "lists")
     elements = lists.select("sig", "n", F.explode("hs").alias("h"))
     shared = elements.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1")
-    ordered = elements.join(shared, "h").groupBy("sig", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("es"))
+    ordered = elements.join(shared, "h").groupBy("sig", "n").agg(F.sort_array(F.collect_set(F.struct("df", "h"))).alias("es"))
     ordered = ordered.withColumn("u", F.col("n") - F.size("es")).filter(F.col("u") < t.prefix("n"))
     ordered = materialize(ordered, "ordered")
     shared_lists = ordered.select("sig", "n", F.sort_array("es.h").alias("hs"))
