@@ -4,7 +4,8 @@ Equal lines are one class. Two different lines within ``threshold`` edits share,
 segments, at least one segment unharmed, and near its old place. So every distinct line is indexed by its segments
 (with its length and the segment's number) and probes, for each length up to ``threshold`` shorter, the few
 substrings that could be such a segment. What meets is verified by a banded bit-parallel automaton: for each number
-of errors a bit set of the diagonals still reachable, advanced by one character at a time.
+of errors a bit set of the diagonals still reachable, advanced by one character at a time. Before that, pairs whose
+character parities differ in too many bits are left out.
 """
 
 from __future__ import annotations
@@ -20,35 +21,54 @@ _INK = r"[^\x20\x09-\x0D]"
 
 
 def edit_within(a: Column, b: Column, threshold: int) -> Column:
-    """Whether a and b are at most ``threshold`` insertions, deletions and substitutions of code points apart."""
+    """Whether a and b are at most ``threshold`` insertions, deletions and substitutions of code points apart.
+
+    For each character of b, a bit mask tells which diagonals of the band match it. The automaton's state packs, for
+    each number of errors, the diagonals reachable into one whole number.
+    """
     t, width = threshold, 2 * threshold + 1
-    full = F.lit((1 << width) - 1)
-    x, y = F.split(a, ""), F.when(b == "", F.array().cast("array<string>")).otherwise(F.split(b, ""))
-    start = F.struct(*[F.lit(((1 << (d + 1)) - 1) << t).alias(f"r{d}") for d in range(t + 1)], x.alias("x"))
-
-    def advance(acc: Column, c: Column, place: Column) -> list[Column]:
-        same = F.lit(0)
-        for k in range(width):
-            hit = F.coalesce(F.get(acc["x"], place + (k - t)) == c, F.lit(False))
-            same = same.bitwiseOR(F.when(hit, F.lit(1 << k)).otherwise(F.lit(0)))
-        out: list[Column] = []
+    full = (1 << width) - 1
+    x, y = _chars(a), _chars(b)
+    none = F.lit(None).cast("string")
+    masks = None
+    for k in range(width):  # a's characters, moved so that those of this diagonal stand beside b's
+        moved = F.concat(F.array_repeat(none, t - k), x) if k < t else F.slice(x, k - t + 1, F.greatest(F.size(x), F.lit(1)))
+        hit = F.transform(F.zip_with(y, moved, lambda c, d: c == d), _bit(1 << k))
+        masks = hit if masks is None else F.zip_with(masks, hit, lambda m, h: F.coalesce(m, F.lit(0)).bitwiseOR(F.coalesce(h, F.lit(0))))
+    masks = F.slice(masks, F.lit(1), F.size(y))
+
+    def step(acc: Column, mask: Column) -> Column:
+        reached: list[Column] = []
         for d in range(t + 1):
-            r = acc[f"r{d}"].bitwiseAND(same)
+            r = F.shiftright(acc, width * d).bitwiseAND(mask)
             if d:
-                less = acc[f"r{d - 1}"]
-                r = r.bitwiseOR(less).bitwiseOR(F.shiftright(less, 1)).bitwiseOR(F.shiftleft(out[-1], 1)).bitwiseAND(full)
-            out.append(r)
-        return out
+                less = F.shiftright(acc, width * (d - 1)).bitwiseAND(F.lit(full))
+                r = r.bitwiseOR(less).bitwiseOR(F.shiftright(less, 1)).bitwiseOR(F.shiftleft(reached[-1], 1)).bitwiseAND(F.lit(full))
+            reached.append(r)
+        packed = reached[0]
+        for d in range(1, t + 1):
+            packed = packed.bitwiseOR(F.shiftleft(reached[d], width * d))
+        return F.when(acc == 0, acc).otherwise(packed)
+
+    start = sum((((1 << (d + 1)) - 1) << t & full) << (width * d) for d in range(t + 1))
+    gap = F.char_length(a) - F.char_length(b)
+    accepting = F.create_map(*[F.lit(v) for k in range(width) for v in (k - t, 1 << (k + width * t))])
+    reached = F.aggregate(masks, F.lit(start), step)
+    return F.when(F.abs(gap) <= t, reached.bitwiseAND(F.coalesce(accepting[gap], F.lit(0))) != 0).otherwise(F.lit(False))
 
-    def step(acc: Column, pair: Column) -> Column:
-        new = F.struct(*[r.alias(f"r{d}") for d, r in enumerate(advance(acc, pair["c"], pair["i"]))], acc["x"].alias("x"))
-        return F.when(acc[f"r{t}"] == 0, acc).otherwise(new)
 
-    chars = F.transform(y, lambda c, i: F.struct(c.alias("c"), i.alias("i")))
-    reached = F.aggregate(chars, start, step, lambda acc: acc[f"r{t}"])
-    gap = F.char_length(a) - F.char_length(b)
-    masks = F.create_map(*[F.lit(v) for k in range(width) for v in (k - t, 1 << k)])
-    return F.when(F.abs(gap) <= t, reached.bitwiseAND(F.coalesce(masks[gap], F.lit(0))) != 0).otherwise(F.lit(False))
+def _bit(bit: int):
+    return lambda hit: F.when(hit, F.lit(bit)).otherwise(F.lit(0))
+
+
+def _chars(c: Column) -> Column:
+    return F.when(c == "", F.array().cast("array<string>")).otherwise(F.split(c, ""))
+
+
+def parity(line: Column) -> Column:
+    """64 bits: which of 64 classes of characters occur an odd number of times. An edit changes two bits at most."""
+    bits = F.transform(_chars(line), lambda c: F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(F.hash(c), F.lit(64)).cast("int")))
+    return F.aggregate(bits, F.lit(0).cast("bigint"), lambda acc, v: acc.bitwiseXOR(v))
 
 
 def _cut(i: int, parts: int, n: Column) -> Column:
@@ -103,10 +123,15 @@ def near_pairs(docs: DataFrame, firsts: DataFrame, threshold: int, min_chars: in
     wanted = materialize(wanted, "line-places")
     some = docs.join(small(wanted.select("doc_id").distinct()), "doc_id", "left_semi")
     texts = some.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).join(small(wanted), ["doc_id", "line_no"])
-    texts = materialize(texts.select("k1", "line", F.struct("doc_id", "line_no").alias("at")).dropDuplicates(["k1"]), "line-texts")
+    texts = texts.select("k1", "line", F.struct("doc_id", "line_no").alias("at")).dropDuplicates(["k1"])
+    texts = materialize(texts.withColumn("parity", parity(F.col("line"))), "line-texts")
+    bits = texts.select("k1", "parity")
+    met = met.join(bits, "k1").join(bits.select(F.col("k1").alias("other"), F.col("parity").alias("q")), "other")
+    met = met.filter(F.bit_count(F.col("parity").bitwiseXOR(F.col("q"))) <= 2 * threshold).select("k1", "other")
     x = texts.select("k1", F.col("line").alias("x"), F.col("at").alias("x_at"))
     y = texts.select(F.col("k1").alias("other"), F.col("line").alias("y"), F.col("at").alias("y_at"))
-    found = met.join(x, "k1").join(y, "other").filter(edit_within(F.col("x"), F.col("y"), threshold))
+    # Few pairs are left, each much work: they are spread over all tasks.
+    found = met.join(x, "k1").join(y, "other").repartition("k1", "other").filter(edit_within(F.col("x"), F.col("y"), threshold))
     swap = F.col("y_at") < F.col("x_at")
     return found.select(F.when(swap, F.col("other")).otherwise(F.col("k1")).alias("k1"), F.when(swap, F.col("k1")).otherwise(F.col("other")).alias("other"))
 
