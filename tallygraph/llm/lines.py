@@ -5,7 +5,7 @@ segments, at least one segment unharmed, and near its old place. So every distin
 (with its length and the segment's number) and probes, for each length up to ``threshold`` shorter, the few
 substrings that could be such a segment. What meets is verified by a banded bit-parallel automaton: for each number
 of errors a bit set of the diagonals still reachable, advanced by one character at a time. Before that, pairs whose
-character parities differ in too many bits are left out.
+letter counts or character parities are too far apart for so few edits are left out.
 """
 
 from __future__ import annotations
@@ -57,6 +57,28 @@ def edit_within(a: Column, b: Column, threshold: int) -> Column:
     return F.when(F.abs(gap) <= t, reached.bitwiseAND(F.coalesce(accepting[gap], F.lit(0))) != 0).otherwise(F.lit(False))
 
 
+#: Letters whose counts (modulo 8) sift what meets; any letters do, frequent ones sift best.
+SKETCH_LETTERS = "entaiorshd"
+
+
+def sketch(line: Column) -> Column:
+    """Counts of SKETCH_LETTERS modulo 8, three bits each."""
+    out = F.lit(0)
+    for k, letter in enumerate(SKETCH_LETTERS):
+        n = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(letter), F.lit("")))
+        out = out.bitwiseOR(F.shiftleft(n.bitwiseAND(F.lit(7)), 3 * k))
+    return out
+
+
+def sketches_apart(a: Column, b: Column) -> Column:
+    """How far two lines' counts are apart at least; an edit adds two at most."""
+    total = F.lit(0)
+    for k in range(len(SKETCH_LETTERS)):
+        d = F.abs(F.shiftright(a, 3 * k).bitwiseAND(F.lit(7)) - F.shiftright(b, 3 * k).bitwiseAND(F.lit(7)))
+        total = total + F.least(d, F.lit(8) - d)
+    return total
+
+
 def _bit(bit: int):
     return lambda hit: F.when(hit, F.lit(bit)).otherwise(F.lit(0))
 
@@ -113,9 +135,11 @@ def near_pairs(docs: DataFrame, firsts: DataFrame, threshold: int, min_chars: in
     places = firsts.select("doc_id", "line_no", "k1")
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).filter(F.char_length("line") >= min_chars)
     distinct = lines.join(places, ["doc_id", "line_no"]).withColumn("n", F.char_length("line"))
-    index = distinct.select("k1", F.explode(segment_keys(F.col("line"), F.col("n"), threshold)).alias("key"))
-    probes = distinct.select(F.col("k1").alias("other"), F.explode(probe_keys(F.col("line"), F.col("n"), threshold)).alias("p")).select("other", "p.key", "p.gap")
-    met = index.join(probes, "key").filter(((F.col("gap") > 0) & (F.col("k1") != F.col("other"))) | (F.col("k1") < F.col("other")))
+    index = distinct.select("k1", sketch(F.col("line")).alias("s"), F.explode(segment_keys(F.col("line"), F.col("n"), threshold)).alias("key"))
+    probes = distinct.select(F.col("k1").alias("other"), sketch(F.col("line")).alias("q"), F.explode(probe_keys(F.col("line"), F.col("n"), threshold)).alias("p"))
+    probes = probes.select("other", "q", F.col("p.key").alias("probe"), "p.gap")
+    two = ((F.col("gap") > 0) & (F.col("k1") != F.col("other"))) | (F.col("k1") < F.col("other"))
+    met = index.join(probes, (F.col("key") == F.col("probe")) & two & (sketches_apart(F.col("s"), F.col("q")) <= 2 * threshold))
     met = materialize(met.select("k1", "other").distinct(), "line-pairs")
 
     ids = met.select("k1").unionAll(met.select("other")).distinct()
