@@ -135,8 +135,10 @@ def near_pairs(docs: DataFrame, firsts: DataFrame, threshold: int, min_chars: in
     places = firsts.select("doc_id", "line_no", "k1")
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).filter(F.char_length("line") >= min_chars)
     distinct = lines.join(places, ["doc_id", "line_no"]).withColumn("n", F.char_length("line"))
-    index = distinct.select("k1", sketch(F.col("line")).alias("s"), F.explode(segment_keys(F.col("line"), F.col("n"), threshold)).alias("key"))
-    probes = distinct.select(F.col("k1").alias("other"), sketch(F.col("line")).alias("q"), F.explode(probe_keys(F.col("line"), F.col("n"), threshold)).alias("p"))
+    # Beside explode in one select, the sketch would be computed for every key rather than every line.
+    distinct = distinct.withColumn("s", sketch(F.col("line")))
+    index = distinct.select("k1", "s", F.explode(segment_keys(F.col("line"), F.col("n"), threshold)).alias("key"))
+    probes = distinct.select(F.col("k1").alias("other"), F.col("s").alias("q"), F.explode(probe_keys(F.col("line"), F.col("n"), threshold)).alias("p"))
     probes = probes.select("other", "q", F.col("p.key").alias("probe"), "p.gap")
     two = ((F.col("gap") > 0) & (F.col("k1") != F.col("other"))) | (F.col("k1") < F.col("other"))
     met = index.join(probes, (F.col("key") == F.col("probe")) & two & (sketches_apart(F.col("s"), F.col("q")) <= 2 * threshold))
