@@ -12,8 +12,8 @@ from tallygraph.llm.common import materialize
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that can be told; null, empty and letterless texts go."""
-    return language_id.keep_identified(docs)
+    """Documents in a language that can be told; null, empty and letterless texts go, and so does text far from every profile."""
+    return language_id.keep_identified(docs, max_distance=language_id.MAX_DISTANCE, doubtful=language_id.DOUBTFUL, min_lead=language_id.MIN_LEAD)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -25,6 +25,9 @@ PROFILE_SIZE = 400
 #: Bound on the labelled documents that profiles are learned from.
 MAX_TRAIN_DOCS = 20_000
 UNDETERMINED = "und"
+#: Limits of the pipeline: a text farther than MAX_DISTANCE from every profile is in none of the languages; beyond
+#: DOUBTFUL its nearest profile must also lead the second by MIN_LEAD. Held-out documents of any length stay below them.
+MAX_DISTANCE, DOUBTFUL, MIN_LEAD = 0.75, 0.65, 0.01
 _LETTER = re.compile(r"[^\W\d_]")
 _KEEP = np.ones(256, bool)
 _KEEP[:128] = [chr(b).isalpha() for b in range(128)]
@@ -121,9 +124,9 @@ class Classifier:
         out[row[first]] = total / (held[:, None] * size)
         return out
 
-    def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
+    def predict(self, texts: pa.Array, distances: np.ndarray | None = None) -> tuple[list[str], np.ndarray]:
         """Language and score of each text; the score is the best language's share of all closeness."""
-        near = 1 - self.distances(texts)
+        near = 1 - (self.distances(texts) if distances is None else distances)
         if not self.langs:
             return [UNDETERMINED] * len(texts), np.zeros(len(texts))
         best = near.argmax(axis=1)
@@ -158,14 +161,28 @@ def identify_language(docs: DataFrame, classifier: Classifier | None = None) ->
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held, "text").mapInArrow(predict, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-def keep_identified(docs: DataFrame, min_score: float = 0.0, classifier: Classifier | None = None) -> DataFrame:
-    """The rows of docs, all columns unchanged, whose language is determined with at least ``min_score``."""
+def keep_identified(docs: DataFrame, min_score: float = 0.0, classifier: Classifier | None = None, max_distance: float = 1.0, doubtful: float = 1.0, min_lead: float = 0.0) -> DataFrame:
+    """The rows of docs, all columns unchanged, whose language is determined with at least ``min_score``.
+
+    A text farther than ``max_distance`` from all profiles goes, and so does one farther than ``doubtful`` whose
+    nearest profile is not ``min_lead`` nearer than the second (where there is one). Where no label could be learned
+    there is nothing to reject by, and every text with a letter stays.
+    """
     model = classifier or train_classifier(docs)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches):
-            langs, score = model.predict(batch.column("text"))
-            ok = np.array([x != UNDETERMINED for x in langs], bool) & (score >= min_score)
+            texts = batch.column("text")
+            if model.langs:
+                far = model.distances(texts)
+                langs, score = model.predict(texts, far)
+                ok = np.array([x != UNDETERMINED for x in langs], bool) & (score >= min_score)
+                far = np.sort(far, axis=1)
+                ok &= far[:, 0] <= max_distance
+                if far.shape[1] > 1:
+                    ok &= (far[:, 0] <= doubtful) | (far[:, 1] - far[:, 0] >= min_lead)
+            else:
+                ok = np.array([bool(t) and _LETTER.search(t) is not None for t in texts.to_pylist()], bool)
             yield batch.filter(pa.array(ok))
 
     return docs.mapInArrow(keep, docs.schema)

@@ -1,5 +1,6 @@
 """The pipeline's stages against what their operators say, one after the other."""
 
+import random
 import re
 
 from pyspark.sql import functions as F
@@ -52,3 +53,16 @@ def test_native_stages_use_no_python(spark, tmp_path):
 
 def test_every_operator_has_one_query():
     assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES) == list(range(1, 11))
+
+
+def test_identify_rejects_text_in_no_language(spark):
+    rng = random.Random(5)
+    parts = {"en": "the and of thing erth onion tion sher ander oftion".split(), "fr": "le que eau mentre elle oueux éau quier lement deeau".split()}
+    prose = lambda lang, n: " ".join("".join(rng.choice(parts[lang]) for _ in range(rng.randint(1, 3))) for _ in range(n))
+    rows = [(i, prose(lang, rng.choice([12, 40, 150])), lang) for i in range(60) for lang in [rng.choice(["en", "fr"])]]
+    junk = ["x" * 70_000, " ".join("".join(rng.choice("bcdfgjkpvwxz") for _ in range(6)) for _ in range(40)), "Все люди рождаются свободными и равными в своем достоинстве и правах"]
+    rows += [(100 + k, t, None) for k, t in enumerate(junk)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {r["doc_id"] for r in corpus_pipeline.identify(spark, docs, "").collect()} == set(range(60))
+    unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert corpus_pipeline.identify(spark, unlabelled, "").count() == len(rows)
