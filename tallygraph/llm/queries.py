@@ -46,7 +46,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return divergence.judge(_table(spark, sf_dir, "documents"))
+    return divergence.judge(_table(spark, sf_dir, "documents"), labels=_table(spark, sf_dir, "labels"))
 
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -432,6 +432,21 @@ def test_divergence_tells_junk_from_prose(spark):
     assert all(got[i]["kept"] for i in [*range(40), 98]) and not got[99]["kept"] and not got[99]["base_failed"]
 
 
+def test_limits_learned_from_labels_drop_junk_near_prose(spark):
+    rng = random.Random(2)
+    junk = lambda: " ".join(x if rng.random() < 0.5 else "".join(rng.choice("aeioslnr") for _ in range(7)) for x in sentence(rng, "es", 200).split())
+    rows = [(i, sentence(rng, "es", 200), "es") for i in range(160)] + [(i, junk(), "es") for i in range(200, 212)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    held = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
+    labels = spark.createDataFrame([(i, int(i < 200) if not held(i) else None) for i, _, _ in rows], "doc_id long, quality int")
+    loose, got = collect(divergence.judge(df)), collect(divergence.judge(df, labels=labels))
+    assert all(loose[i]["kept"] for i in range(200, 212))  # the fixed limits let it pass
+    assert not any(got[i]["kept"] for i in range(200, 212)) and sum(got[i]["kept"] for i in range(160)) >= 156
+    assert any(held(i) for i in range(200, 212))
+    few = labels.filter("doc_id < 20")
+    assert {i: r["kept"] for i, r in collect(divergence.judge(df, labels=few)).items()} == {i: r["kept"] for i, r in loose.items()}
+
+
 def test_jensen_shannon():
     p, q = np.array([[0.5, 0.5, 0.0], [1.0, 0.0, 0.0]]), np.array([0.0, 0.0, 1.0])
     assert divergence.js_distance(p, q) == pytest.approx([1.0, 1.0])
