@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from .common import text_slices
 
@@ -189,7 +190,7 @@ class Encoder:
         self.at: dict[str, int] = {}
         self.flat, self.count = np.zeros(0, np.int32), np.zeros(0, np.int64)
         self.best, self.gap = np.zeros(0), np.zeros(0)
-        self.lists: dict[int, list[float]] = {}
+        self.lists: dict[int, list[tuple[float, np.ndarray]]] = {}
 
     def _learn(self, new: list[str]) -> None:
         """Remember these units: their ids, best score and the loss of the second best cut."""
@@ -227,23 +228,43 @@ class Encoder:
             add(units, ids, n, top, loss)
         self.flat, self.count, self.best, self.gap = (np.concatenate(x) for x in (flat, count, best, gap))
 
-    def _texts_best(self, units: list[str], order: np.ndarray, total: float) -> list[float]:
-        """The N best scores of a text made of these units."""
+    def _unit_cuts(self, unit: str, u: int, own: np.ndarray) -> list[tuple[float, np.ndarray]]:
+        """Loss and ids of a unit's N best cuts; the first is ``own``, the one that is remembered."""
+        if u not in self.lists:
+            marked = unit.replace(" ", MARK)
+            cuts = n_best(marked, self.v, self.n)
+            found = [(cuts[0][0] - score, np.array(_expand(marked, ids, self.v), np.int32)) for score, ids in cuts]
+            # Of cuts with equal scores the remembered one may come later, or not among N.
+            same = [np.array_equal(ids, own) for _, ids in found]
+            found.pop(same.index(True) if any(same) else -1)
+            self.lists[u] = [(0.0, own), *found]
+        return self.lists[u]
+
+    def _texts_best(self, units: list[str], order: np.ndarray, total: float, ids: np.ndarray) -> tuple[list[float], list[np.ndarray]]:
+        """The N best scores of a text made of these units, and the ids of all its N best cuts but the first."""
         gaps = self.gap[order]
         near = np.flatnonzero(np.isfinite(gaps))
         if len(near) > self.n - 1:
             near = near[np.argpartition(gaps[near], self.n - 2)[: self.n - 1]] if self.n > 1 else near[:0]
-        losses = [0.0]
-        for k in near.tolist():
-            u = int(order[k])
-            if u not in self.lists:
-                cuts = n_best(units[k].replace(" ", MARK), self.v, self.n)
-                self.lists[u] = [cuts[0][0] - c[0] for c in cuts]
-            losses = sorted(a + b for a in losses for b in self.lists[u])[: self.n]
-        return [total - x for x in losses]
-
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[list[float]]]:
-        """Ids of all texts in a row, each text's offsets, and each text's N best scores."""
+        end = np.cumsum(self.count[order])
+        begin = end - self.count[order]
+        cuts: list[tuple[float, tuple[tuple[int, int], ...]]] = [(0.0, ())]
+        lists = {}
+        for k in sorted(near.tolist()):
+            lists[k] = self._unit_cuts(units[k], int(order[k]), ids[begin[k] : end[k]])
+            cuts = sorted(((a + loss, (*picks, (k, j)) if j else picks) for a, picks in cuts for j, (loss, _) in enumerate(lists[k])), key=lambda c: c[0])[: self.n]
+        # Of equal losses the sort leaves the remembered cut of every unit in front.
+        others = []
+        for _, picks in cuts[1:]:
+            parts, at = [], 0
+            for k, j in picks:
+                parts += [ids[at : begin[k]], lists[k][j][1]]
+                at = end[k]
+            others.append(np.concatenate([*parts, ids[at:]]))
+        return [total - loss for loss, _ in cuts], others
+
+    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[list[float]], list[list[np.ndarray]]]:
+        """Ids of all texts' best cuts in a row, each text's offsets, its N best scores, and the ids of its other cuts."""
         split = [_UNIT.findall(" " + t) if t else [] for t in texts]
         if len(self.at) > _CACHE:
             self._clear()
@@ -258,7 +279,8 @@ class Encoder:
         c = count[every]
         ids = flat[np.repeat(start[every] - (np.cumsum(c) - c), c) + np.arange(int(c.sum()))] if len(every) else np.zeros(0, np.int32)
         off = np.concatenate(([0], np.cumsum([int(count[o].sum()) for o in orders]))).astype(np.int64)
-        return ids, off, [self._texts_best(u, o, float(best[o].sum())) if len(o) else [0.0] for u, o in zip(split, orders)]
+        found = [self._texts_best(u, o, float(best[o].sum()), ids[off[k] : off[k + 1]]) if len(o) else ([0.0], []) for k, (u, o) in enumerate(zip(split, orders))]
+        return ids, off, [scores for scores, _ in found], [others for _, others in found]
 
 
 def decode(ids: list[int], v: Vocabulary) -> str:
@@ -266,40 +288,73 @@ def decode(ids: list[int], v: Vocabulary) -> str:
     return b"".join(map(v.surface.__getitem__, ids)).decode("utf-8", "replace")[1:]
 
 
+def _all_decode(cuts: list[np.ndarray], text: str, v: Vocabulary) -> bool:
+    """Whether every cut gives the text back."""
+    return all(decode(ids.tolist(), v) == text for ids in cuts)
+
+
+def _id_lists(cuts: list[list[np.ndarray]]) -> pa.Array:
+    """Lists of id lists, one for each text."""
+    flat = [ids for text in cuts for ids in text]
+    inner = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, flat)]), pa.int32()), pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int32), pa.int32()))
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, cuts)]), pa.int32()), inner)
+
+
 def encode_documents(docs: DataFrame, model_path: str = MODEL_PATH, n: int = N_BEST) -> DataFrame:
-    """doc_id, ids, n_tokens, nbest_scores for each row of documents(doc_id, text).
+    """doc_id, ids, n_tokens, nbest_scores, nbest_ids for each row of documents(doc_id, text).
 
-    ids are those of the best cut; nbest_scores holds the scores of the ``n`` best cuts, best first (fewer where the
-    lattice has fewer paths). A null or empty text has no ids and the one score 0. Characters outside the vocabulary,
-    line ends and literal space marks become byte pieces, so decoding gives every text back. Repeated rows are each
-    answered; other columns are left out; an empty table gives an empty result.
+    ids are those of the best cut; nbest_scores and nbest_ids hold the scores and ids of the ``n`` best cuts, best
+    first (fewer where the lattice has fewer paths). A null or empty text has no ids and the one score 0. Characters
+    outside the vocabulary, line ends and literal space marks become byte pieces, so decoding gives every text back.
+    Repeated rows are each answered; other columns are left out; an empty table gives an empty result.
     """
     v = load_vocabulary(model_path)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Encoder(v, n)
         for batch in text_slices(batches, limit=1 << 21):
-            ids, off, scores = coder.encode(batch.column("text").to_pylist())
+            ids, off, scores, others = coder.encode(batch.column("text").to_pylist())
             lists = pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(ids, pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists, pa.array(np.diff(off)), pa.array(scores, pa.list_(pa.float64()))], ["doc_id", "ids", "n_tokens", "nbest_scores"])
+            every = _id_lists([[ids[off[k] : off[k + 1]], *o] for k, o in enumerate(others)])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists, pa.array(np.diff(off)), pa.array(scores, pa.list_(pa.float64())), every], ["doc_id", "ids", "n_tokens", "nbest_scores", "nbest_ids"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(encode, "doc_id long, ids array<int>, n_tokens long, nbest_scores array<double>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(encode, "doc_id long, ids array<int>, n_tokens long, nbest_scores array<double>, nbest_ids array<array<int>>")
+
+
+def decode_documents(encoded: DataFrame, ids: str = "ids", model_path: str = MODEL_PATH) -> DataFrame:
+    """The rows of encoded with one more column, ``decoded``: the text of the id list in column ``ids``.
+
+    A null list gives null, an empty one an empty text (encode_documents has both null and empty texts so).
+    """
+    v = load_vocabulary(model_path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(batch.schema.get_field_index(ids))
+            texts = [None if x is None else decode(x, v) for x in lists.to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "decoded"])
+
+    return encoded.mapInArrow(run, StructType([*encoded.schema.fields, StructField("decoded", StringType())]))
 
 
 def encode_and_verify(docs: DataFrame, model_path: str = MODEL_PATH, n: int = N_BEST) -> DataFrame:
-    """As encode_documents, with the SHA-256 of the ids (as little-endian 32-bit numbers) and whether decoding gave the text back."""
+    """As encode_documents, with SHA-256 of the ids (as little-endian 32-bit numbers) of the best and of each of the
+    ``n`` best cuts in place of the ids, and whether decoding every one of these cuts gave the text back."""
     v = load_vocabulary(model_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Encoder(v, n)
         for batch in text_slices(batches, limit=1 << 21):
             texts = batch.column("text").to_pylist()
-            ids, off, scores = coder.encode(texts)
+            ids, off, scores, others = coder.encode(texts)
             sha, same = [], []
             for k, t in enumerate(texts):
-                own = ids[off[k] : off[k + 1]]
-                sha.append(hashlib.sha256(own.astype("<i4").tobytes()).hexdigest())
-                same.append(decode(own.tolist(), v) == (t or ""))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(off)), pa.array(sha, pa.string()), pa.array(scores, pa.list_(pa.float64())), pa.array(same)], ["doc_id", "n_tokens", "ids_sha256", "nbest_scores", "round_trip"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, nbest_scores array<double>, round_trip boolean")
+                cuts = [ids[off[k] : off[k + 1]], *others[k]]
+                sha.append([hashlib.sha256(c.astype("<i4").tobytes()).hexdigest() for c in cuts])
+                same.append(_all_decode(cuts, t or "", v))
+            best = pa.array([x[0] for x in sha], pa.string())
+            cols = [batch.column("doc_id"), pa.array(np.diff(off)), best, pa.array(scores, pa.list_(pa.float64())), pa.array(sha, pa.list_(pa.string())), pa.array(same)]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_tokens", "ids_sha256", "nbest_scores", "nbest_sha256", "round_trip"])
+
+    schema = "doc_id long, n_tokens long, ids_sha256 string, nbest_scores array<double>, nbest_sha256 array<string>, round_trip boolean"
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)

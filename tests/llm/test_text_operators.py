@@ -494,6 +494,33 @@ def test_texts_n_best_equals_all_cuts(vocabulary):
         assert pieces.Encoder(vocabulary, 4).encode([text])[2][0] == pytest.approx(sums[:4])
 
 
+def test_every_cut_has_its_ids_and_decodes(spark, docs, hard, vocabulary):
+    text = "the cat zzq€ ñandú " + "ab" * 30
+    rows = spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id long, text string").unionByName(hard.filter("doc_id <> 2").select((F.col("doc_id") + 100).alias("doc_id"), "text")).unionByName(docs.select((F.col("doc_id") + 1000).alias("doc_id"), "text"))
+    encoded = pieces.encode_documents(rows)
+    texts = collect(rows)
+    for i, r in collect(encoded).items():
+        cuts = r["nbest_ids"]
+        assert len(cuts) == len(r["nbest_scores"]) == len(set(map(tuple, cuts))) and cuts[0] == r["ids"]
+        for ids, score in zip(cuts, r["nbest_scores"]):
+            assert pieces.decode(ids, vocabulary) == (texts[i]["text"] or "")
+            if i == 1:  # every cut has the score that stands beside it; a character outside the vocabulary is one step
+                known = sum(vocabulary.scores[k] for k in ids if not vocabulary.first_byte <= k < vocabulary.first_byte + 256)
+                odd = sum(1 for k in ids if vocabulary.first_byte <= k < vocabulary.first_byte + 256 and (k - vocabulary.first_byte) & 0xC0 != 0x80)
+                assert known + odd * vocabulary.unknown == pytest.approx(score)
+    back = collect(pieces.decode_documents(encoded))
+    assert {i: r["decoded"] for i, r in back.items()} == {i: r["text"] or "" for i, r in texts.items()}
+    assert {len(r["nbest_sha256"]) - len(r["nbest_scores"]) for r in pieces.encode_and_verify(rows).collect()} == {0}
+
+
+def test_a_wrong_alternative_cut_is_seen(spark, vocabulary, monkeypatch):
+    coder = pieces.Encoder(vocabulary, 3)
+    ids, off, _, others = coder.encode(["the cat sat"])
+    assert pieces._all_decode([ids, *others[0]], "the cat sat", vocabulary)
+    others[0][1] = others[0][1][:-1]
+    assert not pieces._all_decode([ids, *others[0]], "the cat sat", vocabulary)
+
+
 def test_round_trip_of_every_text(docs, hard, vocabulary):
     assert pieces.encode_and_verify(docs).filter("not round_trip").count() == 0
     got = pieces.encode_and_verify(hard)
