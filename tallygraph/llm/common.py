@@ -11,22 +11,25 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no spark.checkpoint.dir (tests, local runs).
+#: Used only in local mode, where driver and executors are one process, if the session names no spark.checkpoint.dir.
 LOCAL_WORK_DIR = "/tmp/checkpoints"
 #: Texts are handled in runs of whole documents of about this many bytes, which bounds a task's arrays.
 CHUNK_BYTES = 1 << 19
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share for intermediate tables."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_WORK_DIR).rstrip("/")
+    """The folder that driver and executors share for intermediate tables; an error on a cluster that names none."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return (named or LOCAL_WORK_DIR).rstrip("/")
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: later steps neither recompute nor lose it."""
     spark = df.sparkSession
     path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -39,6 +42,43 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it as long as df has such a column (names are compared as Spark does)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+_LAST = (1 << 63) - 1
+#: What names a row in joins; see with_row_key.
+ROW_KEY = "struct<id:bigint,tie:bigint,copy:bigint>"
+
+
+def with_row_key(docs: DataFrame, name: str) -> DataFrame:
+    """docs(doc_id, text, ...) with one more column: a key of id, tie, copy, which sort in this order.
+
+    A row whose id no other row has gets ties of 0. Rows of one id are told apart by a hash of their texts. Null ids
+    come last, by the same hash; as they name nothing, each such row also has a number of its own, written once.
+    """
+    number = F.col("doc_id").cast("long")
+    code = F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND(F.lit(_LAST))
+    zero = F.lit(0).cast("long")
+    key = lambda i, tie, copy: F.struct(i.alias("id"), tie.alias("tie"), copy.alias("copy"))
+    named = docs.filter(number.isNotNull())
+    again = named.groupBy(number.alias(f"{name}_id")).agg(F.count("*").alias(f"{name}_n")).filter(F.col(f"{name}_n") > 1)
+    if again.limit(1).count():
+        named = named.join(small(again), number == F.col(f"{name}_id"), "left")
+        named = named.withColumn(name, key(number, F.when(F.col(f"{name}_n").isNotNull(), code).otherwise(zero), zero)).select(*docs.columns, name)
+    else:
+        named = named.withColumn(name, key(number, zero, zero))
+    nameless = docs.filter(number.isNull())
+    if not nameless.limit(1).count():
+        return named
+    nameless = nameless.withColumn(name, key(F.lit(_LAST), code, F.monotonically_increasing_id() + 1))
+    return named.unionByName(materialize(nameless, "null-ids"))
+
+
 def fold(doc_id: str | Column, modulus: int) -> Column:
     """crc32 of doc_id as text, modulo: the split that decides which labels may be learned."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id

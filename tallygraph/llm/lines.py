@@ -1,27 +1,47 @@
 """Line dedup with a segment-partition edit join. DataFrame functions only.
 
-Equal lines are one class. Two different lines within ``threshold`` edits share, if either is cut into threshold + 1
-segments, at least one segment unharmed, and near its old place. So every distinct line is indexed by its segments
-(with its length and the segment's number) and probes, for each length up to ``threshold`` shorter, the few
-substrings that could be such a segment. What meets is verified by a banded bit-parallel automaton: for each number
-of errors a bit set of the diagonals still reachable, advanced by one character at a time. Before that, pairs whose
-letter counts or character parities are too far apart for so few edits are left out.
+Equal lines are one class. A line of n characters allows t(n) edits; t grows in bands of n. Two different lines link if
+they are within the shorter one's t edits of each other.
+
+1. Of any t + 1 segments of a line, in order, some segment i is unharmed in a line within t edits, with exactly i edits
+   before it and so at most t - i behind it. Seen from the line's start it has moved by at most i characters, seen from
+   the end by at most t - i. So the first segments are placed from the start and the last ones from the end, and only
+   0, 1, ..., 1, 0 shifts of them need probing. Segments are as long as the least length of the line's bucket of lengths
+   allows, so that one set of probes serves all lengths of a bucket; a line also probes the bucket below if it is near.
+2. Distinct lines are indexed by their segments and probe with the substrings that could be one. Keys that more than
+   HOT index lines share are set apart before anything is joined: there a line meets the key's earliest line alone.
+3. A line with a hot segment that is not found near such an earliest line is taken up again in regions (halves, quarters
+   and eighths of the line), each cut into t + 1 segments of its own. The index line chooses the region whose segments
+   are the rarest, and the others probe every region. The lemma holds in each region, so no link is lost, and lines that
+   share most of their text but differ in one place meet there only with their like.
+4. What meets is verified by a banded bit-parallel automaton: for each number of errors a bit set of the diagonals still
+   reachable, advanced by one character at a time. Before that, pairs whose letter counts or character parities are too
+   far apart for so few edits are left out.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, small
+from .common import fresh, materialize, small, with_row_key
 
 THRESHOLD = 2
 MIN_CHARS = 20
+#: The query's rule: lines of at least so many characters allow so many edits; shorter ones are compared for equality.
+BANDS = ((12, 1), (24, 2), (96, 3))
+#: Keys of more index lines than this are hot.
+HOT = 256
+#: Regions by which lines with hot segments are told apart: so many equal parts of a line.
+PARTS = (2, 4, 8)
 _INK = r"[^\x20\x09-\x0D]"
 
 
-def edit_within(a: Column, b: Column, threshold: int) -> Column:
-    """Whether a and b are at most ``threshold`` insertions, deletions and substitutions of code points apart.
+def edit_within(a: Column, b: Column, threshold: int, allowed: Column | None = None) -> Column:
+    """Whether a and b are at most ``threshold`` (where given, ``allowed``, which is no more) insertions, deletions and
+    substitutions of code points apart.
 
     For each character of b, a bit mask tells which diagonals of the band match it. The automaton's state packs, for
     each number of errors, the diagonals reachable into one whole number.
@@ -35,7 +55,7 @@ def edit_within(a: Column, b: Column, threshold: int) -> Column:
         moved = F.concat(F.array_repeat(none, t - k), x) if k < t else F.slice(x, k - t + 1, F.greatest(F.size(x), F.lit(1)))
         hit = F.transform(F.zip_with(y, moved, lambda c, d: c == d), _bit(1 << k))
         masks = hit if masks is None else F.zip_with(masks, hit, lambda m, h: F.coalesce(m, F.lit(0)).bitwiseOR(F.coalesce(h, F.lit(0))))
-    masks = F.slice(masks, F.lit(1), F.size(y))
+    masks = F.transform(F.slice(masks, F.lit(1), F.size(y)), lambda m: m.cast("bigint"))
 
     def step(acc: Column, mask: Column) -> Column:
         reached: list[Column] = []
@@ -52,151 +72,281 @@ def edit_within(a: Column, b: Column, threshold: int) -> Column:
 
     start = sum((((1 << (d + 1)) - 1) << t & full) << (width * d) for d in range(t + 1))
     gap = F.char_length(a) - F.char_length(b)
-    accepting = F.create_map(*[F.lit(v) for k in range(width) for v in (k - t, 1 << (k + width * t))])
-    reached = F.aggregate(masks, F.lit(start), step)
-    return F.when(F.abs(gap) <= t, reached.bitwiseAND(F.coalesce(accepting[gap], F.lit(0))) != 0).otherwise(F.lit(False))
+    errors = F.lit(t) if allowed is None else allowed
+    accepting = _shift_left(F.lit(1).cast("bigint"), gap + t + width * errors)
+    reached = F.aggregate(masks, F.lit(start).cast("bigint"), step)
+    return F.when(F.abs(gap) <= errors, reached.bitwiseAND(accepting) != 0).otherwise(F.lit(False))
 
 
 #: Letters whose counts (modulo 8) sift what meets; any letters do, frequent ones sift best.
-SKETCH_LETTERS = "entaiorshd"
-
-
-def sketch(line: Column) -> Column:
-    """Counts of SKETCH_LETTERS modulo 8, three bits each."""
-    out = F.lit(0)
-    for k, letter in enumerate(SKETCH_LETTERS):
+SKETCH_LETTERS = "entaiorshdlucmp"
+#: Counted too once only lines that met something are left.
+MORE_LETTERS = "fgbywvkxzjq,.é0"
+#: Four bits for each count, of which two counts' differ in as many as the counts do, going round at 8.
+_ROUND = sum(code << 4 * k for k, code in enumerate((0b0000, 0b0001, 0b0011, 0b0111, 0b1111, 0b1110, 0b1100, 0b1000)))
+_COUNTS = (1 << 60) - 1
+
+
+def sketch(line: Column, t: Column, letters: str = SKETCH_LETTERS) -> Column:
+    """Counts of letters modulo 8, four bits each, and t, the edits that the line allows (up to 7), above them."""
+    out = F.shiftleft(t.cast("bigint"), 60)
+    for k, letter in enumerate(letters):
         n = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(letter), F.lit("")))
-        out = out.bitwiseOR(F.shiftleft(n.bitwiseAND(F.lit(7)), 3 * k))
+        code = F.call_function("shiftright", F.lit(_ROUND).cast("bigint"), n.bitwiseAND(F.lit(7)) * 4).bitwiseAND(F.lit(15).cast("bigint"))
+        out = out.bitwiseOR(F.shiftleft(code, 4 * k))
     return out
 
 
-def sketches_apart(a: Column, b: Column) -> Column:
-    """How far two lines' counts are apart at least; an edit adds two at most."""
-    total = F.lit(0)
-    for k in range(len(SKETCH_LETTERS)):
-        d = F.abs(F.shiftright(a, 3 * k).bitwiseAND(F.lit(7)) - F.shiftright(b, 3 * k).bitwiseAND(F.lit(7)))
-        total = total + F.least(d, F.lit(8) - d)
-    return total
+def sketches_alike(a: Column, b: Column) -> Column:
+    """Whether two lines' counts are near enough for the edits that both allow; an edit adds two at most."""
+    return counts_apart(a, b) <= 2 * F.least(F.shiftright(a, 60), F.shiftright(b, 60))
+
+
+def counts_apart(a: Column, b: Column) -> Column:
+    return F.bit_count(a.bitwiseXOR(b).bitwiseAND(F.lit(_COUNTS)))
 
 
 def _bit(bit: int):
     return lambda hit: F.when(hit, F.lit(bit)).otherwise(F.lit(0))
 
 
+def _shift_left(bits: Column, by: Column) -> Column:
+    return F.call_function("shiftleft", bits, by)
+
+
 def _chars(c: Column) -> Column:
     return F.when(c == "", F.array().cast("array<string>")).otherwise(F.split(c, ""))
 
 
 def parity(line: Column) -> Column:
-    """64 bits: which of 64 classes of characters occur an odd number of times. An edit changes two bits at most."""
-    bits = F.transform(_chars(line), lambda c: F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(F.hash(c), F.lit(64)).cast("int")))
-    return F.aggregate(bits, F.lit(0).cast("bigint"), lambda acc, v: acc.bitwiseXOR(v))
+    """Two times 64 bits: which of 128 classes of character pairs occur an odd number of times. An edit changes four bits at most."""
+    x = _chars(line)
+    pairs = F.zip_with(x, F.slice(x, F.lit(2), F.greatest(F.size(x), F.lit(1))), lambda c, d: F.pmod(F.hash(c, d), F.lit(128)))
+    zero, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
+    bits = [F.aggregate(F.filter(pairs, keep), zero, lambda acc, v: acc.bitwiseXOR(_shift_left(one, v.bitwiseAND(F.lit(63))))) for keep in (lambda v: v < 64, lambda v: v >= 64)]
+    return F.struct(bits[0].alias("a"), bits[1].alias("b"))
+
+
+def parities_apart(p: Column, q: Column) -> Column:
+    return F.bit_count(p["a"].bitwiseXOR(q["a"])) + F.bit_count(p["b"].bitwiseXOR(q["b"]))
+
+
+def allowed_edits(n: Column, bands: Sequence[tuple[int, int]]) -> Column:
+    """How many edits a line of n characters allows; 0 where only equal lines count."""
+    out = F.lit(0)
+    for least, edits in sorted(bands):
+        out = F.when(n >= least, F.lit(edits)).otherwise(out)
+    return out
+
+
+def bucket(n: Column) -> Column:
+    """The least length of n's bucket: multiples of 8 and, for longer lines, eight steps to each doubling."""
+    step = _shift_left(F.lit(1), F.greatest(F.length(F.bin(n)) - 4, F.lit(3)))
+    return (F.floor(n / step) * step).cast("int")
 
 
-def _cut(i: int, parts: int, n: Column) -> Column:
-    """Where segment i of a line of n characters begins (from 0)."""
-    return F.floor(n * i / parts).cast("int")
+def layouts(n: Column, bands: Sequence[tuple[int, int]], sides: Sequence[int]) -> Column:
+    """Distinct (t, lo) of all lengths near enough to n for a link: shorter ones (side -1), longer ones (1) and its own (0)."""
+    most = max(t for _, t in bands)
+    near = []
+    for d in range(-most, most + 1):
+        if ((d > 0) - (d < 0)) in sides:
+            m = n + d
+            ok = (allowed_edits(F.least(m, n), bands) >= abs(d)) & (allowed_edits(m, bands) > 0)
+            near.append(F.when(ok, F.struct(allowed_edits(m, bands).alias("t"), bucket(m).alias("lo"))))
+    return F.array_distinct(F.array_compact(F.array(*near)))
 
 
-def segment_keys(line: Column, n: Column, threshold: int) -> Column:
+def _key(lo: Column, t: int, i: int, region: Column | int, line: Column, begin: Column, size: Column) -> Column:
+    """A hash of a segment's layout, number and text; its last bit is 0."""
+    region = F.lit(region) if isinstance(region, int) else region
+    return F.xxhash64(lo, F.lit(t * 64 + i), region, F.substring(line, begin + 1, size)).bitwiseAND(F.lit(-2))
+
+
+def _width(lo: Column, t: int) -> Column:
+    return F.floor(lo / (t + 1)).cast("int")
+
+
+def _begin(n: Column, w: Column, t: int, i: int) -> Column:
+    """Where segment i of a line of n characters begins (from 0): the first ones from the start, the last ones from the end."""
+    return w * i if i <= t - i else n - w * (t + 1 - i)
+
+
+def segment_keys(line: Column, n: Column, lo: Column, t: int) -> Column:
     """The keys under which a line is indexed."""
-    parts = threshold + 1
-    keys = []
-    for i in range(parts):
-        begin, end = _cut(i, parts, n), _cut(i + 1, parts, n)
-        keys.append(F.xxhash64(n, F.lit(i), F.substring(line, begin + 1, end - begin)))
-    return F.array(*keys)
+    w = _width(lo, t)
+    return F.array(*[_key(lo, t, i, 0, line, _begin(n, w, t, i), w) for i in range(t + 1)])
 
 
-def probe_keys(line: Column, n: Column, threshold: int) -> Column:
-    """(key, gap) of every substring that could be a segment of a line ``gap`` characters shorter."""
-    parts = threshold + 1
-    keys = []
-    for gap in range(threshold + 1):
-        m = n - gap
-        for i in range(parts):
-            begin, end = _cut(i, parts, m), _cut(i + 1, parts, m)
-            for shift in range(max(-i, gap - (threshold - i)), min(i, gap + (threshold - i)) + 1):
-                keys.append(F.struct(F.xxhash64(m, F.lit(i), F.substring(line, begin + shift + 1, end - begin)).alias("key"), F.lit(gap).alias("gap")))
-    return F.array(*keys)
+def probe_keys(line: Column, n: Column, lo: Column, t: int) -> Column:
+    """The keys of every substring that could be a segment of a line of bucket lo within t edits."""
+    w = _width(lo, t)
+    return F.array(*[_key(lo, t, i, 0, line, _begin(n, w, t, i) + s, w) for i in range(t + 1) for s in range(-min(i, t - i), min(i, t - i) + 1)])
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """doc_id, line_no, line, k1, k2 of every line with ink."""
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).filter(F.col("line").rlike(_INK))
-    return lines.select("doc_id", "line_no", "line", F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(7), F.col("line")).alias("k2"))
+def _regions() -> Column:
+    """number, parts, place (counted from the nearer end), left: the regions of a line."""
+    found = [(p, min(k, p - 1 - k), k < p // 2) for p in PARTS for k in range(p)]
+    return F.array(*[F.struct(F.lit(no + 1).alias("number"), F.lit(p).alias("parts"), F.lit(k).alias("place"), F.lit(left).alias("left")) for no, (p, k, left) in enumerate(found)])
 
 
-def near_pairs(docs: DataFrame, firsts: DataFrame, threshold: int, min_chars: int) -> DataFrame:
-    """k1, other: keys of distinct lines of at least ``min_chars`` within ``threshold`` edits, the earlier line first.
+def region_keys(line: Column, n: Column, lo: Column, t: int, region: Column, probe: bool) -> Column:
+    """The keys of a region's segments, placed from the nearer end of the line: as indexed, or all that could be one."""
+    size = F.floor(lo / region["parts"]).cast("int")
+    w = F.greatest(F.floor(size / (t + 1)).cast("int"), F.lit(1))
+    base = size * region["place"]
+    begin = lambda i, s: F.when(region["left"], base + w * i + s).otherwise(n - base - w * (i + 1) + s)
+    return F.array(*[_key(lo, t, i, region["number"], line, begin(i, s), w) for i in range(t + 1) for s in (range(-i, i + 1) if probe else (0,))])
 
-    firsts(k1, k2, doc_id, line_no) has each distinct line's first place.
-    """
-    places = firsts.select("doc_id", "line_no", "k1")
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).filter(F.char_length("line") >= min_chars)
-    distinct = lines.join(places, ["doc_id", "line_no"]).withColumn("n", F.char_length("line"))
-    # Beside explode in one select, the sketch would be computed for every key rather than every line.
-    distinct = distinct.withColumn("s", sketch(F.col("line")))
-    index = distinct.select("k1", "s", F.explode(segment_keys(F.col("line"), F.col("n"), threshold)).alias("key"))
-    probes = distinct.select(F.col("k1").alias("other"), F.col("s").alias("q"), F.explode(probe_keys(F.col("line"), F.col("n"), threshold)).alias("p"))
-    probes = probes.select("other", "q", F.col("p.key").alias("probe"), "p.gap")
-    two = ((F.col("gap") > 0) & (F.col("k1") != F.col("other"))) | (F.col("k1") < F.col("other"))
-    met = index.join(probes, (F.col("key") == F.col("probe")) & two & (sketches_apart(F.col("s"), F.col("q")) <= 2 * threshold))
-    met = materialize(met.select("k1", "other").distinct(), "line-pairs")
-
-    ids = met.select("k1").unionAll(met.select("other")).distinct()
-    wanted = firsts.join(small(ids), "k1", "left_semi").select("doc_id", "line_no", "k1")
+
+def _by_threshold(t: Column, bands: Sequence[tuple[int, int]], keys) -> Column:
+    """keys(t) for the t of each row; nothing for 0."""
+    out = F.array().cast("array<bigint>")
+    for edits in sorted({e for _, e in bands}):
+        out = F.when(t == edits, keys(edits)).otherwise(out)
+    return out
+
+
+def _placed(docs: DataFrame, key: str) -> DataFrame:
+    """at (struct of the row's key and the line's number), line, k1, k2 of every line with ink."""
+    lines = docs.select(F.col(key).alias("row"), F.posexplode(F.split("text", "\n")).alias("line_no", "line")).filter(F.col("line").rlike(_INK))
+    return lines.select(F.struct("row", "line_no").alias("at"), "line", F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(7), F.col("line")).alias("k2"))
+
+
+def distinct_lines(placed: DataFrame, bands: Sequence[tuple[int, int]]) -> DataFrame:
+    """One row for each distinct line: k1, k2, first (its first place), n, and for lines that allow edits s (letter
+    counts), t (edits allowed), index (its segments' keys) and probes (keys to look up; the last bit is 1 where the bucket is its own)."""
+    rows = placed.select("k1", "k2", "at", "line", F.char_length("line").alias("n"))
+    rows = rows.withColumns({"t": allowed_edits(F.col("n"), bands), "lo": bucket(F.col("n")), "below": layouts(F.col("n"), bands, (-1,))})
+    line, n, t, lo = (F.col(c) for c in ("line", "n", "t", "lo"))
+    own = F.transform(_by_threshold(t, bands, lambda e: probe_keys(line, n, lo, e)), lambda k: k.bitwiseOR(F.lit(1).cast("bigint")))
+    below = F.array_except("below", F.array(F.struct("t", "lo")))
+    other = F.flatten(F.transform(below, lambda x: _by_threshold(x["t"], bands, lambda e: probe_keys(line, n, x["lo"], e))))
+    rows = rows.select("k1", "k2", "at", F.when(t > 0, sketch(line, t)).alias("s"), "t", _by_threshold(t, bands, lambda e: segment_keys(line, n, lo, e)).alias("index"), F.concat(own, other).alias("probes"))
+    held = [F.first(c).alias(c) for c in ("s", "t", "index", "probes")]
+    return rows.groupBy("k1", "k2").agg(F.min("at").alias("first"), F.count("*").alias("n"), *held)
+
+
+def line_texts(docs: DataFrame, key: str, distinct: DataFrame, ids: DataFrame, bands: Sequence[tuple[int, int]]) -> DataFrame:
+    """k1, first, line, n, t, lo, s, more, parity of the distinct lines whose k1 is in ids."""
+    wanted = distinct.join(small(ids), "k1", "left_semi").select("k1", "first.row", "first.line_no", "s", "t")
     wanted = materialize(wanted, "line-places")
-    some = docs.join(small(wanted.select("doc_id").distinct()), "doc_id", "left_semi")
-    texts = some.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).join(small(wanted), ["doc_id", "line_no"])
-    texts = texts.select("k1", "line", F.struct("doc_id", "line_no").alias("at")).dropDuplicates(["k1"])
-    texts = materialize(texts.withColumn("parity", parity(F.col("line"))), "line-texts")
-    bits = texts.select("k1", "parity")
-    met = met.join(bits, "k1").join(bits.select(F.col("k1").alias("other"), F.col("parity").alias("q")), "other")
-    met = met.filter(F.bit_count(F.col("parity").bitwiseXOR(F.col("q"))) <= 2 * threshold).select("k1", "other")
-    x = texts.select("k1", F.col("line").alias("x"), F.col("at").alias("x_at"))
-    y = texts.select(F.col("k1").alias("other"), F.col("line").alias("y"), F.col("at").alias("y_at"))
-    # Few pairs are left, each much work: they are spread over all tasks.
-    found = met.join(x, "k1").join(y, "other").repartition("k1", "other").filter(edit_within(F.col("x"), F.col("y"), threshold))
-    swap = F.col("y_at") < F.col("x_at")
-    return found.select(F.when(swap, F.col("other")).otherwise(F.col("k1")).alias("k1"), F.when(swap, F.col("k1")).otherwise(F.col("other")).alias("other"))
-
-
-def removed_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
-    """doc_id, removed (sorted line numbers from 0) of the documents that lose lines; see dedup_lines."""
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("doc_id"), "text")
-    places = _lines(docs).select("doc_id", "line_no", "k1", "k2")
-    firsts = places.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n"))
-    firsts = materialize(firsts.select("k1", "k2", "first.doc_id", "first.line_no", "n"), "line-firsts")
-    near = materialize(near_pairs(docs, firsts, threshold, min_chars).select(F.col("other").alias("k1")).distinct(), "near-lines")
-    again = firsts.filter("n > 1").select("k1", "k2", F.struct("doc_id", "line_no").alias("first"))
-    later = places.join(again, ["k1", "k2"]).filter(F.struct("doc_id", "line_no") > F.col("first")).select("doc_id", "line_no")
-    edited = places.join(small(near), "k1", "left_semi").select("doc_id", "line_no")
-    return later.unionAll(edited).groupBy("doc_id").agg(F.array_sort(F.collect_set("line_no")).alias("removed"))
-
-
-def dedup_report(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
+    some = docs.select(F.col(key).alias("row"), "text").join(small(wanted.select("row").distinct()), "row", "left_semi")
+    texts = some.select("row", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).join(small(wanted), ["row", "line_no"]).dropDuplicates(["k1"])
+    texts = texts.withColumn("n", F.char_length("line")).withColumn("lo", bucket(F.col("n"))).withColumns({"parity": parity(F.col("line")), "more": sketch(F.col("line"), F.lit(0), MORE_LETTERS)})
+    return materialize(texts.select("k1", F.struct("row", "line_no").alias("first"), "line", "n", "t", "lo", "s", "more", "parity"), "line-texts")
+
+
+def _verified(met: DataFrame, texts: DataFrame, most: int) -> DataFrame:
+    """k1 of every line that is near an earlier one in a pair of met(k1, other)."""
+    bits = texts.select("k1", F.struct("s", "more", "parity", "t").alias("u"))
+    met = met.join(bits, "k1").join(bits.select(F.col("k1").alias("other"), F.col("u").alias("v")), "other").withColumn("allowed", F.least("u.t", "v.t"))
+    counts = counts_apart(F.col("u.s"), F.col("v.s")) + counts_apart(F.col("u.more"), F.col("v.more")) <= 2 * F.col("allowed")
+    met = met.filter(counts & (parities_apart(F.col("u.parity"), F.col("v.parity")) <= 4 * F.col("allowed"))).select("k1", "other", "allowed")
+    x = texts.select("k1", F.col("line").alias("x"), F.col("first").alias("x_at"))
+    y = texts.select(F.col("k1").alias("other"), F.col("line").alias("y"), F.col("first").alias("y_at"))
+    # Few pairs are left, each much work: they are spread over all tasks, and verified after that (a filter would move before it).
+    tasks = int(met.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = met.join(x, "k1").join(y, "other").repartition(tasks, "k1", "other")
+    near = F.max(edit_within(F.col("x"), F.col("y"), most, F.col("allowed"))).alias("near")
+    later = F.max(F.when(F.col("y_at") < F.col("x_at"), F.col("k1")).otherwise(F.col("other"))).alias("later")
+    return found.groupBy("k1", "other").agg(near, later).filter("near").select(F.col("later").alias("k1")).distinct()
+
+
+def near_lines(docs: DataFrame, key: str, distinct: DataFrame, bands: Sequence[tuple[int, int]]) -> DataFrame:
+    """k1 of the distinct lines that are near an earlier one."""
+    most = max(t for _, t in bands)
+    index = distinct.select("k1", "s", F.explode("index").alias("key"))
+    probes = distinct.select(F.col("k1").alias("other"), F.col("s").alias("q"), F.explode("probes").alias("probe"))
+    probes = probes.select("other", "q", F.col("probe").bitwiseAND(F.lit(-2)).alias("key"), (F.col("probe").bitwiseAND(F.lit(1)) == 1).alias("own"))
+    alike = sketches_alike(F.col("s"), F.col("q"))
+    apart = F.col("k1") != F.col("other")
+    pair = (F.least("k1", "other").alias("k1"), F.greatest("k1", "other").alias("other"))
+
+    hot = materialize(index.groupBy("key").count().filter(F.col("count") > HOT).select("key"), "hot-segments")
+    any_hot = hot.limit(1).count() > 0
+    cold_index, cold_probes, hot_lines = index, probes, None
+    if any_hot:
+        few = small(hot)
+        cold_index, cold_probes = index.join(few, "key", "left_anti"), probes.join(few, "key", "left_anti")
+    once = F.when(F.col("own"), F.col("k1") < F.col("other")).otherwise(apart)
+    met = cold_index.join(cold_probes, "key").filter(once & alike).select(*pair)
+    if any_hot:
+        in_hot = materialize(index.join(few, "key", "left_semi").select("key", "k1", "s"), "hot-index")
+        asks = materialize(probes.join(few, "key", "left_semi").select("key", "other", "q"), "hot-probes")
+        firsts = in_hot.join(distinct.select("k1", "first"), "k1").groupBy("key").agg(F.min(F.struct("first", "k1", "s")).alias("least"))
+        hubs = firsts.select("key", "least.k1", "least.s")
+        met = met.unionAll(asks.join(small(hubs), "key").filter(apart & alike).select(*pair))
+        hot_lines = in_hot.select("k1").unionAll(asks.select("other")).distinct()
+    met = materialize(met.distinct(), "line-pairs")
+    ids = met.select("k1").unionAll(met.select("other"))
+    texts = line_texts(docs, key, distinct, (ids if hot_lines is None else ids.unionAll(hot_lines)).distinct(), bands)
+    near = materialize(_verified(met, texts, most), "near-lines")
+    if not any_hot:
+        return near
+
+    line, n, lo = F.col("line"), F.col("n"), F.col("lo")
+    held = texts.join(in_hot.select("k1").distinct(), "k1", "left_semi").withColumn("region", F.explode(_regions()))
+    cut = held.select("k1", "s", F.col("region.number").alias("region"), F.explode(_by_threshold(F.col("t"), bands, lambda e: region_keys(line, n, lo, e, F.col("region"), False))).alias("key"))
+    cut = materialize(cut, "region-segments")
+    counts = cut.groupBy("key").agg(F.count("*").alias("c"))
+    rated = cut.join(counts, "key").groupBy("k1", "region").agg(F.max("c").alias("c"))
+    chosen = rated.groupBy("k1").agg(F.min(F.struct("c", "region")).alias("best")).select("k1", F.col("best.region").alias("region"))
+    rare = cut.join(chosen, ["k1", "region"]).select("k1", "s", "key")
+    left = asks.select(F.col("other").alias("k1")).distinct().join(near, "k1", "left_anti")
+    left = texts.join(left, "k1", "left_semi").withColumn("layout", F.explode(layouts(n, bands, (-1, 0, 1)))).withColumn("region", F.explode(_regions()))
+    keys = F.explode(_by_threshold(F.col("layout.t"), bands, lambda e: region_keys(line, n, F.col("layout.lo"), e, F.col("region"), True)))
+    sought = left.select(F.col("k1").alias("other"), F.col("s").alias("q"), keys.alias("key"))
+    again = materialize(rare.join(sought, "key").filter(apart & alike).select(*pair).distinct(), "region-pairs")
+    return near.unionAll(_verified(again, texts, most)).distinct()
+
+
+def removed_lines(docs: DataFrame, key: str, bands: Sequence[tuple[int, int]]) -> DataFrame:
+    """row, removed (sorted line numbers from 0) of the rows of docs(text, and ``key`` of with_row_key) that lose lines."""
+    placed = _placed(docs, key)
+    distinct = materialize(distinct_lines(placed, bands), "distinct-lines")
+    near = materialize(near_lines(docs, key, distinct, bands), "later-lines") if bands else None
+    spots = placed.select("k1", "k2", "at")
+    again = distinct.filter("n > 1").select("k1", "k2", "first")
+    gone = spots.join(again, ["k1", "k2"]).filter(F.col("at") > F.col("first")).select("at")
+    if near is not None:
+        gone = gone.unionAll(spots.join(small(near), "k1", "left_semi").select("at"))
+    return gone.groupBy("at.row").agg(F.array_sort(F.collect_set("at.line_no")).alias("removed"))
+
+
+def _rule(threshold: int, min_chars: int, bands: Sequence[tuple[int, int]] | None) -> Sequence[tuple[int, int]]:
+    return ((min_chars, threshold),) if bands is None else bands
+
+
+def dedup_report(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, bands: Sequence[tuple[int, int]] | None = None) -> DataFrame:
     """doc_id, n_lines, n_removed, removed for each row of documents(doc_id, text); the rule is that of dedup_lines."""
-    gone = removed_lines(docs, threshold, min_chars)
-    last = F.lit((1 << 63) - 1)
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), last).alias("doc_id"), F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).alias("n_lines"))
-    rows = rows.withColumn("n_lines", F.when(F.col("n_lines") < 0, 0).otherwise(F.col("n_lines")).cast("long"))
-    out = rows.join(gone, "doc_id", "left").withColumn("removed", F.coalesce("removed", F.array().cast("array<int>")))
-    return out.select(F.when(F.col("doc_id") < last, F.col("doc_id")).alias("doc_id"), "n_lines", F.size("removed").cast("long").alias("n_removed"), "removed")
+    rows = with_row_key(docs.select("doc_id", "text"), "row")
+    gone = removed_lines(rows, "row", _rule(threshold, min_chars, bands))
+    n_lines = F.greatest(F.coalesce(F.size(F.split("text", "\n")), F.lit(0)), F.lit(0))
+    out = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "row", n_lines.cast("long").alias("n_lines")).join(gone, "row", "left")
+    return out.select("doc_id", "n_lines", F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
 
 
-def dedup_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
+def dedup_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, bands: Sequence[tuple[int, int]] | None = None, keep_emptied: bool = True) -> DataFrame:
     """The rows of docs, all columns but text unchanged, without the lines that repeat an earlier one.
 
     A line (text between line ends, case and spaces as they are) is removed if an equal line, or one within
     ``threshold`` edits where both have ``min_chars`` code points or more, stands earlier: at a smaller doc_id, or
-    further up in the same document. Lines are judged on the input, not on what is left. Lines without ink are kept.
-    A null text stays null and an empty one empty; a text that loses all its lines becomes empty. A null doc_id counts
-    as the largest. doc_id names a document: rows that repeat one never repeat each other's lines of the same number.
-    An empty table gives an empty result.
+    further up in the same document. ``bands`` gives several (min_chars, threshold) instead; the shorter line's counts.
+    Lines are judged on the input, not on what is left. Lines without ink are kept. A null text stays null and an
+    empty one empty; a text that loses all its lines becomes empty, or without ``keep_emptied`` its row is left out (so is
+    one of which only lines without ink are left). A null doc_id counts as the largest and names no
+    document: several such rows are compared like rows of different ids, in an order by a hash of their texts. Rows with
+    equal doc_id and text are the same document and never repeat each other; rows of one doc_id with different texts are
+    compared in the order of that hash. An empty table gives an empty result.
     """
-    gone = removed_lines(docs, threshold, min_chars).select(F.col("doc_id").alias("_gone_id"), "removed").withColumnRenamed("removed", "_gone_lines")
-    key = F.coalesce(docs["doc_id"].cast("long"), F.lit((1 << 63) - 1))
-    out = docs.join(gone, key == F.col("_gone_id"), "left")
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains(F.col("_gone_lines"), i)), "\n")
-    return out.withColumn("text", F.when(F.col("_gone_lines").isNull(), F.col("text")).otherwise(kept)).select(*docs.columns)
+    key = fresh(docs, "row_key")
+    rows = with_row_key(docs, key)
+    removed = fresh(rows, "removed")
+    gone = removed_lines(rows, key, _rule(threshold, min_chars, bands)).select(F.col("row").alias(key), F.col("removed").alias(removed))
+    out = rows.join(gone, key, "left")
+    kept = F.array_join(F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains(F.col(removed), i)), "\n")
+    out = out.withColumn("text", F.when(F.col(removed).isNull(), F.col("text")).otherwise(kept))
+    if not keep_emptied:
+        out = out.filter(F.col(removed).isNull() | F.col("text").rlike(_INK))
+    return out.select(*docs.columns)

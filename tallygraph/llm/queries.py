@@ -34,7 +34,7 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.dedup_report(_table(spark, sf_dir, "documents"))
+    return lines.dedup_report(_table(spark, sf_dir, "documents"), bands=lines.BANDS)
 
 
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,16 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NON_SPACE, byte_view, materialize, mix64, small, text_slices, window_hashes, word_hashes, word_spans
+from .common import NON_SPACE, ROW_KEY, byte_view, materialize, mix64, text_slices, window_hashes, with_row_key, word_hashes, word_spans
 
 LENGTH = 20
 SEED = 5
 #: Ids of at most so many documents are sent to all tasks to pick those documents; beyond that they are joined.
 BROADCAST_IDS = 1_000_000
-_LAST = (1 << 63) - 1
-#: What names a row in joins and spans; see row_keys.
-_KEY = "struct<id:bigint,tie:bigint,copy:bigint>"
-_POS = np.uint64((1 << 26) - 1)
+#: Places within a run of texts: an Arrow string holds less than 2^31 bytes, so no more than 2^30 words.
+_POS = np.uint64((1 << 30) - 1)
 _Q = 0xD1342543DE82EF95
 _Q_INVERSE = np.uint64(pow(_Q, -1, 1 << 64))
 
@@ -74,28 +72,10 @@ def seeds(texts: pa.Array, length: int = LENGTH, seed: int = SEED) -> dict[str,
     return {"row": r, "lo": lo - begin[r], "hi": hi - begin[r], "h": g[p].view(np.int64), "reach": reach.view(np.int64)}
 
 
-def row_keys(docs: DataFrame) -> DataFrame:
-    """doc_id, text with a key in place of doc_id: id, tie, copy, in this order of sorting.
-
-    A row whose id no other row has gets ties of 0. Rows of one id are told apart by a hash of their texts. Null ids
-    come last, by the same hash; as they name nothing, each such row also has a number of its own, written once.
-    """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    code = F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND(F.lit(_LAST))
-    zero = F.lit(0).cast("long")
-    key = lambda i, tie, copy: F.struct(i.alias("id"), tie.alias("tie"), copy.alias("copy")).alias("doc_id")
-    nameless = docs.filter(F.col("doc_id").isNull()).select(key(F.lit(_LAST), code, F.monotonically_increasing_id() + 1), "text")
-    named = docs.filter(F.col("doc_id").isNotNull())
-    again = named.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id", F.lit(True).alias("again"))
-    named = named.join(small(again), "doc_id", "left")
-    named = named.select(key(F.col("doc_id"), F.when(F.col("again"), code).otherwise(zero), zero), "text")
-    return named.unionAll(materialize(nameless, "null-ids"))
-
-
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, spans: for each document with repeated windows, the struct(lo, hi) of window starts that repeat an earlier window.
 
-    docs has keys of row_keys as doc_id. Earlier is a smaller key, or the same and a smaller start.
+    docs has keys of with_row_key as doc_id. Earlier is a smaller key, or the same and a smaller start.
     """
 
     def seed_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,7 +90,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "lo", "hi", "h", "reach"])
 
     shared = docs.select("text").mapInArrow(seed_counts, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1").select("h")
-    found = docs.mapInArrow(occurrences, f"doc_id {_KEY}, lo int, hi int, h long, reach long").join(shared, "h", "left_semi")
+    found = docs.mapInArrow(occurrences, f"doc_id {ROW_KEY}, lo int, hi int, h long, reach long").join(shared, "h", "left_semi")
     found = materialize(found, "shared-seeds")
 
     classes = found.groupBy("h", "reach").agg(F.min(F.struct("doc_id", "lo", "hi")).alias("first"), F.count("*").alias("n"))
@@ -140,7 +120,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     picked = docs
     if ladder.count() <= BROADCAST_IDS:
         picked = docs.join(F.broadcast(ladder.select("doc_id")), "doc_id", "left_semi")
-    steps = picked.join(ladder, "doc_id").select("doc_id", "text", "spans").mapInArrow(windows, f"doc_id {_KEY}, lo int, w long")
+    steps = picked.join(ladder, "doc_id").select("doc_id", "text", "spans").mapInArrow(windows, f"doc_id {ROW_KEY}, lo int, w long")
     steps = materialize(steps, "ladder-steps")
     firsts = steps.groupBy("w").agg(F.min(F.struct("doc_id", "lo")).alias("first"), F.count("*").alias("n")).filter("n > 1")
     again = steps.join(firsts, "w").filter(F.struct("doc_id", "lo") > F.col("first")).select("doc_id", "lo", F.col("lo").alias("hi"))
@@ -158,7 +138,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     never repeat each other; rows of one doc_id with different texts are compared in the order of that hash. Other
     columns are left out; an empty table gives an empty result.
     """
-    docs = row_keys(docs)
+    docs = with_row_key(docs.select("doc_id", "text"), "key").select(F.col("key").alias("doc_id"), "text")
     spans = repeated_spans(docs, length)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,5 +170,5 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             cols = [batch.column("doc_id"), pa.array(n_words.astype(np.int64)), pa.array(removed.astype(np.int64)), pa.array(sha, pa.string()), pa.array([x.decode() for x in kept], pa.string())]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
 
-    out = docs.join(spans, "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(cut, f"doc_id {_KEY}, n_words long, n_removed long, kept_sha256 string, kept string")
+    out = docs.join(spans, "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(cut, f"doc_id {ROW_KEY}, n_words long, n_removed long, kept_sha256 string, kept string")
     return out.withColumn("doc_id", F.when(F.col("doc_id.copy") == 0, F.col("doc_id.id")))
