@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, small
+from .common import fresh, materialize, small
 
 WINDOW = 10
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -27,6 +27,11 @@ def raw_words(text: str | Column) -> Column:
     return F.regexp_extract_all(text, F.lit(_RAW_WORD), F.lit(0))
 
 
+#: Stands behind a document's last word in the index, so that its place is the number of words; no word has it.
+END = "\n"
+END_ID = -1
+
+
 def index_terms(phrases: DataFrame) -> DataFrame:
     """term, term_id for each distinct word of phrases(words)."""
     terms = phrases.select(F.explode("words").alias("term")).distinct()
@@ -34,9 +39,11 @@ def index_terms(phrases: DataFrame) -> DataFrame:
 
 
 def build_index(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """Token postings term_id, doc_id, pos of documents(doc_id, text) for the given terms(term, term_id), written to the shared folder."""
-    tokens = docs.select("doc_id", F.posexplode(raw_words("text")).alias("pos", "word")).withColumn("key", F.lower("word"))
-    keyed = small(terms.select(F.lower("term").alias("key"), "term", "term_id"))
+    """Token postings term_id, doc_id, pos of documents(doc_id, text) for the given terms(term, term_id), written to the
+    shared folder; each text that is not null has one more, of END_ID at the place behind its last word."""
+    tokens = docs.select("doc_id", F.posexplode(F.concat(raw_words("text"), F.array(F.lit(END)))).alias("pos", "word")).withColumn("key", F.lower("word"))
+    ends = docs.sparkSession.range(1).select(F.lit(END).alias("term"), F.lit(END_ID).cast("long").alias("term_id"))
+    keyed = small(terms.select("term", "term_id").unionAll(ends).select(F.lower("term").alias("key"), "term", "term_id"))
     # lower() also folds letters beyond ASCII; the term itself decides.
     same = (F.col("word") == F.col("term")) | (_lower_ascii(F.col("word")) == F.col("term"))
     return materialize(tokens.join(keyed, "key").filter(same).select("term_id", "doc_id", "pos"), "postings")
@@ -50,11 +57,27 @@ def _phrases(benchmark: DataFrame, window: int) -> DataFrame:
     return materialize(items.withColumn("item", F.monotonically_increasing_id()), "phrases")
 
 
-def phrase_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, item_id, begin, end: word ranges of documents in which every ``window`` words are consecutive words of the item."""
+def with_text_id(docs: DataFrame, name: str) -> DataFrame:
+    """docs(doc_id, text, ...) with a number that names the text in postings: the doc_id where no other row has it, else
+    a hash of doc_id and text, so that rows of one id with different texts stay apart. Null for a null doc_id."""
+    number = F.col("doc_id").cast("long")
+    again = docs.filter(number.isNotNull()).groupBy(number.alias(f"{name}_id")).agg(F.count("*").alias(f"{name}_n")).filter(F.col(f"{name}_n") > 1)
+    if not again.limit(1).count():
+        return docs.withColumn(name, number)
+    found = docs.join(small(again), number == F.col(f"{name}_id"), "left")
+    own = F.when(F.col(f"{name}_n").isNull(), number).otherwise(F.xxhash64(number, F.coalesce("text", F.lit(""))))
+    return found.withColumn(name, own).select(*docs.columns, name)
+
+
+def phrase_index(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Phrases and terms of the benchmark, and the postings of those terms in documents(doc_id, text)."""
     phrases = _phrases(benchmark, window)
     terms = index_terms(phrases)
-    index = build_index(docs, terms)
+    return phrases, terms, build_index(docs, terms)
+
+
+def phrase_matches(phrases: DataFrame, terms: DataFrame, index: DataFrame) -> DataFrame:
+    """doc_id, item_id, begin, end: word ranges of documents in which every window's words are consecutive words of the item."""
     parts = phrases.select("item", "n", "w", F.posexplode("words").alias("ipos", "term")).join(terms, "term").select("item", "n", "w", "ipos", "term_id")
     counts = index.groupBy("term_id").count()
     parts = materialize(parts.join(counts, "term_id", "left").withColumn("count", F.coalesce("count", F.lit(0))), "phrase-parts")
@@ -107,21 +130,27 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     item of fewer words, but not none, is one window. items_sha256 is that of the items' ids, sorted as strings and
     comma-joined; of nothing where there is none. A null or empty text, or one without words, has no words and no hit.
     Items with a null id or no words are left out, repeated items count once. A null doc_id is never hit, for it names
-    no document; rows that repeat a doc_id are the same document. Other columns are left out; empty tables are allowed.
+    no document; rows that repeat a doc_id are each answered by their own text. Other columns are left out; empty tables are allowed.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    spans = materialize(phrase_matches(docs, benchmark, window), "phrase-hits")
+    docs = with_text_id(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "text_id")
+    phrases, terms, index = phrase_index(docs.select(F.col("text_id").alias("doc_id"), "text"), benchmark, window)
+    spans = materialize(phrase_matches(phrases, terms, index), "phrase-hits")
     hit = spans.select("doc_id", F.explode(F.sequence("begin", "end")).alias("pos")).distinct().groupBy("doc_id").agg(F.count("*").alias("n_hit"))
     items = spans.select("doc_id", "item_id").distinct().groupBy("doc_id").agg(F.sort_array(F.collect_list("item_id")).alias("items"))
     found = hit.join(items, "doc_id")
-    sizes = docs.select("doc_id", F.coalesce(F.regexp_count("text", F.lit(_RAW_WORD)), F.lit(0)).cast("long").alias("n_words"))
-    out = sizes.join(found, "doc_id", "left").withColumn("n_hit", F.coalesce("n_hit", F.lit(0)).cast("long"))
+    # A null id names no text in the index; the few such rows count their words themselves.
+    own = F.when(F.col("text_id").isNull(), F.coalesce(F.regexp_count("text", F.lit(_RAW_WORD)), F.lit(0))).cast("long")
+    sizes = index.filter(F.col("term_id") == END_ID).groupBy(F.col("doc_id").alias("text_id")).agg(F.max("pos").cast("long").alias("size"))
+    out = docs.select("doc_id", "text_id", own.alias("own")).join(sizes, "text_id", "left").join(found.withColumnRenamed("doc_id", "text_id"), "text_id", "left")
+    out = out.withColumns({"n_words": F.coalesce("own", "size", F.lit(0).cast("long")), "n_hit": F.coalesce("n_hit", F.lit(0)).cast("long")})
     ids = F.coalesce("items", F.array().cast("array<string>"))
     return out.select("doc_id", "n_words", "n_hit", F.size(ids).cast("long").alias("n_items"), F.sha2(F.concat_ws(",", ids), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of docs, all columns unchanged, that hold no window of the benchmark."""
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    bad = materialize(phrase_matches(ids, benchmark, window).select("doc_id").distinct(), "contaminated")
-    return docs.join(small(bad.withColumnRenamed("doc_id", "_bad_id")), docs["doc_id"].cast("long") == F.col("_bad_id"), "left_anti").select(*docs.columns)
+    name = fresh(docs, "text_id")
+    rows = with_text_id(docs, name)
+    texts = rows.filter(F.col(name).isNotNull()).select(F.col(name).alias("doc_id"), "text")
+    bad = materialize(phrase_matches(*phrase_index(texts, benchmark, window)).select("doc_id").distinct(), "contaminated")
+    return rows.join(small(bad.withColumnRenamed("doc_id", name)), name, "left_anti").select(*docs.columns)
