@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, NON_SPACE, byte_view, materialize, mix64, small, text_slices, window_hashes, word_hashes, word_spans
+from .common import LOWER, NON_SPACE, ROW_KEY, byte_view, fresh, materialize, mix64, small, text_slices, window_hashes, with_row_key, word_hashes, word_spans
 from .components import components
 
 #: A posting list of at most so many sets gives all its pairs at once.
@@ -59,9 +59,9 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches):
             sets = shingle_sets(batch.column("text"), width)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([signature(s) for s in sets], pa.int64())], ["doc_id", "n", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array([len(s) for s in sets], pa.int64()), pa.array([signature(s) for s in sets], pa.int64())], ["row", "n", "sig"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, sig long")
+    return docs.mapInArrow(run, f"row {ROW_KEY}, n long, sig long")
 
 
 def _sampled_elements(docs: DataFrame, width: int, every: int) -> DataFrame:
@@ -80,10 +80,10 @@ def _element_lists(docs: DataFrame, width: int) -> DataFrame:
         for batch in text_slices(batches):
             sets = shingle_sets(batch.column("text"), width)
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))
-            cols = [batch.column("doc_id"), pa.array([signature(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), lists]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "sig", "n", "hs"])
+            cols = [batch.column("row"), pa.array([signature(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), lists]
+            yield pa.RecordBatch.from_arrays(cols, ["row", "sig", "n", "hs"])
 
-    return docs.mapInArrow(run, "doc_id long, sig long, n long, hs array<long>")
+    return docs.mapInArrow(run, f"row {ROW_KEY}, sig long, n long, hs array<long>")
 
 
 class _Threshold:
@@ -136,30 +136,35 @@ def suffix_bound(x: np.ndarray, y: np.ndarray, parts: int = 8) -> int:
     return int(np.minimum(cx, cy).sum())
 
 
+def _doc_id(row: str) -> Column:
+    return F.when(F.col(row)["copy"] == 0, F.col(row)["id"])
+
+
 def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of documents(doc_id, text).
 
     Two documents link when den * |intersection| >= num * |union| of their shingle sets; component_id is the least
     doc_id that links reach, the row's own included. A null or empty text, or one of white space, has no shingle,
-    links with nothing and is its own component; so is a row with a null doc_id among rows without equal text
-    (nulls count as the largest id). Repeated rows are each answered. Other columns are left out. An empty table
+    links with nothing and is its own component. A row with a null doc_id links like any other, and others may be
+    reached through it; a component of such rows alone has a null component_id. Repeated rows are each answered. Other columns are left out. An empty table
     gives an empty result. Sets are told apart by 64-bit signature and size.
     """
     t = _Threshold(num, den)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = with_row_key(docs.select("doc_id", "text"), "row").select("row", "text")
     sets = materialize(_sets(docs, width), "sets")
-    classes = sets.filter("n > 0").groupBy("sig", "n").agg(F.min("doc_id").alias("doc_id"))
+    # Null ids come last among keys, so a class has no id only if none of its rows has.
+    classes = sets.filter("n > 0").groupBy("sig", "n").agg(F.min("row").alias("row"))
     classes = materialize(classes, "classes")
 
     # A prefix is a share of 1 - num/den of a set; two and a half times as much of it is screened.
     every = max(1, int(0.4 * den / (den - num))) if num < den else 1 << 20
     alone = _sampled_elements(docs, width, every).groupBy("h").agg(F.min("sig").alias("sig"), F.max("sig").alias("other")).filter("sig = other")
     own = alone.groupBy("sig").agg(F.count("*").alias("own"))
-    left = classes.join(own, "sig", "left").filter(F.coalesce("own", F.lit(0)) < t.prefix("n")).select("sig", "doc_id")
+    left = classes.join(own, "sig", "left").filter(F.coalesce("own", F.lit(0)) < t.prefix("n")).select("sig", "row")
     left = materialize(left, "screened")
 
-    texts = docs.join(small(left.select("doc_id").distinct()), "doc_id", "left_semi")
-    lists = _element_lists(texts, width).join(small(left), ["sig", "doc_id"], "left_semi").select("sig", "n", "hs")
+    texts = docs.join(small(left.select("row").distinct()), "row", "left_semi")
+    lists = _element_lists(texts, width).join(small(left), ["sig", "row"], "left_semi").select("sig", "n", "hs")
     lists = materialize(lists, "lists")
     elements = lists.select("sig", "n", F.explode("hs").alias("h"))
     shared = elements.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1")
@@ -196,15 +201,16 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int
             labels = components(links.unionAll(more))
 
     placed = classes.join(labels.withColumnRenamed("v", "sig"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
-    least = placed.groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    least = placed.groupBy("label").agg(F.min(_doc_id("row")).alias("component_id"))
     found = placed.join(least, "label").select("sig", "n", "component_id")
     out = sets.join(found, ["sig", "n"], "left")
-    own_id = F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), own_id.alias("component_id"))
+    own_id = F.when(F.col("n") > 0, F.coalesce("component_id", _doc_id("row"))).otherwise(_doc_id("row"))
+    return out.select(_doc_id("row").alias("doc_id"), F.col("n").alias("n_shingles"), own_id.alias("component_id"))
 
 
 def keep_one_of_each(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """The rows of docs, all columns unchanged, whose doc_id is the least of its component; those without shingles or id stay."""
     found = jaccard_components(docs, width, num, den)
     gone = materialize(found.filter("n_shingles > 0 and doc_id > component_id").select("doc_id").distinct(), "near-duplicates")
-    return docs.join(small(gone.withColumnRenamed("doc_id", "_gone_id")), docs["doc_id"].cast("long") == F.col("_gone_id"), "left_anti").select(*docs.columns)
+    name = fresh(docs, "gone_id")
+    return docs.join(small(gone.withColumnRenamed("doc_id", name)), docs["doc_id"].cast("long") == F.col(name), "left_anti").select(*docs.columns)
