@@ -4,13 +4,13 @@ A profile lists a language's most frequent character n-grams by rank. A document
 each profile: every n-gram costs the distance between its two ranks, or the profile's length where it is missing.
 The language with the least sum is predicted.
 
-N-grams are 1 to 4 bytes of the lower-cased UTF-8 text with each run of non-letters as one space, so any script
-works. Ties in count go by the n-gram's bytes, ties between languages by name.
+N-grams are 1 to 4 characters of the lower-cased text with each run of other characters than letters and their marks
+(by Unicode category) as one space. Ties in count go by length and code points, ties between languages by name.
 """
 
 from __future__ import annotations
 
-import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,61 +28,110 @@ UNDETERMINED = "und"
 #: Limits of the pipeline: a text farther than MAX_DISTANCE from every profile is in none of the languages; beyond
 #: DOUBTFUL its nearest profile must also lead the second by MIN_LEAD. Held-out documents of any length stay below them.
 MAX_DISTANCE, DOUBTFUL, MIN_LEAD = 0.75, 0.65, 0.01
-_LETTER = re.compile(r"[^\W\d_]")
-_KEEP = np.ones(256, bool)
-_KEEP[:128] = [chr(b).isalpha() for b in range(128)]
-
-
-def _grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, n-gram and count of each distinct n-gram of each text, by row and n-gram."""
-    data, off = byte_view(pc.utf8_lower(texts))
-    if not len(data):
-        return np.zeros(0, np.int64), np.zeros(0, np.uint32), np.zeros(0, np.int64)
-    keep = _KEEP[data]
-    body = np.where(keep, data, np.uint8(32))
+N_MAX = 4
+#: By code point, eight to a byte: letters (categories L), and letters with their marks (M).
+_CATEGORY = [unicodedata.category(chr(c))[0] for c in range(0x110000)]
+_LETTERS = np.packbits(np.array([c == "L" for c in _CATEGORY]))
+_KEEP = np.packbits(np.array([c in "LM" for c in _CATEGORY]))
+del _CATEGORY
+
+
+def _is(table: np.ndarray, points: np.ndarray) -> np.ndarray:
+    return (table[points >> 3] >> (7 - (points & 7)).astype(np.uint8)) & 1 == 1
+
+
+def _code_points(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of all texts in a row and each text's offsets."""
+    data, off = byte_view(texts)
+    points = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32).astype(np.int64)
+    return points, np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))[off]
+
+
+def _has_letter(texts: pa.Array) -> np.ndarray:
+    points, off = _code_points(texts)
+    seen = np.concatenate(([0], np.cumsum(_is(_LETTERS, points))))
+    return seen[off[1:]] > seen[off[:-1]]
+
+
+def _bits(n: int) -> int:
+    return max(1, int(n).bit_length())
+
+
+def _grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row, n-gram and count of each distinct n-gram of each text, by row and n-gram; and the alphabet.
+
+    An n-gram is a number whose digits, as many bits each as the last alphabet place needs, are places in the alphabet
+    (0: none, then code points in order). Where row and digits are too many bits for one number, halves are numbered first.
+    """
+    empty = np.zeros(0, np.int64)
+    points, off = _code_points(pc.utf8_lower(texts))
+    if not len(points):
+        return empty, empty, empty, empty
+    keep = _is(_KEEP, points)
+    body = np.where(keep, points, 32)
     row = np.repeat(np.arange(len(off) - 1), np.diff(off))
-    first = np.zeros(len(data), bool)
-    first[off[:-1][off[:-1] < len(data)]] = True
-    wanted = keep.copy()  # of a run of non-letters only the first is left
+    wanted = keep.copy()  # of a run of other characters only the first is left
     wanted[1:] |= keep[:-1]
-    wanted |= first
-    body, row = body[wanted].astype(np.uint32), row[wanted].astype(np.uint64)
-    keys = []
-    code = np.zeros(len(body), np.uint32)
-    for n in range(1, 5):
+    wanted[off[:-1][off[:-1] < len(points)]] = True
+    body, row = body[wanted], row[wanted]
+    alphabet, digit = np.unique(body, return_inverse=True)
+    if len(alphabet) >= 1 << 15:  # more letters than any language has: beyond U+3400 some share a place
+        alphabet, digit = np.unique(np.where(body < 0x3400, body, 0x3400 + (body - 0x3400) % (1 << 14)), return_inverse=True)
+    width = _bits(len(alphabet))
+    digit = digit.astype(np.int64) + 1
+    space = int(np.searchsorted(alphabet, 32)) + 1 if 32 in alphabet else 0
+    rows, codes, code = [], [], np.zeros(len(body), np.int64)
+    for n in range(1, N_MAX + 1):
         m = len(body) - n + 1
         if m <= 0:
             break
-        code = (code[:m] << np.uint32(8)) | body[n - 1 :]
+        code = (code[:m] << width) | digit[n - 1 :]
         ok = row[:m] == row[n - 1 :]
         if n == 1:
-            ok &= code != 32
-        keys.append((row[:m][ok] << np.uint64(32)) | code[ok].astype(np.uint64))
-    keys = np.sort(np.concatenate(keys))
-    if not len(keys):
-        return np.zeros(0, np.int64), np.zeros(0, np.uint32), np.zeros(0, np.int64)
+            ok &= code != space
+        rows.append(row[:m][ok])
+        codes.append(code[ok])
+    rows, codes = np.concatenate(rows), np.concatenate(codes)
+    if not len(codes):
+        return empty, empty, empty, empty
+    if N_MAX * width + _bits(len(off)) <= 63:
+        keys = np.sort((rows << (N_MAX * width)) | codes)
+        known = None
+    else:
+        known, place = np.unique(codes, return_inverse=True)
+        keys = np.sort((rows << 32) | place)
     at = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-    count = np.diff(np.append(at, len(keys)))
-    return (keys[at] >> np.uint64(32)).astype(np.int64), (keys[at] & np.uint64(0xFFFFFFFF)).astype(np.uint32), count
+    count, keys = np.diff(np.append(at, len(keys))), keys[at]
+    if known is None:
+        return keys >> (N_MAX * width), keys & ((1 << (N_MAX * width)) - 1), count, alphabet
+    return keys >> 32, known[keys & 0xFFFFFFFF], count, alphabet
 
 
-def learn_profiles(train: DataFrame, size: int = PROFILE_SIZE) -> dict[str, list[int]]:
-    """N-grams by rank for each non-null ``lang`` of train(text, lang); at most ``size`` numbers a language."""
+def _spell(codes: np.ndarray, alphabet: np.ndarray) -> list[str]:
+    """N-grams as text."""
+    width = _bits(len(alphabet))
+    digits = np.stack([(codes >> (width * k)) & ((1 << width) - 1) for k in reversed(range(N_MAX))], axis=1)
+    points = np.where(digits > 0, alphabet[np.maximum(digits, 1) - 1], 0).astype(np.uint32)
+    return ["".join(map(chr, filter(None, p))) for p in points.tolist()]
+
+
+def learn_profiles(train: DataFrame, size: int = PROFILE_SIZE) -> dict[str, list[str]]:
+    """N-grams by rank for each non-null ``lang`` of train(text, lang); at most ``size`` of them a language."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches):
             langs = np.array(batch.column("lang").to_pylist(), object)
-            row, gram, n = _grams(batch.column("text"))
+            row, gram, n, alphabet = _grams(batch.column("text"))
             for lang in sorted(set(langs)):
                 mine = langs[row] == lang if len(row) else np.zeros(0, bool)
                 grams, at = np.unique(gram[mine], return_inverse=True)
                 total = np.bincount(at, weights=n[mine], minlength=len(grams)).astype(np.int64)
-                yield pa.RecordBatch.from_pydict({"lang": [lang] * len(grams), "gram": grams.astype(np.int64), "n": total})
+                yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(grams), pa.string()), "gram": pa.array(_spell(grams, alphabet), pa.string()), "n": total})
 
     rows = train.select("text", "lang").filter("lang is not null and text is not null")
-    counts = rows.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    top = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
-    profiles: dict[str, list[int]] = {}
+    counts = rows.mapInArrow(count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    top = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), F.char_length("gram"), "gram"))
+    profiles: dict[str, list[str]] = {}
     for r in counts.withColumn("rank", top).filter(F.col("rank") <= size).orderBy("lang", "rank").collect():
         profiles.setdefault(r["lang"], []).append(r["gram"])
     return profiles
@@ -91,33 +140,51 @@ def learn_profiles(train: DataFrame, size: int = PROFILE_SIZE) -> dict[str, list
 class Classifier:
     """Compares texts with the profiles; small, so it goes to the tasks as it is."""
 
-    def __init__(self, profiles: dict[str, list[int]], size: int = PROFILE_SIZE):
+    def __init__(self, profiles: dict[str, list[str]], size: int = PROFILE_SIZE):
         self.size, self.langs = size, sorted(profiles)
-        self.grams = np.array(sorted({g for p in profiles.values() for g in p}), np.uint32)
-        self.ranks = np.full((len(self.grams) + 1, len(self.langs)), size, np.int32)
+        grams = sorted({g for p in profiles.values() for g in p})
+        place = {g: k for k, g in enumerate(grams)}
+        self.points = np.array([[0] * (N_MAX - len(g)) + list(map(ord, g)) for g in grams], np.int64).reshape(-1, N_MAX)
+        self.ranks = np.full((len(grams) + 1, len(self.langs)), size, np.int32)
         for k, lang in enumerate(self.langs):
-            at = np.searchsorted(self.grams, np.array(profiles[lang], np.uint32))
-            self.ranks[at, k] = np.arange(len(at))
+            self.ranks[[place[g] for g in profiles[lang]], k] = np.arange(len(profiles[lang]))
+
+    def _profile_codes(self, alphabet: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The profiles' n-grams as numbers of this alphabet, sorted, and which of them each is; those with other letters are left out."""
+        at = np.minimum(np.searchsorted(alphabet, self.points), len(alphabet) - 1)
+        none = self.points == 0
+        ok = (none | (alphabet[at] == self.points)).all(axis=1)
+        digits = np.where(none, 0, at + 1)[ok]
+        codes = np.zeros(len(digits), np.int64)
+        for k in range(N_MAX):
+            codes = (codes << _bits(len(alphabet))) | digits[:, k]
+        order = np.argsort(codes)
+        return codes[order], np.flatnonzero(ok)[order]
 
     def distances(self, texts: pa.Array) -> np.ndarray:
         """Mean out-of-place distance of each text to each language, as a share of the largest (1 where there is none)."""
         n, size = len(texts), self.size
         out = np.ones((n, len(self.langs)))
-        row, gram, count = _grams(texts)
+        row, gram, count, alphabet = _grams(texts)
         if not len(row) or not self.langs:
             return out
         begin = np.searchsorted(row, np.arange(n))
-        rank_key = np.uint64((1 << 20) - 1) - np.minimum(count, (1 << 20) - 1).astype(np.uint64)
-        # The most frequent first, then by n-gram: rows and places within a row ride in the sorted key.
-        place = np.arange(len(row)) - begin[row]
-        key = np.sort((row.astype(np.uint64) << np.uint64(44)) | (rank_key << np.uint64(24)) | np.minimum(place, (1 << 24) - 1).astype(np.uint64))
+        # The most frequent first, then by n-gram, which is the order in which they stand.
+        place, rare = np.arange(len(row)) - begin[row], count.max() - count
+        low, mid = _bits(place.max()), _bits(rare.max())
+        if _bits(n) + mid + low <= 63:
+            key = np.sort((row << (mid + low)) | (rare << low) | place)
+            place = key & ((1 << low) - 1)
+        else:
+            place = place[np.lexsort((place, rare, row))]
         rank = np.arange(len(row)) - begin[row]
         used = rank < size
-        row, rank, key = row[used], rank[used], key[used]
-        gram = gram[begin[row] + (key & np.uint64((1 << 24) - 1)).astype(np.int64)]
-        at = np.minimum(np.searchsorted(self.grams, gram), len(self.grams) - 1)
-        at = np.where(self.grams[at] == gram, at, len(self.grams))
-        far = self.ranks[at]
+        row, rank, gram = row[used], rank[used], gram[begin[row[used]] + place[used]]
+        codes, which = self._profile_codes(alphabet)
+        if not len(codes):
+            return out
+        at = np.minimum(np.searchsorted(codes, gram), len(codes) - 1)
+        far = self.ranks[np.where(codes[at] == gram, which[at], len(self.points))]
         cost = np.where(far == size, size, np.abs(far - rank[:, None].astype(np.int32)))
         first = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
         total, held = np.add.reduceat(cost, first, axis=0), np.diff(np.append(first, len(row)))
@@ -132,7 +199,7 @@ class Classifier:
         best = near.argmax(axis=1)
         total = near.sum(axis=1)
         score = np.divide(near[np.arange(len(near)), best], total, out=np.zeros(len(near)), where=total > 0)
-        has = np.array([bool(t) and _LETTER.search(t) is not None for t in texts.to_pylist()], bool)
+        has = _has_letter(texts)
         score[~has] = 0
         return [self.langs[b] if h else UNDETERMINED for b, h in zip(best, has)], score
 
@@ -146,7 +213,7 @@ def train_classifier(docs: DataFrame, max_train_docs: int = MAX_TRAIN_DOCS) -> C
 def identify_language(docs: DataFrame, classifier: Classifier | None = None) -> DataFrame:
     """doc_id, held_out, lang_pred, score for each row of documents(doc_id, text, lang); other columns are left out.
 
-    A null text, an empty one or one without letters gets ``und`` and score 0; so does every text where no label
+    A null text, an empty one or one without letters (Unicode category L) gets ``und`` and score 0; so does every text where no label
     could be learned. A null doc_id is never held out and never learned from; repeated rows are each answered.
     An empty table gives an empty result.
     """
@@ -182,7 +249,7 @@ def keep_identified(docs: DataFrame, min_score: float = 0.0, classifier: Classif
                 if far.shape[1] > 1:
                     ok &= (far[:, 0] <= doubtful) | (far[:, 1] - far[:, 0] >= min_lead)
             else:
-                ok = np.array([bool(t) and _LETTER.search(t) is not None for t in texts.to_pylist()], bool)
+                ok = _has_letter(texts)
             yield batch.filter(pa.array(ok))
 
     return docs.mapInArrow(keep, docs.schema)
