@@ -23,17 +23,17 @@ from .labelled import labelled_ids, labelled_texts, to_driver
 MAX_TERM_DOCS = 20_000
 MAX_EXAMPLES = 4_000
 #: A term is used if its chi-square with the label is at least this, and at most so many of the strongest are.
-MIN_CHI_SQUARE = 24.0
+MIN_CHI_SQUARE = 8.0
 MAX_TERMS = 4_096
 #: Besides whole words, their first so many bytes are terms.
-STEMS = (4, 5, 6, 7)
+STEMS = (3, 4, 5, 6, 7, 8)
 NEIGHBOURS = 15
 BLOCK = 64
 THRESHOLD = 0.5
 #: Weight of the base rate among the votes.
 PRIOR_VOTE = 0.4
 #: A chosen term's toxic texts are at least so many for each other text.
-LEAST_ODDS = 0.25
+LEAST_ODDS = 1.0
 #: Weight of a constant term that every text has: a few weak terms then don't fill a text's vector, and a text
 #: without any chosen term has neighbours too.
 CONSTANT = 3.0
