@@ -32,9 +32,7 @@ def test_stages_take_effect_and_keep_the_columns(spark, tmp_path):
         docs = spark.read.parquet(str(tmp_path / str(k)))
         kept.append(ids(docs))
     assert kept[0] == {r[0] for r in rows} - {50, 51}
-    assert kept[1] == kept[0]
-    first = spark.read.parquet(str(tmp_path / "1"))
-    assert first.filter("doc_id = 52").first()["text"] == ""
+    assert kept[1] == kept[0] - {52}  # a full copy loses all its lines
     assert kept[2] == kept[1] - {53}
     assert kept[3] == kept[2] - {54}
     tokens = {r["doc_id"]: r["ids"] for r in docs.collect()}

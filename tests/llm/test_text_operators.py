@@ -74,21 +74,62 @@ def test_language_is_found_on_held_out_documents(docs, rows):
 
 def test_out_of_place_distance_by_hand():
     texts = pa.array(["abab cab", "zzz"])
-    row, gram, n = language_id._grams(texts)
+    row, code, n, alphabet = language_id._grams(texts)
+    gram = np.array(language_id._spell(code, alphabet), object)
     want = collections.Counter()
-    body = b"abab cab"
+    body = "abab cab"
     for k in range(1, 5):
         for i in range(len(body) - k + 1):
             g = body[i : i + k]
-            if g != b" ":
-                want[int.from_bytes(g, "big")] += 1
+            if g != " ":
+                want[g] += 1
     assert dict(zip(gram[row == 0].tolist(), n[row == 0].tolist())) == dict(want)
-    order = sorted(want, key=lambda g: (-want[g], g))
+    order = sorted(want, key=lambda g: (-want[g], len(g), g))
     model = language_id.Classifier({"a": order[:5], "b": order[5:10]}, size=5)
     ranks = {g: i for i, g in enumerate(order[:5])}
     assert model.distances(texts)[0].tolist() == [sum(abs(ranks[g] - i) for i, g in enumerate(order[:5])) / 25, 1.0]
 
 
+def brute_language(texts, profiles, size):
+    """Language and distances by plain dictionaries."""
+    import unicodedata
+
+    out = []
+    for t in texts:
+        body, last = [], None
+        for c in (t or "").lower():
+            c = c if unicodedata.category(c)[0] in "LM" else " "
+            if c != " " or last != " ":
+                body.append(c)
+            last = c
+        body = "".join(body)
+        grams = collections.Counter(body[i : i + n] for n in range(1, 5) for i in range(len(body) - n + 1))
+        del grams[" "]
+        order = sorted(grams, key=lambda g: (-grams[g], len(g), g))[:size]
+        far = {}
+        for lang, p in sorted(profiles.items()):
+            rank = {g: k for k, g in enumerate(p)}
+            far[lang] = sum(abs(rank[g] - k) if g in rank else size for k, g in enumerate(order)) / (size * len(order)) if order else 1.0
+        letters = any(unicodedata.category(c)[0] == "L" for c in t or "")
+        out.append((min(far, key=lambda x: (far[x], x)) if letters else "und", list(far.values())))
+    return out
+
+
+def test_language_equals_brute_force(docs, rows):
+    model = language_id.train_classifier(docs)
+    profiles = language_id.learn_profiles(docs.filter("lang is not null"), 60)
+    texts = [r[1] for r in rows] + [None, "", "½ ² Ⅷ", "Ünï-cödé ÇA\nça", "漢字 かな 漢字", "नमस्ते दुनिया", "ab" * 3000, "12 34"]
+    for m, size in ((model, 400), (language_id.Classifier(profiles, 60), 60)):
+        named = profiles if size == 60 else language_id.learn_profiles(docs.filter(F.col("lang").isNotNull() & (common.fold("doc_id", 4) != 2)))
+        want = brute_language(texts, named, size)
+        far = m.distances(pa.array(texts, pa.string()))
+        assert far == pytest.approx(np.array([d for _, d in want]))
+        assert m.predict(pa.array(texts, pa.string()))[0] == [x for x, _ in want]
+    body = "The\nthe"
+    row, code, n, alphabet = language_id._grams(pa.array([body]))
+    assert dict(zip(language_id._spell(code, alphabet), n.tolist()))["the"] == 2
+
+
 def test_language_of_hard_rows(spark, hard, docs):
     model = language_id.train_classifier(docs)
     got = language_id.identify_language(hard, model).collect()
@@ -140,6 +181,18 @@ def test_decontamination_of_hard_rows(spark, hard):
     assert decontaminate.decontaminate(hard, bench.limit(0)).filter("contaminated").count() == 0
 
 
+def test_decontamination_keeps_texts_of_one_id_apart(spark):
+    words = [f"w{k}" for k in range(10)]
+    bench = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    odd = " ".join(w if k % 2 else "x" for k, w in enumerate(words))
+    even = " ".join("x" if k % 2 else w for k, w in enumerate(words))
+    df = spark.createDataFrame([(7, odd, 1), (7, even, 2), (7, " ".join(words) + " end", 3), (None, " ".join(words), 4)], "doc_id long, text string, text_id int")
+    got = sorted((str(r["doc_id"]), r["n_words"], r["n_hit"]) for r in decontaminate.decontaminate(df, bench).collect())
+    assert got == [("7", 10, 0), ("7", 10, 0), ("7", 11, 10), ("None", 10, 0)]
+    left = decontaminate.drop_contaminated(df, bench)
+    assert left.columns == df.columns and {r["text_id"] for r in left.collect()} == {1, 2, 4}
+
+
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "a x x b"), (2, "b a"), (3, "a x x x x x b"), (4, "a")], "doc_id long, text string")
     queries = spark.createDataFrame([("q", ["a", "b"]), ("r", ["a", "nope"]), ("s", ["x"])], "query_id string, words array<string>")
@@ -341,6 +394,68 @@ def test_lines_equal_brute_force(spark):
     assert texts == {i: "\n".join(x for k, x in enumerate(t.split("\n")) if k not in want[i]) for i, t in rows}
 
 
+def brute_lines(rows, bands):
+    first, occ = {}, []
+    for i, t in rows:
+        for k, x in enumerate(t.split("\n")):
+            if x.strip():
+                occ.append((i, k, x))
+                first.setdefault(x, (i, k))
+    allowed = lambda a, b: max([e for least, e in bands if min(len(a), len(b)) >= least], default=0)
+    near = {max(a, b, key=first.get) for a in first for b in first if a < b and abs(len(a) - len(b)) <= allowed(a, b) and edit(a, b) <= allowed(a, b)}
+    want = collections.defaultdict(list)
+    for i, k, x in occ:
+        if first[x] != (i, k) or x in near:
+            want[i].append(k)
+    return dict(want)
+
+
+@pytest.mark.parametrize("hot", [256, 1])
+def test_lines_in_bands_equal_brute_force(spark, monkeypatch, hot):
+    """Lines of 8 to 150 characters around the limits of the bands, with hot segments (all of them where hot is 1)."""
+    monkeypatch.setattr(lines, "HOT", hot)
+    rng = random.Random(31)
+    base = ["".join(rng.choice("abcdé ") for _ in range(n)).replace("\n", "").strip() + "z" for n in (8, 11, 12, 13, 22, 24, 25, 40, 63, 64, 72, 94, 96, 97, 120, 128, 150)]
+    rows = []
+    for i in range(45):
+        picked = [list(rng.choice(base)) for _ in range(2)]
+        for x in picked:
+            for _ in range(rng.choice([0, 1, 2, 3, 4])):
+                k = rng.randint(0, len(x))
+                x[k : k + rng.randint(0, 1)] = rng.choice(["", "q", "ü"])
+        rows.append((i, "\n".join(map("".join, picked))))
+    got = {r["doc_id"]: r["removed"] for r in lines.dedup_report(spark.createDataFrame(rows, "doc_id long, text string"), bands=lines.BANDS).collect()}
+    want = brute_lines(rows, lines.BANDS)
+    assert len(want) > 20 and {i: r for i, r in got.items() if r} == want
+
+
+def test_lines_that_share_a_tail_meet_only_their_like(spark, monkeypatch):
+    rng = random.Random(1)
+    digits = list("000111222333444555666777")
+    rows = []
+    for i in range(900):
+        rng.shuffle(digits)
+        rows.append((i, "".join(digits) + " and this is one shared tail of quite a few words that every line ends with here"))
+    rows.append((900, rows[7][1].replace("7", "x", 1)))
+    seen = []
+    verified = lines._verified
+    monkeypatch.setattr(lines, "_verified", lambda met, texts, most: seen.append(met.count()) or verified(met, texts, most))
+    got = {r["doc_id"]: r["n_removed"] for r in lines.dedup_report(spark.createDataFrame(rows, "doc_id long, text string"), bands=lines.BANDS).collect()}
+    assert {i for i, n in got.items() if n} == {900}
+    assert sum(seen) < 20 * len(rows)
+
+
+def test_lines_of_rows_without_id_and_of_one_id_stay_apart(spark):
+    texts = [(1, "alpha line that is here first"), (None, "beta beta line of its own\nalpha line that is here first"), (None, "gamma gamma line of its own\na wholly unique second line"), (5, "delta delta line\nepsilon epsilon"), (5, "zeta zeta zeta\nalpha line that is here first"), (None, "beta beta line of its own\nalpha line that is here first")]
+    df = spark.createDataFrame(texts, "doc_id long, text string").withColumns({c: F.lit("z") for c in ("row_key", "removed", "row", "at", "gone_id")})
+    out = lines.dedup_lines(df)
+    assert out.columns == df.columns
+    got = collections.Counter((r["doc_id"], r["text"]) for r in out.collect())
+    want = [(1, texts[0][1]), (None, "beta beta line of its own"), (None, texts[2][1]), (5, texts[3][1]), (5, "zeta zeta zeta"), (None, "")]
+    assert got == collections.Counter(want)
+    assert out.count() == 6 and lines.dedup_lines(df, keep_emptied=False).count() == 5
+
+
 def test_lines_of_hard_rows(hard):
     rows = lines.dedup_report(hard).collect()
     by = {r["doc_id"]: r for r in rows}
@@ -399,6 +514,19 @@ def test_components_of_hard_rows(hard):
     assert jaccard.keep_one_of_each(hard).count() == hard.count()
 
 
+def test_components_reach_through_rows_without_id(spark):
+    words = [f"w{k}" for k in range(60)]
+    text = lambda *changed: " ".join("x" + w if k in changed else w for k, w in enumerate(words))
+    rows = [(1, text()), (None, text(59)), (3, text(0, 59)), (None, "alone " * 9), (None, "alone " * 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("z") for c in ("gone_id", "row", "component_id")})
+    num, den = 96, 100  # each within one changed word of the next, the ends are not within two
+    want = [(1, 1), (None, 1), (3, 1), (None, None), (None, None)]
+    got = [(r["doc_id"], r["component_id"]) for r in jaccard.jaccard_components(df, 3, num, den).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, want))
+    kept = jaccard.keep_one_of_each(df, 3, num, den)
+    assert kept.columns == df.columns and {r["doc_id"] for r in kept.collect()} == {1, None}
+
+
 def test_connected_components(spark):
     rng = random.Random(0)
     pairs = [(rng.randint(0, 60), rng.randint(0, 60)) for _ in range(45)] + [(100 + i, 101 + i) for i in range(20)]
