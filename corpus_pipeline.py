@@ -17,8 +17,8 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, without the lines that equal or nearly equal an earlier one; a full copy is left empty."""
-    return lines.dedup_lines(docs)
+    """Every document, without the lines that equal or nearly equal an earlier one; one that loses all its lines goes."""
+    return lines.dedup_lines(docs, bands=lines.BANDS, keep_emptied=False)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
