@@ -178,10 +178,11 @@ def segment_keys(line: Column, n: Column, lo: Column, t: int) -> Column:
     return F.array(*[_key(lo, t, i, 0, line, _begin(n, w, t, i), w) for i in range(t + 1)])
 
 
-def probe_keys(line: Column, n: Column, lo: Column, t: int) -> Column:
-    """The keys of every substring that could be a segment of a line of bucket lo within t edits."""
+def probe_keys(line: Column, n: Column, lo: Column, t: int, mark: int = 0) -> Column:
+    """The keys of every substring that could be a segment of a line of bucket lo within t edits, with ``mark`` as last bit."""
     w = _width(lo, t)
-    return F.array(*[_key(lo, t, i, 0, line, _begin(n, w, t, i) + s, w) for i in range(t + 1) for s in range(-min(i, t - i), min(i, t - i) + 1)])
+    keys = [_key(lo, t, i, 0, line, _begin(n, w, t, i) + s, w) for i in range(t + 1) for s in range(-min(i, t - i), min(i, t - i) + 1)]
+    return F.array(*[k.bitwiseOR(F.lit(mark)) for k in keys])
 
 
 def _regions() -> Column:
@@ -217,12 +218,16 @@ def distinct_lines(placed: DataFrame, bands: Sequence[tuple[int, int]]) -> DataF
     """One row for each distinct line: k1, k2, first (its first place), n, and for lines that allow edits s (letter
     counts), t (edits allowed), index (its segments' keys) and probes (keys to look up; the last bit is 1 where the bucket is its own)."""
     rows = placed.select("k1", "k2", "at", "line", F.char_length("line").alias("n"))
-    rows = rows.withColumns({"t": allowed_edits(F.col("n"), bands), "lo": bucket(F.col("n")), "below": layouts(F.col("n"), bands, (-1,))})
+    rows = rows.withColumns({"t": allowed_edits(F.col("n"), bands), "lo": bucket(F.col("n"))})
     line, n, t, lo = (F.col(c) for c in ("line", "n", "t", "lo"))
-    own = F.transform(_by_threshold(t, bands, lambda e: probe_keys(line, n, lo, e)), lambda k: k.bitwiseOR(F.lit(1).cast("bigint")))
-    below = F.array_except("below", F.array(F.struct("t", "lo")))
+    own = _by_threshold(t, bands, lambda e: probe_keys(line, n, lo, e, mark=1))
+    # Few lines are so near to the least length of their bucket that a linked line can be in the one below.
+    least = n - max(e for _, e in bands)
+    crosses = (t > 0) & ((bucket(F.greatest(least, F.lit(1))) != lo) | (allowed_edits(least, bands) != t))
+    below = F.array_except(layouts(n, bands, (-1,)), F.array(F.struct("t", "lo")))
     other = F.flatten(F.transform(below, lambda x: _by_threshold(x["t"], bands, lambda e: probe_keys(line, n, x["lo"], e))))
-    rows = rows.select("k1", "k2", "at", F.when(t > 0, sketch(line, t)).alias("s"), "t", _by_threshold(t, bands, lambda e: segment_keys(line, n, lo, e)).alias("index"), F.concat(own, other).alias("probes"))
+    index = _by_threshold(t, bands, lambda e: segment_keys(line, n, lo, e))
+    rows = rows.select("k1", "k2", "at", F.when(t > 0, sketch(line, t)).alias("s"), "t", index.alias("index"), F.when(crosses, F.concat(own, other)).otherwise(own).alias("probes"))
     held = [F.first(c).alias(c) for c in ("s", "t", "index", "probes")]
     return rows.groupBy("k1", "k2").agg(F.min("at").alias("first"), F.count("*").alias("n"), *held)
 
@@ -287,17 +292,19 @@ def near_lines(docs: DataFrame, key: str, distinct: DataFrame, bands: Sequence[t
 
     line, n, lo = F.col("line"), F.col("n"), F.col("lo")
     held = texts.join(in_hot.select("k1").distinct(), "k1", "left_semi").withColumn("region", F.explode(_regions()))
-    cut = held.select("k1", "s", F.col("region.number").alias("region"), F.explode(_by_threshold(F.col("t"), bands, lambda e: region_keys(line, n, lo, e, F.col("region"), False))).alias("key"))
+    cut = held.select("k1", "s", "more", F.col("region.number").alias("region"), F.explode(_by_threshold(F.col("t"), bands, lambda e: region_keys(line, n, lo, e, F.col("region"), False))).alias("key"))
     cut = materialize(cut, "region-segments")
     counts = cut.groupBy("key").agg(F.count("*").alias("c"))
     rated = cut.join(counts, "key").groupBy("k1", "region").agg(F.max("c").alias("c"))
     chosen = rated.groupBy("k1").agg(F.min(F.struct("c", "region")).alias("best")).select("k1", F.col("best.region").alias("region"))
-    rare = cut.join(chosen, ["k1", "region"]).select("k1", "s", "key")
+    rare = cut.join(chosen, ["k1", "region"]).select("k1", "s", "more", "key")
     left = asks.select(F.col("other").alias("k1")).distinct().join(near, "k1", "left_anti")
     left = texts.join(left, "k1", "left_semi").withColumn("layout", F.explode(layouts(n, bands, (-1, 0, 1)))).withColumn("region", F.explode(_regions()))
     keys = F.explode(_by_threshold(F.col("layout.t"), bands, lambda e: region_keys(line, n, F.col("layout.lo"), e, F.col("region"), True)))
-    sought = left.select(F.col("k1").alias("other"), F.col("s").alias("q"), keys.alias("key"))
-    again = materialize(rare.join(sought, "key").filter(apart & alike).select(*pair).distinct(), "region-pairs")
+    sought = left.select(F.col("k1").alias("other"), F.col("s").alias("q"), F.col("more").alias("q_more"), keys.alias("key"))
+    all_counts = counts_apart(F.col("s"), F.col("q")) + counts_apart(F.col("more"), F.col("q_more"))
+    still = all_counts <= 2 * F.least(F.shiftright("s", 60), F.shiftright("q", 60))
+    again = materialize(rare.join(sought, "key").filter(apart & still).select(*pair).distinct(), "region-pairs")
     return near.unionAll(_verified(again, texts, most)).distinct()
 
 
