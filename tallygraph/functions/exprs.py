@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.work import quantile_row
+
 EPS = 1e-8
 #: Formats and currencies of the fixed vocabularies.
 FORMATS = ("Cheque", "Credit Card", "ACH", "Cash", "Reinvestment", "Wire", "Bitcoin")
@@ -101,10 +103,11 @@ def cosine_ladder(dt: Column, dim: int) -> Column:
 def q_norm(df: DataFrame, columns: list[str], q: float = 0.95) -> DataFrame:
     """df with <c>_n: the column over its q-quantile (its maximum where that isn't positive, 0 where neither is), in [0, 1].
 
-    All quantiles come from one aggregate of one row.
+    The quantiles are exact, by rank (see quantile_row), and all come as one row. df is read several times: pass a table.
     """
-    one = df.agg(*[f for c in columns for f in (F.percentile(c, F.lit(q)).alias(f"_q_{c}"), F.max(c).cast("double").alias(f"_m_{c}"))])
-    out = df.crossJoin(F.broadcast(one))
+    ranks = quantile_row(df, {f"_q_{c}": (F.col(c), q) for c in columns})
+    tops = df.agg(*[F.max(c).cast("double").alias(f"_m_{c}") for c in columns])
+    out = df.crossJoin(F.broadcast(ranks)).crossJoin(F.broadcast(tops))
 
     def scaled(c: str) -> Column:
         top = F.when(F.col(f"_q_{c}") > 0, F.col(f"_q_{c}")).otherwise(F.when(F.col(f"_m_{c}") > 0, F.col(f"_m_{c}")))

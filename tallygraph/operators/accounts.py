@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
+from ..plans.work import quantiles_by
 
 
 def endpoints(tx: DataFrame) -> DataFrame:
@@ -23,9 +24,10 @@ def degree_stats(tx: DataFrame) -> DataFrame:
 
 def amount_stats(tx: DataFrame) -> DataFrame:
     """Mean, sample deviation and 95 % quantile of what each account pays, and mean and deviation of what it receives."""
-    out = tx.groupBy(F.col("src").alias("acct")).agg(F.avg("amt_paid").alias("paid_mean"), F.stddev_samp("amt_paid").alias("paid_std"), F.percentile("amt_paid", F.lit(0.95)).alias("paid_p95"))
+    out = tx.groupBy(F.col("src").alias("acct")).agg(F.avg("amt_paid").alias("paid_mean"), F.stddev_samp("amt_paid").alias("paid_std"))
+    high = quantiles_by(tx.select(F.col("src").alias("acct"), "amt_paid"), "acct", "amt_paid", [0.95]).select("acct", F.col("quantile").alias("paid_p95"))
     into = tx.groupBy(F.col("dst").alias("acct")).agg(F.avg("amt_rec").alias("rec_mean"), F.stddev_samp("amt_rec").alias("rec_std"))
-    return out.join(into, "acct", "full")
+    return out.join(high, "acct", "left").join(into, "acct", "full")
 
 
 def ages(tx: DataFrame) -> DataFrame:

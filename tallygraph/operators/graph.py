@@ -148,3 +148,27 @@ def dataset_summary(tx: DataFrame) -> DataFrame:
     banks = tx.select(F.col("from_bank").alias("b")).unionAll(tx.select(F.col("to_bank").alias("b"))).agg(F.countDistinct("b").alias("banks"))
     accts = A.endpoints(tx).agg(F.count("*").alias("accounts"))
     return tx.agg(F.count("*").alias("transfers"), (100 * F.avg("label")).alias("pct_label")).crossJoin(banks).crossJoin(accts)
+
+
+def degree_histogram(tx: DataFrame, bins: int = 50) -> DataFrame:
+    """bin, low, n: how many accounts have an out-count within each of ``bins`` equal steps from the least to the largest
+    (the last step includes it); bins without account are left out."""
+    deg = A.degree_stats(tx).select(F.col("out_count").alias("d"))
+    ends = deg.agg(F.min("d").alias("lo"), F.max("d").alias("hi"))
+    step = (F.col("hi") - F.col("lo")) / F.lit(float(bins))
+    at = F.when(F.col("hi") == F.col("lo"), F.lit(0)).otherwise(F.least(F.floor((F.col("d") - F.col("lo")) / step), F.lit(bins - 1)))
+    return deg.crossJoin(F.broadcast(ends)).select(at.cast("int").alias("bin"), "lo", step.alias("step")).groupBy("bin", "lo", "step").agg(F.count("*").alias("n")).select("bin", (F.col("lo") + F.col("bin") * F.col("step")).alias("low"), "n")
+
+
+def reindex(interactions: DataFrame, bipartite: bool = True) -> DataFrame:
+    """interactions(u, i, idx, ...) with ids from 1 on, as row 0 stands for no node; items follow the users if bipartite.
+
+    An error if the ids of either side have gaps then.
+    """
+    one = F.lit(1).cast("bigint")
+    if not bipartite:
+        return interactions.withColumns({c: F.col(c) + one for c in ("u", "i", "idx")})
+    r = interactions.agg(F.max("u").alias("top"), *[(F.max(c) - F.min(c) + 1 == F.countDistinct(c)).alias(f"full_{c}") for c in ("u", "i")]).first()
+    if r["top"] is not None and not (r["full_u"] and r["full_i"]):
+        raise ValueError("user or item ids have gaps")
+    return interactions.withColumns({"u": F.col("u") + one, "i": F.col("i") + F.lit((r["top"] or 0) + 2).cast("bigint"), "idx": F.col("idx") + one})

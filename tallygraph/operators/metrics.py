@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.work import quantiles_by
+
 from ..functions import exprs as X
 from ..plans.work import running_totals
 
@@ -135,3 +137,42 @@ def correlation(df: DataFrame, columns: list[str]) -> DataFrame:
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
     one = df.agg(*[F.corr(a, b).alias(f"c{k}") for k, (a, b) in enumerate(pairs)])
     return one.select(F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"c{k}").alias("corr")) for k, (a, b) in enumerate(pairs)])).alias("r")).select("r.*")
+
+
+def describe(df: DataFrame, columns: list[str]) -> DataFrame:
+    """column, n, mean, std (sample), min, q25, q50, q75, max of numeric columns; nulls are left out, quantiles are exact."""
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in columns])).alias("r")).select("r.*")
+    base = long.groupBy("column").agg(F.count("v").alias("n"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.min("v").alias("min"), F.max("v").alias("max"))
+    q = quantiles_by(long, "column", "v", [0.25, 0.5, 0.75]).groupBy("column")
+    q = q.agg(*[F.max(F.when(F.col("share") == x, F.col("quantile"))).alias(name) for x, name in ((0.25, "q25"), (0.5, "q50"), (0.75, "q75"))])
+    return base.join(q, "column", "left").select("column", "n", "mean", "std", "min", "q25", "q50", "q75", "max")
+
+
+def frequencies(df: DataFrame, column: str) -> DataFrame:
+    """value (null is one too) and n, its number of rows."""
+    return df.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
+
+
+def early_stop(log: DataFrame, value: str, max_round: int = 3, higher_better: bool = True, tolerance: float = 1e-10) -> DataFrame:
+    """best_epoch and stop_epoch (null if never) of a training log with an epoch column.
+
+    An epoch improves if its value exceeds the last improving one by more than ``tolerance`` of its size; after
+    ``max_round`` epochs in a row without, training stops. One row an epoch: the log is short and is read in order.
+    """
+    rows = F.sort_array(F.collect_list(F.struct("epoch", (F.col(value) if higher_better else -F.col(value)).cast("double").alias("v"))))
+    null = F.lit(None)
+    start = F.struct(null.cast("double").alias("best"), null.cast("long").alias("at"), F.lit(0).alias("rounds"), null.cast("long").alias("stop"))
+
+    def step(acc, x):
+        better = acc["best"].isNull() | ((x["v"] - acc["best"]) / F.abs(acc["best"]) > tolerance)
+        rounds = F.when(better, F.lit(0)).otherwise(acc["rounds"] + 1)
+        epoch = x["epoch"].cast("long")
+        moved = F.struct(F.when(better, x["v"]).otherwise(acc["best"]).alias("best"), F.when(better, epoch).otherwise(acc["at"]).alias("at"), rounds.alias("rounds"), F.when(rounds >= max_round, epoch).alias("stop"))
+        return F.when(acc["stop"].isNotNull(), acc).otherwise(moved)
+
+    return log.agg(F.aggregate(rows, start, step).alias("r")).select(F.col("r.at").alias("best_epoch"), F.col("r.stop").alias("stop_epoch"))
+
+
+def align(left: DataFrame, right: DataFrame, key: str = "edge_id") -> DataFrame:
+    """Rows of two prediction or label tables that belong together, by id and never by position."""
+    return left.join(right, key)

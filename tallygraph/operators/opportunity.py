@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
+from ..plans.work import materialize, quantile_row
 from ..sources.readers import one_per_account
 
 #: Share of positive transfers that each intensity marks, and its level.
@@ -52,7 +53,7 @@ def raw_features(tx: DataFrame, accounts: DataFrame, patterns: DataFrame, allow_
     rows = rows.join(mutual_pairs(tx).withColumn("_m", F.lit(1)), ["src", "dst"], "left")
     c, zero = F.col, F.lit(0)
     return rows.select(
-        "row_id", "label",
+        "row_id", "label", "src",
         X.off_hours(c("ts")).alias("RAT_is_off_hours"), X.weekend(c("ts")).alias("RAT_is_weekend"), X.cross(c("from_bank"), c("to_bank")).alias("RAT_is_cross_bank"),
         X.clip(X.safe_z(c("amt_paid"), c("_sm"), c("_ss")), low=0.0).alias("RAT_src_amount_z_pos"),
         X.clip(X.safe_z(c("amt_rec"), c("_dm"), c("_ds")), low=0.0).alias("RAT_dst_amount_z_pos"),
@@ -69,8 +70,8 @@ SCALED = {"out_degree": "RAT_src_out_deg_norm", "in_degree": "RAT_dst_in_deg_nor
 
 
 def opportunity(tx: DataFrame, accounts: DataFrame, patterns: DataFrame, allow_fanout: bool = False) -> DataFrame:
-    """All opportunity and motif columns of each transfer. A part whose z-score is null is null, and its score 0."""
-    rows = X.q_norm(raw_features(tx, accounts, patterns, allow_fanout), list(SCALED))
+    """All opportunity and motif columns of each transfer, and its src. A part whose z-score is null is null, and its score 0."""
+    rows = X.q_norm(materialize(raw_features(tx, accounts, patterns, allow_fanout), "raw-features"), list(SCALED))
     rows = rows.withColumnsRenamed({f"{k}_n": v for k, v in SCALED.items()})
     c = F.col
     rows = rows.withColumns({
@@ -88,14 +89,14 @@ def opportunity(tx: DataFrame, accounts: DataFrame, patterns: DataFrame, allow_f
 def thresholds(scored: DataFrame) -> DataFrame:
     """intensity, level, threshold: the score above which each intensity marks positive transfers."""
     names = list(INTENSITIES)
-    q = F.percentile("RAT_score", F.array(*[F.lit(1 - INTENSITIES[n][0]) for n in names]))
-    one = scored.filter("label = 1").agg(q.alias("q"))
-    rows = F.explode(F.array(*[F.struct(F.lit(n).alias("intensity"), F.lit(INTENSITIES[n][1]).alias("level"), F.col("q")[k].alias("threshold")) for k, n in enumerate(names)]))
+    one = quantile_row(scored.filter("label = 1"), {n: (F.col("RAT_score"), 1 - INTENSITIES[n][0]) for n in names})
+    rows = F.explode(F.array(*[F.struct(F.lit(n).alias("intensity"), F.lit(INTENSITIES[n][1]).alias("level"), F.col(n).alias("threshold")) for n in names]))
     return one.select(rows.alias("r")).select("r.*")
 
 
 def intensity_labels(scored: DataFrame, min_positives: int = 10) -> DataFrame:
     """Each transfer once an intensity, with RAT_injected and RAT_intensity_level; features are the same in all three."""
+    scored = materialize(scored, "scored")
     if scored.filter("label = 1").limit(min_positives).count() < min_positives:
         raise ValueError(f"fewer than {min_positives} positive transfers")
     rows = scored.crossJoin(F.broadcast(thresholds(scored)))
@@ -110,6 +111,6 @@ def intensity_drift(labelled: DataFrame, columns: list[str]) -> DataFrame:
 
 def guardian_ranking(tx: DataFrame, accounts: DataFrame, patterns: DataFrame, k: int = 20) -> DataFrame:
     """The accounts whose outgoing transfers are the least guarded, on average."""
-    rows = opportunity(tx, accounts, patterns).select("row_id", "RAT_guardian_weakness_score", "RAT_src_burst_norm").join(tx.select("row_id", "src"), "row_id")
+    rows = opportunity(tx, accounts, patterns).select("src", "RAT_guardian_weakness_score", "RAT_src_burst_norm")
     found = rows.groupBy("src").agg(F.round(F.avg("RAT_guardian_weakness_score"), 6).alias("weakness"), F.round(F.avg("RAT_src_burst_norm"), 6).alias("burst"), F.count("*").alias("n"))
     return found.orderBy(F.desc("weakness"), "src").limit(k)

@@ -10,11 +10,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def neighbour_aggregate(edges: DataFrame, nodes: DataFrame, columns: list[str], how: str = "mean") -> DataFrame:
+    """node_id and, for each column, its ``mean`` or ``max`` over the sources of the node's incoming edges (0 without any)."""
+    f = {"mean": F.avg, "max": F.max}[how]
+    src = nodes.select(F.col("node_id").alias("src"), *[F.col(c).cast("double").alias(c) for c in columns])
+    agg = edges.select("src", "dst").join(src, "src").groupBy(F.col("dst").alias("node_id")).agg(*[f(c).alias(f"{how}_{c}") for c in columns])
+    return nodes.select("node_id").join(agg, "node_id", "left").select("node_id", *[F.coalesce(f"{how}_{c}", F.lit(0.0)).alias(f"{how}_{c}") for c in columns])
+
+
 def mean_neighbours(edges: DataFrame, nodes: DataFrame, columns: list[str]) -> DataFrame:
-    """node_id and, for each column, its mean over the sources of the node's incoming edges (0 without any)."""
-    src = nodes.select(F.col("node_id").alias("src"), *columns)
-    agg = edges.select("src", "dst").join(src, "src").groupBy(F.col("dst").alias("node_id")).agg(*[F.avg(c).alias(f"mean_{c}") for c in columns])
-    return nodes.select("node_id").join(agg, "node_id", "left").select("node_id", *[F.coalesce(f"mean_{c}", F.lit(0.0)).alias(f"mean_{c}") for c in columns])
+    return neighbour_aggregate(edges, nodes, columns)
 
 
 def dense(df: DataFrame, columns: list[str], weights: np.ndarray, bias: np.ndarray, out: str, relu: bool = False) -> DataFrame:
@@ -30,10 +35,10 @@ def dense(df: DataFrame, columns: list[str], weights: np.ndarray, bias: np.ndarr
     return df.mapInPandas(run, f"{fields}, `{out}` array<double>")
 
 
-def sage_layer(edges: DataFrame, nodes: DataFrame, columns: list[str], w_self: np.ndarray, w_nbr: np.ndarray, bias: np.ndarray) -> DataFrame:
-    """node_id, h: relu(x @ w_self + mean of in-neighbours @ w_nbr + bias)."""
-    x = nodes.select("node_id", *[F.col(c).cast("double").alias(c) for c in columns]).join(mean_neighbours(edges, nodes, columns), "node_id")
-    return dense(x, columns + [f"mean_{c}" for c in columns], np.vstack([w_self, w_nbr]), bias, "h", relu=True).select("node_id", "h")
+def sage_layer(edges: DataFrame, nodes: DataFrame, columns: list[str], w_self: np.ndarray, w_nbr: np.ndarray, bias: np.ndarray, how: str = "mean") -> DataFrame:
+    """node_id, h: relu(x @ w_self + mean (or max) of in-neighbours @ w_nbr + bias)."""
+    x = nodes.select("node_id", *[F.col(c).cast("double").alias(c) for c in columns]).join(neighbour_aggregate(edges, nodes, columns, how), "node_id")
+    return dense(x, columns + [f"{how}_{c}" for c in columns], np.vstack([w_self, w_nbr]), bias, "h", relu=True).select("node_id", "h")
 
 
 def edge_mlp(edges: DataFrame, hidden: DataFrame, columns: list[str], w1: np.ndarray, b1: np.ndarray, w2: np.ndarray, b2: float) -> DataFrame:
@@ -87,3 +92,36 @@ def neighbour_attention(padded: DataFrame, features: DataFrame, w: np.ndarray) -
             yield pd.DataFrame({"node": b["node"], "t": b["t"], "z": z})
 
     return rows.mapInPandas(run, f"node {padded.schema['node'].dataType.simpleString()}, t {padded.schema['t'].dataType.simpleString()}, z array<double>")
+
+
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-x))
+
+
+def recurrent_cell(x: np.ndarray, h: np.ndarray, w_in: np.ndarray, w_hid: np.ndarray, b_in: np.ndarray, b_hid: np.ndarray, kind: str = "gru") -> np.ndarray:
+    """New memories of rows: a GRU cell (weights of reset, update and new gate side by side) or a tanh RNN cell."""
+    a, b = x @ w_in + b_in, h @ w_hid + b_hid
+    if kind == "rnn":
+        return np.tanh(a + b)
+    (ar, az, an), (br, bz, bn) = np.split(a, 3, axis=1), np.split(b, 3, axis=1)
+    z = _sigmoid(az + bz)
+    return (1 - z) * np.tanh(an + _sigmoid(ar + br) * bn) + z * h
+
+
+def update_memory(memory: DataFrame, msgs: DataFrame, weights: dict[str, np.ndarray], kind: str = "gru") -> DataFrame:
+    """memory(node, memory, last_update) after one message a node of msgs(node, msg, t); nodes without a message stay, new
+    ones start from zeros. A message from before its node's last update is an error."""
+    size = weights["w_hid"].shape[0]
+    rows = memory.join(msgs.select("node", "msg", "t"), "node", "full")
+    late = F.col("t") < F.col("last_update")
+    rows = rows.withColumn("t", F.when(late, F.raise_error(F.lit("a message from before the last update")).cast(msgs.schema["t"].dataType)).otherwise(F.col("t")))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            h = np.array([np.zeros(size) if m is None else np.asarray(m) for m in b["memory"]]).reshape(-1, size)
+            has = np.array([m is not None for m in b["msg"]], bool)
+            if has.any():
+                h[has] = recurrent_cell(np.stack(b["msg"][has].to_list()), h[has], **weights, kind=kind)
+            yield pd.DataFrame({"node": b["node"], "memory": list(h), "last_update": b["t"].where(b["t"].notna(), b["last_update"]).astype("int64")})
+
+    return rows.mapInPandas(run, f"node {rows.schema['node'].dataType.simpleString()}, memory array<double>, last_update long")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.work import global_index
+from ..plans.work import global_index, quantile_row
 
 
 def _by_place(place: Column, n: Column, train: float, val: float) -> Column:
@@ -39,8 +39,8 @@ def stratified(tx: DataFrame, train: float = 0.6, val: float = 0.2, seed: int =
 def time_quantile(tx: DataFrame, low: float = 0.70, high: float = 0.85) -> DataFrame:
     """row_id, split by quantiles of time; a row on a boundary belongs to the earlier side."""
     t = F.unix_timestamp(F.col("ts").cast("timestamp"))
-    q = tx.agg(F.percentile(t, F.array(F.lit(low), F.lit(high))).alias("_q"))
-    return tx.crossJoin(F.broadcast(q)).select("row_id", F.when(t <= F.col("_q")[0], "train").when(t <= F.col("_q")[1], "val").otherwise("test").alias("split"))
+    q = quantile_row(tx, {"_low": (t, low), "_high": (t, high)})
+    return tx.crossJoin(F.broadcast(q)).select("row_id", F.when(t <= F.col("_low"), "train").when(t <= F.col("_high"), "val").otherwise("test").alias("split"))
 
 
 def node_masks(tx: DataFrame, split: DataFrame) -> DataFrame:
@@ -82,26 +82,51 @@ def batches(df: DataFrame, size: int, *order: str) -> DataFrame:
     return global_index(df, "_i", *order).withColumn("batch", F.floor(F.col("_i") / size)).drop("_i")
 
 
-#: Feature groups of the ablation studies; fixed values.
+#: All features of the ablation studies, in order; fixed values.
+FULL_FEATURES = [
+    "log_amt_rec", "log_amt_paid", "same_bank", "same_currency", "hour_of_day", "day_of_week", "is_weekend", "ts_normalized", "log_time_since_src", "log_time_since_dst",
+    "pf_ACH", "pf_Bitcoin", "pf_Cash", "pf_Cheque", "pf_Credit Card", "pf_Reinvestment", "pf_Wire",
+    "rc_Australian Dollar", "rc_Bitcoin", "rc_Brazil Real", "rc_Canadian Dollar", "rc_Euro", "rc_Mexican Peso", "rc_Ruble", "rc_Rupee", "rc_Saudi Riyal", "rc_Shekel", "rc_Swiss Franc", "rc_UK Pound", "rc_US Dollar", "rc_Yen", "rc_Yuan",
+    "RAT_is_off_hours", "RAT_is_weekend", "RAT_is_cross_bank", "RAT_src_amount_z_pos", "RAT_dst_amount_z_pos", "RAT_src_out_deg_norm", "RAT_dst_in_deg_norm", "RAT_src_burst_norm", "RAT_dst_burst_norm", "RAT_combined_burst",
+    "RAT_same_entity", "RAT_src_entity_accounts", "RAT_dst_entity_accounts", "RAT_src_entity_acct_norm", "RAT_dst_entity_acct_norm", "RAT_src_pattern_flag", "RAT_dst_pattern_flag", "RAT_mutual_flag",
+    "motif_fanin", "motif_fanout", "motif_chain", "motif_cycle", "RAT_offender_score", "RAT_target_score", "RAT_guardian_weakness_score", "RAT_score",
+]
+#: What each ablation leaves out, in order; fixed values.
 ABLATION_GROUPS = {
-    "no_temp": ["RAT_is_off_hours", "RAT_is_weekend"],
-    "no_amount": ["RAT_src_amount_z_pos", "RAT_dst_amount_z_pos"],
     "no_struct": ["RAT_src_out_deg_norm", "RAT_dst_in_deg_norm"],
-    "no_burst_pattern": ["RAT_src_burst_norm", "RAT_dst_burst_norm", "RAT_combined_burst", "RAT_src_pattern_flag", "RAT_dst_pattern_flag"],
+    "no_temp": ["hour_of_day", "day_of_week", "is_weekend", "ts_normalized", "log_time_since_src", "log_time_since_dst", "RAT_is_off_hours", "RAT_is_weekend"],
+    "no_amount": ["log_amt_rec", "log_amt_paid", "RAT_src_amount_z_pos", "RAT_dst_amount_z_pos"],
+    "no_burst_pattern": ["RAT_src_burst_norm", "RAT_dst_burst_norm", "RAT_combined_burst", "RAT_src_pattern_flag", "RAT_dst_pattern_flag", "RAT_mutual_flag"],
     "no_entity": ["RAT_same_entity", "RAT_src_entity_accounts", "RAT_dst_entity_accounts", "RAT_src_entity_acct_norm", "RAT_dst_entity_acct_norm"],
-    "no_crossbank": ["RAT_is_cross_bank"],
-    "no_motif": ["motif_fanin", "motif_fanout", "motif_chain", "motif_cycle"],
     "no_rat_scores": ["RAT_offender_score", "RAT_target_score", "RAT_guardian_weakness_score", "RAT_score"],
+    "no_motif": ["motif_fanin", "motif_fanout", "motif_chain", "motif_cycle"],
+    "no_crossbank": ["RAT_is_cross_bank"],
 }
+#: The twenty features of the last study, in order; fixed values.
+TOP20_FEATURES = [
+    "pf_ACH", "pf_Cheque", "log_amt_paid", "log_amt_rec", "pf_Credit Card", "motif_cycle", "RAT_combined_burst", "ts_normalized", "RAT_src_burst_norm", "RAT_dst_in_deg_norm",
+    "RAT_target_score", "motif_fanout", "motif_fanin", "RAT_dst_burst_norm", "RAT_src_out_deg_norm", "RAT_score", "motif_chain", "RAT_offender_score", "RAT_dst_entity_acct_norm", "RAT_guardian_weakness_score",
+]
+
+
+def full_features(edges: DataFrame, theory: DataFrame) -> DataFrame:
+    """row_id and all features of the studies, in their order, from edge_features and opportunity tables; a format or
+    currency that the edges have no column of is 0."""
+    have = {*edges.columns, *theory.columns}
+    other = [c for c in FULL_FEATURES if c not in have]
+    if bad := [c for c in other if not c.startswith(("pf_", "rc_"))]:
+        raise ValueError(f"no such columns: {bad}")
+    rows = edges.join(theory.select("row_id", *[c for c in theory.columns if c in FULL_FEATURES]), "row_id")
+    return rows.select("row_id", *[F.lit(0).alias(c) if c in other else F.col(f"`{c}`") for c in FULL_FEATURES])
 
 
-def ablate(df: DataFrame, group: str, keys: tuple[str, ...] = ("row_id",)) -> DataFrame:
+def ablate(df: DataFrame, group: str) -> DataFrame:
     """df without a group's columns; an error if one is missing."""
     gone = ABLATION_GROUPS[group]
     missing = [c for c in gone if c not in df.columns]
     if missing:
         raise ValueError(f"no such columns: {missing}")
-    return df.select(*[c for c in df.columns if c not in gone])
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if c not in gone])
 
 
 def keep_columns(df: DataFrame, keep: list[str], keys: tuple[str, ...] = ("row_id",)) -> DataFrame:
@@ -109,4 +134,4 @@ def keep_columns(df: DataFrame, keep: list[str], keys: tuple[str, ...] = ("row_i
     missing = [c for c in keep if c not in df.columns]
     if missing:
         raise ValueError(f"no such columns: {missing}")
-    return df.select(*keys, *keep)
+    return df.select(*keys, *[F.col(f"`{c}`") for c in keep])

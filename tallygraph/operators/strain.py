@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
+from ..plans.work import materialize, quantile_row, quantiles_by
 from .accounts import endpoints
 
 EPS = 1e-6
@@ -36,8 +37,9 @@ def account_strain(tx: DataFrame) -> DataFrame:
     rows = rows.withColumns({f"NetFlow_{k}d": F.col("NetFlow_full") * F.least(F.lit(float(k)) / F.col("_days"), F.lit(1.0)) for k in (7, 30, 90)})
     rows = rows.withColumns({"OutInRatio_30d": F.col("TotalOut") / (F.col("TotalIn") + EPS), "_deficit": F.greatest(-F.col("NetFlow_90d"), F.lit(0.0)), "_deg": F.col("InDegree") + F.col("OutDegree")})
     ratio, vol = F.greatest("OutInRatio_30d", F.lit(0.0)), F.greatest("IncomingVolatility_30d", F.lit(0.0))
-    one = rows.agg(F.max("_deg").alias("_max_deg"), F.max("_deficit").alias("_max_def"), F.percentile(ratio, F.lit(0.99)).alias("_q_ratio"), F.percentile(vol, F.lit(0.99)).alias("_q_vol"))
-    rows = rows.crossJoin(F.broadcast(one))
+    rows = materialize(rows, "account-strain")
+    one = rows.agg(F.max("_deg").alias("_max_deg"), F.max("_deficit").alias("_max_def"))
+    rows = rows.crossJoin(F.broadcast(one)).crossJoin(F.broadcast(quantile_row(rows, {"_q_ratio": (ratio, 0.99), "_q_vol": (vol, 0.99)})))
     chronic = (F.col("_deficit") / (F.col("_max_def") + EPS) + ratio / (F.col("_q_ratio") + EPS) + vol / (F.col("_q_vol") + EPS)) / 3.0
     rows = rows.withColumns({"NetworkCentrality": F.col("_deg") / F.greatest("_max_deg", F.lit(1)), "ChronicStrainScore": chronic})
     return rows.drop("_days", "_deficit", "_deg", "_max_deg", "_max_def", "_q_ratio", "_q_vol")
@@ -54,11 +56,12 @@ def exposure(tx: DataFrame, strain: DataFrame) -> DataFrame:
 def transfer_strain(tx: DataFrame) -> DataFrame:
     """Deviation, gap, size and payment-type strain of each transfer, and their situational score in [0, 1]."""
     tx = tx.withColumn("amt_paid", F.coalesce("amt_paid", F.lit(0.0)))
-    stats = tx.groupBy("src").agg(F.avg("amt_paid").alias("_m"), F.coalesce(F.stddev_samp("amt_paid"), F.lit(0.0)).alias("_s"), F.percentile("amt_paid", F.lit(0.95)).alias("_p95"))
+    stats = tx.groupBy("src").agg(F.avg("amt_paid").alias("_m"), F.coalesce(F.stddev_samp("amt_paid"), F.lit(0.0)).alias("_s"))
+    high = quantiles_by(tx.select("src", "amt_paid"), "src", "amt_paid", [0.95]).select("src", F.col("quantile").alias("_p95"))
     t = X.epoch(F.col("ts"))
     gap = (t - F.lag(t).over(Window.partitionBy("src").orderBy("ts", "row_id"))) / 3600.0
-    rows = tx.withColumn("_gap", gap).join(stats, "src", "left")
-    rows = rows.crossJoin(F.broadcast(rows.agg(F.median("_gap").alias("_median"))))
+    gaps = materialize(tx.withColumn("_gap", gap), "transfer-gaps")
+    rows = gaps.join(stats, "src", "left").join(high, "src", "left").crossJoin(F.broadcast(quantile_row(gaps, {"_median": (F.col("_gap"), 0.5)})))
     dev = F.coalesce((F.col("amt_paid") - F.col("_m")) / F.nullif(F.col("_s"), F.lit(0.0)), F.lit(0.0))
     tgap: Column = 1.0 / (1.0 + F.greatest(F.coalesce("_gap", "_median", F.lit(24.0)), F.lit(0.0)))
     rows = rows.select("row_id", dev.alias("OutgoingDeviation"), tgap.alias("TimeGapStrain"), (F.col("amt_paid") >= F.col("_p95")).cast("int").alias("LargeOutflowFlag"), X.risk(F.col("fmt")).alias("PaymentTypeStrain"))

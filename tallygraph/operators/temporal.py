@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
+from .splits import sample
 
 
 def adjacency(tx: DataFrame) -> DataFrame:
@@ -15,27 +16,51 @@ def adjacency(tx: DataFrame) -> DataFrame:
     return one("src", "dst").unionAll(one("dst", "src"))
 
 
-def neighbours(tx: DataFrame, probes: DataFrame, k: int, oldest_first: bool = False) -> DataFrame:
-    """node, t, rank, nbr, edge_id, nbr_t: the k latest events of a node strictly before t, for each of probes(node, t).
-
-    Events are first reduced to the k latest before each distinct time of a probed node by a running window over the
-    node's own events; nothing grows with the square of a node's degree.
-    """
+def _histories(tx: DataFrame, probes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Events of probed nodes (node, at, nbr_t, edge_id, nbr), numbered from 1 in order of (t, edge_id, nbr), and for
+    each of probes(node, t) the number n of events strictly before t."""
     adj = adjacency(tx)
     asked = probes.select("node", "t").distinct()
-    # Events and probes of a node in one order of time: a probe sees the last k events of smaller t.
+    # Events and probes of a node in one order of time: a probe sees the last events of smaller t.
     events = adj.join(asked.select("node").distinct(), "node", "left_semi").select("node", "t", F.lit(1).alias("kind"), "edge_id", "nbr")
     marks = asked.select("node", "t", F.lit(0).alias("kind"), F.lit(None).cast("bigint").alias("edge_id"), F.lit(None).cast(adj.schema["nbr"].dataType).alias("nbr"))
     w = Window.partitionBy("node").orderBy("t", "kind", "edge_id", "nbr")
     rows = events.unionByName(marks).withColumn("n", F.sum("kind").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    numbered = rows.filter("kind = 1").select("node", F.col("n").alias("at"), F.col("t").alias("nbr_t"), "edge_id", "nbr")
-    wanted = rows.filter("kind = 0").select("node", "t", "n", F.explode(F.expr(f"sequence(1, {k})")).alias("rank")).filter("rank <= n").withColumn("at", F.col("n") - F.col("rank") + 1)
+    return rows.filter("kind = 1").select("node", F.col("n").alias("at"), F.col("t").alias("nbr_t"), "edge_id", "nbr"), rows.filter("kind = 0").select("node", "t", "n")
+
+
+def neighbours(tx: DataFrame, probes: DataFrame, k: int, oldest_first: bool = False) -> DataFrame:
+    """node, t, rank, nbr, edge_id, nbr_t: the k latest events of a node strictly before t, for each of probes(node, t).
+
+    A running window numbers the node's own events; nothing grows with the square of a node's degree.
+    """
+    numbered, marks = _histories(tx, probes)
+    wanted = marks.select("node", "t", "n", F.explode(F.expr(f"sequence(1, {k})")).alias("rank")).filter("rank <= n").withColumn("at", F.col("n") - F.col("rank") + 1)
     found = wanted.join(numbered, ["node", "at"])
     if oldest_first:
         found = found.withColumn("rank", F.least(F.col("n"), F.lit(k)) - F.col("rank") + 1)
     return found.select("node", "t", F.col("rank").cast("int").alias("rank"), "nbr", "edge_id", "nbr_t")
 
 
+def uniform_neighbours(tx: DataFrame, probes: DataFrame, k: int, seed: int = 0) -> DataFrame:
+    """node, t, rank, nbr, edge_id, nbr_t: k draws with replacement from a node's events strictly before t, in order of
+    time; draws are integer arithmetic on node, t and the draw's number. Nodes are whole numbers."""
+    numbered, marks = _histories(tx, probes)
+    number = F.col("node") * 7_919 + F.col("t") * 31 + F.col("draw") * 104_729 + F.lit(seed)
+    wanted = marks.filter("n > 0").select("node", "t", "n", F.explode(F.expr(f"sequence(1, {k})")).alias("draw")).withColumn("at", F.pmod(number, F.col("n")) + 1)
+    rank = F.row_number().over(Window.partitionBy("node", "t").orderBy("at", "draw"))
+    return wanted.join(numbered, ["node", "at"]).select("node", "t", rank.alias("rank"), "nbr", "edge_id", "nbr_t")
+
+
+def unseen_nodes(tx: DataFrame, after: float, share: float = 0.1, seed: int = 0) -> DataFrame:
+    """acct: as many accounts as ``share`` of all (rounded down), drawn by a fixed order from those with a transfer after
+    epoch second ``after``. Accounts are whole numbers."""
+    t = X.epoch(F.col("ts"))
+    ends = tx.select(F.col("src").alias("acct"), t.alias("t")).unionAll(tx.select(F.col("dst").alias("acct"), t.alias("t")))
+    n = int(share * ends.select("acct").distinct().count())
+    return sample(ends.filter(F.col("t") > after).select("acct").distinct(), "acct", n, seed)
+
+
 def padded_neighbours(tx: DataFrame, probes: DataFrame, k: int, pad_left: bool = True) -> DataFrame:
     """node, t and arrays of exactly k: neighbours, edges, times; padded with 0, oldest first where padded left."""
     found = neighbours(tx, probes, k, oldest_first=pad_left)

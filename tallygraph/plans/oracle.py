@@ -124,7 +124,6 @@ _CUR = ", ".join(f"(cur_rec = '{v}')::BIGINT AS rc_{v}" for v in range(4))
 _add("edge_features_baseline", _GAPS, f"SELECT row_id, {_FEAT}, {_FMT}, {_CUR} FROM gp")
 _add("edge_features_coded", _TX, "SELECT row_id, round(ln(1 + greatest(amt_paid, 0)), 6) AS log_amt_paid, dense_rank() OVER (ORDER BY fmt) - 1 AS fmt_code, dense_rank() OVER (ORDER BY cur_rec) - 1 AS cur_code FROM tx")
 _z = lambda c: f"least(greatest(({c} - avg({c}) OVER ()) / (stddev_pop({c}) OVER () + 1e-6), -10), 10)"
-_add("edge_features_standardised", _OPP, f'SELECT row_id, round({_z("n_od")}, 6) AS "RAT_src_out_deg_norm", round({_z("n_bb")}, 6) AS "RAT_combined_burst", round({_z("cycle::DOUBLE")}, 6) AS motif_cycle FROM opp')
 _EDGE = "SELECT row_id AS edge_id, a.node_id AS src, b.node_id AS dst, t AS ts, label::BIGINT AS label, round(ln(1 + greatest(amt_paid, 0)), 6) AS log_amt_paid{more} FROM tx JOIN ids a ON tx.src = a.acct JOIN ids b ON tx.dst = b.acct"
 _add("static_edge_table", _NODES, _EDGE.format(more=""))
 _add("event_stream_table", _NODES + ", et AS (SELECT fmt, row_number() OVER (ORDER BY f) - 1 AS event_type FROM (SELECT fmt, min((ts, row_id)) AS f FROM tx GROUP BY fmt))", _EDGE.format(more=", event_type") + " JOIN et USING (fmt)")
@@ -145,8 +144,55 @@ _add("label_drift_windows", _CHRONO, 'SELECT (position // (n // 10))::BIGINT AS
 _add("sequential_batches", _CHRONO, "SELECT position // 200 AS batch, count(*) AS n, min(row_id) AS first_id FROM spl GROUP BY 1")
 _add("uniform_sample", _TX, f"SELECT row_id, label::BIGINT AS label FROM tx ORDER BY {_DRAW}, row_id LIMIT 100")
 _add("balanced_sample", _TX, f"SELECT row_id, label::BIGINT AS label FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY {_DRAW}, row_id) AS r FROM tx) WHERE r <= 10")
-_add("ablation_no_temp", _OPP, 'SELECT row_id, xb::BIGINT AS "RAT_is_cross_bank", mu::BIGINT AS "RAT_mutual_flag", round(cycle::DOUBLE, 6) AS motif_cycle FROM opp')
-_add("ablation_top20", _OPP, 'SELECT row_id, round(chain, 6) AS motif_chain, round(score, 6) AS "RAT_score", wk::BIGINT AS "RAT_is_weekend" FROM sc')
+_THEORY = {
+    "RAT_is_off_hours": "off::BIGINT", "RAT_is_weekend": "wk::BIGINT", "RAT_is_cross_bank": "xb::BIGINT", "RAT_src_amount_z_pos": "round(zs, 6)", "RAT_dst_amount_z_pos": "round(zd, 6)",
+    "RAT_src_out_deg_norm": "round(n_od, 6)", "RAT_dst_in_deg_norm": "round(n_id, 6)", "RAT_src_burst_norm": "round(n_bs, 6)", "RAT_dst_burst_norm": "round(n_bd, 6)", "RAT_combined_burst": "round(n_bb, 6)",
+    "RAT_same_entity": "se::BIGINT", "RAT_src_entity_accounts": "es", "RAT_dst_entity_accounts": "ed", "RAT_src_entity_acct_norm": "round(n_es, 6)", "RAT_dst_entity_acct_norm": "round(n_ed, 6)",
+    "RAT_src_pattern_flag": "ps::BIGINT", "RAT_dst_pattern_flag": "pd::BIGINT", "RAT_mutual_flag": "mu::BIGINT",
+    "motif_fanin": "round(n_id, 6)", "motif_fanout": "round(n_od, 6)", "motif_chain": "round(chain, 6)", "motif_cycle": "round(cycle::DOUBLE, 6)",
+    "RAT_offender_score": "round(o, 6)", "RAT_target_score": "round(ta, 6)", "RAT_guardian_weakness_score": "round(g::DOUBLE, 6)", "RAT_score": "round(score, 6)",
+}
+_FORMATS = ("ACH", "Bitcoin", "Cash", "Cheque", "Credit Card", "Reinvestment", "Wire")
+_CURRENCIES = ("Australian Dollar", "Bitcoin", "Brazil Real", "Canadian Dollar", "Euro", "Mexican Peso", "Ruble", "Rupee", "Saudi Riyal", "Shekel", "Swiss Franc", "UK Pound", "US Dollar", "Yen", "Yuan")
+_FULL = _OPP + _GAPS[len(_TX) :] + f""",
+ef AS (SELECT row_id, {_FEAT}, {", ".join(f"(fmt = '{v}')::BIGINT AS \"pf_{v}\"" for v in _FORMATS)}, {", ".join(f"(cur_rec = '{v}')::BIGINT AS \"rc_{v}\"" for v in _CURRENCIES)} FROM gp),
+rt AS (SELECT row_id, {", ".join(f'{x} AS "{k}"' for k, x in _THEORY.items())} FROM sc),
+full_f AS (SELECT * FROM ef JOIN rt USING (row_id))"""
+_STD = ", ".join(f'round(coalesce({_z(x.removeprefix("round(").removesuffix(", 6)"))}, 0), 6) AS "{k}"' for k, x in _THEORY.items())
+_add("edge_features_standardised", _OPP, f"SELECT row_id, {_STD} FROM sc")
+_GRAPH = _OPP + _GAPS[len(_TX) :] + _NODES[len(_TX) :] + f""",
+zs AS (SELECT row_id, {_STD} FROM sc), ef AS (SELECT row_id, {_FEAT}, {_FMT}, {_CUR} FROM gp),
+et AS (SELECT fmt, row_number() OVER (ORDER BY f) - 1 AS event_type FROM (SELECT fmt, min((ts, row_id)) AS f FROM tx GROUP BY fmt))"""
+_ALL = "SELECT row_id AS edge_id, a.node_id AS src, b.node_id AS dst, t AS ts, label::BIGINT AS label, ef.* EXCLUDE (row_id), zs.* EXCLUDE (row_id){more} FROM tx JOIN ids a ON tx.src = a.acct JOIN ids b ON tx.dst = b.acct JOIN ef USING (row_id) JOIN zs USING (row_id)"
+_add("static_edge_table_theory", _GRAPH, _ALL.format(more=""))
+_add("event_stream_table_theory", _GRAPH, _ALL.format(more=", event_type") + " JOIN et USING (fmt)")
+_add("degree_histogram", _TX + ", dg AS (SELECT e.acct, count(src) AS d FROM (SELECT DISTINCT acct FROM ends) e LEFT JOIN tx ON e.acct = tx.src GROUP BY e.acct), hs AS (SELECT d, min(d) OVER () AS lo, max(d) OVER () AS hi, (max(d) OVER () - min(d) OVER ()) / 50.0::DOUBLE AS w FROM dg)",
+     'SELECT b::BIGINT AS "bin", round(lo + b * w, 6) AS low, count(*) AS n FROM (SELECT *, CASE WHEN hi = lo THEN 0 ELSE least(floor((d - lo) / w), 49) END AS b FROM hs) GROUP BY b, lo, w')
+_add("amounts_describe", _TX + ", f AS (SELECT unnest(['amt_paid', 'amt_rec']) AS \"column\", unnest([amt_paid, amt_rec]) AS v FROM tx)",
+     'SELECT "column", count(v) AS n, round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS std, round(min(v), 6) AS min, round(quantile_cont(v, 0.25), 6) AS q25, round(quantile_cont(v, 0.5), 6) AS q50, round(quantile_cont(v, 0.75), 6) AS q75, round(max(v), 6) AS max FROM f GROUP BY 1')
+_add("format_frequencies", _TX, "SELECT fmt AS value, count(*) AS n FROM tx GROUP BY 1")
+_add("temporal_neighbors_uniform", _ADJ + """,
+pr AS (SELECT DISTINCT src AS node, t FROM tx),
+ev AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY t, edge_id, nbr) AS pos FROM adj),
+cn AS (SELECT pr.node, pr.t, count(*) AS n FROM pr JOIN adj ON pr.node = adj.node AND adj.t < pr.t GROUP BY 1, 2),
+dr AS (SELECT node, t, draw, (node * 7919 + t * 31 + draw * 104729) % n + 1 AS pos FROM cn, (VALUES (1), (2), (3)) v(draw))""",
+     "SELECT dr.node, dr.t, row_number() OVER (PARTITION BY dr.node, dr.t ORDER BY pos, draw) AS rank, nbr, edge_id, ev.t AS nbr_t FROM dr JOIN ev USING (node, pos)")
+_add("unseen_node_sample", _TX + ", an AS (SELECT DISTINCT acct FROM (SELECT src AS acct, t FROM tx UNION ALL SELECT dst, t FROM tx) WHERE t > (SELECT avg(t) FROM tx))",
+     "SELECT acct FROM (SELECT acct, row_number() OVER (ORDER BY (acct * 7919 + ((acct * 31) % 997) * 1009) % 1000003, acct) AS r FROM an) WHERE r <= floor(0.1::DOUBLE * (SELECT count(DISTINCT acct) FROM ends))")
+_LEFT_OUT = {
+    "no_struct": "RAT_src_out_deg_norm RAT_dst_in_deg_norm",
+    "no_temp": "hour_of_day day_of_week is_weekend ts_normalized log_time_since_src log_time_since_dst RAT_is_off_hours RAT_is_weekend",
+    "no_amount": "log_amt_rec log_amt_paid RAT_src_amount_z_pos RAT_dst_amount_z_pos",
+    "no_burst_pattern": "RAT_src_burst_norm RAT_dst_burst_norm RAT_combined_burst RAT_src_pattern_flag RAT_dst_pattern_flag RAT_mutual_flag",
+    "no_entity": "RAT_same_entity RAT_src_entity_accounts RAT_dst_entity_accounts RAT_src_entity_acct_norm RAT_dst_entity_acct_norm",
+    "no_rat_scores": "RAT_offender_score RAT_target_score RAT_guardian_weakness_score RAT_score",
+    "no_motif": "motif_fanin motif_fanout motif_chain motif_cycle",
+    "no_crossbank": "RAT_is_cross_bank",
+}
+for _group, _gone in _LEFT_OUT.items():
+    _add(f"ablation_{_group}", _FULL, f"SELECT * EXCLUDE ({', '.join(_gone.split())}) FROM full_f")
+_add("ablation_top20", _FULL, """SELECT row_id, "pf_ACH", "pf_Cheque", log_amt_paid, log_amt_rec, "pf_Credit Card", motif_cycle, "RAT_combined_burst", ts_normalized, "RAT_src_burst_norm", "RAT_dst_in_deg_norm", "RAT_target_score", motif_fanout, motif_fanin, "RAT_dst_burst_norm",
+"RAT_src_out_deg_norm", "RAT_score", motif_chain, "RAT_offender_score", "RAT_dst_entity_acct_norm", "RAT_guardian_weakness_score" FROM full_f""")
 _add("strain_account", _STRAIN, """SELECT acct, round(tot_out, 4) AS "TotalOut", round(tot_in, 4) AS "TotalIn", od AS "OutDegree", id AS "InDegree", round(nf * least(7.0::DOUBLE / d, 1), 4) AS "NetFlow_7d", round(nf * least(30.0::DOUBLE / d, 1), 4) AS "NetFlow_30d", round(nf * least(90.0::DOUBLE / d, 1), 4) AS "NetFlow_90d", round(ratio, 4) AS "OutInRatio_30d", round(vol, 6) AS "IncomingVolatility_30d", round(central, 6) AS "NetworkCentrality", round(chronic, 6) AS "ChronicStrainScore" FROM a3""")
 _add("strain_liquidity_shocks", _STRAIN, 'SELECT src AS acct, count(*) FILTER (amt_paid > lim) AS "LiquidityShockCount_30d" FROM tx JOIN og ON tx.src = og.acct GROUP BY src')
 _CONC = "(SELECT src AS acct, CASE WHEN sum(s) > 0 THEN max(s) / sum(s) ELSE 0 END AS {n} FROM (SELECT src, sum(amt_paid) AS s FROM tx GROUP BY src, {k}) GROUP BY src)"
@@ -167,6 +213,7 @@ _add("temporal_neighbors_padded", _NB + ", ls AS (SELECT node, t, list(edge_id O
 _add("interevent_stats", _TX, "SELECT round(avg(s), 2) AS mean_src, round(stddev_pop(s), 2) AS std_src, round(avg(d), 2) AS mean_dst, round(stddev_pop(d), 2) AS std_dst FROM (SELECT t - coalesce(lag(t) OVER (PARTITION BY src ORDER BY ts, row_id), 0) AS s, t - coalesce(lag(t) OVER (PARTITION BY dst ORDER BY ts, row_id), 0) AS d FROM tx)")
 _add("inductive_new_node_edges", _TX + ", seen AS (SELECT src AS n FROM tx WHERE row_id % 97 = 0 UNION SELECT dst FROM tx WHERE row_id % 97 = 0)", "SELECT row_id, 'val' AS split, (src NOT IN (SELECT n FROM seen) OR dst NOT IN (SELECT n FROM seen))::BIGINT AS touches_new FROM tx WHERE row_id % 97 <> 0")
 _add("negative_samples", _TX + ", ds AS (SELECT dst AS acct, row_number() OVER (ORDER BY dst) - 1 AS idx, count(*) OVER () AS n FROM (SELECT DISTINCT dst FROM tx))", "SELECT row_id, acct AS neg_dst FROM tx JOIN ds ON idx = (row_id * 48271 + 7 * 7919) % n")
+_sig = lambda x: f"(1 / (1 + exp(-({x}))))"
 _MSG = _TX + ", ms AS (SELECT src AS node, row_id AS seq, t, amt_paid AS m0, amt_rec AS m1, hour(ts) / 24.0::DOUBLE AS m2 FROM tx UNION ALL SELECT dst, row_id, t, amt_paid, amt_rec, hour(ts) / 24.0::DOUBLE FROM tx)"
 _add("message_last", _MSG, "SELECT node, t, round(m0, 6) AS m0, round(m1, 6) AS m1, round(m2, 6) AS m2 FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY t DESC, seq DESC) AS r FROM ms) WHERE r = 1")
 _add("message_mean", _MSG, "SELECT node, max(t) AS t, round(avg(m0), 6) AS m0, round(avg(m1), 6) AS m1, round(avg(m2), 6) AS m2 FROM ms GROUP BY node")
@@ -189,3 +236,11 @@ _add("feature_correlation", _TX + ", f AS (SELECT amt_paid, amt_rec, hour(ts) AS
 _add("pos_weight", _PRED, "SELECT round(least((count(*) - sum(label)) / greatest(sum(label), 1)::DOUBLE, 100), 6) AS pos_weight FROM pred")
 _add("injection_checks", _TX, "SELECT 'x' AS \"check\", 0::BIGINT AS n WHERE false")
 _add("edge_checks", _TX, "SELECT 'dangling' AS \"check\", count(*) AS n FROM ends WHERE acct NOT IN (SELECT src FROM tx) HAVING count(*) > 0")
+
+_add("neighbor_max_aggregate", _TX + ", oc AS (SELECT e.acct, count(src) AS x FROM (SELECT DISTINCT acct FROM ends) e LEFT JOIN tx ON e.acct = tx.src GROUP BY e.acct)", "SELECT oc.acct AS node_id, coalesce(m, 0)::DOUBLE AS max_x FROM oc LEFT JOIN (SELECT dst, max(x) AS m FROM tx JOIN oc ON tx.src = oc.acct GROUP BY dst) a ON oc.acct = a.dst")
+_add("memory_gru_update", _MSG + """,
+lm AS (SELECT node, arg_max(m2, (t, seq)) AS x, max(t) AS t FROM ms GROUP BY node),
+mm AS (SELECT src AS node, count(*) / 100.0::DOUBLE AS h FROM tx GROUP BY src),
+bh AS (SELECT lm.node, x, t, coalesce(h, 0) AS h FROM lm LEFT JOIN mm USING (node)),
+gt AS (SELECT *, """ + _sig("0.5 * x + 0.1 + 0.3 * h") + " AS r, " + _sig("-0.4 * x + 0.2 * h - 0.1") + " AS z FROM bh)",
+     "SELECT node, round((1 - z) * tanh(0.9 * x + 0.2 + r * (-0.7 * h + 0.3)) + z * h, 6) AS memory, t AS last_update FROM gt")

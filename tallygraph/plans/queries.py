@@ -32,7 +32,7 @@ def query(f):
 def r6(df: DataFrame) -> DataFrame:
     """Doubles to six places, whole numbers to bigint."""
     kind = {"double": lambda c: F.round(c, 6), "float": lambda c: F.round(F.col(c).cast("double"), 6), "int": lambda c: F.col(c).cast("bigint")}
-    return df.select(*[kind[t](c).alias(c) if t in kind else F.col(c) for c, t in df.dtypes])
+    return df.select(*[kind[t](f"`{c}`").alias(c) if t in kind else F.col(f"`{c}`") for c, t in df.dtypes])
 
 
 def _tx(spark: SparkSession, d: str) -> DataFrame:
@@ -188,8 +188,39 @@ def edge_features_coded(spark, d):
 
 @query
 def edge_features_standardised(spark, d):
-    theory = _opp(spark, d).select("row_id", "RAT_src_out_deg_norm", "RAT_combined_burst", "motif_cycle")
-    return r6(X.standardise(theory, theory.columns[1:]))
+    theory = _opp(spark, d)
+    cols = G.theory_columns(theory)
+    return r6(X.standardise(theory.select("row_id", *cols), cols))
+
+
+def _graph_features(spark: SparkSession, d: str) -> DataFrame:
+    edges = G.edge_features(_tx(spark, d), formats=EVENT_TYPES, currencies=["0", "1", "2", "3"])
+    return G.theory_edges(edges, _opp(spark, d))
+
+
+@query
+def static_edge_table_theory(spark, d):
+    return r6(G.edge_table(_tx(spark, d), _graph_features(spark, d)))
+
+
+@query
+def event_stream_table_theory(spark, d):
+    return r6(G.event_table(_tx(spark, d), _graph_features(spark, d)))
+
+
+@query
+def degree_histogram(spark, d):
+    return r6(G.degree_histogram(_tx(spark, d)))
+
+
+@query
+def amounts_describe(spark, d):
+    return r6(M.describe(_tx(spark, d), ["amt_paid", "amt_rec"]))
+
+
+@query
+def format_frequencies(spark, d):
+    return r6(M.frequencies(_tx(spark, d), "fmt"))
 
 
 @query
@@ -290,14 +321,22 @@ def balanced_sample(spark, d):
 
 
 
-@query
-def ablation_no_temp(spark, d):
-    return r6(P.ablate(_opp(spark, d), "no_temp").select("row_id", "RAT_is_cross_bank", "RAT_mutual_flag", "motif_cycle"))
+def _full(spark: SparkSession, d: str) -> DataFrame:
+    values = lambda prefix: [c.removeprefix(prefix) for c in P.FULL_FEATURES if c.startswith(prefix)]
+    return P.full_features(G.edge_features(_tx(spark, d), formats=values("pf_"), currencies=values("rc_")), _opp(spark, d))
+
+
+def _ablation(group: str):
+    QUERIES[f"ablation_{group}"] = lambda spark, d: r6(P.ablate(_full(spark, d), group))
+
+
+for _group in P.ABLATION_GROUPS:
+    _ablation(_group)
 
 
 @query
 def ablation_top20(spark, d):
-    return r6(P.keep_columns(_opp(spark, d), ["motif_chain", "RAT_score", "RAT_is_weekend"]))
+    return r6(P.keep_columns(_full(spark, d), P.TOP20_FEATURES))
 
 
 @query
@@ -339,6 +378,18 @@ def temporal_neighbors_k(spark, d):
     return r6(T.neighbours(tx, tx.filter("row_id % 50 = 0").select(F.col("src").alias("node"), X.epoch(F.col("ts")).alias("t")), 3))
 
 
+@query
+def temporal_neighbors_uniform(spark, d):
+    tx = _tx(spark, d)
+    return r6(T.uniform_neighbours(tx, tx.select(F.col("src").alias("node"), X.epoch(F.col("ts")).alias("t")), 3))
+
+
+@query
+def unseen_node_sample(spark, d):
+    tx = _tx(spark, d)
+    return r6(T.unseen_nodes(tx, tx.agg(F.avg(X.epoch(F.col("ts")))).first()[0]))
+
+
 @query
 def temporal_neighbors_padded(spark, d):
     tx = _tx(spark, d)
@@ -389,6 +440,23 @@ def neighbor_mean_aggregate(spark, d):
     return r6(S.mean_neighbours(edges, nodes, ["x"]))
 
 
+@query
+def neighbor_max_aggregate(spark, d):
+    tx = _tx(spark, d)
+    nodes = A.degree_stats(tx).select(F.col("acct").alias("node_id"), F.col("out_count").cast("double").alias("x"))
+    return r6(S.neighbour_aggregate(tx.select("src", "dst"), nodes, ["x"], "max"))
+
+
+@query
+def memory_gru_update(spark, d):
+    """One gated update of one-number memories by each node's last message."""
+    tx = _tx(spark, d)
+    msgs = T.last_message(T.messages(tx)).select("node", F.array(F.col("msg")[2]).alias("msg"), "t")
+    memory = A.degree_stats(tx).filter("out_count > 0").select(F.col("acct").alias("node"), F.array(F.col("out_count") / 100.0).alias("memory"), F.lit(0).cast("long").alias("last_update"))
+    weights = {"w_in": np.array([[0.5, -0.4, 0.9]]), "w_hid": np.array([[0.3, 0.2, -0.7]]), "b_in": np.array([0.1, 0.0, 0.2]), "b_hid": np.array([0.0, -0.1, 0.3])}
+    return r6(S.update_memory(memory, msgs, weights).select("node", F.col("memory")[0].alias("memory"), "last_update"))
+
+
 def _pred(spark, d):
     return X0.predictions(spark, d)
 

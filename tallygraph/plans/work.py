@@ -4,18 +4,20 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Used only where the session names no spark.checkpoint.dir (tests, local runs).
+#: Used only in local mode, where driver and executors are one process, if the session names no spark.checkpoint.dir.
 LOCAL_WORK_DIR = "/tmp/checkpoints"
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back."""
     spark = df.sparkSession
-    base = (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_WORK_DIR).rstrip("/")
-    path = f"{base}/{name}-{uuid.uuid4().hex}"
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    path = f"{(named or LOCAL_WORK_DIR).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -46,3 +48,27 @@ def running_totals(df: DataFrame, order: str, values: list[str]) -> DataFrame:
     within = Window.partitionBy("_part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.join(F.broadcast(starts), "_part")
     return rows.select(*df.columns, *[(F.col(f"_s_{v}") + F.coalesce(F.sum(v).over(within), F.lit(0))).alias(f"below_{v}") for v in values])
+
+
+def quantiles_by(rows: DataFrame, by: str, value: str, shares: list[float]) -> DataFrame:
+    """by, share, quantile: exact quantiles of each group's values that are not null, interpolated between the two ranks
+    around each share. Equal values are counted before the shuffle, and no task holds more than a range part of a group."""
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(by, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
+    parts = ranged(counts, by, "_v")
+    sums = parts.groupBy("_part", by).agg(F.sum("_n").alias("_s"))
+    group = Window.partitionBy(by)
+    starts = sums.select("_part", by, F.coalesce(F.sum("_s").over(group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"), F.sum("_s").over(group).alias("_total"))
+    within = Window.partitionBy("_part", by).orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    placed = parts.withColumn("_below", F.coalesce(F.sum("_n").over(within), F.lit(0))).join(starts, ["_part", by])
+    placed = placed.withColumn("_below", F.col("_below") + F.col("_start")).withColumn("share", F.explode(F.array(*[F.lit(float(q)) for q in shares])))
+    at = F.col("share") * (F.col("_total") - 1)
+    holds = lambda rank: (rank >= F.col("_below")) & (rank < F.col("_below") + F.col("_n"))
+    ends = placed.filter(holds(F.floor(at)) | holds(F.ceil(at))).groupBy(by, "share").agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.max(at - F.floor(at)).alias("_f"))
+    return ends.select(by, "share", F.when(F.col("_lo") == F.col("_hi"), F.col("_lo")).otherwise(F.col("_lo") * (1 - F.col("_f")) + F.col("_hi") * F.col("_f")).alias("quantile"))
+
+
+def quantile_row(df: DataFrame, wanted: dict[str, tuple[Column, float]]) -> DataFrame:
+    """One row with the named exact quantiles of df's columns; null where there is no value."""
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(k).alias("_name"), c.cast("double").alias("_value")) for k, (c, _) in wanted.items()])).alias("_r")).select("_r.*")
+    found = quantiles_by(long, "_name", "_value", sorted({q for _, q in wanted.values()}))
+    return found.agg(*[F.max(F.when((F.col("_name") == k) & (F.col("share") == q), F.col("quantile"))).alias(k) for k, (_, q) in wanted.items()])

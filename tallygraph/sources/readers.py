@@ -29,6 +29,13 @@ def type_transfers(raw: DataFrame, time_format: str = TIME_FORMAT, strict: bool
     )
 
 
+def with_timestamps(tx: DataFrame) -> DataFrame:
+    """tx as it is if it has a ts column; else with ts one minute a row_id from 1970 on."""
+    if "ts" in tx.columns:
+        return tx
+    return tx.withColumn("ts", F.timestamp_seconds(F.col("row_id") * 60).cast("timestamp_ntz"))
+
+
 def read_accounts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(ACCOUNT_FILE).option("header", True).csv(path)
 
@@ -44,10 +51,10 @@ def read_patterns(spark: SparkSession, path: str) -> DataFrame:
 
 
 def cached_parquet(spark: SparkSession, path: str, build) -> DataFrame:
-    """The table at path; built, written with zstd and read back if it isn't there."""
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    """The table at path; built, written with zstd and read back if it isn't there or was not written to its end."""
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/_SUCCESS")
     if not jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path):
-        build().write.option("compression", "zstd").parquet(path)
+        build().write.mode("overwrite").option("compression", "zstd").parquet(path)
     return spark.read.parquet(path)
 
 

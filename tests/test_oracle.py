@@ -24,11 +24,11 @@ def norm(v):
 
 
 @pytest.mark.skipif(not os.path.isdir(TABLES), reason="no driver tables")
-@pytest.mark.parametrize("name", ["guardian_ranking", "opportunity_score", "edge_features_baseline", "static_edge_table", "split_stratified", "strain_account", "temporal_neighbors_k", "metric_ranking", "intensity_labels", "metric_best_threshold"])
+@pytest.mark.parametrize("name", ["guardian_ranking", "opportunity_score", "edge_features_baseline", "static_edge_table", "split_stratified", "strain_account", "temporal_neighbors_k", "metric_ranking", "intensity_labels", "metric_best_threshold", "ablation_no_temp", "ablation_top20", "static_edge_table_theory", "event_stream_table_theory", "degree_histogram", "amounts_describe", "temporal_neighbors_uniform", "unseen_node_sample", "neighbor_max_aggregate", "memory_gru_update"])
 def test_same_rows(spark, duck, name):
     df = catalog.QUERIES[name](spark, TABLES)
     cols = sorted(df.columns)
-    got = sorted((tuple(norm(v) for v in r) for r in df.select(*cols).collect()), key=repr)
+    got = sorted((tuple(norm(v) for v in r) for r in df.select(*[f"`{c}`" for c in cols]).collect()), key=repr)
     rows = duck.execute(catalog.ORACLE[name])
     at = [[d[0] for d in rows.description].index(c) for c in cols]
     assert got == sorted((tuple(norm(r[i]) for i in at) for r in rows.fetchall()), key=repr)

@@ -8,8 +8,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallygraph.operators import checks, metrics, scoring, splits, temporal
+from tallygraph.operators import checks, graph, metrics, scoring, splits, temporal
+from tallygraph.plans import work
 from tallygraph.plans.work import global_index, running_totals
+from tallygraph.sources import readers
 from tallygraph.streaming import state
 
 
@@ -179,11 +181,88 @@ def test_stream_gaps_equal_batch_gaps(spark, tmp_path):
 
 
 def test_ablations(spark):
-    df = spark.createDataFrame([(1, 0, 1, 0.5)], "row_id long, RAT_is_off_hours int, RAT_is_weekend int, x double")
-    assert splits.ablate(df, "no_temp").columns == ["row_id", "x"]
+    df = spark.range(1).select(F.col("id").alias("row_id"), *[F.lit(k).alias(c) for k, c in enumerate(splits.FULL_FEATURES)])
+    assert len(splits.FULL_FEATURES) == 58 and len(splits.TOP20_FEATURES) == 20
+    for group, gone in splits.ABLATION_GROUPS.items():
+        assert set(gone) < set(splits.FULL_FEATURES)
+        assert splits.ablate(df, group).columns == ["row_id", *[c for c in splits.FULL_FEATURES if c not in gone]]
+    assert splits.keep_columns(df, splits.TOP20_FEATURES).columns == ["row_id", *splits.TOP20_FEATURES]
     with pytest.raises(ValueError):
-        splits.ablate(df, "no_motif")
-    assert splits.keep_columns(df, ["x"]).columns == ["row_id", "x"]
+        splits.ablate(df.drop("hour_of_day"), "no_temp")
+    with pytest.raises(ValueError):
+        splits.keep_columns(df, ["x"])
+
+
+def test_quantiles_by_rank(spark):
+    rng = np.random.default_rng(4)
+    values = np.concatenate([rng.integers(0, 9, 300), rng.normal(0, 1, 200)]).astype(float)
+    rows = [("a" if k % 3 else "hub", float(v) if k % 50 else None) for k, v in enumerate(values)] + [("one", 4.0), ("none", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = {(r["g"], r["share"]): r["quantile"] for r in work.quantiles_by(df, "g", "v", [0.0, 0.37, 0.95, 1.0]).collect()}
+    for g in ("a", "hub", "one"):
+        mine = [v for k, v in rows if k == g and v is not None]
+        for q in (0.0, 0.37, 0.95, 1.0):
+            assert got[g, q] == pytest.approx(np.quantile(mine, q))
+    assert ("none", 0.37) not in got
+    row = work.quantile_row(df, {"x": (F.col("v"), 0.5), "y": (-F.col("v"), 0.9)}).first()
+    every = [v for _, v in rows if v is not None]
+    assert (row["x"], row["y"]) == (pytest.approx(np.quantile(every, 0.5)), pytest.approx(np.quantile([-v for v in every], 0.9)))
+    assert work.quantile_row(df.limit(0), {"x": (F.col("v"), 0.5)}).first()["x"] is None
+
+
+def test_early_stop_follows_the_rule(spark):
+    def brute(values, rounds, higher):
+        best, at, waited = None, 0, 0
+        for k, v in enumerate(values):
+            v = v if higher else -v
+            if best is None or (v - best) / abs(best) > 1e-10:
+                best, at, waited = v, k, 0
+            else:
+                waited += 1
+            if waited >= rounds:
+                return at, k
+        return at, None
+
+    rng = random.Random(3)
+    for higher in (True, False):
+        for _ in range(4):
+            values = [round(rng.uniform(0.1, 1), 2) for _ in range(rng.randint(1, 14))]
+            log = spark.createDataFrame(list(enumerate(values)), "epoch long, v double")
+            r = metrics.early_stop(log, "v", 3, higher).first()
+            assert (r["best_epoch"], r["stop_epoch"]) == brute(values, 3, higher)
+
+
+def test_memory_cells(spark):
+    rng = np.random.default_rng(2)
+    w = {"w_in": rng.normal(size=(2, 9)), "w_hid": rng.normal(size=(3, 9)), "b_in": rng.normal(size=9), "b_hid": rng.normal(size=9)}
+    x, h = rng.normal(size=2), rng.normal(size=3)
+    memory = spark.createDataFrame([(1, h.tolist(), 5), (2, h.tolist(), 6)], "node long, memory array<double>, last_update long")
+    msgs = spark.createDataFrame([(1, x.tolist(), 7), (3, x.tolist(), 8)], "node long, msg array<double>, t long")
+    got = {r["node"]: (r["memory"], r["last_update"]) for r in scoring.update_memory(memory, msgs, w).collect()}
+
+    def gru(h):
+        s = lambda v: 1 / (1 + np.exp(-v))
+        a, b = x @ w["w_in"] + w["b_in"], h @ w["w_hid"] + w["b_hid"]
+        r, z = s(a[:3] + b[:3]), s(a[3:6] + b[3:6])
+        return (1 - z) * np.tanh(a[6:] + r * b[6:]) + z * h
+
+    assert got[1] == (pytest.approx(gru(h)), 7) and got[2] == (pytest.approx(h), 6) and got[3] == (pytest.approx(gru(np.zeros(3))), 8)
+    rnn = {"w_in": w["w_in"][:, :3], "w_hid": w["w_hid"][:, :3], "b_in": w["b_in"][:3], "b_hid": w["b_hid"][:3]}
+    got = {r["node"]: r["memory"] for r in scoring.update_memory(memory, msgs, rnn, "rnn").collect()}
+    assert got[1] == pytest.approx(np.tanh(x @ rnn["w_in"] + rnn["b_in"] + h @ rnn["w_hid"] + rnn["b_hid"]))
+    with pytest.raises(Exception, match="before the last update"):
+        scoring.update_memory(memory, msgs.withColumn("t", F.lit(1).cast("long")), w).collect()
+
+
+def test_reindex_and_timestamps(spark):
+    df = spark.createDataFrame([(0, 0, 0), (1, 1, 1), (1, 0, 2)], "u long, i long, idx long")
+    assert sorted(map(tuple, graph.reindex(df).collect())) == [(1, 3, 1), (2, 3, 3), (2, 4, 2)]
+    assert sorted(map(tuple, graph.reindex(df, bipartite=False).collect())) == [(1, 1, 1), (2, 1, 3), (2, 2, 2)]
+    with pytest.raises(ValueError):
+        graph.reindex(df.withColumn("i", F.col("i") * 3))
+    tx = readers.with_timestamps(spark.range(3).withColumnRenamed("id", "row_id"))
+    assert [r["ts"] for r in tx.orderBy("row_id").collect()] == [at(0), at(60), at(120)]
+    assert readers.with_timestamps(tx) is tx
 
 
 def test_samples(spark):
