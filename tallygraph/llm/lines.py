@@ -79,9 +79,9 @@ def edit_within(a: Column, b: Column, threshold: int, allowed: Column | None = N
 
 
 #: Letters whose counts (modulo 8) sift what meets; any letters do, frequent ones sift best.
-SKETCH_LETTERS = "entaiorshdlucmp"
+SKETCH_LETTERS = "entaiors"
 #: Counted too once only lines that met something are left.
-MORE_LETTERS = "fgbywvkxzjq,.é0"
+MORE_LETTERS = "hdlucmpfgbywvkx"
 #: Four bits for each count, of which two counts' differ in as many as the counts do, going round at 8.
 _ROUND = sum(code << 4 * k for k, code in enumerate((0b0000, 0b0001, 0b0011, 0b0111, 0b1111, 0b1110, 0b1100, 0b1000)))
 _COUNTS = (1 << 60) - 1
