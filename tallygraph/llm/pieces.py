@@ -32,8 +32,8 @@ MARK = "▁"
 _UNIT = re.compile(f"[{MARK}\n]| *[^ {MARK}\n]+| +")
 #: Units of at most so many characters are cut many at once.
 _SHORT = 40
-#: Distinct units that a task remembers.
-_CACHE = 400_000
+#: Distinct units that a task remembers, and those of them with all their cuts.
+_CACHE, _LISTS = 150_000, 20_000
 _K = np.uint64(0x9E3779B97F4A7C15)
 _WORST = -1e18
 
@@ -268,6 +268,8 @@ class Encoder:
         split = [_UNIT.findall(" " + t) if t else [] for t in texts]
         if len(self.at) > _CACHE:
             self._clear()
+        if len(self.lists) > _LISTS:
+            self.lists.clear()
         new = list(dict.fromkeys(u for units in split for u in units if u not in self.at))
         if new:
             self._learn(new)
@@ -300,8 +302,9 @@ def _id_lists(cuts: list[list[np.ndarray]]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, cuts)]), pa.int32()), inner)
 
 
-def encode_documents(docs: DataFrame, model_path: str = MODEL_PATH, n: int = N_BEST) -> DataFrame:
-    """doc_id, ids, n_tokens, nbest_scores, nbest_ids for each row of documents(doc_id, text).
+def encode_documents(docs: DataFrame, model_path: str = MODEL_PATH, n: int = N_BEST, decoded: bool = False) -> DataFrame:
+    """doc_id, ids, n_tokens, nbest_scores, nbest_ids for each row of documents(doc_id, text); with ``decoded`` also that
+    column, as decode_documents gives it, in the same pass.
 
     ids are those of the best cut; nbest_scores and nbest_ids hold the scores and ids of the ``n`` best cuts, best
     first (fewer where the lattice has fewer paths). A null or empty text has no ids and the one score 0. Characters
@@ -312,13 +315,18 @@ def encode_documents(docs: DataFrame, model_path: str = MODEL_PATH, n: int = N_B
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Encoder(v, n)
-        for batch in text_slices(batches, limit=1 << 21):
+        for batch in text_slices(batches):
             ids, off, scores, others = coder.encode(batch.column("text").to_pylist())
             lists = pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(ids, pa.int32()))
             every = _id_lists([[ids[off[k] : off[k + 1]], *o] for k, o in enumerate(others)])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists, pa.array(np.diff(off)), pa.array(scores, pa.list_(pa.float64())), every], ["doc_id", "ids", "n_tokens", "nbest_scores", "nbest_ids"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(encode, "doc_id long, ids array<int>, n_tokens long, nbest_scores array<double>, nbest_ids array<array<int>>")
+            cols, names = [batch.column("doc_id"), lists, pa.array(np.diff(off)), pa.array(scores, pa.list_(pa.float64())), every], ["doc_id", "ids", "n_tokens", "nbest_scores", "nbest_ids"]
+            if decoded:
+                cols.append(pa.array([decode(ids[a:b].tolist(), v) for a, b in zip(off[:-1], off[1:])], pa.string()))
+                names.append("decoded")
+            yield pa.RecordBatch.from_arrays(cols, names)
+
+    schema = "doc_id long, ids array<int>, n_tokens long, nbest_scores array<double>, nbest_ids array<array<int>>" + ", decoded string" * decoded
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(encode, schema)
 
 
 def decode_documents(encoded: DataFrame, ids: str = "ids", model_path: str = MODEL_PATH) -> DataFrame:

@@ -650,6 +650,7 @@ def test_every_cut_has_its_ids_and_decodes(spark, docs, hard, vocabulary):
                 assert known + odd * vocabulary.unknown == pytest.approx(score)
     back = collect(pieces.decode_documents(encoded))
     assert {i: r["decoded"] for i, r in back.items()} == {i: r["text"] or "" for i, r in texts.items()}
+    assert collect(pieces.encode_documents(rows, decoded=True)) == back
     assert {len(r["nbest_sha256"]) - len(r["nbest_scores"]) for r in pieces.encode_and_verify(rows).collect()} == {0}
 
 
