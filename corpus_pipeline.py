@@ -33,7 +33,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, ids, n_tokens, nbest_scores and nbest_ids of every document that is left, and the text decoded from ids."""
-    return pieces.decode_documents(pieces.encode_documents(docs))
+    return pieces.encode_documents(docs, decoded=True)
 
 
 STAGES = [("language_id", identify), ("line_dedup", dedup_lines), ("ngram_jaccard", drop_near_duplicates), ("decontaminate", drop_contaminated), ("sentencepiece", encode)]
