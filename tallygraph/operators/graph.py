@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import exprs as X
 from ..plans.work import global_index, materialize
@@ -112,12 +113,54 @@ def mode_entity_name(tx: DataFrame, names: DataFrame) -> DataFrame:
     return A.endpoints(tx).join(found, "acct", "left").select("acct", F.coalesce("name", F.lit("Unknown")).alias("name"))
 
 
-def graph_stats(tx: DataFrame) -> DataFrame:
+def first_known_name(tx: DataFrame, src_names: DataFrame, dst_names: DataFrame) -> DataFrame:
+    """acct, name: an account's most frequent name as a sender, else as a receiver, else Unknown. Names: (acct, name)."""
+    mode = lambda names, to: names.groupBy("acct").agg(F.mode("name", True).alias(to))
+    rows = A.endpoints(tx).select("acct").join(mode(src_names, "s"), "acct", "left").join(mode(dst_names, "d"), "acct", "left")
+    return rows.select("acct", F.coalesce("s", "d", F.lit("Unknown")).alias("name"))
+
+
+def theory_type(columns: list[str]) -> tuple[str, tuple[str, ...]]:
+    """Which theory's columns a table carries, with the prefixes of its features; an error for a table without any."""
+    for prefix in ("RAT_", "SLT_", "STRAIN_"):
+        if any(c.startswith(prefix) for c in columns):
+            return f"{prefix[:-1]}-injected", (prefix, "motif_")
+    raise ValueError("no theory columns")
+
+
+def numeric_columns(df: DataFrame) -> list[str]:
+    return [f.name for f in df.schema if isinstance(f.dataType, T.NumericType)]
+
+
+def engineered(df: DataFrame) -> DataFrame:
+    """df with those of log_amt_rec, log_amt_paid, same_bank, same_currency, hour_of_day, day_of_week (0: Monday),
+    is_weekend and ts_normalized (0 to 1) whose source columns it has. A null equals nothing; one time for all gives null."""
+    has = lambda *cs: set(cs) <= set(df.columns)
+    equal = lambda a, b: F.coalesce(F.col(a) == F.col(b), F.lit(False)).cast("int")
+    new = {f"log_{c}": F.log1p(c) for c in ("amt_rec", "amt_paid") if has(c)}
+    new |= {name: equal(*pair) for name, pair in {"same_bank": ("from_bank", "to_bank"), "same_currency": ("cur_rec", "cur_paid")}.items() if has(*pair)}
+    if has("RAT_is_weekend"):
+        new["is_weekend"] = F.col("RAT_is_weekend")
+    if not has("ts"):
+        return df.withColumns(new)
+    new |= {"hour_of_day": F.hour("ts"), "day_of_week": F.weekday("ts")}
+    t = X.epoch(F.col("ts"))
+    ends = df.agg(F.min(t).alias("_t_low"), F.max(t).alias("_t_high"))
+    new["ts_normalized"] = F.try_divide(t - F.col("_t_low"), F.col("_t_high") - F.col("_t_low"))
+    return df.crossJoin(F.broadcast(ends)).withColumns(new).drop("_t_low", "_t_high")
+
+
+def graph_stats(tx: DataFrame, accounts: DataFrame | None = None) -> DataFrame:
+    """One row about the graph of tx; isolated: accounts(acct) without any transfer, 0 if no accounts are given."""
     edges = tx.agg(F.count("*").alias("num_edges"), F.count_if(F.col("src") == F.col("dst")).alias("self_loops"), F.sum("label").alias("laundering_edges"))
     nodes = node_labels(tx).agg(F.count("*").alias("num_nodes"), F.sum("y_node").alias("laundering_nodes"))
     n, e = F.col("num_nodes"), F.col("num_edges")
+    alone = F.lit(0).cast("bigint").alias("isolated")
     rows = edges.crossJoin(nodes)
-    return rows.select("num_nodes", "num_edges", "self_loops", "laundering_edges", "laundering_nodes", F.try_divide(e, n).alias("avg_degree"), F.coalesce(F.try_divide(e, n * (n - 1)), F.lit(0.0)).alias("density"), F.try_divide(100.0 * F.col("laundering_edges"), e).alias("pct_laundering"))
+    if accounts is not None:
+        left = accounts.select("acct").distinct().join(A.endpoints(tx).select("acct"), "acct", "left_anti")
+        rows, alone = rows.crossJoin(left.agg(F.count("*").alias("isolated"))), F.col("isolated")
+    return rows.select("num_nodes", alone, "num_edges", "self_loops", "laundering_edges", "laundering_nodes", F.try_divide(e, n).alias("avg_degree"), F.coalesce(F.try_divide(e, n * (n - 1)), F.lit(0.0)).alias("density"), F.try_divide(100.0 * F.col("laundering_edges"), e).alias("pct_laundering"))
 
 
 def temporal_stats(tx: DataFrame) -> DataFrame:
@@ -133,7 +176,7 @@ def temporal_stats(tx: DataFrame) -> DataFrame:
     rows = rows.join(F.broadcast(before), "_part")
     gap = F.col("t") - F.coalesce(F.lag("t").over(Window.partitionBy("_part").orderBy("row_id")), F.col("_before"))
     rows = rows.withColumn("gap", gap)
-    return rows.agg(F.min("t").alias("ts_min"), F.max("t").alias("ts_max"), ((F.max("t") - F.min("t")) / 86400.0).alias("span_days"), F.min("gap").alias("min_gap"), F.max("gap").alias("max_gap"), F.avg("gap").alias("mean_gap"), F.count_if(F.col("gap") < 0).alias("violations"), F.countDistinct("t").alias("distinct_ts"))
+    return rows.agg(F.min("t").alias("ts_min"), F.max("t").alias("ts_max"), ((F.max("t") - F.min("t")) / 86400.0).alias("span_days"), F.min("gap").alias("min_gap"), F.max("gap").alias("max_gap"), F.avg("gap").alias("mean_gap"), F.count_if(F.col("gap") < 0).alias("violations"), F.countDistinct("t").alias("distinct_ts"), (1 - F.try_divide(F.countDistinct("t"), F.count("t"))).alias("duplicate_ratio"))
 
 
 def feature_stats(features: DataFrame, columns: list[str]) -> DataFrame:

@@ -105,8 +105,8 @@ def intensity_labels(scored: DataFrame, min_positives: int = 10) -> DataFrame:
 
 
 def intensity_drift(labelled: DataFrame, columns: list[str]) -> DataFrame:
-    """Means of score columns of the marked transfers, by intensity."""
-    return labelled.filter("RAT_injected = 1").groupBy("intensity").agg(F.count("*").alias("n"), *[F.avg(c).alias(f"mean_{c}") for c in columns])
+    """Means and sample deviations of score columns of the marked transfers, by intensity."""
+    return labelled.filter("RAT_injected = 1").groupBy("intensity").agg(F.count("*").alias("n"), *[f(c).alias(f"{k}_{c}") for c in columns for k, f in (("mean", F.avg), ("std", F.stddev_samp))])
 
 
 def guardian_ranking(tx: DataFrame, accounts: DataFrame, patterns: DataFrame, k: int = 20) -> DataFrame:

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import exprs as X
+
 
 def neighbour_aggregate(edges: DataFrame, nodes: DataFrame, columns: list[str], how: str = "mean") -> DataFrame:
     """node_id and, for each column, its ``mean`` or ``max`` over the sources of the node's incoming edges (0 without any)."""
@@ -35,6 +37,48 @@ def dense(df: DataFrame, columns: list[str], weights: np.ndarray, bias: np.ndarr
     return df.mapInPandas(run, f"{fields}, `{out}` array<double>")
 
 
+def perceptron(df: DataFrame, columns: list[str], layers: list[tuple[np.ndarray, np.ndarray]], out: str) -> DataFrame:
+    """df with array column ``out``: the columns through dense layers (weights, bias) with ReLU between them. Two layers
+    are a message function; 80, 10 and 1 units a decoder of node memories, whose sigmoid is the probability."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            y = b[columns].to_numpy(float)
+            for k, (w, bias) in enumerate(layers):
+                y = np.maximum(y, 0) @ w + bias if k else y @ w + bias
+            b[out] = list(y)
+            yield b
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    return df.mapInPandas(run, f"{fields}, `{out}` array<double>")
+
+
+def times_on_targets(edges: DataFrame, nodes: DataFrame, dim: int) -> DataFrame:
+    """node_id and e0, e1, ...: sine codes of the days of edges(src, dst, t in seconds), averaged over a node's incoming
+    edges; zeros without any."""
+    codes = X.sinusoid(F.col("t") / 86400.0, dim)
+    agg = edges.groupBy(F.col("dst").alias("node_id")).agg(*[F.avg(codes[k]).alias(f"e{k}") for k in range(dim)])
+    return nodes.select("node_id").join(agg, "node_id", "left").select("node_id", *[F.coalesce(f"e{k}", F.lit(0.0)).alias(f"e{k}") for k in range(dim)])
+
+
+def edge_probabilities(edges: DataFrame, negatives: DataFrame, hidden: DataFrame, w1: np.ndarray, b1: np.ndarray, w2: np.ndarray, b2: float) -> DataFrame:
+    """edge_id, pos, neg: probability of edges(edge_id, src, dst) and of the same source with the drawn target of
+    negatives(edge_id, neg_dst), by one merge layer on hidden(node_id, h). A node without vector drops its edge."""
+    h = lambda side: hidden.select(F.col("node_id").alias(side), F.col("h").alias(f"h_{side}"))
+    rows = edges.select("edge_id", "src", "dst").join(negatives.select("edge_id", "neg_dst"), "edge_id")
+    for side in ("src", "dst", "neg_dst"):
+        rows = rows.join(h(side), side)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                own = np.stack(b["h_src"])
+                score = lambda to: _sigmoid(np.maximum(np.hstack([own, np.stack(b[to])]) @ w1 + b1, 0) @ w2 + b2)  # noqa: B023, E731
+                yield pd.DataFrame({"edge_id": b["edge_id"], "pos": score("h_dst"), "neg": score("h_neg_dst")})
+
+    return rows.mapInPandas(run, "edge_id long, pos double, neg double")
+
+
 def sage_layer(edges: DataFrame, nodes: DataFrame, columns: list[str], w_self: np.ndarray, w_nbr: np.ndarray, bias: np.ndarray, how: str = "mean") -> DataFrame:
     """node_id, h: relu(x @ w_self + mean (or max) of in-neighbours @ w_nbr + bias)."""
     x = nodes.select("node_id", *[F.col(c).cast("double").alias(c) for c in columns]).join(neighbour_aggregate(edges, nodes, columns, how), "node_id")

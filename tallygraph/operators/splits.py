@@ -77,6 +77,11 @@ def balanced_sample(df: DataFrame, key: str, label: str, n: int, seed: int = 42)
     return sample(df.filter(F.col(label) == 0), key, n // 2, seed).unionByName(sample(df.filter(F.col(label) == 1), key, n // 2, seed))
 
 
+def first_edges(tx: DataFrame, n: int) -> DataFrame:
+    """The n earliest transfers: a small graph to look at."""
+    return tx.orderBy("ts", "row_id").limit(n)
+
+
 def batches(df: DataFrame, size: int, *order: str) -> DataFrame:
     """df with batch: runs of ``size`` rows in order."""
     return global_index(df, "_i", *order).withColumn("batch", F.floor(F.col("_i") / size)).drop("_i")

@@ -107,7 +107,7 @@ _add("opportunity_subscores", _OPP, 'SELECT row_id, round(o, 6) AS "RAT_offender
 _add("opportunity_score", _OPP, 'SELECT row_id, label::BIGINT AS label, round(score, 6) AS "RAT_score" FROM sc')
 _add("intensity_thresholds", _INT, "SELECT intensity, level::BIGINT AS level, round(threshold, 6) AS threshold FROM th")
 _add("intensity_labels", _INT, "SELECT intensity, sum(inj)::BIGINT AS injected, max(inj * level)::BIGINT AS level, count(*) AS n FROM lab GROUP BY intensity")
-_add("intensity_drift", _INT, 'SELECT intensity, count(*) AS n, round(avg(score), 6) AS "mean_RAT_score", round(avg(chain), 6) AS mean_motif_chain FROM lab WHERE inj = 1 GROUP BY intensity')
+_add("intensity_drift", _INT, 'SELECT intensity, count(*) AS n, round(avg(score), 6) AS "mean_RAT_score", round(avg(chain), 6) AS mean_motif_chain, round(stddev_samp(score), 6) AS "std_RAT_score", round(stddev_samp(chain), 6) AS std_motif_chain FROM lab WHERE inj = 1 GROUP BY intensity')
 _TYPES = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
 _ET = _TX + ", et AS (SELECT e.acct, coalesce(trim(split_part(entity_name, '#', 1)), 'Unknown') AS entity_type FROM (SELECT DISTINCT acct FROM ends) e LEFT JOIN acct a ON e.acct = a.acct)"
 _HOT = ", ".join(f"(entity_type = '{v}')::BIGINT AS \"ent_{v}\"" for v in _TYPES)
@@ -131,8 +131,8 @@ _add("node_features_degree_entity", _ET + ", lab AS (SELECT acct, max(label) AS
      f"SELECT acct, od AS out_degree, id AS in_degree, od + id AS total_degree, round(ln(1 + od), 6) AS log_out_degree, round(ln(1 + id), 6) AS log_in_degree, round(ln(1 + od + id), 6) AS log_total_degree, y::BIGINT AS y_node, {_HOT} FROM x")
 _add("node_laundering_count", _TX, "SELECT acct, max(label)::BIGINT AS y_node, sum(label)::BIGINT AS laundering_count FROM ends GROUP BY acct")
 _add("mode_payment_format", _TX, "SELECT e.acct, coalesce(name, 'Unknown') AS name FROM (SELECT DISTINCT acct FROM ends) e LEFT JOIN (SELECT src AS acct, fmt AS name FROM (SELECT src, fmt, row_number() OVER (PARTITION BY src ORDER BY count(*) DESC, fmt) AS r FROM tx GROUP BY src, fmt) WHERE r = 1) m ON e.acct = m.acct")
-_add("graph_stats", _TX, "SELECT num_nodes, num_edges, self_loops, laundering_edges, laundering_nodes, round(num_edges / num_nodes::DOUBLE, 6) AS avg_degree, round(num_edges / (num_nodes * (num_nodes - 1))::DOUBLE, 6) AS density, round(100.0::DOUBLE * laundering_edges / num_edges, 6) AS pct_laundering FROM (SELECT count(*) AS num_edges, count(*) FILTER (src = dst) AS self_loops, sum(label)::BIGINT AS laundering_edges FROM tx), (SELECT count(*) AS num_nodes, sum(y)::BIGINT AS laundering_nodes FROM (SELECT acct, max(label) AS y FROM ends GROUP BY acct))")
-_add("temporal_stats", _TX, "SELECT min(t) AS ts_min, max(t) AS ts_max, round((max(t) - min(t)) / 86400.0::DOUBLE, 6) AS span_days, min(gap) AS min_gap, max(gap) AS max_gap, round(avg(gap), 6) AS mean_gap, count(*) FILTER (gap < 0) AS violations, count(DISTINCT t) AS distinct_ts FROM (SELECT t, t - lag(t) OVER (ORDER BY row_id) AS gap FROM tx)")
+_add("graph_stats", _TX, "SELECT num_nodes, (SELECT count(*) FROM (SELECT DISTINCT acct FROM acct) a WHERE a.acct NOT IN (SELECT acct FROM ends)) AS isolated, num_edges, self_loops, laundering_edges, laundering_nodes, round(num_edges / num_nodes::DOUBLE, 6) AS avg_degree, round(num_edges / (num_nodes * (num_nodes - 1))::DOUBLE, 6) AS density, round(100.0::DOUBLE * laundering_edges / num_edges, 6) AS pct_laundering FROM (SELECT count(*) AS num_edges, count(*) FILTER (src = dst) AS self_loops, sum(label)::BIGINT AS laundering_edges FROM tx), (SELECT count(*) AS num_nodes, sum(y)::BIGINT AS laundering_nodes FROM (SELECT acct, max(label) AS y FROM ends GROUP BY acct))")
+_add("temporal_stats", _TX, "SELECT min(t) AS ts_min, max(t) AS ts_max, round((max(t) - min(t)) / 86400.0::DOUBLE, 6) AS span_days, min(gap) AS min_gap, max(gap) AS max_gap, round(avg(gap), 6) AS mean_gap, count(*) FILTER (gap < 0) AS violations, count(DISTINCT t) AS distinct_ts, round(1 - count(DISTINCT t) / count(t)::DOUBLE, 6) AS duplicate_ratio FROM (SELECT t, t - lag(t) OVER (ORDER BY row_id) AS gap FROM tx)")
 _add("feature_stats", _TX + ", f AS (SELECT unnest(['amt_paid', 'amt_rec', 'log_amt_paid']) AS feature, unnest([amt_paid, amt_rec, ln(1 + greatest(amt_paid, 0))]) AS v FROM tx)", "SELECT feature, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std, round(min(v), 6) AS min, round(max(v), 6) AS max, count(*) FILTER (v IS NULL OR isnan(v)) AS n_bad FROM f GROUP BY feature")
 _add("dataset_summary", _TX, "SELECT (SELECT count(*) FROM tx) AS transfers, (SELECT round(100 * avg(label), 6) FROM tx) AS pct_label, (SELECT count(DISTINCT b) FROM (SELECT from_bank AS b FROM tx UNION ALL SELECT to_bank FROM tx)) AS banks, (SELECT count(DISTINCT acct) FROM ends) AS accounts")
 _add("split_chronological", _CHRONO, "SELECT row_id, position, split FROM spl")
@@ -244,3 +244,21 @@ mm AS (SELECT src AS node, count(*) / 100.0::DOUBLE AS h FROM tx GROUP BY src),
 bh AS (SELECT lm.node, x, t, coalesce(h, 0) AS h FROM lm LEFT JOIN mm USING (node)),
 gt AS (SELECT *, """ + _sig("0.5 * x + 0.1 + 0.3 * h") + " AS r, " + _sig("-0.4 * x + 0.2 * h - 0.1") + " AS z FROM bh)",
      "SELECT node, round((1 - z) * tanh(0.9 * x + 0.2 + r * (-0.7 * h + 0.3)) + z * h, 6) AS memory, t AS last_update FROM gt")
+
+_add("message_mlp", _MSG + """,
+lm AS (SELECT node, arg_max(m0, (t, seq)) AS a, arg_max(m1, (t, seq)) AS b, arg_max(m2, (t, seq)) AS c FROM ms GROUP BY node),
+hd AS (SELECT node, greatest(0.3::DOUBLE * ln(1 + a) - 0.2::DOUBLE * ln(1 + b) + 0.5::DOUBLE * c - 0.4::DOUBLE, 0) AS h FROM lm)""", "SELECT node, round(0.7::DOUBLE * h + 0.1::DOUBLE, 6) AS x0, round(-0.6::DOUBLE * h + 0.2::DOUBLE, 6) AS x1 FROM hd")
+_add("time_codes_on_targets", _TX + """,
+cd AS (SELECT dst, avg(sin(x)) AS a, avg(sin(x * 0.01::DOUBLE)) AS b, avg(cos(x)) AS c, avg(cos(x * 0.01::DOUBLE)) AS d FROM (SELECT dst, t / 86400.0::DOUBLE AS x FROM tx) GROUP BY dst)""",
+     "SELECT n.acct AS node_id, round(coalesce(a, 0), 6) AS e0, round(coalesce(b, 0), 6) AS e1, round(coalesce(c, 0), 6) AS e2, round(coalesce(d, 0), 6) AS e3 FROM (SELECT DISTINCT acct FROM ends) n LEFT JOIN cd ON n.acct = cd.dst")
+_MERGED = "1 / (1 + exp(-(0.8::DOUBLE * greatest(0.5::DOUBLE * s.h - 0.4::DOUBLE * {0}.h + 0.1::DOUBLE, 0) - 0.5::DOUBLE * greatest(-0.3::DOUBLE * s.h + 0.6::DOUBLE * {0}.h + 0.2::DOUBLE, 0) + 0.05::DOUBLE)))"
+_add("edge_probabilities", _TX + """,
+ds AS (SELECT dst AS acct, row_number() OVER (ORDER BY dst) - 1 AS idx, count(*) OVER () AS n FROM (SELECT DISTINCT dst FROM tx)),
+hd AS (SELECT e.acct, ln(1 + count(src)) AS h FROM (SELECT DISTINCT acct FROM ends) e LEFT JOIN tx ON e.acct = tx.src GROUP BY e.acct)""",
+     f"SELECT row_id AS edge_id, round({_MERGED.format('p')}, 6) AS pos, round({_MERGED.format('g')}, 6) AS neg FROM tx JOIN ds ON idx = (row_id * 48271 + 7 * 7919) % n JOIN hd s ON tx.src = s.acct JOIN hd p ON tx.dst = p.acct JOIN hd g ON ds.acct = g.acct")
+_add("first_known_name", _TX + """,
+nm AS (SELECT side, acct, fmt, row_number() OVER (PARTITION BY side, acct ORDER BY count(*) DESC, fmt) AS r FROM (SELECT 's' AS side, src AS acct, fmt FROM tx UNION ALL SELECT 'd', dst, fmt FROM tx) GROUP BY side, acct, fmt)""",
+     "SELECT n.acct, coalesce(s.fmt, d.fmt, 'Unknown') AS name FROM (SELECT DISTINCT acct FROM ends) n LEFT JOIN nm s ON n.acct = s.acct AND s.side = 's' AND s.r = 1 LEFT JOIN nm d ON n.acct = d.acct AND d.side = 'd' AND d.r = 1")
+_add("engineered_columns", _TX, "SELECT row_id, round(ln(1 + amt_rec), 6) AS log_amt_rec, round(ln(1 + amt_paid), 6) AS log_amt_paid, (from_bank = to_bank)::BIGINT AS same_bank, (cur_rec = cur_paid)::BIGINT AS same_currency, hour(ts) AS hour_of_day, isodow(ts) - 1 AS day_of_week, round((t - min(t) OVER ()) / (max(t) OVER () - min(t) OVER ())::DOUBLE, 6) AS ts_normalized FROM tx")
+_add("first_edges", _TX, "SELECT row_id, src, dst FROM tx ORDER BY ts, row_id LIMIT 1000")
+_add("bipartite_reindex", _TX, "SELECT l_suppkey::BIGINT AS u, l_linenumber + max(l_suppkey) OVER () AS i, l_orderkey * 8 + l_linenumber + 1 AS idx FROM lineitem")

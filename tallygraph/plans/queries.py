@@ -253,7 +253,7 @@ def mode_payment_format(spark, d):
 
 @query
 def graph_stats(spark, d):
-    return r6(G.graph_stats(_tx(spark, d)))
+    return r6(G.graph_stats(_tx(spark, d), X0.accounts(spark, d)))
 
 
 @query
@@ -457,6 +457,55 @@ def memory_gru_update(spark, d):
     return r6(S.update_memory(memory, msgs, weights).select("node", F.col("memory")[0].alias("memory"), "last_update"))
 
 
+@query
+def message_mlp(spark, d):
+    """Each node's last message through a two-layer message function."""
+    rows = T.last_message(T.messages(_tx(spark, d))).select("node", F.log1p(F.col("msg")[0]).alias("m0"), F.log1p(F.col("msg")[1]).alias("m1"), F.col("msg")[2].alias("m2"))
+    layers = [(np.array([[0.3], [-0.2], [0.5]]), np.array([-0.4])), (np.array([[0.7, -0.6]]), np.array([0.1, 0.2]))]
+    return r6(S.perceptron(rows, ["m0", "m1", "m2"], layers, "msg").select("node", F.col("msg")[0].alias("x0"), F.col("msg")[1].alias("x1")))
+
+
+@query
+def time_codes_on_targets(spark, d):
+    tx = _tx(spark, d)
+    nodes = A.endpoints(tx).select(F.col("acct").alias("node_id"))
+    return r6(S.times_on_targets(tx.select("src", "dst", X.epoch(F.col("ts")).alias("t")), nodes, 4))
+
+
+@query
+def edge_probabilities(spark, d):
+    tx = _tx(spark, d)
+    dst = G.global_index(tx.select(F.col("dst").alias("acct")).distinct(), "idx", "acct")
+    negatives = T.negative_samples(tx, dst).withColumnRenamed("row_id", "edge_id")
+    hidden = A.degree_stats(tx).select(F.col("acct").alias("node_id"), F.array(F.log1p("out_count")).alias("h"))
+    edges = tx.select(F.col("row_id").alias("edge_id"), "src", "dst")
+    return r6(S.edge_probabilities(edges, negatives, hidden, np.array([[0.5, -0.3], [-0.4, 0.6]]), np.array([0.1, 0.2]), np.array([0.8, -0.5]), 0.05))
+
+
+@query
+def first_known_name(spark, d):
+    tx = _tx(spark, d)
+    return G.first_known_name(tx, tx.select(F.col("src").alias("acct"), F.col("fmt").alias("name")), tx.select(F.col("dst").alias("acct"), F.col("fmt").alias("name")))
+
+
+@query
+def engineered_columns(spark, d):
+    new = ["log_amt_rec", "log_amt_paid", "same_bank", "same_currency", "hour_of_day", "day_of_week", "ts_normalized"]
+    return r6(G.engineered(_tx(spark, d)).select("row_id", *new))
+
+
+@query
+def first_edges(spark, d):
+    return r6(P.first_edges(_tx(spark, d).select("row_id", "ts", "src", "dst"), 1000).drop("ts"))
+
+
+@query
+def bipartite_reindex(spark, d):
+    li = spark.read.parquet(f"{d}/lineitem.parquet")
+    rows = li.select((F.col("l_suppkey") - 1).cast("bigint").alias("u"), (F.col("l_linenumber") - 1).cast("bigint").alias("i"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("bigint").alias("idx"))
+    return r6(G.reindex(rows))
+
+
 def _pred(spark, d):
     return X0.predictions(spark, d)
 

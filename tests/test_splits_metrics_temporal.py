@@ -272,3 +272,28 @@ def test_samples(spark):
     assert {r["label"]: r["count"] for r in rows} == {0: 5, 1: 5}
 
 
+def test_theory_type_and_numeric_columns(spark):
+    assert graph.theory_type(["a", "SLT_x", "motif_y"]) == ("SLT-injected", ("SLT_", "motif_"))
+    with pytest.raises(ValueError):
+        graph.theory_type(["motif_y"])
+    df = spark.createDataFrame([(1, 2.0, "x")], "a int, b double, c string")
+    assert graph.numeric_columns(df) == ["a", "b"]
+
+
+def test_engineered_takes_what_there_is(spark):
+    df = spark.createDataFrame([(1, None, "x"), (2, "x", "x")], "row_id int, from_bank string, to_bank string")
+    got = graph.engineered(df)
+    assert got.columns == ["row_id", "from_bank", "to_bank", "same_bank"]
+    assert [r["same_bank"] for r in got.orderBy("row_id").collect()] == [0, 1]
+
+
+def test_decoder_of_three_layers(spark):
+    rng = np.random.default_rng(3)
+    layers = [(rng.normal(size=s), rng.normal(size=s[1])) for s in ((4, 80), (80, 10), (10, 1))]
+    x = rng.normal(size=(7, 4))
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "id int, a double, b double, c double, d double")
+    got = {r["id"]: r["y"][0] for r in scoring.perceptron(df, ["a", "b", "c", "d"], layers, "y").collect()}
+    for i, r in enumerate(x):
+        h = np.maximum(r @ layers[0][0] + layers[0][1], 0)
+        h = np.maximum(h @ layers[1][0] + layers[1][1], 0)
+        assert abs(got[i] - (h @ layers[2][0] + layers[2][1])[0]) < 1e-9
