@@ -118,10 +118,14 @@ def _chars(c: Column) -> Column:
     return F.when(c == "", F.array().cast("array<string>")).otherwise(F.split(c, ""))
 
 
-def parity(line: Column) -> Column:
-    """Two times 64 bits: which of 128 classes of character pairs occur an odd number of times. An edit changes four bits at most."""
+def pair_classes(line: Column) -> Column:
+    """Which of 128 classes each two neighbouring characters are of."""
     x = _chars(line)
-    pairs = F.zip_with(x, F.slice(x, F.lit(2), F.greatest(F.size(x), F.lit(1))), lambda c, d: F.pmod(F.hash(c, d), F.lit(128)))
+    return F.zip_with(x, F.slice(x, F.lit(2), F.greatest(F.size(x), F.lit(1))), lambda c, d: F.pmod(F.hash(c, d), F.lit(128)))
+
+
+def parity(pairs: Column) -> Column:
+    """Two times 64 bits: which classes of character pairs occur an odd number of times. An edit changes four bits at most."""
     zero, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
     bits = [F.aggregate(F.filter(pairs, keep), zero, lambda acc, v: acc.bitwiseXOR(_shift_left(one, v.bitwiseAND(F.lit(63))))) for keep in (lambda v: v < 64, lambda v: v >= 64)]
     return F.struct(bits[0].alias("a"), bits[1].alias("b"))
@@ -172,10 +176,11 @@ def _begin(n: Column, w: Column, t: int, i: int) -> Column:
     return w * i if i <= t - i else n - w * (t + 1 - i)
 
 
-def segment_keys(line: Column, n: Column, lo: Column, t: int) -> Column:
-    """The keys under which a line is indexed."""
-    w = _width(lo, t)
-    return F.array(*[_key(lo, t, i, 0, line, _begin(n, w, t, i), w) for i in range(t + 1)])
+def segment_keys(probes: Column, t: int) -> Column:
+    """The keys under which a line is indexed: those of its own bucket's probes (the first ones) that are not shifted."""
+    shifts = [min(i, t - i) for i in range(t + 1)]
+    places = [sum(2 * k + 1 for k in shifts[:i]) + shifts[i] for i in range(t + 1)]
+    return F.array(*[F.get(probes, F.lit(p)).bitwiseAND(F.lit(-2)) for p in places])
 
 
 def probe_keys(line: Column, n: Column, lo: Column, t: int, mark: int = 0) -> Column:
@@ -216,7 +221,7 @@ def _placed(docs: DataFrame, key: str) -> DataFrame:
 
 def distinct_lines(placed: DataFrame, bands: Sequence[tuple[int, int]]) -> DataFrame:
     """One row for each distinct line: k1, k2, first (its first place), n, and for lines that allow edits s (letter
-    counts), t (edits allowed), index (its segments' keys) and probes (keys to look up; the last bit is 1 where the bucket is its own)."""
+    counts), t (edits allowed) and probes (keys to look up; the last bit is 1 where the bucket is its own, and those come first)."""
     rows = placed.select("k1", "k2", "at", "line", F.char_length("line").alias("n"))
     rows = rows.withColumns({"t": allowed_edits(F.col("n"), bands), "lo": bucket(F.col("n"))})
     line, n, t, lo = (F.col(c) for c in ("line", "n", "t", "lo"))
@@ -225,10 +230,14 @@ def distinct_lines(placed: DataFrame, bands: Sequence[tuple[int, int]]) -> DataF
     least = n - max(e for _, e in bands)
     crosses = (t > 0) & ((bucket(F.greatest(least, F.lit(1))) != lo) | (allowed_edits(least, bands) != t))
     below = F.array_except(layouts(n, bands, (-1,)), F.array(F.struct("t", "lo")))
-    other = F.flatten(F.transform(below, lambda x: _by_threshold(x["t"], bands, lambda e: probe_keys(line, n, x["lo"], e))))
-    index = _by_threshold(t, bands, lambda e: segment_keys(line, n, lo, e))
-    rows = rows.select("k1", "k2", "at", F.when(t > 0, sketch(line, t)).alias("s"), "t", index.alias("index"), F.when(crosses, F.concat(own, other)).otherwise(own).alias("probes"))
-    held = [F.first(c).alias(c) for c in ("s", "t", "index", "probes")]
+    keys = lambda x: _by_threshold(x["t"], bands, lambda e: probe_keys(line, n, x["lo"], e))
+    rows = rows.withColumn("below", F.when(crosses, below))
+    some = F.col("below")
+    # A lambda is much slower than one lookup, and hardly any line has two layouts below its own.
+    other = F.when(F.size(some) == 1, keys(F.get(some, F.lit(0)))).otherwise(F.flatten(F.transform(some, keys)))
+    rows = rows.select("k1", "k2", "at", F.when(t > 0, sketch(line, t)).alias("s"), "t", own.alias("own"), F.when(F.size(some) > 0, other).alias("other"))
+    rows = rows.select("k1", "k2", "at", "s", "t", F.when(F.col("other").isNull(), F.col("own")).otherwise(F.concat("own", "other")).alias("probes"))
+    held = [F.first(c).alias(c) for c in ("s", "t", "probes")]
     return rows.groupBy("k1", "k2").agg(F.min("at").alias("first"), F.count("*").alias("n"), *held)
 
 
@@ -238,7 +247,7 @@ def line_texts(docs: DataFrame, key: str, distinct: DataFrame, ids: DataFrame, b
     wanted = materialize(wanted, "line-places")
     some = docs.select(F.col(key).alias("row"), "text").join(small(wanted.select("row").distinct()), "row", "left_semi")
     texts = some.select("row", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).join(small(wanted), ["row", "line_no"]).dropDuplicates(["k1"])
-    texts = texts.withColumn("n", F.char_length("line")).withColumn("lo", bucket(F.col("n"))).withColumns({"parity": parity(F.col("line")), "more": sketch(F.col("line"), F.lit(0), MORE_LETTERS)})
+    texts = texts.withColumn("n", F.char_length("line")).withColumn("lo", bucket(F.col("n"))).withColumn("pairs", pair_classes(F.col("line"))).withColumns({"parity": parity(F.col("pairs")), "more": sketch(F.col("line"), F.lit(0), MORE_LETTERS)})
     return materialize(texts.select("k1", F.struct("row", "line_no").alias("first"), "line", "n", "t", "lo", "s", "more", "parity"), "line-texts")
 
 
@@ -261,7 +270,7 @@ def _verified(met: DataFrame, texts: DataFrame, most: int) -> DataFrame:
 def near_lines(docs: DataFrame, key: str, distinct: DataFrame, bands: Sequence[tuple[int, int]]) -> DataFrame:
     """k1 of the distinct lines that are near an earlier one."""
     most = max(t for _, t in bands)
-    index = distinct.select("k1", "s", F.explode("index").alias("key"))
+    index = distinct.select("k1", "s", F.explode(_by_threshold(F.col("t"), bands, lambda e: segment_keys(F.col("probes"), e))).alias("key"))
     probes = distinct.select(F.col("k1").alias("other"), F.col("s").alias("q"), F.explode("probes").alias("probe"))
     probes = probes.select("other", "q", F.col("probe").bitwiseAND(F.lit(-2)).alias("key"), (F.col("probe").bitwiseAND(F.lit(1)) == 1).alias("own"))
     alike = sketches_alike(F.col("s"), F.col("q"))
