@@ -251,12 +251,21 @@ def line_texts(docs: DataFrame, key: str, distinct: DataFrame, ids: DataFrame, b
     return materialize(texts.select("k1", F.struct("row", "line_no").alias("first"), "line", "n", "t", "lo", "s", "more", "parity"), "line-texts")
 
 
-def _verified(met: DataFrame, texts: DataFrame, most: int) -> DataFrame:
-    """k1 of every line that is near an earlier one in a pair of met(k1, other)."""
+def _sifted(met: DataFrame, texts: DataFrame) -> DataFrame:
+    """k1, other, allowed of the pairs of met(k1, other) whose letters and character pairs are not too far apart."""
     bits = texts.select("k1", F.struct("s", "more", "parity", "t").alias("u"))
     met = met.join(bits, "k1").join(bits.select(F.col("k1").alias("other"), F.col("u").alias("v")), "other").withColumn("allowed", F.least("u.t", "v.t"))
-    counts = counts_apart(F.col("u.s"), F.col("v.s")) + counts_apart(F.col("u.more"), F.col("v.more")) <= 2 * F.col("allowed")
-    met = met.filter(counts & (parities_apart(F.col("u.parity"), F.col("v.parity")) <= 4 * F.col("allowed"))).select("k1", "other", "allowed")
+    return met.filter(_all_alike(F.col("u"), F.col("v"), F.col("allowed"))).select("k1", "other", "allowed")
+
+
+def _all_alike(u: Column, v: Column, allowed: Column) -> Column:
+    """Whether all letter counts and parities of two structs (s, more, parity) are near enough for so many edits."""
+    counts = counts_apart(u["s"], v["s"]) + counts_apart(u["more"], v["more"]) <= 2 * allowed
+    return counts & (parities_apart(u["parity"], v["parity"]) <= 4 * allowed)
+
+
+def _verified(met: DataFrame, texts: DataFrame, most: int) -> DataFrame:
+    """k1 of every line that is near an earlier one in a pair of met(k1, other, allowed)."""
     x = texts.select("k1", F.col("line").alias("x"), F.col("first").alias("x_at"))
     y = texts.select(F.col("k1").alias("other"), F.col("line").alias("y"), F.col("first").alias("y_at"))
     # Few pairs are left, each much work: they are spread over all tasks, and verified after that (a filter would move before it).
@@ -295,25 +304,26 @@ def near_lines(docs: DataFrame, key: str, distinct: DataFrame, bands: Sequence[t
     met = materialize(met.distinct(), "line-pairs")
     ids = met.select("k1").unionAll(met.select("other"))
     texts = line_texts(docs, key, distinct, (ids if hot_lines is None else ids.unionAll(hot_lines)).distinct(), bands)
-    near = materialize(_verified(met, texts, most), "near-lines")
+    near = materialize(_verified(_sifted(met, texts), texts, most), "near-lines")
     if not any_hot:
         return near
 
     line, n, lo = F.col("line"), F.col("n"), F.col("lo")
     held = texts.join(in_hot.select("k1").distinct(), "k1", "left_semi").withColumn("region", F.explode(_regions()))
-    cut = held.select("k1", "s", "more", F.col("region.number").alias("region"), F.explode(_by_threshold(F.col("t"), bands, lambda e: region_keys(line, n, lo, e, F.col("region"), False))).alias("key"))
+    bits = F.struct("s", "more", "parity", "t")
+    cut = held.select("k1", F.col("region.number").alias("region"), F.explode(_by_threshold(F.col("t"), bands, lambda e: region_keys(line, n, lo, e, F.col("region"), False))).alias("key"))
     cut = materialize(cut, "region-segments")
     counts = cut.groupBy("key").agg(F.count("*").alias("c"))
     rated = cut.join(counts, "key").groupBy("k1", "region").agg(F.max("c").alias("c"))
     chosen = rated.groupBy("k1").agg(F.min(F.struct("c", "region")).alias("best")).select("k1", F.col("best.region").alias("region"))
-    rare = cut.join(chosen, ["k1", "region"]).select("k1", "s", "more", "key")
+    rare = cut.join(chosen, ["k1", "region"]).select("k1", "key").join(texts.select("k1", bits.alias("u")), "k1")
     left = asks.select(F.col("other").alias("k1")).distinct().join(near, "k1", "left_anti")
     left = texts.join(left, "k1", "left_semi").withColumn("layout", F.explode(layouts(n, bands, (-1, 0, 1)))).withColumn("region", F.explode(_regions()))
     keys = F.explode(_by_threshold(F.col("layout.t"), bands, lambda e: region_keys(line, n, F.col("layout.lo"), e, F.col("region"), True)))
-    sought = left.select(F.col("k1").alias("other"), F.col("s").alias("q"), F.col("more").alias("q_more"), keys.alias("key"))
-    all_counts = counts_apart(F.col("s"), F.col("q")) + counts_apart(F.col("more"), F.col("q_more"))
-    still = all_counts <= 2 * F.least(F.shiftright("s", 60), F.shiftright("q", 60))
-    again = materialize(rare.join(sought, "key").filter(apart & still).select(*pair).distinct(), "region-pairs")
+    sought = left.select(F.col("k1").alias("other"), bits.alias("v"), keys.alias("key"))
+    allowed = F.least("u.t", "v.t")
+    still = rare.join(sought, "key").filter(apart & _all_alike(F.col("u"), F.col("v"), allowed))
+    again = materialize(still.select(*pair, allowed.alias("allowed")).distinct(), "region-pairs")
     return near.unionAll(_verified(again, texts, most)).distinct()
 
 

@@ -438,7 +438,8 @@ def test_lines_that_share_a_tail_meet_only_their_like(spark, monkeypatch):
         rows.append((i, "".join(digits) + " and this is one shared tail of quite a few words that every line ends with here"))
     rows.append((900, rows[7][1].replace("7", "x", 1)))
     seen = []
-    verified = lines._verified
+    sifted, verified = lines._sifted, lines._verified
+    monkeypatch.setattr(lines, "_sifted", lambda met, texts: seen.append(met.count()) or sifted(met, texts))
     monkeypatch.setattr(lines, "_verified", lambda met, texts, most: seen.append(met.count()) or verified(met, texts, most))
     got = {r["doc_id"]: r["n_removed"] for r in lines.dedup_report(spark.createDataFrame(rows, "doc_id long, text string"), bands=lines.BANDS).collect()}
     assert {i for i, n in got.items() if n} == {900}
