@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, divergence, jaccard, language_id, lines, pieces, quality, sharding, substring, toxicity
+from . import decontaminate, divergence, jaccard, language_id, lines, negatives, periodic, pieces, quality, sharding, simhash, substring, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,22 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_and_verify(_table(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.run_report(periodic.periodic_runs(periodic.plant_periods(_table(spark, sf_dir, "documents"))))
+
+
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_components(_table(spark, sf_dir, "documents"), bits=2)
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of every seventh row are wrong on purpose; components are whole numbers of 256ths."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    x = F.transform(F.col("embedding").cast("array<double>"), lambda v: F.when(v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")), F.floor(v * 256).cast("double")))
+    found = negatives.mine_negatives(_table(spark, sf_dir, "embeddings").select("vec_id", label.alias("label"), x.alias("x")))
+    return found.withColumns({c: F.col(c).cast("long") for c in ("positive_score", "negative_score")})
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_decontaminate": op2_decontaminate,
@@ -64,4 +80,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_quality_rules": op9_quality_rules,
     "op10_sentencepiece": op10_sentencepiece,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_simhash": op12_simhash,
+    "op13_hard_negatives": op13_hard_negatives,
 }
