@@ -262,3 +262,67 @@ nm AS (SELECT side, acct, fmt, row_number() OVER (PARTITION BY side, acct ORDER
 _add("engineered_columns", _TX, "SELECT row_id, round(ln(1 + amt_rec), 6) AS log_amt_rec, round(ln(1 + amt_paid), 6) AS log_amt_paid, (from_bank = to_bank)::BIGINT AS same_bank, (cur_rec = cur_paid)::BIGINT AS same_currency, hour(ts) AS hour_of_day, isodow(ts) - 1 AS day_of_week, round((t - min(t) OVER ()) / (max(t) OVER () - min(t) OVER ())::DOUBLE, 6) AS ts_normalized FROM tx")
 _add("first_edges", _TX, "SELECT row_id, src, dst FROM tx ORDER BY ts, row_id LIMIT 1000")
 _add("bipartite_reindex", _TX, "SELECT l_suppkey::BIGINT AS u, l_linenumber + max(l_suppkey) OVER () AS i, l_orderkey * 8 + l_linenumber + 1 AS idx FROM lineitem")
+
+# Node memory by batches: each batch's tables follow from those of the batch before.
+_EVENTS = _TX + """,
+ev AS (SELECT *, 3 * (row_number() OVER (ORDER BY ts, row_id) - 1) // count(*) OVER () AS batch, ln(1 + greatest(coalesce(amt_paid, 0), 0)) AS amt FROM tx),
+en AS (SELECT batch, 0 AS side, src AS node, dst AS other, t, row_id, amt FROM ev UNION ALL SELECT batch, 1, dst, src, t, row_id, amt FROM ev),
+mem0 AS (SELECT NULL::BIGINT AS node, NULL::DOUBLE AS h, NULL::BIGINT AS u WHERE false)"""
+
+
+def _sent(b: int) -> str:
+    """Messages of batch b: own and other memory, amount, and a code of the seconds since the own last update."""
+    return f"""SELECT en.node, batch, side, en.t, en.row_id, coalesce(o.h, 0) AS m0, coalesce(p.h, 0) AS m1, amt AS m2,
+      cos((en.t - coalesce(o.u, 0))::DOUBLE) AS m3, cos((en.t - coalesce(o.u, 0)) * 1e-9::DOUBLE) AS m4
+    FROM en LEFT JOIN {{mem}} o ON en.node = o.node LEFT JOIN {{mem}} p ON en.other = p.node WHERE batch = {b}"""
+
+
+def _gru(taken: str, memory: str) -> str:
+    r, z = _sig("0.5 * m0 + 0.2 * m1 + 0.1 * m2 + 0.4 * m3 - 0.3 * m4 + 0.1 + 0.3 * h"), _sig("-0.4 * m0 + 0.3 * m1 - 0.1 * m2 + 0.2 * m3 + 0.1 * m4 + 0.2 * h - 0.1")
+    new = f"tanh(0.9 * m0 - 0.6 * m1 + 0.2 * m2 + 0.3 * m3 + 0.5 * m4 + 0.2 + {r} * (-0.7 * h + 0.3))"
+    rows = f"SELECT {taken}.*, coalesce({memory}.h, 0) AS h FROM {taken} LEFT JOIN {memory} USING (node)"
+    return f"SELECT node, (1 - {z}) * {new} + {z} * h AS h, t AS u FROM ({rows}) UNION ALL SELECT node, h, u FROM {memory} WHERE node NOT IN (SELECT node FROM {taken})"
+
+
+def _rnn(taken: str, memory: str) -> str:
+    rows = f"SELECT {taken}.*, coalesce({memory}.h, 0) AS h FROM {taken} LEFT JOIN {memory} USING (node)"
+    return f"SELECT node, tanh(0.5 * m0 + 0.2 * m1 + 0.1 * m2 + 0.4 * m3 - 0.3 * m4 + 0.1 + 0.3 * h - 0.2) AS h, t AS u FROM ({rows}) UNION ALL SELECT node, h, u FROM {memory} WHERE node NOT IN (SELECT node FROM {taken})"
+
+
+_LAST_OF = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY batch DESC, side DESC, t DESC, row_id DESC) AS r FROM {}) WHERE r = 1"
+_LAZY, _EAGER = _EVENTS + ",\nq0 AS (" + _sent(-1).format(mem="mem0") + ")", _EVENTS
+for _b in range(3):
+    _LAZY += f""",
+d{_b} AS ({_LAST_OF.format(f"(SELECT * FROM q{_b} WHERE node IN (SELECT node FROM en WHERE batch = {_b}))")}),
+mem{_b + 1} AS ({_gru(f"d{_b}", f"mem{_b}")}),
+q{_b + 1} AS (SELECT * FROM q{_b} WHERE node NOT IN (SELECT node FROM en WHERE batch = {_b}) UNION ALL {_sent(_b).format(mem=f"mem{_b + 1}")})"""
+    _MEANS = ", ".join(f"avg(m{k}) AS m{k}" for k in range(5))
+    _EAGER += f""",
+n{_b} AS ({_sent(_b).format(mem=f"mem{_b}")}),
+s{_b} AS (SELECT node, {_MEANS}, max(t) AS t FROM n{_b} WHERE side = 0 GROUP BY node),
+g{_b} AS (SELECT g.* EXCLUDE (t), greatest(g.t, coalesce(s.t, g.t)) AS t FROM (SELECT node, {_MEANS}, max(t) AS t FROM n{_b} WHERE side = 1 GROUP BY node) g LEFT JOIN s{_b} s USING (node)),
+half{_b} AS ({_rnn(f"s{_b}", f"mem{_b}")}),
+mem{_b + 1} AS ({_rnn(f"g{_b}", f"half{_b}")})"""
+_MEM3 = "SELECT node, round(h, 6) AS memory, u AS last_update FROM mem3"
+_add("memory_lazy", _LAZY, _MEM3)
+_add("memory_restored", _LAZY, _MEM3)
+_add("memory_eager", _EAGER, _MEM3)
+_add("memory_seen", _LAZY + f", dl AS ({_LAST_OF.format('q3')}), sn AS ({_gru('dl', 'mem3')})", "SELECT node, round(h, 6) AS memory, u AS last_update FROM sn")
+_add("memory_queue", _LAZY, "SELECT node, batch, side, row_id, t, " + ", ".join(f"round(m{k}, 6) AS m{k}" for k in range(5)) + " FROM q3")
+_add("memory_time_gaps", _LAZY + """,
+ds AS (SELECT dst AS acct, row_number() OVER (ORDER BY dst) - 1 AS idx, count(*) OVER () AS n FROM (SELECT DISTINCT dst FROM ev WHERE batch = 2)),
+st AS (SELECT round(avg(s), 2) AS ms, round(stddev_pop(s), 2) AS ss, round(avg(d), 2) AS md, round(stddev_pop(d), 2) AS sd FROM (SELECT t - coalesce(lag(t) OVER (PARTITION BY src ORDER BY ts, row_id), 0) AS s, t - coalesce(lag(t) OVER (PARTITION BY dst ORDER BY ts, row_id), 0) AS d FROM tx)),
+x AS (SELECT ev.*, acct AS neg FROM ev JOIN ds ON idx = (row_id * 48271 + 7 * 7919) % ds.n WHERE batch = 2)""",
+     "SELECT row_id, round((x.t - coalesce(a.u, 0) - ms) / ss, 4) AS gap_src, round((x.t - coalesce(b.u, 0) - md) / sd, 4) AS gap_dst, round((x.t - coalesce(c.u, 0) - md) / sd, 4) AS gap_neg FROM x JOIN st ON true LEFT JOIN mem2 a ON x.src = a.node LEFT JOIN mem2 b ON x.dst = b.node LEFT JOIN mem2 c ON x.neg = c.node")
+
+# Windows of 30 days; the fixture's month has at most three.
+_DECAY = _TX + """,
+ev AS (SELECT *, t // 2592000 - min(t // 2592000) OVER () AS batch FROM tx),
+en AS (SELECT batch, src AS node, dst AS other, t, row_id, coalesce(amt_paid, 0) AS amt FROM ev UNION ALL SELECT batch, dst, src, t, row_id, coalesce(amt_paid, 0) FROM ev),
+mem0 AS (SELECT NULL::BIGINT AS node, NULL::DOUBLE AS h, NULL::BIGINT AS u WHERE false)"""
+for _b in range(3):
+    _DECAY += f""",
+n{_b} AS (SELECT en.node, t, row_id, (coalesce(o.h, 0) + coalesce(p.h, 0) + amt) / 3 AS m FROM en LEFT JOIN mem{_b} o ON en.node = o.node LEFT JOIN mem{_b} p ON en.other = p.node WHERE batch = {_b}),
+d{_b} AS (SELECT node, m, t FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY t DESC, row_id DESC) AS r FROM n{_b}) WHERE r = 1),
+mem{_b + 1} AS (SELECT d.node, 0.5 * coalesce(o.h, 0) + 0.5 * m AS h, t AS u FROM d{_b} d LEFT JOIN mem{_b} o USING (node) UNION ALL SELECT node, h, u FROM mem{_b} WHERE node NOT IN (SELECT node FROM d{_b}))"""
+_add("state_memory_replay", _DECAY, _MEM3)

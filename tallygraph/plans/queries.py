@@ -18,6 +18,7 @@ from ..operators import splits as P
 from ..operators import strain as N
 from ..operators import temporal as T
 from ..sources import fixtures as X0
+from ..streaming import memory as Y
 from ..streaming import state as K
 
 QUERIES: dict = {}
@@ -457,6 +458,75 @@ def memory_gru_update(spark, d):
     return r6(S.update_memory(memory, msgs, weights).select("node", F.col("memory")[0].alias("memory"), "last_update"))
 
 
+_GRU = Y.MemoryModel(
+    1, edge=("amt",), time_dim=2,
+    weights={"w_in": np.array([[0.5, -0.4, 0.9], [0.2, 0.3, -0.6], [0.1, -0.1, 0.2], [0.4, 0.2, 0.3], [-0.3, 0.1, 0.5]]), "w_hid": np.array([[0.3, 0.2, -0.7]]), "b_in": np.array([0.1, 0.0, 0.2]), "b_hid": np.array([0.0, -0.1, 0.3])},
+)
+_RNN = Y.MemoryModel(1, edge=("amt",), time_dim=2, aggregate="mean", cell="rnn", eager=True, weights={"w_in": np.array([[0.5], [0.2], [0.1], [0.4], [-0.3]]), "w_hid": np.array([[0.3]]), "b_in": np.array([0.1]), "b_hid": np.array([-0.2])})
+
+
+def _thirds(spark: SparkSession, d: str) -> DataFrame:
+    """All transfers as events of three batches of (nearly) equal size, in order of time."""
+    tx = G.global_index(_tx(spark, d).select("row_id", "ts", "src", "dst", "amt_paid"), "position", "ts", "row_id")
+    n = tx.agg(F.count("*").alias("n"))
+    rows = tx.crossJoin(F.broadcast(n)).withColumn("batch", F.floor(3 * F.col("position") / F.col("n")))
+    return rows.select("batch", "row_id", X.epoch(F.col("ts")).alias("t"), "src", "dst", X.log1p_safe(F.col("amt_paid")).alias("amt"))
+
+
+def _replayed(spark: SparkSession, d: str, model: Y.MemoryModel) -> Y.NodeState:
+    state = Y.NodeState(spark)
+    state.replay(Y.stored_batches(_thirds(spark, d)), model)
+    return state
+
+
+def _memory(memory: DataFrame) -> DataFrame:
+    return r6(memory.select("node", F.col("memory")[0].alias("memory"), "last_update"))
+
+
+@query
+def memory_lazy(spark, d):
+    """Memories after three batches, each node taking in its queued message when it is next in a batch."""
+    return _memory(_replayed(spark, d, _GRU).at()[0])
+
+
+@query
+def memory_seen(spark, d):
+    """What an embedding sees then: the queued messages taken in as well."""
+    return _memory(Y.seen_memory(*_replayed(spark, d, _GRU).at(), _GRU))
+
+
+@query
+def memory_queue(spark, d):
+    """The messages that wait after three batches."""
+    queue = _replayed(spark, d, _GRU).at()[1]
+    return r6(queue.select("node", "arrival.batch", F.col("arrival.side").cast("bigint").alias("side"), "arrival.row_id", "t", *[F.col("msg")[k].alias(f"m{k}") for k in range(5)]))
+
+
+@query
+def memory_eager(spark, d):
+    """Memories after three batches that nodes take in at once, by the mean of their messages."""
+    return _memory(_replayed(spark, d, _RNN).at()[0])
+
+
+@query
+def memory_restored(spark, d):
+    """Memories after the third batch, applied to a copy of the state after the second."""
+    old = _replayed(spark, d, _GRU).branch(1)
+    old.apply(_thirds(spark, d).filter("batch = 2").drop("batch"), 2, _GRU)
+    return _memory(old.at()[0])
+
+
+@query
+def memory_time_gaps(spark, d):
+    """Normalised times since the last update of both ends and a drawn target, for the third batch after two."""
+    events = _thirds(spark, d).filter("batch = 2")
+    targets = G.global_index(events.select(F.col("dst").alias("acct")).distinct(), "idx", "acct")
+    events = events.join(T.negative_samples(events, targets), "row_id")
+    stats = A.interevent_stats(_tx(spark, d)).select(*[F.round(c, 2).alias(c) for c in ("mean_src", "std_src", "mean_dst", "std_dst")])
+    gaps = Y.time_gaps(events, _replayed(spark, d, _GRU).at(1)[0], stats)
+    return gaps.select("row_id", *[F.round(c, 4).alias(c) for c in ("gap_src", "gap_dst", "gap_neg")])
+
+
 @query
 def message_mlp(spark, d):
     """Each node's last message through a two-layer message function."""

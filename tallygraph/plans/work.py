@@ -4,22 +4,26 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Used only in local mode, where driver and executors are one process, if the session names no spark.checkpoint.dir.
 LOCAL_WORK_DIR = "/tmp/checkpoints"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back."""
-    spark = df.sparkSession
+def work_path(spark: SparkSession, name: str) -> str:
+    """The path of ``name`` in the folder that driver and executors share; an error on a cluster that names none."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named and not spark.sparkContext.master.startswith("local["):
         raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    path = f"{(named or LOCAL_WORK_DIR).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{(named or LOCAL_WORK_DIR).rstrip('/')}/{name}"
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write df as Parquet in the shared folder and read it back."""
+    path = work_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def ranged(df: DataFrame, *order: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Keyed state: time since the last event of an account in a stream, and node memory replayed batch by batch."""
+"""Keyed state: time since the last event of an account in a stream, and node memory replayed by a stream of batches."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..plans.work import materialize
+from .memory import MemoryModel, NodeState, stored_batches
 
 
 def stream_gaps(events: DataFrame, key: str = "src") -> DataFrame:
@@ -39,19 +39,11 @@ def replay_memory(tx: DataFrame, batch_seconds: int, decay: float = 0.5) -> Data
 
     Within a batch every message reads memory from before the batch: [own memory, other end's memory, amount]. A node
     takes its last message and moves its memory towards its mean: m' = decay * m + (1 - decay) * mean(message).
-    The memory is a table that each batch rewrites in the shared folder.
+    Batches are the micro-batches of a stream over the transfers, which are written by batch once.
     """
-    spark = tx.sparkSession
     t = F.unix_timestamp(F.col("ts").cast("timestamp"))
-    rows = materialize(tx.select("row_id", "src", "dst", F.coalesce("amt_paid", F.lit(0.0)).alias("amt"), t.alias("t"), F.floor(t / batch_seconds).alias("batch")), "memory-events")
-    kind = tx.schema["src"].dataType.simpleString()
-    memory = spark.createDataFrame([], f"node {kind}, memory double, last_update long")
-    for b in sorted(r["batch"] for r in rows.select("batch").distinct().collect()):
-        part = rows.filter(F.col("batch") == b)
-        ends = part.select(F.col("src").alias("node"), F.col("dst").alias("other"), "amt", "t", "row_id").unionAll(part.select(F.col("dst").alias("node"), F.col("src").alias("other"), "amt", "t", "row_id"))
-        own, other = memory.select("node", F.col("memory").alias("m")), memory.select(F.col("node").alias("other"), F.col("memory").alias("o"))
-        msgs = ends.join(own, "node", "left").join(other, "other", "left").select("node", "t", "row_id", ((F.coalesce("m", F.lit(0.0)) + F.coalesce("o", F.lit(0.0)) + F.col("amt")) / 3.0).alias("msg"))
-        last = msgs.groupBy("node").agg(F.max_by("msg", F.struct("t", "row_id", "msg")).alias("msg"), F.max("t").alias("seen"))
-        new = memory.join(last, "node", "full").select("node", F.when(F.col("msg").isNull(), F.col("memory")).otherwise(decay * F.coalesce("memory", F.lit(0.0)) + (1 - decay) * F.col("msg")).alias("memory"), F.greatest("last_update", "seen").alias("last_update"))
-        memory = materialize(new, "memory")
-    return memory
+    rows = tx.select("row_id", "src", "dst", F.coalesce("amt_paid", F.lit(0.0)).alias("amt"), t.alias("t"), F.floor(t / batch_seconds).alias("batch"))
+    model = MemoryModel(1, edge=("amt",), cell="decay", decay=decay, eager=True, together=True)
+    state = NodeState(tx.sparkSession, keep=2)
+    state.replay(stored_batches(rows), model)
+    return state.at()[0].select("node", F.col("memory")[0].alias("memory"), "last_update")
