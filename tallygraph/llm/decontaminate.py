@@ -59,13 +59,16 @@ def _phrases(benchmark: DataFrame, window: int) -> DataFrame:
 
 def with_text_id(docs: DataFrame, name: str) -> DataFrame:
     """docs(doc_id, text, ...) with a number that names the text in postings: the doc_id where no other row has it, else
-    a hash of doc_id and text, so that rows of one id with different texts stay apart. Null for a null doc_id."""
+    a hash of doc_id and text, so that rows of one id with different texts stay apart. A row without id is named by a
+    hash of its text alone: what is found depends on the text only."""
     number = F.col("doc_id").cast("long")
+    text = F.coalesce("text", F.lit(""))
+    nameless = F.xxhash64(F.lit("no id"), text)
     again = docs.filter(number.isNotNull()).groupBy(number.alias(f"{name}_id")).agg(F.count("*").alias(f"{name}_n")).filter(F.col(f"{name}_n") > 1)
     if not again.limit(1).count():
-        return docs.withColumn(name, number)
+        return docs.withColumn(name, F.coalesce(number, nameless))
     found = docs.join(small(again), number == F.col(f"{name}_id"), "left")
-    own = F.when(F.col(f"{name}_n").isNull(), number).otherwise(F.xxhash64(number, F.coalesce("text", F.lit(""))))
+    own = F.when(F.col(f"{name}_n").isNull(), F.coalesce(number, nameless)).otherwise(F.xxhash64(number, text))
     return found.withColumn(name, own).select(*docs.columns, name)
 
 
@@ -129,8 +132,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     A word is hit if it is in any occurrence of ``window`` consecutive words of an item of benchmark(item_id, text); an
     item of fewer words, but not none, is one window. items_sha256 is that of the items' ids, sorted as strings and
     comma-joined; of nothing where there is none. A null or empty text, or one without words, has no words and no hit.
-    Items with a null id or no words are left out, repeated items count once. A null doc_id is never hit, for it names
-    no document; rows that repeat a doc_id are each answered by their own text. Other columns are left out; empty tables are allowed.
+    Items with a null id or no words are left out, repeated items count once. Rows without doc_id and rows that repeat one
+    are each answered by their own text. Other columns are left out; empty tables are allowed.
     """
     docs = with_text_id(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "text_id")
     phrases, terms, index = phrase_index(docs.select(F.col("text_id").alias("doc_id"), "text"), benchmark, window)
@@ -138,19 +141,17 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     hit = spans.select("doc_id", F.explode(F.sequence("begin", "end")).alias("pos")).distinct().groupBy("doc_id").agg(F.count("*").alias("n_hit"))
     items = spans.select("doc_id", "item_id").distinct().groupBy("doc_id").agg(F.sort_array(F.collect_list("item_id")).alias("items"))
     found = hit.join(items, "doc_id")
-    # A null id names no text in the index; the few such rows count their words themselves.
-    own = F.when(F.col("text_id").isNull(), F.coalesce(F.regexp_count("text", F.lit(_RAW_WORD)), F.lit(0))).cast("long")
     sizes = index.filter(F.col("term_id") == END_ID).groupBy(F.col("doc_id").alias("text_id")).agg(F.max("pos").cast("long").alias("size"))
-    out = docs.select("doc_id", "text_id", own.alias("own")).join(sizes, "text_id", "left").join(found.withColumnRenamed("doc_id", "text_id"), "text_id", "left")
-    out = out.withColumns({"n_words": F.coalesce("own", "size", F.lit(0).cast("long")), "n_hit": F.coalesce("n_hit", F.lit(0)).cast("long")})
+    out = docs.select("doc_id", "text_id").join(sizes, "text_id", "left").join(found.withColumnRenamed("doc_id", "text_id"), "text_id", "left")
+    out = out.withColumns({"n_words": F.coalesce("size", F.lit(0).cast("long")), "n_hit": F.coalesce("n_hit", F.lit(0)).cast("long")})
     ids = F.coalesce("items", F.array().cast("array<string>"))
     return out.select("doc_id", "n_words", "n_hit", F.size(ids).cast("long").alias("n_items"), F.sha2(F.concat_ws(",", ids), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The rows of docs, all columns unchanged, that hold no window of the benchmark."""
+    """The rows of docs, with id or without, all columns unchanged, that hold no window of the benchmark."""
     name = fresh(docs, "text_id")
     rows = with_text_id(docs, name)
-    texts = rows.filter(F.col(name).isNotNull()).select(F.col(name).alias("doc_id"), "text")
+    texts = rows.select(F.col(name).alias("doc_id"), "text")
     bad = materialize(phrase_matches(*phrase_index(texts, benchmark, window)).select("doc_id").distinct(), "contaminated")
     return rows.join(small(bad.withColumnRenamed("doc_id", name)), name, "left_anti").select(*docs.columns)

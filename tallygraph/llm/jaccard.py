@@ -140,17 +140,9 @@ def _doc_id(row: str) -> Column:
     return F.when(F.col(row)["copy"] == 0, F.col(row)["id"])
 
 
-def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """doc_id, n_shingles, component_id for each row of documents(doc_id, text).
-
-    Two documents link when den * |intersection| >= num * |union| of their shingle sets; component_id is the least
-    doc_id that links reach, the row's own included. A null or empty text, or one of white space, has no shingle,
-    links with nothing and is its own component. A row with a null doc_id links like any other, and others may be
-    reached through it; a component of such rows alone has a null component_id. Repeated rows are each answered. Other columns are left out. An empty table
-    gives an empty result. Sets are told apart by 64-bit signature and size.
-    """
+def _grouped(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """row, n, component_id and least (the component's least row) for each of docs(row, text); see jaccard_components."""
     t = _Threshold(num, den)
-    docs = with_row_key(docs.select("doc_id", "text"), "row").select("row", "text")
     sets = materialize(_sets(docs, width), "sets")
     # Null ids come last among keys, so a class has no id only if none of its rows has.
     classes = sets.filter("n > 0").groupBy("sig", "n").agg(F.min("row").alias("row"))
@@ -201,16 +193,39 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int
             labels = components(links.unionAll(more))
 
     placed = classes.join(labels.withColumnRenamed("v", "sig"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
-    least = placed.groupBy("label").agg(F.min(_doc_id("row")).alias("component_id"))
-    found = placed.join(least, "label").select("sig", "n", "component_id")
+    least = placed.groupBy("label").agg(F.min(_doc_id("row")).alias("component_id"), F.min("row").alias("least"))
+    found = placed.join(least, "label").select("sig", "n", "component_id", "least")
     out = sets.join(found, ["sig", "n"], "left")
     own_id = F.when(F.col("n") > 0, F.coalesce("component_id", _doc_id("row"))).otherwise(_doc_id("row"))
-    return out.select(_doc_id("row").alias("doc_id"), F.col("n").alias("n_shingles"), own_id.alias("component_id"))
+    return out.select("row", "n", own_id.alias("component_id"), "least")
+
+
+def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """doc_id, n_shingles, component_id for each row of documents(doc_id, text).
+
+    Two documents link when den * |intersection| >= num * |union| of their shingle sets; component_id is the least
+    doc_id that links reach, the row's own included. A null or empty text, or one of white space, has no shingle,
+    links with nothing and is its own component. A row with a null doc_id links like any other, and others may be
+    reached through it; a component of such rows alone has a null component_id. Repeated rows are each answered. Other columns are left out. An empty table
+    gives an empty result. Sets are told apart by 64-bit signature and size.
+    """
+    docs = with_row_key(docs.select("doc_id", "text"), "row").select("row", "text")
+    found = _grouped(docs, width, num, den)
+    return found.select(_doc_id("row").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id")
 
 
 def keep_one_of_each(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """The rows of docs, all columns unchanged, whose doc_id is the least of its component; those without shingles or id stay."""
-    found = jaccard_components(docs, width, num, den)
-    gone = materialize(found.filter("n_shingles > 0 and doc_id > component_id").select("doc_id").distinct(), "near-duplicates")
-    name = fresh(docs, "gone_id")
-    return docs.join(small(gone.withColumnRenamed("doc_id", name)), docs["doc_id"].cast("long") == F.col(name), "left_anti").select(*docs.columns)
+    """The rows of docs, all columns unchanged, without those that are not the first of their component: by doc_id, then by a
+    hash of the text; rows without id come last. A row without shingles stays. Rows of one id are told apart by their
+    texts; of rows with one id and one text, any one stays.
+    """
+    name = fresh(docs, "row_key")
+    rows = with_row_key(docs, name)
+    found = materialize(_grouped(rows.select(F.col(name).alias("row"), "text"), width, num, den).filter("n > 0").select("row", "least"), "near-duplicates")
+    gone = found.filter(F.col("row") != F.col("least")).select(F.col("row").alias(name)).distinct()
+    kept = rows.join(small(gone), name, "left_anti")
+    again = found.filter(F.col("row") == F.col("least")).groupBy("row").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("row").alias(name))
+    if again.limit(1).count():
+        again = small(again)
+        kept = kept.join(again, name, "left_anti").unionByName(kept.join(again, name, "left_semi").dropDuplicates([name]))
+    return kept.select(*docs.columns)
