@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
+
+from . import weights as V
+
 ORACLE: dict[str, str] = {}
 
 _TX = """tx AS (
@@ -326,3 +330,112 @@ n{_b} AS (SELECT en.node, t, row_id, (coalesce(o.h, 0) + coalesce(p.h, 0) + amt)
 d{_b} AS (SELECT node, m, t FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY t DESC, row_id DESC) AS r FROM n{_b}) WHERE r = 1),
 mem{_b + 1} AS (SELECT d.node, 0.5 * coalesce(o.h, 0) + 0.5 * m AS h, t AS u FROM d{_b} d LEFT JOIN mem{_b} o USING (node) UNION ALL SELECT node, h, u FROM mem{_b} WHERE node NOT IN (SELECT node FROM d{_b}))"""
 _add("state_memory_replay", _DECAY, _MEM3)
+
+# Embeddings and event scores: dense layers are written out from the same weights.
+_CNT = _TX + """,
+cx AS (SELECT row_id + 1 AS edge_id, ts, src + 1 AS src, dst + 1 AS dst, fmt, t, ln(1 + greatest(coalesce(amt_paid, 0), 0)) AS amt FROM tx),
+nf AS (SELECT node_id, ln(1 + coalesce(o.c, 0)) AS x0, ln(1 + coalesce(i.c, 0)) AS x1 FROM (SELECT src AS node_id FROM cx UNION SELECT dst FROM cx)
+  LEFT JOIN (SELECT src AS node_id, count(*) AS c FROM cx GROUP BY src) o USING (node_id) LEFT JOIN (SELECT dst AS node_id, count(*) AS c FROM cx GROUP BY dst) i USING (node_id)),
+ca AS (SELECT src AS node, dst AS nbr, edge_id, t, amt FROM cx UNION ALL SELECT dst, src, edge_id, t, amt FROM cx)"""
+
+
+def _slots(name: str, frontier: str) -> str:
+    """The three latest neighbours of each node before t, and pads of zeros for those that lack."""
+    return f"""
+{name}a AS (SELECT f.node, f.t, a.nbr, a.t AS nbr_t, a.amt FROM {frontier} f JOIN ca a ON a.node = f.node AND a.t < f.t QUALIFY row_number() OVER (PARTITION BY f.node, f.t ORDER BY a.t DESC, a.edge_id DESC, a.nbr DESC) <= 3),
+{name} AS (SELECT node, t, nbr, nbr_t, amt FROM {name}a UNION ALL SELECT node, t, 0, 0, 0 FROM (SELECT f.node, f.t, count(nbr) AS c FROM {frontier} f LEFT JOIN {name}a a ON a.node = f.node AND a.t = f.t GROUP BY 1, 2), range(3) r(i) WHERE i >= c)"""
+
+
+_CODE2 = ["cos((s.t - s.nbr_t)::DOUBLE)", "cos((s.t - s.nbr_t) * 1e-9::DOUBLE)"]
+
+
+def _sum_step(slots: str, known: str, w: dict) -> str:
+    one = V.affine(["k.z0", "k.z1", *_CODE2, "s.amt"], w["w1"], w["b1"])
+    two = V.affine(["greatest(g0, 0)", "greatest(g1, 0)", "o.z0", "o.z1", "1", "1"], w["w2"], w["b2"])
+    total = ", ".join(f"sum({c}) AS g{k}" for k, c in enumerate(one))
+    return f"SELECT node, t, {V.named(two, 'z')} FROM (SELECT s.node, s.t, {total} FROM {slots} s JOIN {known} k ON k.node = s.nbr AND k.t = s.t GROUP BY 1, 2) JOIN {known} o USING (node, t)"
+
+
+_FRONT = _CNT + ",\npr AS (SELECT DISTINCT src AS node, t FROM cx)," + _slots("s1", "pr") + ",\nf1 AS (SELECT node, t FROM pr UNION SELECT nbr, t FROM s1)"
+_ZERO = "SELECT f.node, f.t, coalesce(x0, 0) AS z0, coalesce(x1, 0) AS z1 FROM {} f LEFT JOIN nf ON nf.node_id = f.node"
+_Z2 = "SELECT node, t, round(z0, 6) AS z0, round(z1, 6) AS z1 FROM "
+_add("embedding_graph_sum", _FRONT + "," + _slots("s2", "f1") + f""",
+f2 AS (SELECT node, t FROM f1 UNION SELECT nbr, t FROM s2),
+k0 AS ({_ZERO.format('f2')}),
+k1 AS ({_sum_step('s2', 'k0', V.SUM_LAYERS[0])}),
+k2 AS ({_sum_step('s1', 'k1', V.SUM_LAYERS[1])})""", _Z2 + "k2")
+
+
+def _attention(w: dict) -> str:
+    q = V.affine(["o.z0", "o.z1", "1", "1"], w["wq"], w["bq"])
+    keys = ["k.z0", "k.z1", "s.amt", *_CODE2]
+    k, v = V.affine(keys, w["wk"], w["bk"]), V.affine(keys, w["wv"], w["bv"])
+    dot = [f"({q[2 * h]} * {k[2 * h]} + {q[2 * h + 1]} * {k[2 * h + 1]}) / sqrt(2.0::DOUBLE) AS d{h}" for h in range(2)]
+    rows = f"SELECT s.node, s.t, o.z0, o.z1, {', '.join(dot)}, {V.named(v, 'v')}, s.nbr FROM s1 s JOIN k0 k ON k.node = s.nbr AND k.t = s.t JOIN k0 o ON o.node = s.node AND o.t = s.t"
+    top = f"SELECT *, {', '.join(f'exp(d{h} - max(d{h}) OVER (PARTITION BY node, t)) AS e{h}' for h in range(2))} FROM ({rows}) WHERE nbr <> 0"
+    heads = [f"sum(e{c // 2} * v{c}) / sum(e{c // 2})" for c in range(4)]
+    out = V.affine([f"a{c}" for c in range(4)], w["wo"], w["bo"])
+    att = f"SELECT node, t, {V.named(out, 'a')} FROM (SELECT node, t, {V.named(heads, 'a')} FROM ({top}) GROUP BY 1, 2)"
+    merged = V.affine(V.relu(V.affine([*(f"coalesce(a{c}, 0)" for c in range(4)), "o.z0", "o.z1"], w["m1"], w["c1"])), w["m2"], w["c2"])
+    return f"SELECT pr.node, pr.t, {V.named(merged, 'z')} FROM pr JOIN k0 o ON o.node = pr.node AND o.t = pr.t LEFT JOIN ({att}) a ON a.node = pr.node AND a.t = pr.t"
+
+
+_add("embedding_graph_attention", _FRONT + f",\nk0 AS ({_ZERO.format('f1')}),\nk1 AS ({_attention(V.ATTENTION)})", _Z2 + "k1")
+_add("embedding_time", _GAPS + """,
+st AS (SELECT avg(coalesce(gs, t)) AS m, stddev_pop(coalesce(gs, t)) AS s FROM gp),
+oc AS (SELECT e.acct, ln(1 + coalesce(o, 0)) AS x0, ln(1 + coalesce(i, 0)) AS x1 FROM (SELECT DISTINCT acct FROM ends) e LEFT JOIN (SELECT src AS acct, count(*) AS o FROM tx GROUP BY src) USING (acct) LEFT JOIN (SELECT dst AS acct, count(*) AS i FROM tx GROUP BY dst) USING (acct)),
+gg AS (SELECT row_id, src, (coalesce(gs, 0) - m) / s AS g FROM gp, st)""",
+     "SELECT row_id + 1 AS row_id, " + ", ".join(f"round(x{k} * (1 + (g * {float(V.TIME['weight'][k])!r}::DOUBLE + {float(V.TIME['bias'][k])!r}::DOUBLE)), 4) AS z{k}" for k in range(2)) + " FROM gg JOIN oc ON gg.src = oc.acct")
+
+_EV = _CNT + """,
+et AS (SELECT fmt, row_number() OVER (ORDER BY f) - 1 AS event_type FROM (SELECT fmt, min((ts, edge_id)) AS f FROM cx GROUP BY fmt)),
+evs AS (SELECT cx.*, event_type, (t - min(t) OVER ()) / (max(t) OVER () - min(t) OVER ())::DOUBLE AS s, (row_number() OVER (ORDER BY ts, edge_id) - 1) // 100 AS batch FROM cx JOIN et USING (fmt))"""
+_SIN4 = ["sin(s)", "sin(s * 0.01::DOUBLE)", "cos(s)", "cos(s * 0.01::DOUBLE)"]
+
+
+def _self_attention(rows: str, qkv: list[str], heads: int = 2) -> str:
+    """edge_id and a0 to a3: rows(edge_id, batch, ...) with 12 expressions of queries, keys and values, attending in their batch."""
+    table = f"(SELECT *, {V.named(qkv, 'q')} FROM {rows})"
+    dot = [f"(a.q{2 * h} * b.q{4 + 2 * h} + a.q{2 * h + 1} * b.q{5 + 2 * h}) / sqrt(2.0::DOUBLE) AS d{h}" for h in range(heads)]
+    pairs = f"SELECT a.edge_id, {', '.join(dot)}, {', '.join(f'b.q{8 + c} AS v{c}' for c in range(4))} FROM {table} a JOIN {table} b USING (batch)"
+    top = f"SELECT *, {', '.join(f'exp(d{h} - max(d{h}) OVER (PARTITION BY edge_id)) AS e{h}' for h in range(heads))} FROM ({pairs})"
+    return f"SELECT edge_id, {V.named([f'sum(e{c // 2} * v{c}) / sum(e{c // 2})' for c in range(4)], 'a')} FROM ({top}) GROUP BY edge_id"
+
+
+_w = V.EVENTS
+_N = lambda p: V.affine([f"{p}.x0", f"{p}.x1"], _w["node"], _w["node_b"])
+_add("event_attention_scores", _EV + f""",
+hh AS (SELECT edge_id, batch, {V.named(V.affine([*_N('a'), *_N('b'), 'amt', *_SIN4], _w['event'], _w['event_b']), 'h')} FROM evs JOIN nf a ON a.node_id = src JOIN nf b ON b.node_id = dst),
+aa AS ({_self_attention('hh', V.affine(['h0', 'h1', 'h2', 'h3'], _w['qkv0'], _w['qkv0_b']))}),
+rr AS (SELECT edge_id, {V.named([f'h{k} + {c}' for k, c in enumerate(V.affine(['a0', 'a1', 'a2', 'a3'], _w['out0'], _w['out0_b']))], 'r')} FROM hh JOIN aa USING (edge_id)),
+mm AS (SELECT *, (r0 + r1 + r2 + r3) / 4 AS m FROM rr),
+vv AS (SELECT *, sqrt(((r0 - m) * (r0 - m) + (r1 - m) * (r1 - m) + (r2 - m) * (r2 - m) + (r3 - m) * (r3 - m)) / 4 + 1e-5::DOUBLE) AS d FROM mm),
+nn AS (SELECT edge_id, {V.named([f"(r{k} - m) / d * {float(_w['norm'][k])!r}::DOUBLE + {float(_w['norm_b'][k])!r}::DOUBLE" for k in range(4)], 'n')} FROM vv)""",
+     f"SELECT edge_id, round({V.sigmoid(V.affine(V.relu(V.affine(['n0', 'n1', 'n2', 'n3'], _w['hidden'], _w['hidden_b'])), _w['last'], _w['last_b'])[0])}, 6) AS score FROM nn")
+_QKV = V.affine(["amt", "ln(1 + src)", "ln(1 + dst)", "event_type::DOUBLE"], _w["qkv0"], np.zeros(12))
+_add("batch_attention", _EV + f", aa AS ({_self_attention('evs', _QKV)})", "SELECT edge_id, " + ", ".join(f"round(a{k}, 6) AS a{k}" for k in range(4)) + " FROM aa")
+
+_m = V.EMBEDDED
+_H = lambda p: [f"{c} + sin({p}.node_id * {k + 1}.0::DOUBLE)" for k, c in enumerate(V.affine([f"{p}.x0", f"{p}.x1"], _m["node"], _m["node_b"]))]
+_IN = [*_H("a"), *_H("b"), "amt", "sin(s)", "cos(s)", "cos(event_type::DOUBLE)", "cos(event_type * 2.0::DOUBLE)"]
+_add("embedded_event_scores", _EV, f"SELECT edge_id, round({V.sigmoid(V.affine(V.relu(V.affine(_IN, _m['hidden'], _m['hidden_b'])), _m['last'], _m['last_b'])[0])}, 6) AS score FROM evs JOIN nf a ON a.node_id = src JOIN nf b ON b.node_id = dst")
+
+
+def _sage(name: str, known: str, p: str, q: str, width: int, w_self: np.ndarray, w_nbr: np.ndarray, bias: np.ndarray, edges: str = "cx") -> str:
+    """A mean neighbour layer: known(node_id, p0, ...) to name(node_id, q0, ...)."""
+    means = ", ".join(f"avg({p}{k}) AS g{k}" for k in range(width))
+    columns = [f"{p}{k}" for k in range(width)] + [f"coalesce(g{k}, 0)" for k in range(width)]
+    out = V.relu(V.affine(columns, np.vstack([w_self, w_nbr]), bias))
+    return f",\n{name} AS (SELECT node_id, {V.named(out, q)} FROM {known} LEFT JOIN (SELECT dst AS node_id, {means} FROM {edges} JOIN {known} k ON k.node_id = src GROUP BY dst) USING (node_id))"
+
+
+_s = V.SAVED
+_BOTH = [f"{p}.h{k}" for p in "ab" for k in range(3)]
+_add("rescored_edges", _EV + _sage("l1", "nf", "x", "y", 2, _s["self0"], _s["nbr0"], _s["bias0"]) + _sage("l2", "l1", "y", "h", 2, _s["self1"], _s["nbr1"], _s["bias1"]),
+     f"SELECT edge_id, round({V.sigmoid(V.affine(V.relu(V.affine([*_BOTH, 'amt', 'sin(s)', 'cos(s)'], _s['hidden'], _s['hidden_b'])), _s['last'][:, None], _s['last_b'].reshape(1))[0])}, 6) AS score FROM evs JOIN l2 a ON a.node_id = src JOIN l2 b ON b.node_id = dst")
+# The weights of sage_edge_scores, drawn in its order.
+_rng = np.random.default_rng(0)
+_g = [_rng.normal(size=n) for n in ((2, 4), (2, 4), (9, 8), (8,))]
+_add("sage_edge_scores", _TX + """,
+oc AS (SELECT e.acct AS node_id, ln(1 + coalesce(o, 0)) AS x0, ln(1 + coalesce(i, 0)) AS x1 FROM (SELECT DISTINCT acct FROM ends) e LEFT JOIN (SELECT src AS acct, count(*) AS o FROM tx GROUP BY src) USING (acct) LEFT JOIN (SELECT dst AS acct, count(*) AS i FROM tx GROUP BY dst) USING (acct))""" + _sage("l1", "oc", "x", "h", 2, _g[0], _g[1], np.zeros(4), "tx"),
+     f"SELECT row_id AS edge_id, round({V.sigmoid(V.affine(V.relu(V.affine([*(f'{p}.h{k}' for p in 'ab' for k in range(4)), 'ln(1 + greatest(amt_paid, 0))'], _g[2], np.zeros(8))), _g[3][:, None], np.zeros(1))[0])}, 6) AS score FROM tx JOIN l1 a ON a.node_id = src JOIN l1 b ON b.node_id = dst")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import exprs as X
 from ..operators import accounts as A
 from ..operators import checks as C
+from ..operators import embedding as E
 from ..operators import graph as G
 from ..operators import metrics as M
 from ..operators import models as L
@@ -20,6 +23,8 @@ from ..operators import temporal as T
 from ..sources import fixtures as X0
 from ..streaming import memory as Y
 from ..streaming import state as K
+from . import weights as V
+from .work import work_path
 
 QUERIES: dict = {}
 EVENT_TYPES = ["click", "login", "purchase", "view"]
@@ -672,4 +677,85 @@ def sage_edge_scores(spark, d):
     nodes = A.degree_stats(tx).select(F.col("acct").alias("node_id"), F.log1p("out_count").alias("a"), F.log1p("in_count").alias("b"))
     edges = tx.select(F.col("row_id").alias("edge_id"), "src", "dst", X.log1p_safe(F.col("amt_paid")).alias("w"))
     h = S.sage_layer(edges, nodes, ["a", "b"], rng.normal(size=(2, 4)), rng.normal(size=(2, 4)), np.zeros(4))
-    return S.edge_mlp(edges, h, ["w"], rng.normal(size=(9, 8)), np.zeros(8), rng.normal(size=8), 0.0)
+    return r6(S.edge_mlp(edges, h, ["w"], rng.normal(size=(9, 8)), np.zeros(8), rng.normal(size=8), 0.0))
+
+
+def _counted(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Transfers whose accounts and rows count from 1, their nodes' features (logs of degrees) and their edges' (log of the amount)."""
+    tx = _tx(spark, d).withColumns({c: F.col(c) + 1 for c in ("src", "dst", "row_id")})
+    nodes = A.degree_stats(tx).select(F.col("acct").alias("node_id"), F.array(F.log1p("out_count"), F.log1p("in_count")).alias("x"))
+    return tx, nodes, tx.select(F.col("row_id").alias("edge_id"), F.array(X.log1p_safe(F.col("amt_paid"))).alias("e"))
+
+
+def _pair(df: DataFrame, *keys: str) -> DataFrame:
+    return r6(df.select(*keys, F.col("z")[0].alias("z0"), F.col("z")[1].alias("z1")))
+
+
+def _senders(tx: DataFrame) -> DataFrame:
+    return tx.select(F.col("src").alias("node"), X.epoch(F.col("ts")).alias("t"))
+
+
+@query
+def embedding_time(spark, d):
+    """Senders' degrees as memory, scaled by the normalised time since they last sent."""
+    tx, nodes, _ = _counted(spark, d)
+    stats = A.interevent_stats(tx)
+    gap = (F.col("gap_src") - F.col("mean_src")) / F.col("std_src")
+    gaps = A.gaps(tx).join(tx.select("row_id", F.col("src").alias("node")), "row_id").crossJoin(F.broadcast(stats)).select("row_id", "node", gap.alias("gap"))
+    rows = E.time_embedding(nodes.select(F.col("node_id").alias("node"), F.col("x").alias("memory")), gaps, V.TIME["weight"], V.TIME["bias"])
+    return rows.select("row_id", *[F.round(F.col("z")[k], 4).alias(f"z{k}") for k in range(2)])
+
+
+@query
+def embedding_graph_sum(spark, d):
+    """Two summing layers over the three latest neighbours, for every sender at each of its times."""
+    tx, nodes, edges = _counted(spark, d)
+    return _pair(E.graph_embeddings(tx, _senders(tx), nodes, edges, V.SUM_LAYERS, 3, 2, "sum"), "node", "t")
+
+
+@query
+def embedding_graph_attention(spark, d):
+    """One attention layer of two heads over the three latest neighbours."""
+    tx, nodes, edges = _counted(spark, d)
+    return _pair(E.graph_embeddings(tx, _senders(tx), nodes, edges, [V.ATTENTION], 3, 2, "attention"), "node", "t")
+
+
+def _event_rows(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    tx, nodes, _ = _counted(spark, d)
+    kinds = G.event_type_ids(tx)
+    rows = tx.select("ts", F.col("row_id").alias("edge_id"), "src", "dst", X.epoch(F.col("ts")).alias("t"), X.log1p_safe(F.col("amt_paid")).alias("amt"), "fmt")
+    return rows.join(F.broadcast(kinds), "fmt").drop("fmt"), nodes
+
+
+@query
+def event_attention_scores(spark, d):
+    """Scores of events that attend to the hundred of their batch."""
+    events, nodes = _event_rows(spark, d)
+    batches = P.batches(events.select("ts", "edge_id"), 100, "ts", "edge_id").select("edge_id", "batch")
+    return r6(E.attention_scores(events.join(batches, "edge_id"), nodes, ["amt"], V.EVENTS, 2, 1, 4))
+
+
+@query
+def embedded_event_scores(spark, d):
+    """Scores of events by tables of node and type vectors."""
+    events, nodes = _event_rows(spark, d)
+    vector = lambda df, key, f: df.select(key, F.array(f(F.col(key) * 1.0), f(F.col(key) * 2.0)).alias("v"))
+    return r6(E.embedded_event_scores(events, nodes, vector(nodes, "node_id", F.sin), vector(events.select("event_type").distinct(), "event_type", F.cos), ["amt"], V.EMBEDDED, 2))
+
+
+@query
+def rescored_edges(spark, d):
+    """Scores of edges by weights that were saved and read back."""
+    events, nodes = _event_rows(spark, d)
+    path = work_path(spark, f"weights-{uuid.uuid4().hex}")
+    E.save_weights(spark, path, V.SAVED, ["a", "b"], ["amt"])
+    return r6(E.rescore(spark, path, events, nodes.select("node_id", F.col("x")[0].alias("a"), F.col("x")[1].alias("b")), 2))
+
+
+@query
+def batch_attention(spark, d):
+    """Self-attention among the hundred events of a batch, two heads."""
+    events, _ = _event_rows(spark, d)
+    rows = P.batches(events, 100, "ts", "edge_id").select("edge_id", "batch", F.array(F.col("amt"), F.log1p("src"), F.log1p("dst"), F.col("event_type") * 1.0).alias("x"))
+    wq, wk, wv = (V.EVENTS["qkv0"][:, 4 * k : 4 * k + 4] for k in range(3))
+    return r6(S.batch_attention(rows, "x", "batch", wq, wk, wv, 2).select("edge_id", *[F.col("att")[k].alias(f"a{k}") for k in range(4)]))
