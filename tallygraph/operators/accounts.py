@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
+from ..plans.asof import in_ranges, previous
 from ..plans.work import quantiles_by
 
 
@@ -58,16 +59,24 @@ def bank_flags(tx: DataFrame) -> DataFrame:
     return tx.select("row_id", X.cross(c("from_bank"), c("to_bank")).alias("cross_bank"), X.same(c("from_bank"), c("to_bank")).alias("same_bank"), X.same(c("cur_rec"), c("cur_paid")).alias("same_currency"))
 
 
+def previous_times(tx: DataFrame) -> DataFrame:
+    """tx with _t (epoch seconds) and _before_src, _before_dst: the time of the account's previous transfer as sender, and as
+    receiver; null for its first. No task holds all rows of one account (see plans.asof)."""
+    rows = in_ranges(tx.withColumn("_t", X.epoch(F.col("ts"))), F.col("_t"))
+    narrow = rows.select("ts", "row_id", "src", "dst", "_t", "_range")
+    for k in ("src", "dst"):
+        rows = previous(rows, k, ["ts", "row_id"], "_t", f"_before_{k}", narrow)
+    return rows.drop("_range")
+
+
 def gaps(tx: DataFrame) -> DataFrame:
     """Seconds since the account's previous transfer as sender, and as receiver; 0 for its first."""
-    t = X.epoch(F.col("ts"))
-    back = lambda k: t - F.lag(t).over(Window.partitionBy(k).orderBy("ts", "row_id"))
-    return tx.select("row_id", F.coalesce(back("src"), F.lit(0)).alias("gap_src"), F.coalesce(back("dst"), F.lit(0)).alias("gap_dst"))
+    rows = previous_times(tx.select("row_id", "ts", "src", "dst"))
+    return rows.select("row_id", *[F.coalesce(F.col("_t") - F.col(f"_before_{k}"), F.lit(0)).alias(f"gap_{k}") for k in ("src", "dst")])
 
 
 def interevent_stats(tx: DataFrame) -> DataFrame:
     """Mean and population deviation of times between events of senders and receivers, each account's first counted from 0."""
-    t = X.epoch(F.col("ts"))
-    delta = lambda k: t - F.coalesce(F.lag(t).over(Window.partitionBy(k).orderBy("ts", "row_id")), F.lit(0))
-    rows = tx.select(delta("src").alias("s"), delta("dst").alias("d"))
+    rows = previous_times(tx.select("row_id", "ts", "src", "dst"))
+    rows = rows.select(*[(F.col("_t") - F.coalesce(f"_before_{k}", F.lit(0))).alias(k[0]) for k in ("src", "dst")])
     return rows.agg(F.avg("s").alias("mean_src"), F.stddev_pop("s").alias("std_src"), F.avg("d").alias("mean_dst"), F.stddev_pop("d").alias("std_dst"))

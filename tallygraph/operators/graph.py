@@ -37,11 +37,9 @@ def edge_features(tx: DataFrame, formats: list[str] | None = None, currencies: l
 
     Without a vocabulary the observed values are used, sorted; that is one small driver-side list.
     """
-    t = X.epoch(F.col("ts"))
-    back = lambda k: F.coalesce(t - F.lag(t).over(Window.partitionBy(k).orderBy("ts", "row_id")), F.lit(0))
-    rows = tx.withColumns({"_t": t, "_gs": back("src"), "_gd": back("dst")})
-    one = tx.agg(F.min(t).alias("_lo"), F.max(t).alias("_hi"))
-    rows = rows.crossJoin(F.broadcast(one))
+    ends = tx.agg(F.min(X.epoch(F.col("ts"))).alias("_lo"), F.max(X.epoch(F.col("ts"))).alias("_hi"))
+    rows = A.previous_times(tx).crossJoin(F.broadcast(ends))
+    rows = rows.withColumns({f"_g{k[0]}": F.coalesce(F.col("_t") - F.col(f"_before_{k}"), F.lit(0)) for k in ("src", "dst")})
     c = F.col
     base = [
         X.log1p_safe(c("amt_rec")).alias("log_amt_rec"), X.log1p_safe(c("amt_paid")).alias("log_amt_paid"), X.same(c("from_bank"), c("to_bank")).alias("same_bank"), X.same(c("cur_rec"), c("cur_paid")).alias("same_currency"),

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
+from ..plans.asof import in_ranges, previous
 from ..plans.work import materialize, quantile_row, quantiles_by
 from .accounts import endpoints
 
@@ -58,9 +59,9 @@ def transfer_strain(tx: DataFrame) -> DataFrame:
     tx = tx.withColumn("amt_paid", F.coalesce("amt_paid", F.lit(0.0)))
     stats = tx.groupBy("src").agg(F.avg("amt_paid").alias("_m"), F.coalesce(F.stddev_samp("amt_paid"), F.lit(0.0)).alias("_s"))
     high = quantiles_by(tx.select("src", "amt_paid"), "src", "amt_paid", [0.95]).select("src", F.col("quantile").alias("_p95"))
-    t = X.epoch(F.col("ts"))
-    gap = (t - F.lag(t).over(Window.partitionBy("src").orderBy("ts", "row_id"))) / 3600.0
-    gaps = materialize(tx.withColumn("_gap", gap), "transfer-gaps")
+    timed = in_ranges(tx.withColumn("_t", X.epoch(F.col("ts"))), F.col("_t"))
+    timed = previous(timed, "src", ["ts", "row_id"], "_t", "_before")
+    gaps = materialize(timed.withColumn("_gap", (F.col("_t") - F.col("_before")) / 3600.0).drop("_t", "_before", "_range"), "transfer-gaps")
     rows = gaps.join(stats, "src", "left").join(high, "src", "left").crossJoin(F.broadcast(quantile_row(gaps, {"_median": (F.col("_gap"), 0.5)})))
     dev = F.coalesce((F.col("amt_paid") - F.col("_m")) / F.nullif(F.col("_s"), F.lit(0.0)), F.lit(0.0))
     tgap: Column = 1.0 / (1.0 + F.greatest(F.coalesce("_gap", "_median", F.lit(24.0)), F.lit(0.0)))

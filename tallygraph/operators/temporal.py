@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
+from ..plans.asof import in_ranges, running
 from .splits import sample
 
 
@@ -24,15 +25,16 @@ def _histories(tx: DataFrame, probes: DataFrame) -> tuple[DataFrame, DataFrame]:
     # Events and probes of a node in one order of time: a probe sees the last events of smaller t.
     events = adj.join(asked.select("node").distinct(), "node", "left_semi").select("node", "t", F.lit(1).alias("kind"), "edge_id", "nbr")
     marks = asked.select("node", "t", F.lit(0).alias("kind"), F.lit(None).cast("bigint").alias("edge_id"), F.lit(None).cast(adj.schema["nbr"].dataType).alias("nbr"))
-    w = Window.partitionBy("node").orderBy("t", "kind", "edge_id", "nbr")
-    rows = events.unionByName(marks).withColumn("n", F.sum("kind").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    both = in_ranges(events.unionByName(marks), F.col("t"), tx, X.epoch(F.col("ts")))
+    rows = running(both, "node", ["t", "kind", "edge_id", "nbr"], "kind", "n")
     return rows.filter("kind = 1").select("node", F.col("n").alias("at"), F.col("t").alias("nbr_t"), "edge_id", "nbr"), rows.filter("kind = 0").select("node", "t", "n")
 
 
 def neighbours(tx: DataFrame, probes: DataFrame, k: int, oldest_first: bool = False) -> DataFrame:
     """node, t, rank, nbr, edge_id, nbr_t: the k latest events of a node strictly before t, for each of probes(node, t).
 
-    A running window numbers the node's own events; nothing grows with the square of a node's degree.
+    A running count numbers the node's own events, range of time by range of time (see plans.asof); nothing grows with
+    the square of a node's degree, and no task holds all events of a node.
     """
     numbered, marks = _histories(tx, probes)
     wanted = marks.select("node", "t", "n", F.explode(F.expr(f"sequence(1, {k})")).alias("rank")).filter("rank <= n").withColumn("at", F.col("n") - F.col("rank") + 1)
