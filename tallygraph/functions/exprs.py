@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.work import quantile_row
+from ..plans.work import materialize, quantile_row
 
 EPS = 1e-8
 #: Formats and currencies of the fixed vocabularies.
@@ -117,7 +117,9 @@ def q_norm(df: DataFrame, columns: list[str], q: float = 0.95) -> DataFrame:
 
 
 def standardise(df: DataFrame, columns: list[str], mode: str = "eps", limit: float = 10.0) -> DataFrame:
-    """df with each column as (x - mean) / spread, clipped: spread is std_pop + 1e-6 (``eps``), or std_pop with 1 for less than 1e-6 (``floor``)."""
+    """df with each column as (x - mean) / spread, clipped: spread is std_pop + 1e-6 (``eps``), or std_pop with 1 for less than 1e-6 (``floor``).
+    df is written once, as its means and its rows are both read."""
+    df = materialize(df, "standardise")
     one = df.agg(*[f for c in columns for f in (F.avg(c).alias(f"_a_{c}"), F.stddev_pop(c).alias(f"_s_{c}"))])
 
     def z(c: str) -> Column:

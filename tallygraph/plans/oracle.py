@@ -439,3 +439,56 @@ _g = [_rng.normal(size=n) for n in ((2, 4), (2, 4), (9, 8), (8,))]
 _add("sage_edge_scores", _TX + """,
 oc AS (SELECT e.acct AS node_id, ln(1 + coalesce(o, 0)) AS x0, ln(1 + coalesce(i, 0)) AS x1 FROM (SELECT DISTINCT acct FROM ends) e LEFT JOIN (SELECT src AS acct, count(*) AS o FROM tx GROUP BY src) USING (acct) LEFT JOIN (SELECT dst AS acct, count(*) AS i FROM tx GROUP BY dst) USING (acct))""" + _sage("l1", "oc", "x", "h", 2, _g[0], _g[1], np.zeros(4), "tx"),
      f"SELECT row_id AS edge_id, round({V.sigmoid(V.affine(V.relu(V.affine([*(f'{p}.h{k}' for p in 'ab' for k in range(4)), 'ln(1 + greatest(amt_paid, 0))'], _g[2], np.zeros(8))), _g[3][:, None], np.zeros(1))[0])}, 6) AS score FROM tx JOIN l1 a ON a.node_id = src JOIN l1 b ON b.node_id = dst")
+
+# The fixture with formats and currencies of the fixed vocabularies, for what reads them by name.
+_FORMAT_ORDER = ("Cheque", "Credit Card", "ACH", "Cash", "Reinvestment", "Wire", "Bitcoin")
+_words = lambda values, n: f"(CASE event_id % {n} " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in enumerate(values[:n])) + " END)"
+_WORDED = _TX.replace("event_type AS fmt, (event_id % 3)::VARCHAR AS cur_paid, (event_id % 4)::VARCHAR AS cur_rec", f"{_words(_FORMAT_ORDER, 7)} AS fmt, {_words(_CURRENCIES, 14)} AS cur_paid, {_words(_CURRENCIES, 15)} AS cur_rec")
+assert _WORDED != _TX
+for _name in [*(f"ablation_{_g}" for _g in _LEFT_OUT), "ablation_top20"]:
+    ORACLE[_name] = ORACLE[_name].replace(_TX, _WORDED)
+
+_hot = lambda column, prefix, values: [f"(({column} = '{v}')::BIGINT)::DOUBLE AS \"{prefix}_{v}\"" for v in values]
+_BASE = [c + "::DOUBLE" if c in ("same_bank", "same_currency", "hour_of_day", "day_of_week", "is_weekend") else c for c in ("log_amt_rec", "log_amt_paid", "same_bank", "same_currency", "hour_of_day", "day_of_week", "is_weekend", "ts_normalized", "log_time_since_src", "log_time_since_dst")]
+_NAMES = [c.removesuffix("::DOUBLE") for c in _BASE]
+_PLAIN = [f"{c} AS {n}" for c, n in zip(_BASE, _NAMES)]
+_FLOOR = lambda x: f"least(greatest(coalesce(({x} - avg({x}) OVER ()) / CASE WHEN stddev_pop({x}) OVER () < 1e-6 THEN 1 ELSE stddev_pop({x}) OVER () END, 0), -10), 10)"
+_RAW = {k: x.removeprefix("round(").removesuffix(", 6)") for k, x in _THEORY.items()}
+_EPSED = {k: f"round(coalesce({_z(x)}, 0), 6)" for k, x in _RAW.items()}
+_FLOORED = {k: f"round({_FLOOR(f'({x})::DOUBLE')}, 6)" for k, x in _RAW.items()}
+_COMMON = _OPP.replace(_TX, _WORDED) + _GAPS[len(_TX) :] + _NODES[len(_TX) :] + f""",
+pp AS (SELECT row_id, row_number() OVER (ORDER BY ts, row_id) - 1 AS edge_id FROM tx),
+et AS (SELECT fmt, row_number() OVER (ORDER BY f) - 1 AS event_type FROM (SELECT fmt, min((ts, row_id)) AS f FROM tx GROUP BY fmt)),
+fr AS (SELECT row_id, fmt, cur_rec, dense_rank() OVER (ORDER BY fmt) - 1 AS pf_code, dense_rank() OVER (ORDER BY cur_rec) - 1 AS rc_code, {_FEAT} FROM gp)"""
+
+
+def _layout_edges(columns: list[str], theory: dict[str, str], more: str = "") -> tuple[str, str]:
+    table = f", zs AS (SELECT row_id, {', '.join(f'{x} AS \"{k}\"' for k, x in theory.items())} FROM sc)" if theory else ""
+    join = " JOIN zs USING (row_id)" if theory else ""
+    names = "".join(f', zs."{k}"' for k in theory)
+    return _COMMON + table, f"SELECT pp.edge_id, a.node_id AS src, b.node_id AS dst, t AS ts, label::BIGINT AS label{more}, {', '.join(columns)}{names} FROM tx JOIN pp USING (row_id) JOIN ids a ON tx.src = a.acct JOIN ids b ON tx.dst = b.acct JOIN (SELECT * RENAME (fmt AS fr_fmt, cur_rec AS fr_cur) FROM fr) fr USING (row_id) JOIN et ON et.fmt = tx.fmt{join}"
+
+
+_PF, _RC = _hot("tx.fmt", "pf", _FORMAT_ORDER), _hot("tx.cur_rec", "rc", _CURRENCIES)
+_CUR_RECV, _FMT_ = _hot("tx.cur_rec", "cur_recv", _CURRENCIES), _hot("tx.fmt", "fmt", _FORMAT_ORDER)
+_add("graph_static_baseline", *_layout_edges(_PLAIN + _PF + _RC, {}))
+_add("graph_static_theory", *_layout_edges([*_PLAIN, "pf_code::DOUBLE AS pf_code", "rc_code::DOUBLE AS rc_code"], _EPSED))
+_add("graph_events_baseline", *_layout_edges(_PLAIN + _CUR_RECV + _FMT_, {}))
+_add("graph_events_theory", *_layout_edges([f"least(greatest({c}, -10), 10) AS {n}" for c, n in zip(_BASE, _NAMES)] + _CUR_RECV + _FMT_, _FLOORED))
+_add("graph_typed_baseline", *_layout_edges(_PLAIN + _PF + _RC, {}, ", event_type"))
+_add("graph_typed_theory", *_layout_edges(_PLAIN + _PF + _RC, _EPSED, ", event_type"))
+
+_NODE = _NODES.replace(_TX, _WORDED) + _ET[len(_TX) :] + """,
+lab AS (SELECT acct, max(label) AS y, sum(label)::BIGINT AS n FROM ends GROUP BY acct),
+o AS (SELECT src AS acct, count(*) AS c FROM tx GROUP BY src), i AS (SELECT dst AS acct, count(*) AS c FROM tx GROUP BY dst),
+nd AS (SELECT node_id, et.acct, y::BIGINT AS y_node, entity_type, n, coalesce(o.c, 0) AS od, coalesce(i.c, 0) AS id FROM et JOIN ids USING (acct) JOIN lab USING (acct) LEFT JOIN o USING (acct) LEFT JOIN i USING (acct))"""
+_DEGS = "od::DOUBLE AS out_degree, id::DOUBLE AS in_degree, (od + id)::DOUBLE AS total_degree"
+_LOGS = "round(ln(1 + od), 6) AS log_out_degree, round(ln(1 + id), 6) AS log_in_degree, round(ln(1 + od + id), 6) AS log_total_degree"
+for _name in ("static_baseline", "events_baseline", "typed_baseline", "typed_theory"):
+    _add(f"graph_{_name}_nodes", _NODE, f"SELECT node_id, acct, y_node, {_DEGS}, {_LOGS}, {_HOT} FROM nd")
+_add("graph_static_theory_nodes", _NODE, f"SELECT node_id, acct, y_node, {_DEGS}, {_LOGS} FROM nd")
+_add("graph_events_theory_nodes", _NODE, f"SELECT node_id, acct, y_node, {_DEGS}, n::DOUBLE AS laundering_count FROM nd")
+_cols = [f'"{c}"' for c in [*_NAMES, *(f"cur_recv_{v}" for v in _CURRENCIES), *(f"fmt_{v}" for v in _FORMAT_ORDER)]]
+_ctes, _select = _layout_edges(_PLAIN + _CUR_RECV + _FMT_, {})
+_add("graph_written_and_read", _ctes + f", g AS ({_select}), u AS (SELECT unnest([{', '.join(c.replace(chr(34), chr(39)) for c in _cols)}]) AS feature, unnest([{', '.join(_cols)}]) AS v FROM g)",
+     "SELECT feature, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std, round(min(v), 6) AS min, round(max(v), 6) AS max, count(*) FILTER (v IS NULL OR isnan(v)) AS n_bad FROM u GROUP BY feature")

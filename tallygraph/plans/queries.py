@@ -13,6 +13,7 @@ from ..operators import accounts as A
 from ..operators import checks as C
 from ..operators import embedding as E
 from ..operators import graph as G
+from ..operators import layouts as B
 from ..operators import metrics as M
 from ..operators import models as L
 from ..operators import opportunity as R
@@ -329,7 +330,7 @@ def balanced_sample(spark, d):
 
 def _full(spark: SparkSession, d: str) -> DataFrame:
     values = lambda prefix: [c.removeprefix(prefix) for c in P.FULL_FEATURES if c.startswith(prefix)]
-    return P.full_features(G.edge_features(_tx(spark, d), formats=values("pf_"), currencies=values("rc_")), _opp(spark, d))
+    return P.full_features(G.edge_features(X0.worded_transfers(spark, d), formats=values("pf_"), currencies=values("rc_")), _opp(spark, d))
 
 
 def _ablation(group: str):
@@ -759,3 +760,27 @@ def batch_attention(spark, d):
     rows = P.batches(events, 100, "ts", "edge_id").select("edge_id", "batch", F.array(F.col("amt"), F.log1p("src"), F.log1p("dst"), F.col("event_type") * 1.0).alias("x"))
     wq, wk, wv = (V.EVENTS["qkv0"][:, 4 * k : 4 * k + 4] for k in range(3))
     return r6(S.batch_attention(rows, "x", "batch", wq, wk, wv, 2).select("edge_id", *[F.col("att")[k].alias(f"a{k}") for k in range(4)]))
+
+
+def _built(spark: SparkSession, d: str, layout: str) -> B.Graph:
+    tx = B.in_time_order(X0.worded_transfers(spark, d))
+    theory = R.opportunity(tx, X0.accounts(spark, d), X0.patterns(spark, d)) if B.LAYOUTS[layout].theory else None
+    return B.build(tx, layout, X0.accounts(spark, d), theory, types=["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"])
+
+
+def _layout(name: str):
+    QUERIES[f"graph_{name}"] = lambda spark, d: r6(_built(spark, d, name).edges)
+    QUERIES[f"graph_{name}_nodes"] = lambda spark, d: r6(_built(spark, d, name).nodes)
+
+
+for _name in B.LAYOUTS:
+    _layout(_name)
+
+
+@query
+def graph_written_and_read(spark, d):
+    """Feature summaries of an event layout that was written with its manifest and read back."""
+    tx = B.in_time_order(X0.worded_transfers(spark, d))
+    path = work_path(spark, f"graph-{uuid.uuid4().hex}")
+    B.write_graph(B.build(tx, "events_baseline", X0.accounts(spark, d)), path, tx)
+    return r6(B.feature_summary(B.read_graph(spark, path)))

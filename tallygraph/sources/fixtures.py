@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.exprs import FORMATS
+from ..operators.layouts import CURRENCIES
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -22,6 +25,13 @@ def transfers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def worded_transfers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same transfers with formats and currencies of the fixed vocabularies."""
+    pick = lambda words, n: F.element_at(F.array(*[F.lit(w) for w in words]), (F.col("row_id") % n + 1).cast("int"))
+    new = {"fmt": pick(FORMATS, len(FORMATS)), "cur_rec": pick(CURRENCIES, len(CURRENCIES)), "cur_paid": pick(CURRENCIES, len(CURRENCIES) - 1)}
+    return transfers(spark, sf_dir).withColumns(new)
+
+
 def order_transfers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The larger graph: customers to suppliers by order line."""
     li, o = _table(spark, sf_dir, "lineitem"), _table(spark, sf_dir, "orders")
