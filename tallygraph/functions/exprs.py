@@ -67,6 +67,15 @@ def epoch(ts: Column) -> Column:
     return F.unix_timestamp(ts.cast("timestamp"))
 
 
+def from_epoch(seconds: Column) -> Column:
+    """The timestamp (without zone, in UTC) of epoch seconds."""
+    return F.timestamp_seconds(seconds).cast("timestamp_ntz")
+
+
+def hours_since(seconds: Column, start: Column) -> Column:
+    return (seconds - start) / 3600.0
+
+
 def entity_type(name: Column) -> Column:
     """Text before '#'; else all words but the last; a single word as it is; Unknown for null or blank."""
     t = F.trim(name)

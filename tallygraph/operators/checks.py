@@ -30,6 +30,6 @@ def edge_failures(edges: DataFrame, nodes: DataFrame, features: list[str]) -> Da
 
 
 def warnings(stats: DataFrame) -> DataFrame:
-    """check from one row of graph statistics: few positives, many isolated nodes, many repeated timestamps."""
-    rules = [("positives under 1 %", "pct_laundering < 1"), ("positives under 5 %", "pct_laundering < 5")]
+    """check for each rule that one row of graph statistics breaks: few positives, isolated nodes, self-loops."""
+    rules = [("positives under 1 %", "pct_laundering < 1"), ("positives under 5 %", "pct_laundering < 5"), ("isolated nodes", "isolated > 0"), ("self-loops", "self_loops > 0")]
     return stats.select(F.explode(F.array_compact(F.array(*[F.when(F.expr(rule), F.lit(name)) for name, rule in rules]))).alias("check"))

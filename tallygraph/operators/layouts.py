@@ -94,14 +94,16 @@ def build(tx: DataFrame, layout: str, accounts: DataFrame | None = None, theory:
     columns = [c for c in edges.columns if c != "row_id"]
     clean = lambda c: X.clip(X.finite(F.col(f"`{c}`").cast("double")), -form.limit, form.limit) if form.limit else X.finite(F.col(f"`{c}`").cast("double"))
     features = edges.select("row_id", *[clean(c).alias(c) for c in columns])
-    nodes = _nodes(tx, form, accounts, types)
+    nodes = node_table(tx, layout, accounts, types)
     table = (G.event_table if form.typed else G.edge_table)(tx, features)
     keys = [*KEYS, *(["event_type"] if form.typed else [])]
     node_columns = [c for c in nodes.columns if c not in ("node_id", "acct", "y_node")]
     return Graph(table.select(*keys, *[F.col(f"`{c}`") for c in columns]), nodes, columns, node_columns)
 
 
-def _nodes(tx: DataFrame, form: Layout, accounts: DataFrame | None, types: list[str] | None) -> DataFrame:
+def node_table(tx: DataFrame, layout: str, accounts: DataFrame | None = None, types: list[str] | None = None) -> DataFrame:
+    """node_id, acct, y_node (touches a positive transfer) and the layout's node columns."""
+    form = LAYOUTS[layout]
     ids = G.node_ids(tx)
     deg = G.A.degree_stats(tx).select("acct", F.col("out_count").alias("out_degree"), F.col("in_count").alias("in_degree")).withColumn("total_degree", F.col("out_degree") + F.col("in_degree"))
     rows = deg.withColumns({f"log_{k}": F.log1p(k) for k in _DEGREES}).join(G.node_labels(tx), "acct").join(ids, "acct")
@@ -150,7 +152,7 @@ def write_json(spark: SparkSession, value: object, path: str) -> None:
 
 def read_json(spark: SparkSession, path: str) -> object:
     """What write_json wrote, or any one JSON file of up to a few megabytes."""
-    text = spark.read.option("wholetext", True).text(path).limit(2).collect()
+    text = spark.read.text(path, wholetext=True).limit(2).collect()
     if len(text) != 1:
         raise ValueError(f"{path} should hold one file")
     return json.loads(text[0][0])

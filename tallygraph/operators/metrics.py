@@ -5,6 +5,8 @@ All of them work on counts by distinct score or by threshold step, never on all
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -173,6 +175,35 @@ def early_stop(log: DataFrame, value: str, max_round: int = 3, higher_better: bo
     return log.agg(F.aggregate(rows, start, step).alias("r")).select(F.col("r.at").alias("best_epoch"), F.col("r.stop").alias("stop_epoch"))
 
 
-def align(left: DataFrame, right: DataFrame, key: str = "edge_id") -> DataFrame:
-    """Rows of two prediction or label tables that belong together, by id and never by position."""
+def align(left: DataFrame, right: DataFrame, key: str = "edge_id", trim: bool = False) -> DataFrame:
+    """Rows of two prediction or label tables that belong together, by id and never by position. Ids that repeat, and, unless
+    they are trimmed away, ids that one side lacks are an error."""
+    for name, side in (("left", left), ("right", right)):
+        again = side.groupBy(key).agg(F.count("*").alias("n")).filter("n > 1").limit(1).count()
+        if again:
+            raise ValueError(f"the {name} table repeats ids")
+    if not trim:
+        one, two = F.lit(1), F.lit(2)
+        both = left.select(key, one.alias("_w")).unionAll(right.select(key, two.alias("_w"))).groupBy(key).agg(F.sum("_w").alias("_w"))
+        lost = both.agg(F.count_if(F.col("_w") == 1).alias("left"), F.count_if(F.col("_w") == 2).alias("right")).first()
+        if lost["left"] or lost["right"]:
+            raise ValueError(f"{lost['left']} rows are only left and {lost['right']} only right")
     return left.join(right, key)
+
+
+def checked(pred: DataFrame) -> DataFrame:
+    """pred with label as 0 or 1 and score within [0, 1], for metrics. A score may be an array of one number or of two, whose
+    second is that of class 1. No row, a null, a label other than 0 and 1, or another array is an error; one class only is
+    a warning, as some metrics are undefined then."""
+    score = F.col("score")
+    if pred.schema["score"].dataType.typeName() == "array":
+        score = F.when(F.size(score).isin(1, 2), F.element_at(score, -1))
+    rows = pred.withColumns({"score": score.cast("double"), "label": F.col("label").cast("int")})
+    one = rows.agg(F.count("*").alias("n"), F.count_if(F.col("score").isNull() | F.isnan("score")).alias("bad"), F.count_if(F.coalesce(~F.col("label").isin(0, 1), F.lit(True))).alias("odd"), F.countDistinct("label").alias("classes")).first()
+    if not one["n"]:
+        raise ValueError("there are no predictions")
+    if one["bad"] or one["odd"]:
+        raise ValueError(f"{one['bad']} scores are no number or of another shape, {one['odd']} labels are not 0 or 1")
+    if one["classes"] < 2:
+        warnings.warn("only one class: some metrics are undefined", stacklevel=2)
+    return clipped(rows)

@@ -87,6 +87,24 @@ def batches(df: DataFrame, size: int, *order: str) -> DataFrame:
     return global_index(df, "_i", *order).withColumn("batch", F.floor(F.col("_i") / size)).drop("_i")
 
 
+def epoch_batches(df: DataFrame, key: str, size: int, epoch: int, seed: int = 42) -> DataFrame:
+    """df with batch: runs of ``size`` rows in an order of their own for each epoch, by a draw for each key."""
+    rows = df.withColumn("_d", draw(key, seed + epoch))
+    return batches(rows, size, "_d", key).drop("_d")
+
+
+def noise(df: DataFrame, key: str, columns: list[str], seed: int = 42) -> DataFrame:
+    """df with the columns as noise in [0, 1) that depends on the key alone: what a model learns without features."""
+    return df.withColumns({c: draw(key, seed + k) / 1_000_003.0 for k, c in enumerate(columns)})
+
+
+def disjoint(a: DataFrame, b: DataFrame, key: str) -> None:
+    """An error if two tables share a key."""
+    shared = a.select(key).intersect(b.select(key)).limit(1).collect()
+    if shared:
+        raise ValueError(f"both tables have {key} {shared[0][0]}")
+
+
 #: All features of the ablation studies, in order; fixed values.
 FULL_FEATURES = [
     "log_amt_rec", "log_amt_paid", "same_bank", "same_currency", "hour_of_day", "day_of_week", "is_weekend", "ts_normalized", "log_time_since_src", "log_time_since_dst",

@@ -238,8 +238,6 @@ _add("score_histogram", _PRED, "SELECT least(floor((score - 0.0::DOUBLE) / 0.025
 _add("score_cdf", _PRED, "SELECT round(score, 6) AS value, round((bn + n) / an::DOUBLE, 6) AS cdf FROM bys")
 _add("feature_correlation", _TX + ", f AS (SELECT amt_paid, amt_rec, hour(ts) AS hour FROM tx)", "SELECT unnest(['amt_paid', 'amt_paid', 'amt_paid', 'amt_rec', 'amt_rec', 'hour']) AS a, unnest(['amt_paid', 'amt_rec', 'hour', 'amt_rec', 'hour', 'hour']) AS b, unnest([round(corr(amt_paid, amt_paid), 6), round(corr(amt_paid, amt_rec), 6), round(corr(amt_paid, hour), 6), round(corr(amt_rec, amt_rec), 6), round(corr(amt_rec, hour), 6), round(corr(hour, hour), 6)]) AS corr FROM f")
 _add("pos_weight", _PRED, "SELECT round(least((count(*) - sum(label)) / greatest(sum(label), 1)::DOUBLE, 100), 6) AS pos_weight FROM pred")
-_add("injection_checks", _TX, "SELECT 'x' AS \"check\", 0::BIGINT AS n WHERE false")
-_add("edge_checks", _TX, "SELECT 'dangling' AS \"check\", count(*) AS n FROM ends WHERE acct NOT IN (SELECT src FROM tx) HAVING count(*) > 0")
 
 _add("neighbor_max_aggregate", _TX + ", oc AS (SELECT e.acct, count(src) AS x FROM (SELECT DISTINCT acct FROM ends) e LEFT JOIN tx ON e.acct = tx.src GROUP BY e.acct)", "SELECT oc.acct AS node_id, coalesce(m, 0)::DOUBLE AS max_x FROM oc LEFT JOIN (SELECT dst, max(x) AS m FROM tx JOIN oc ON tx.src = oc.acct GROUP BY dst) a ON oc.acct = a.dst")
 _add("memory_gru_update", _MSG + """,
@@ -484,7 +482,7 @@ o AS (SELECT src AS acct, count(*) AS c FROM tx GROUP BY src), i AS (SELECT dst
 nd AS (SELECT node_id, et.acct, y::BIGINT AS y_node, entity_type, n, coalesce(o.c, 0) AS od, coalesce(i.c, 0) AS id FROM et JOIN ids USING (acct) JOIN lab USING (acct) LEFT JOIN o USING (acct) LEFT JOIN i USING (acct))"""
 _DEGS = "od::DOUBLE AS out_degree, id::DOUBLE AS in_degree, (od + id)::DOUBLE AS total_degree"
 _LOGS = "round(ln(1 + od), 6) AS log_out_degree, round(ln(1 + id), 6) AS log_in_degree, round(ln(1 + od + id), 6) AS log_total_degree"
-for _name in ("static_baseline", "events_baseline", "typed_baseline", "typed_theory"):
+for _name in ("static_baseline", "typed_theory"):
     _add(f"graph_{_name}_nodes", _NODE, f"SELECT node_id, acct, y_node, {_DEGS}, {_LOGS}, {_HOT} FROM nd")
 _add("graph_static_theory_nodes", _NODE, f"SELECT node_id, acct, y_node, {_DEGS}, {_LOGS} FROM nd")
 _add("graph_events_theory_nodes", _NODE, f"SELECT node_id, acct, y_node, {_DEGS}, n::DOUBLE AS laundering_count FROM nd")
@@ -492,3 +490,29 @@ _cols = [f'"{c}"' for c in [*_NAMES, *(f"cur_recv_{v}" for v in _CURRENCIES), *(
 _ctes, _select = _layout_edges(_PLAIN + _CUR_RECV + _FMT_, {})
 _add("graph_written_and_read", _ctes + f", g AS ({_select}), u AS (SELECT unnest([{', '.join(c.replace(chr(34), chr(39)) for c in _cols)}]) AS feature, unnest([{', '.join(_cols)}]) AS v FROM g)",
      "SELECT feature, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std, round(min(v), 6) AS min, round(max(v), 6) AS max, count(*) FILTER (v IS NULL OR isnan(v)) AS n_bad FROM u GROUP BY feature")
+
+_add("injection_checks", _INT, """SELECT * FROM (SELECT 'null_score' AS "check", count(*) FILTER (row_id % 101 = 0 OR score IS NULL) AS n FROM lab
+UNION ALL SELECT 'injected_not_positive', count(*) FILTER ((row_id % 89 = 0 OR inj = 1) AND label <> 1) FROM lab) WHERE n > 0""")
+_add("edge_checks", _TX, """SELECT * FROM (SELECT 'dangling' AS "check", count(*) AS n FROM ends WHERE acct NOT IN (SELECT src FROM tx)
+UNION ALL SELECT 'bad_features', count(*) FROM tx WHERE row_id % 97 = 0 OR amt_paid IS NULL OR isnan(amt_paid)
+UNION ALL SELECT 'bad_labels', count(*) FROM tx WHERE row_id % 83 = 0
+UNION ALL SELECT 'repeated_ids', count(*) - count(DISTINCT CASE WHEN row_id % 79 = 0 THEN row_id - 1 ELSE row_id END) FROM tx) WHERE n > 0""")
+_add("graph_warnings", _TX + """,
+w AS (SELECT 100.0 * sum(label) / count(*) AS pct, count(*) FILTER (src = dst) AS loops FROM tx),
+iso AS (SELECT count(DISTINCT acct) AS n FROM acct WHERE acct NOT IN (SELECT acct FROM ends))""",
+     """SELECT 'positives under 1 %' AS "check" FROM w WHERE pct < 1 UNION ALL SELECT 'positives under 5 %' FROM w WHERE pct < 5 UNION ALL SELECT 'self-loops' FROM w WHERE loops > 0 UNION ALL SELECT 'isolated nodes' FROM iso WHERE n > 0""")
+ORACLE["metric_checked"] = ORACLE["metric_confusion"]
+_add("aligned_predictions", _PRED, "SELECT edge_id, round(score, 6) AS score, label::BIGINT AS label FROM pred")
+_add("early_stop_daily", "RECURSIVE " + _TX + """,
+od AS (SELECT epoch, v, row_number() OVER (ORDER BY epoch) AS i FROM (SELECT t // 86400 AS epoch, round(avg(amt_paid), 6) AS v FROM tx GROUP BY 1)),
+st AS (SELECT i, v AS best, epoch AS at_epoch, 0 AS rounds, NULL::BIGINT AS stop FROM od WHERE i = 1
+  UNION ALL SELECT o.i, CASE WHEN better THEN o.v ELSE best END, CASE WHEN better THEN o.epoch ELSE at_epoch END, CASE WHEN better THEN 0 ELSE rounds + 1 END, CASE WHEN NOT better AND rounds + 1 >= 3 THEN o.epoch END
+  FROM (SELECT st.*, (od.v - best) / abs(best) > 1e-10 AS better, od.i AS oi FROM st JOIN od ON od.i = st.i + 1 WHERE stop IS NULL) s JOIN od o ON o.i = s.oi)""",
+     "SELECT at_epoch AS best_epoch, stop AS stop_epoch FROM st ORDER BY i DESC LIMIT 1")
+_drawn = lambda seed: f"((row_id * 7919 + {seed} * 104729 + ((row_id * 31 + {seed}) % 997) * 1009) % 1000003)"
+_add("epoch_shuffle", _TX, " UNION ALL ".join(f"SELECT {k}::BIGINT AS epoch, (row_number() OVER (ORDER BY {_drawn(42 + k)}, row_id) - 1) // 200 AS batch, row_id FROM tx" for k in (1, 2)))
+_add("noise_features", _TX, f"SELECT row_id, label::BIGINT AS label, round({_drawn(42)} / 1000003.0::DOUBLE, 6) AS a, round({_drawn(43)} / 1000003.0::DOUBLE, 6) AS b FROM tx")
+_d = V.DECODER
+_z3 = V.affine(V.relu(V.affine(V.relu(V.affine(["x0", "x1"], _d["w0"], _d["b0"])), _d["w1"], _d["b1"])), _d["w2"], _d["b2"])[0]
+_add("decoder_probabilities", _TX + """,
+oc AS (SELECT e.acct, ln(1 + coalesce(o, 0)) AS x0, ln(1 + coalesce(i, 0)) AS x1 FROM (SELECT DISTINCT acct FROM ends) e LEFT JOIN (SELECT src AS acct, count(*) AS o FROM tx GROUP BY src) USING (acct) LEFT JOIN (SELECT dst AS acct, count(*) AS i FROM tx GROUP BY dst) USING (acct))""", f"SELECT acct, round({V.sigmoid(_z3)}, 6) AS p FROM oc")

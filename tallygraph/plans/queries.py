@@ -643,16 +643,68 @@ def pos_weight(spark, d):
 
 @query
 def injection_checks(spark, d):
-    return r6(C.injection_failures(R.intensity_labels(_opp(spark, d)), ["RAT_score", "RAT_injected", "label"]))
+    """Failures of a table in which some scores are lost and some marked rows are not positive."""
+    rows = R.intensity_labels(_opp(spark, d))
+    broken = rows.withColumns({"RAT_score": F.when(F.col("row_id") % 101 != 0, F.col("RAT_score")), "RAT_injected": F.when(F.col("row_id") % 89 == 0, 1).otherwise(F.col("RAT_injected"))})
+    return r6(C.injection_failures(broken, ["RAT_score", "RAT_injected", "label"]))
 
 
 @query
 def edge_checks(spark, d):
-    tx = _tx(spark, d)
-    edges = tx.select(F.col("row_id").alias("edge_id"), "src", "dst", "amt_paid", "label")
+    """Failures of a table with lost amounts, odd labels, repeated ids and ends without a node."""
+    tx, at = _tx(spark, d), F.col("row_id")
+    edges = tx.select((at - F.when(at % 79 == 0, 1).otherwise(0)).alias("edge_id"), "src", "dst", F.when(at % 97 != 0, F.col("amt_paid")).alias("amt_paid"), F.when(at % 83 == 0, 2).otherwise(F.col("label")).alias("label"))
     return r6(C.edge_failures(edges, tx.select(F.col("src").alias("node_id")).distinct(), ["amt_paid"]))
 
 
+@query
+def graph_warnings(spark, d):
+    return C.warnings(G.graph_stats(_tx(spark, d), X0.accounts(spark, d)))
+
+
+@query
+def metric_checked(spark, d):
+    """The confusion matrix of scores that come as one number for each class."""
+    return r6(M.confusion(M.checked(_pred(spark, d).withColumn("score", F.array(1 - F.col("score"), F.col("score"))))))
+
+
+@query
+def aligned_predictions(spark, d):
+    """Scores with the labels of another table, by id."""
+    labels = _tx(spark, d).select(F.col("row_id").alias("edge_id"), "label")
+    return r6(M.align(_pred(spark, d).select("edge_id", "score"), labels))
+
+
+@query
+def early_stop_daily(spark, d):
+    """When training would stop, were each day's mean amount an epoch's metric."""
+    day = F.floor(X.epoch(F.col("ts")) / 86400)
+    log = _tx(spark, d).groupBy(day.alias("epoch")).agg(F.round(F.avg("amt_paid"), 6).alias("v"))
+    return r6(M.early_stop(log, "v"))
+
+
+@query
+def epoch_shuffle(spark, d):
+    """Batches of two hundred transfers in the orders of two epochs."""
+    rows = _tx(spark, d).select("row_id")
+    both = [P.epoch_batches(rows, "row_id", 200, k).select(F.lit(k).alias("epoch"), "batch", "row_id") for k in (1, 2)]
+    return r6(both[0].unionAll(both[1]))
+
+
+@query
+def noise_features(spark, d):
+    return r6(P.noise(_tx(spark, d).select("row_id", "label"), "row_id", ["a", "b"]))
+
+
+@query
+def decoder_probabilities(spark, d):
+    """A three-layer decoder's probability for each node."""
+    nodes = A.degree_stats(_tx(spark, d)).select("acct", F.log1p("out_count").alias("a"), F.log1p("in_count").alias("b"))
+    layers = [(V.DECODER[f"w{k}"], V.DECODER[f"b{k}"]) for k in range(3)]
+    rows = S.perceptron(nodes, ["a", "b"], layers, "z")
+    return r6(rows.select("acct", (1 / (1 + F.exp(-F.col("z")[0]))).alias("p")))
+
+
 @query
 def rf_feature_importance(spark, d):
     rows = _opp(spark, d)
@@ -762,19 +814,27 @@ def batch_attention(spark, d):
     return r6(S.batch_attention(rows, "x", "batch", wq, wk, wv, 2).select("edge_id", *[F.col("att")[k].alias(f"a{k}") for k in range(4)]))
 
 
+_TYPES = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
+
+
 def _built(spark: SparkSession, d: str, layout: str) -> B.Graph:
     tx = B.in_time_order(X0.worded_transfers(spark, d))
     theory = R.opportunity(tx, X0.accounts(spark, d), X0.patterns(spark, d)) if B.LAYOUTS[layout].theory else None
-    return B.build(tx, layout, X0.accounts(spark, d), theory, types=["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"])
+    return B.build(tx, layout, X0.accounts(spark, d), theory, types=_TYPES)
 
 
 def _layout(name: str):
     QUERIES[f"graph_{name}"] = lambda spark, d: r6(_built(spark, d, name).edges)
-    QUERIES[f"graph_{name}_nodes"] = lambda spark, d: r6(_built(spark, d, name).nodes)
+
+
+def _node_layout(name: str):
+    QUERIES[f"graph_{name}_nodes"] = lambda spark, d: r6(B.node_table(X0.worded_transfers(spark, d), name, X0.accounts(spark, d), _TYPES))
 
 
 for _name in B.LAYOUTS:
     _layout(_name)
+for _name in ("static_baseline", "static_theory", "events_theory", "typed_theory"):
+    _node_layout(_name)
 
 
 @query

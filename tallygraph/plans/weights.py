@@ -38,3 +38,4 @@ EVENTS = draw(61, {"node": (2, 2), "node_b": (2,), "event": (9, 4), "event_b": (
 EMBEDDED = draw(71, {"node": (2, 2), "node_b": (2,), "hidden": (9, 3), "hidden_b": (3,), "last": (3, 1), "last_b": (1,)})
 #: Two neighbour layers of 2 to 2 and 3 numbers; ends, one number of the edge and a time code of 2 to 4.
 SAVED = draw(81, {"self0": (2, 2), "nbr0": (2, 2), "bias0": (2,), "self1": (2, 3), "nbr1": (2, 3), "bias1": (3,), "hidden": (9, 4), "hidden_b": (4,), "last": (4,), "last_b": ()})
+DECODER = draw(91, {"w0": (2, 4), "b0": (4,), "w1": (4, 3), "b1": (3,), "w2": (3, 1), "b2": (1,)})

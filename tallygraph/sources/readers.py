@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..plans.work import global_index
+
 #: Transfers as they stand in the files: ids are strings, so that leading zeros count.
 TRANSFER_FILE = T.StructType([T.StructField(n, T.StringType()) for n in ("ts", "from_bank", "src", "to_bank", "dst", "amt_rec", "cur_rec", "amt_paid", "cur_paid", "fmt", "label")])
 ACCOUNT_FILE = T.StructType([T.StructField(n, T.StringType()) for n in ("bank_name", "bank_id", "acct", "entity_id", "entity_name")])
@@ -15,7 +17,13 @@ TIME_FORMAT = "yyyy/MM/dd HH:mm"
 def read_transfers(spark: SparkSession, path: str, time_format: str = TIME_FORMAT, strict: bool = True, header: bool = True) -> DataFrame:
     """Transfers with typed columns and row_id. strict: a bad timestamp is an error, else null. Bad amounts are null, a null label 0."""
     raw = spark.read.schema(TRANSFER_FILE).option("header", header).option("enforceSchema", True).csv(path)
-    return type_transfers(raw, time_format, strict)
+    return type_transfers(numbered(raw, "row_id"), time_format, strict)
+
+
+def numbered(raw: DataFrame, name: str) -> DataFrame:
+    """Rows of files with ``name``: 0, 1, ... by file, then place in the file, however the files are cut; written once."""
+    place = raw.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_line"))
+    return global_index(place, name, "_file", "_block", "_line").drop("_file", "_block", "_line")
 
 
 def type_transfers(raw: DataFrame, time_format: str = TIME_FORMAT, strict: bool = True) -> DataFrame:
@@ -25,7 +33,7 @@ def type_transfers(raw: DataFrame, time_format: str = TIME_FORMAT, strict: bool
         F.expr("try_cast(amt_rec as double)").alias("amt_rec"), "cur_rec",
         F.expr("try_cast(amt_paid as double)").alias("amt_paid"), "cur_paid", "fmt",
         F.coalesce(F.expr("try_cast(label as int)"), F.lit(0)).alias("label"),
-        F.monotonically_increasing_id().alias("row_id"),
+        F.col("row_id") if "row_id" in raw.columns else F.monotonically_increasing_id().alias("row_id"),
     )
 
 
@@ -60,7 +68,7 @@ def cached_parquet(spark: SparkSession, path: str, build) -> DataFrame:
 
 def read_interactions(spark: SparkSession, path: str) -> DataFrame:
     """user, item, ts, label and a ragged tail of features: u, i, ts, label, idx, feats."""
-    lines = spark.read.option("header", True).text(path).withColumn("idx", F.monotonically_increasing_id()).filter("not value like 'user%'")
+    lines = numbered(spark.read.text(path), "idx").filter("not value like 'user%'").withColumn("idx", F.col("idx") - F.lit(1))
     parts = F.split("value", ",")
     return lines.select(
         parts[0].cast("bigint").alias("u"), parts[1].cast("bigint").alias("i"), parts[2].cast("double").alias("ts"), parts[3].cast("double").cast("int").alias("label"), "idx",
@@ -85,6 +93,39 @@ def best_epoch(log: DataFrame, metric: str = "aupr") -> DataFrame:
     return log.agg(F.max_by("epoch", at).alias("best_epoch"), F.max(metric).alias("best"), F.max("epoch").alias("last_epoch"), (F.max(metric) - F.min_by(metric, "epoch")).alias("gain"))
 
 
+def epochs_to_show(log: DataFrame, metric: str = "aupr", every: int = 50) -> DataFrame:
+    """The epochs of a parsed log that a report shows: every 50th, the best (first of equals) and the last; with mark."""
+    ends = log.agg(F.max_by("epoch", F.struct(F.col(metric), -F.col("epoch"))).alias("_best"), F.max("epoch").alias("_last"))
+    rows = log.crossJoin(F.broadcast(ends)).filter((F.col("epoch") % every == 0) | (F.col("epoch") == F.col("_best")) | (F.col("epoch") == F.col("_last")))
+    return rows.withColumn("mark", F.when(F.col("epoch") == F.col("_best"), "best").when(F.col("epoch") == F.col("_last"), "stopped").otherwise("")).drop("_best", "_last")
+
+
+def expected_range(log: DataFrame, metric: str = "aupr", share: float = 0.95) -> DataFrame:
+    """low, high: what a test may give where the best validation value is high."""
+    return log.agg((share * F.max(metric)).alias("low"), F.max(metric).alias("high"))
+
+
+def first_rows(df: DataFrame, n: int) -> DataFrame:
+    """The first n rows of files as they are read, for a look at them."""
+    return df.limit(n)
+
+
+def read_preprocessed(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """interactions(u, i, ts, label, idx) and edge features(idx, feats) that write_preprocessed wrote; an error if the features
+    don't have one row for each interaction."""
+    rows, feats = spark.read.parquet(f"{folder}/interactions"), spark.read.parquet(f"{folder}/features")
+    lost = rows.join(feats, "idx", "full").filter(F.col("u").isNull() | F.col("feats").isNull()).limit(1).count()
+    if lost or rows.count() != feats.count():
+        raise ValueError("interactions and features have other rows")
+    return rows, feats
+
+
+def write_preprocessed(interactions: DataFrame, folder: str) -> None:
+    """interactions(u, i, ts, label, idx, feats) as two tables, so that a reader of ids need not read features."""
+    interactions.select("idx", "feats").write.parquet(f"{folder}/features")
+    interactions.drop("feats").write.parquet(f"{folder}/interactions")
+
+
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition: list[str] | None = None) -> None:
     w = df.write.mode("overwrite").option("header", True)
     (w.partitionBy(*partition) if partition else w).format(fmt).save(path)
