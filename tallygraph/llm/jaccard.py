@@ -8,8 +8,10 @@ other set has and meet nobody.
 2. Screen: in the order "those of a fixed share of elements that only one set has, then the rest", a set whose whole
    prefix is of the first kind has no partner. Only that share of elements is counted over the corpus.
 3. Sets that remain are ordered by true frequency among themselves, and their prefixes become posting lists.
-4. Short lists give their pairs; a long list first gives pairs with one central member (few elements of its own).
-   Pairs that pass the length and positional filters are verified once each, after a suffix filter.
+4. A list gives those pairs of which its element can be the first shared one: the smaller set must have enough elements
+   left from there on (it leads), which few members of a list of frequent elements have. Lists with few leads give these
+   pairs; one with many first gives pairs with one central member (few elements of its own). Pairs that pass the length
+   and positional filters are verified once each, after a suffix filter.
 5. Long lists then give only pairs whose ends are still in different components, so that a large group of copies
    costs about its size, not its square, while no link between components is missed.
 """
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import LOWER, NON_SPACE, ROW_KEY, byte_view, fresh, materialize, mix64, small, text_slices, window_hashes, with_row_key, word_hashes, word_spans
 from .components import components
 
-#: A posting list of at most so many sets gives all its pairs at once.
+#: A posting list of at most so many leads gives all its pairs at once.
 SHORT_LIST = 32
 
 
@@ -93,15 +95,20 @@ class _Threshold:
     def prefix(self, n: str) -> Column:
         return F.expr(f"{n} - ({self.num} * {n} + {self.den - 1}) div {self.den} + 1")
 
-    def may_link(self, x: str, y: str) -> Column:
-        """Length and positional filters on two postings (n: size, u: elements of its own, r: place) of one element.
+    def common(self, x: str, y: str) -> Column:
+        """The least number of common elements of linked sets of sizes x and y."""
+        return F.expr(f"({self.num} * ({x} + {y}) + {self.num + self.den - 1}) div {self.num + self.den}")
 
-        Elements of its own are first in a set's order and never shared, so at most r - u earlier ones are.
-        """
-        num, den = self.num, self.den
-        length = F.expr(f"{den} * least({x}.n, {y}.n) >= {num} * greatest({x}.n, {y}.n)")
-        most = f"least({x}.r - {x}.u, {y}.r - {y}.u) + 1 + least({x}.n - {x}.r, {y}.n - {y}.r) - 1"
-        return length & F.expr(f"{most} >= ({num} * ({x}.n + {y}.n) + {num + den - 1}) div {num + den}")
+    def leads(self) -> Column:
+        """Whether the element of a posting (n: size, r: its place from 0) can be the first that the set shares with a linked one
+        that is not smaller: so many elements must be left from there on."""
+        return F.col("n") - F.col("r") >= self.common("n", "n")
+
+    def may_link(self, x: str, y: str) -> Column:
+        """Length and positional filters on two postings of one element, taken as the first that both sets share in the common
+        order (a linked pair's first shared element is in both prefixes, so some list has it as that)."""
+        length = F.expr(f"{self.den} * least({x}.n, {y}.n) >= {self.num} * greatest({x}.n, {y}.n)")
+        return length & (F.expr(f"least({x}.n - {x}.r, {y}.n - {y}.r)") >= self.common(f"{x}.n", f"{y}.n"))
 
     def verify(self, pairs: DataFrame, lists: DataFrame) -> DataFrame:
         """Those of pairs(a, b) that link; lists(sig, n, hs) has each set's shared elements, sorted."""
@@ -168,26 +175,27 @@ def _grouped(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     first = F.slice("es", F.lit(1), F.greatest(F.lit(0), (t.prefix("n") - F.col("u"))).cast("int"))
     postings = ordered.select("sig", "n", "u", F.posexplode(first).alias("k", "e")).select("sig", "n", "u", (F.col("u") + F.col("k")).alias("r"), F.col("e.h").alias("h"))
     postings = materialize(postings, "postings")
-    sizes = postings.groupBy("h").agg(F.count("*").alias("c"), F.min(F.struct("u", "sig", "n", "r")).alias("hub")).filter("c > 1")
-    sizes = materialize(sizes, "posting-sizes")
-
-    def pairs(x: DataFrame, y: DataFrame, more: Column | None = None) -> DataFrame:
-        how = (F.col("x.h") == F.col("y.h")) & (F.col("x.sig") < F.col("y.sig")) & t.may_link("x", "y")
-        found = x.alias("x").join(y.alias("y"), how if more is None else how & more)
-        return found.select(F.col("x.sig").alias("a"), F.col("y.sig").alias("b"))
-
-    short = postings.join(sizes.filter(F.col("c") <= SHORT_LIST).select("h"), "h", "left_semi")
-    long = postings.join(sizes.filter(F.col("c") > SHORT_LIST).select("h"), "h", "left_semi")
-    hubs = sizes.filter(F.col("c") > SHORT_LIST).select("h", "hub.*")
+    lead = F.struct("u", "sig", "n", "r")
+    sizes = postings.groupBy("h").agg(F.count("*").alias("c"), F.count_if(t.leads()).alias("leads"), F.min(F.when(t.leads(), lead)).alias("hub"))
+    sizes = materialize(sizes.filter("c > 1 and leads > 0"), "posting-sizes")
+
+    def pairs(rows: DataFrame, more: Column | None = None) -> DataFrame:
+        how = (F.col("x.h") == F.col("y.h")) & (F.expr("x.n < y.n") | F.expr("x.n = y.n and x.sig < y.sig")) & t.may_link("x", "y")
+        found = rows.filter(t.leads()).alias("x").join(rows.alias("y"), how if more is None else how & more)
+        return found.select(F.least("x.sig", "y.sig").alias("a"), F.greatest("x.sig", "y.sig").alias("b"))
+
+    short = postings.join(sizes.filter(F.col("leads") <= SHORT_LIST).select("h"), "h", "left_semi")
+    long = postings.join(sizes.filter(F.col("leads") > SHORT_LIST).select("h"), "h", "left_semi")
+    hubs = sizes.filter(F.col("leads") > SHORT_LIST).select("h", "hub.*")
     to_hub = long.alias("x").join(hubs.alias("y"), (F.col("x.h") == F.col("y.h")) & (F.col("x.sig") != F.col("y.sig")) & t.may_link("x", "y"))
     to_hub = to_hub.select(F.least("x.sig", "y.sig").alias("a"), F.greatest("x.sig", "y.sig").alias("b"))
-    links = materialize(t.verify(pairs(short, short).unionAll(to_hub).distinct(), shared_lists), "links")
+    links = materialize(t.verify(pairs(short).unionAll(to_hub).distinct(), shared_lists), "links")
 
     labels = components(links)
-    if sizes.filter(F.col("c") > SHORT_LIST).limit(1).count():
+    if sizes.filter(F.col("leads") > SHORT_LIST).limit(1).count():
         placed = long.join(labels.withColumnRenamed("v", "sig"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
         placed = materialize(placed, "long-postings")
-        across = pairs(placed, placed, F.col("x.label") != F.col("y.label")).distinct()
+        across = pairs(placed, F.col("x.label") != F.col("y.label")).distinct()
         more = materialize(t.verify(across, shared_lists), "links-across")
         if more.limit(1).count():
             labels = components(links.unionAll(more))

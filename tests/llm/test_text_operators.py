@@ -540,6 +540,22 @@ def test_components_reach_through_rows_without_id(spark):
     assert kept.columns == df.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "None"]
 
 
+def test_long_lists_of_unlike_texts_give_few_pairs(spark, monkeypatch):
+    """Texts of one template, each with some words that few others have: their common shingles make no pairs to verify."""
+    seen = []
+    real = jaccard._Threshold.verify
+    monkeypatch.setattr(jaccard._Threshold, "verify", lambda self, pairs, lists: seen.append(pairs.count()) or real(self, pairs, lists))
+    base, rows = [f"t{k}" for k in range(95)], []
+    for i in range(300):
+        words = list(base)
+        words[40:46] = [f"g{i // 3}x{k}" if k < 4 else f"o{i}x{k}" for k in range(6)]
+        rows.append((i, " ".join(words)))
+    rows += [(1000 + i, rows[i][1] + " end") for i in range(0, 300, 50)]
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90, 100).collect()}
+    want = {i: c for i, (_, c) in brute_components(rows, 3, 90, 100).items()}
+    assert got == want and len(set(want.values())) < 300 and sum(seen) < 3000
+
+
 def test_one_of_each_is_a_row_not_an_id(spark):
     base = "one two three four five six seven eight nine ten eleven twelve"
     rows = [(1, base, "a"), (5, base + " ", "b"), (5, "something wholly different that no other row has", "c"), (None, "same text twice without any id", "d"), (None, "same text twice without any id", "e"), (7, "this row is there twice", "f"), (7, "this row is there twice", "g"), (8, None, "h"), (8, "", "i")]
