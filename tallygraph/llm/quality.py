@@ -24,8 +24,20 @@ STEP, CHANNELS, FILTERS = 8, 8, 24
 _PAD = 256
 
 
-def _repeats(data: np.ndarray, row: np.ndarray) -> np.ndarray:
-    """1 where the eight bytes that end here also end up to 24 bytes earlier in the same text."""
+#: Bytes and blocks of long texts are worked on in pieces of so many, which bounds what one text takes.
+PIECE = 1 << 18
+
+
+def _repeats(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """1 where the eight bytes that end here also end up to 24 bytes earlier in the same text. at: each byte's place in it."""
+    out = np.zeros(len(data), np.float32)
+    for i in range(0, len(data), PIECE):
+        lo = max(0, i - 40)  # a piece begins with what its first bytes may repeat
+        out[i : i + PIECE] = _repeats_of(data[lo : i + PIECE], at[lo : i + PIECE])[i - lo :]
+    return out
+
+
+def _repeats_of(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     out = np.zeros(len(data), np.float32)
     if len(data) < 12:
         return out
@@ -33,15 +45,10 @@ def _repeats(data: np.ndarray, row: np.ndarray) -> np.ndarray:
     for k in range(1, 8):
         code = (code << np.uint64(8)) | data[k : len(data) - 7 + k]
     hit = np.zeros(len(code), bool)
+    start = at[7:] - 7  # where the eight bytes begin in their text; neither they nor what they repeat begin before it
     for lag in range(2, min(25, len(code))):
-        hit[lag:] |= code[lag:] == code[:-lag]
-    row = row[7:]
-    start = np.searchsorted(row, row) if len(row) < 64 else np.concatenate(([0], np.flatnonzero(row[1:] != row[:-1]) + 1))
-    if len(row) >= 64:  # a repeat that reaches back over the start of its text doesn't count
-        near = (np.arange(len(row)) - start[np.cumsum(np.concatenate(([0], row[1:] != row[:-1])))]) < 24
-    else:
-        near = (np.arange(len(row)) - start) < 24
-    out[7:] = hit & ~near
+        hit[lag:] |= (code[lag:] == code[:-lag]) & (start[lag:] >= lag)
+    out[7:] = hit
     return out
 
 
@@ -50,12 +57,12 @@ def _blocks(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     lens = np.diff(off)
     count = np.maximum(1, -(-lens // STEP))
     first = np.cumsum(count) - count
-    row = np.repeat(np.arange(len(lens)), lens)
-    at = np.arange(len(data)) - np.repeat(off[:-1], lens) + np.repeat(first * STEP, lens)
+    within = np.arange(len(data)) - np.repeat(off[:-1], lens)
+    at = within + np.repeat(first * STEP, lens)
     codes = np.full(int(count.sum()) * STEP, _PAD, np.int16)
     codes[at] = data
     again = np.zeros(len(codes), np.float32)
-    again[at] = _repeats(data, row)
+    again[at] = _repeats(data, within)
     return codes.reshape(-1, STEP), again.reshape(-1, STEP), first
 
 
@@ -85,11 +92,27 @@ class ByteConvNet:
         resp[ends] -= both[ends + 1, FILTERS:]
         return resp, np.maximum.reduceat(resp, first, axis=0)
 
+    def _top(self, codes: np.ndarray, again: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Each text's largest response to each filter, as _pooled has it, over a running maximum of pieces."""
+        owner = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(codes))))
+        top, weights = np.full((len(first), FILTERS), -np.inf, np.float32), np.concatenate(self.conv, axis=1)
+        for i in range(0, len(codes), PIECE // STEP):
+            j = min(len(codes), i + PIECE // STEP)
+            k = min(len(codes), j + 1)
+            both = self._inputs(codes[i:k], again[i:k]) @ weights
+            resp = both[: j - i, :FILTERS]
+            goes_on = np.flatnonzero(owner[i + 1 : k] == owner[i : k - 1])
+            resp[goes_on] += both[goes_on + 1, FILTERS:]
+            cut = np.flatnonzero(np.concatenate(([True], owner[i + 1 : j] != owner[i : j - 1])))
+            rows = owner[i:j][cut]
+            top[rows] = np.maximum(top[rows], np.maximum.reduceat(resp, cut, axis=0))
+        return top
+
     def scores(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
         if len(off) == 1:
             return np.zeros(0)
         codes, again, first = _blocks(data, off)
-        top = np.maximum(self._pooled(self._inputs(codes, again), first)[1] + self.bias, 0)
+        top = np.maximum(self._top(codes, again, first) + self.bias, 0)
         return 1 / (1 + np.exp(-np.clip((top @ self.out + self.out_bias).astype(np.float64), -30, 30)))
 
     def fit(self, texts: list[bytes], y: np.ndarray, weight: np.ndarray, epochs: int = 14, batch: int = 48, rate: float = 4e-3, seed: int = 5) -> None:

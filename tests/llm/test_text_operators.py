@@ -286,6 +286,55 @@ def test_quality_network_covers_the_end_of_long_texts():
     assert both == pytest.approx([net.scores(two[:40], np.array([0, 40]))[0], net.scores(two[40:], np.array([0, 3]))[0]])
 
 
+def plain_network_score(net, text):
+    """Every chunk of two blocks of eight bytes by itself, one number after the other."""
+    data = list(text)
+    again = [float(any(i - lag >= 7 and data[i - 7 : i + 1] == data[i - lag - 7 : i - lag + 1] for lag in range(2, 25))) for i in range(len(data))]
+    codes = data + [256] * (max(8, -(-len(data) // 8) * 8) - len(data))
+    again += [0.0] * (len(codes) - len(again))
+    blocks = [np.array([[*net.emb[c], a] for c, a in zip(codes[b : b + 8], again[b : b + 8])]).reshape(-1) for b in range(0, len(codes), 8)]
+    best = np.full(quality.FILTERS, -np.inf)
+    for b, x in enumerate(blocks):
+        r = x @ net.conv[0] + (blocks[b + 1] @ net.conv[1] if b + 1 < len(blocks) else 0)
+        best = np.maximum(best, r)
+    z = np.maximum(best + net.bias, 0) @ net.out + net.out_bias[0]
+    return 1 / (1 + np.exp(-z))
+
+
+@pytest.mark.parametrize("piece", [quality.PIECE, 64])
+def test_network_equals_a_plain_loop(monkeypatch, piece):
+    """Over texts of no to some thousand bytes, some of which repeat themselves, in one piece and in many."""
+    monkeypatch.setattr(quality, "PIECE", piece)
+    rng, net = random.Random(11), quality.ByteConvNet(seed=8)
+    net.bias += np.linspace(-0.3, 0.3, quality.FILTERS).astype(np.float32)
+    texts = [b"", b"a", b"ab" * 40, b"x" * 7, "é ‰".encode() * 9] + [bytes(rng.choices(range(97, 103), k=rng.randint(1, 300))) for _ in range(40)] + [(b"some words are said " * 30)[: rng.randint(1, 500)] for _ in range(10)]
+    off = np.cumsum([0, *map(len, texts)])
+    got = net.scores(np.frombuffer(b"".join(texts), np.uint8), off)
+    assert got == pytest.approx([plain_network_score(net, t) for t in texts], abs=1e-5)
+
+
+def test_votes_equal_a_plain_loop():
+    rng = np.random.default_rng(6)
+    vocab = [f"w{i}" for i in range(40)]
+    texts = [" ".join(rng.choice(vocab, rng.integers(0, 12))) for _ in range(150)]
+    y, rate = rng.integers(0, 2, 150).astype(float), rng.choice([0.25, 1.0], 150)
+    h = toxicity._terms(pa.array([" ".join(vocab)]))[1]
+    index = toxicity.ExampleIndex([(int(t), 1.0 + i % 5) for i, t in enumerate(sorted(set(h.tolist())))], np.arange(150), pa.array(texts), y, rate)
+    asked = texts[:20] + ["", "nothing known", None]
+    scores, evidence, cosines = index.score(pa.array(asked, pa.string()), 7)
+    row, term, value = index.vectors(pa.array([t or "" for t in texts + asked]))
+    dense = np.zeros((len(texts) + len(asked), index.n_terms))
+    dense[row, term] = value
+    base, weight = sum(y / rate) / sum(1 / rate), 1 / rate
+    place = {int(d): k for k, d in enumerate(index.doc_ids)}
+    for k in range(len(asked)):
+        cos = dense[:150] @ dense[150 + k]
+        near = sorted(range(150), key=lambda i: (-round(cos[i], 12), place[i]))[:7]
+        vote = [cos[i] * weight[i] / weight.mean() for i in near]
+        want = (sum(v * y[i] for v, i in zip(vote, near)) + toxicity.PRIOR_VOTE * base) / (sum(vote) + toxicity.PRIOR_VOTE)
+        assert scores[k] == pytest.approx(want) and cosines[k] == pytest.approx([cos[i] for i in near[:3]])
+
+
 def test_nearest_examples_are_exact():
     rng = np.random.default_rng(5)
     vocab = [f"w{i}" for i in range(60)]
@@ -639,6 +688,50 @@ def test_rules_of_hard_rows(hard):
     assert divergence.judge(hard.limit(0)).count() == 0
 
 
+def plain_distance(p, q):
+    m = [(a + b) / 2 for a, b in zip(p, q)]
+    part = lambda x: sum(a * np.log2(a / c) for a, c in zip(x, m) if a > 0)
+    return np.sqrt(min(1.0, max(0.0, (part(p) + part(q)) / 2)))
+
+
+def test_verdicts_equal_a_plain_loop(spark):
+    """References counted over all texts, both distances and the verdict, one text after the other."""
+    rng = random.Random(21)
+    rows = [(i, sentence(rng, lang, rng.randint(20, 90)), lang) for i, lang in enumerate(["en", "fr", "es"] * 12)]
+    rows += [(100 + i, " ".join("".join(rng.choices("#$%&01289", k=6)) for _ in range(70)), None) for i in range(3)]
+    rows += [(200, "the " * 60, "en"), (201, None, "en"), (202, "", "fr"), (203, sentence(rng, "en", 8), None)]
+    limits = divergence.Limits(common_words=12, max_class_distance=0.2, max_word_distance=0.45)
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    references = divergence.learn_references(df, limits)
+    got = collect(divergence.judge(df, limits))
+    classes = {i: divergence.Text(pa.array([t or ""])).class_counts()[0] for i, t, _ in rows}
+    words = {i: (t or "").lower().split() for i, t, _ in rows}
+    key = {w: int(common.word_hashes(np.frombuffer(w.encode(), np.uint8), np.array([0]), np.array([len(w.encode())])).view(np.int64)[0]) for ws in words.values() for w in ws}
+    ref = {}
+    for lang in ("en", "fr", "es"):
+        mine = [i for i, t, x in rows if x == lang and t is not None]
+        shape, n = sum(classes[i] for i in mine), collections.Counter(w for i in mine for w in words[i])
+        common_words = sorted(n, key=lambda w: (-n[w], key[w]))[:12]
+        ref[lang] = (shape / shape.sum(), {w: n[w] / sum(n.values()) for w in common_words})
+        assert references[lang][0] == pytest.approx(ref[lang][0].tolist()) and references[lang][1] == pytest.approx({key[w]: v for w, v in ref[lang][1].items()})
+    seen = set()
+    for i, t, _ in rows:
+        total, ws, near, best = classes[i].sum(), words[i], False, (1.0, 1.0)
+        for lang in sorted(ref):
+            shape, common_words = ref[lang]
+            dc = plain_distance((classes[i] / max(1, total)).tolist(), shape.tolist())
+            hist = [ws.count(w) / max(1, len(ws)) for w in common_words]
+            rest = sum(w not in common_words for w in ws) / max(1, len(ws))
+            dw = plain_distance([*hist, rest], [*common_words.values(), 1 - sum(common_words.values())])
+            near |= (dc <= limits.max_class_distance or total < limits.min_chars) and (dw <= limits.max_word_distance or len(ws) < limits.min_words)
+            best = min(best, (dc, dw), key=sum)
+        r = got[i]
+        assert r["kept"] == (bool(near) and not r["base_failed"])
+        assert (r["class_distance"], r["word_distance"]) == pytest.approx(best, abs=1e-9)
+        seen.add((r["kept"], r["base_failed"]))
+    assert {(True, False), (False, True), (False, False)} <= seen
+
+
 # ---- pieces
 
 
