@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from .plans.oracle import ORACLE
-from .plans.queries import QUERIES, flagship
+from .plans import file_oracle, file_queries, oracle, queries
+from .plans.queries import flagship
+
+QUERIES = queries.QUERIES | file_queries.QUERIES
+ORACLE = oracle.ORACLE | file_oracle.ORACLE
 
 __all__ = ["ORACLE", "QUERIES", "flagship"]

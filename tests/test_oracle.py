@@ -24,7 +24,7 @@ def norm(v):
 
 
 @pytest.mark.skipif(not os.path.isdir(TABLES), reason="no driver tables")
-@pytest.mark.parametrize("name", ["guardian_ranking", "opportunity_score", "edge_features_baseline", "static_edge_table", "split_stratified", "strain_account", "temporal_neighbors_k", "metric_ranking", "intensity_labels", "metric_best_threshold", "ablation_no_temp", "ablation_top20", "static_edge_table_theory", "event_stream_table_theory", "degree_histogram", "amounts_describe", "temporal_neighbors_uniform", "unseen_node_sample", "neighbor_max_aggregate", "memory_gru_update", "graph_stats", "temporal_stats", "intensity_drift", "message_mlp", "time_codes_on_targets", "edge_probabilities", "first_known_name", "engineered_columns", "first_edges", "bipartite_reindex"])
+@pytest.mark.parametrize("name", ["guardian_ranking", "opportunity_score", "edge_features_baseline", "static_edge_table", "split_stratified", "strain_account", "temporal_neighbors_k", "metric_ranking", "intensity_labels", "metric_best_threshold", "ablation_no_temp", "ablation_top20", "static_edge_table_theory", "event_stream_table_theory", "degree_histogram", "amounts_describe", "temporal_neighbors_uniform", "unseen_node_sample", "neighbor_max_aggregate", "memory_gru_update", "graph_stats", "temporal_stats", "intensity_drift", "message_mlp", "time_codes_on_targets", "edge_probabilities", "first_known_name", "engineered_columns", "first_edges", "bipartite_reindex", "embedding_graph_attention", "embedded_event_scores", "rescored_edges", "memory_queue", "graph_events_theory", "transfers_from_csv", "interactions_from_csv", "log_epochs_shown", "edge_checks", "epoch_shuffle"])
 def test_same_rows(spark, duck, name):
     df = catalog.QUERIES[name](spark, TABLES)
     cols = sorted(df.columns)
