@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import exprs as X
-from ..plans.work import global_index, materialize
+from ..plans.work import global_index, materialize, small, vocabulary
 from ..sources.readers import one_per_account
 from . import accounts as A
 
@@ -47,11 +47,11 @@ def edge_features(tx: DataFrame, formats: list[str] | None = None, currencies: l
         ((c("_t") - c("_lo")) / (c("_hi") - c("_lo") + eps)).alias("ts_normalized"), X.log1p_safe(c("_gs")).alias("log_time_since_src"), X.log1p_safe(c("_gd")).alias("log_time_since_dst"),
     ]
     if encoding == "code":
-        fmt = F.broadcast(category_codes(tx, "fmt").select(F.col("fmt").alias("_f"), F.col("code").alias("fmt_code")))
-        cur = F.broadcast(category_codes(tx, "cur_rec").select(F.col("cur_rec").alias("_c"), F.col("code").alias("cur_code")))
+        fmt = small(category_codes(tx, "fmt").select(F.col("fmt").alias("_f"), F.col("code").alias("fmt_code")))
+        cur = small(category_codes(tx, "cur_rec").select(F.col("cur_rec").alias("_c"), F.col("code").alias("cur_code")))
         rows = rows.join(fmt, c("fmt").eqNullSafe(c("_f")), "left").join(cur, c("cur_rec").eqNullSafe(c("_c")), "left")
         return rows.select("row_id", *base, "fmt_code", "cur_code")
-    values = lambda col, given: given if given is not None else sorted(r[0] for r in tx.select(col).distinct().collect() if r[0] is not None)
+    values = lambda col, given: vocabulary(tx, col) if given is None else given
     hot = X.one_hot(c("fmt"), values("fmt", formats), prefixes[0]) + X.one_hot(c("cur_rec"), values("cur_rec", currencies), prefixes[1])
     return rows.select("row_id", *base, *hot)
 
@@ -80,7 +80,7 @@ def edge_table(tx: DataFrame, features: DataFrame) -> DataFrame:
 
 def event_table(tx: DataFrame, features: DataFrame) -> DataFrame:
     """Event layout: as edge_table, with event_type by payment format. Order is by (ts, edge_id), which readers sort by."""
-    kinds = tx.select(F.col("row_id").alias("edge_id"), "fmt").join(F.broadcast(event_type_ids(tx)), "fmt").drop("fmt")
+    kinds = tx.select(F.col("row_id").alias("edge_id"), "fmt").join(small(event_type_ids(tx)), "fmt").drop("fmt")
     return edge_table(tx, features).join(kinds, "edge_id")
 
 
@@ -95,7 +95,7 @@ def node_features(tx: DataFrame, accounts: DataFrame, types: list[str] | None =
     deg = A.degree_stats(tx).select("acct", F.col("out_count").alias("out_degree"), F.col("in_count").alias("in_degree")).withColumn("total_degree", F.col("out_degree") + F.col("in_degree"))
     rows = deg.withColumns({f"log_{k}": F.log1p(k) for k in ("out_degree", "in_degree", "total_degree")}).join(entity_types(tx, accounts), "acct").join(node_labels(tx), "acct")
     if types is None:
-        types = sorted(r[0] for r in rows.select("entity_type").distinct().collect())
+        types = vocabulary(rows, "entity_type")
     return rows.select(*[c for c in rows.columns if c != "entity_type"], *X.one_hot(F.col("entity_type"), types, "ent"))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
-from ..plans.work import global_index, materialize
+from ..plans.work import global_index, materialize, vocabulary
 from ..sources.readers import one_per_account
 from . import graph as G
 
@@ -119,7 +119,7 @@ def node_table(tx: DataFrame, layout: str, accounts: DataFrame | None = None, ty
             names = G.first_known_name(tx, side("src"), side("dst"))
             kinds = names.select("acct", X.entity_type(F.col("name")).alias("entity_type"))
         if types is None:
-            types = sorted(r[0] for r in kinds.select("entity_type").distinct().collect())
+            types = vocabulary(kinds, "entity_type")
         rows = rows.join(kinds, "acct")
         columns += X.one_hot(F.col("entity_type"), types, "ent")
     return rows.select("node_id", "acct", F.col("y_node").cast("int").alias("y_node"), *columns)

@@ -26,6 +26,23 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Vocabularies of at most so many values are broadcast, and of at most so many have a column each.
+BROADCAST_ROWS, MOST_COLUMNS = 100_000, 10_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """df, marked for broadcasting if it has few enough rows."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
+def vocabulary(df: DataFrame, column: str) -> list[str]:
+    """The sorted distinct values of a column that become columns; an error if they are too many for that."""
+    found = [r[0] for r in df.select(column).filter(F.col(column).isNotNull()).distinct().limit(MOST_COLUMNS + 1).collect()]
+    if len(found) > MOST_COLUMNS:
+        raise ValueError(f"{column} has over {MOST_COLUMNS} values")
+    return sorted(found)
+
+
 def ranged(df: DataFrame, *order: str) -> DataFrame:
     """df in range partitions of ``order``: _part counts up with the order, _place within a part. Rows are written once,
     so later passes see the same parts."""

@@ -2,7 +2,6 @@
 
 import json
 import random
-import warnings
 
 import numpy as np
 import pytest
@@ -186,3 +185,13 @@ def test_small_helpers(spark, tmp_path):
     rows.write.parquet(str(tmp_path / "bad/interactions"))
     with pytest.raises(ValueError):
         readers.read_preprocessed(spark, str(tmp_path / "bad"))
+
+
+def test_vocabularies_are_bounded(spark, monkeypatch):
+    from tallygraph.plans import work
+
+    df = spark.createDataFrame([("b",), ("a",), (None,), ("a",)], "v string")
+    assert work.vocabulary(df, "v") == ["a", "b"]
+    monkeypatch.setattr(work, "MOST_COLUMNS", 1)
+    with pytest.raises(ValueError, match="over 1 values"):
+        work.vocabulary(df, "v")
