@@ -53,6 +53,10 @@ def _has_letter(texts: pa.Array) -> np.ndarray:
     return seen[off[1:]] > seen[off[:-1]]
 
 
+#: Bytes of texts that are counted and compared at a time: n-grams take some hundred times as much for a moment.
+LEARN_BYTES, COMPARE_BYTES = 1 << 18, 1 << 17
+
+
 def _bits(n: int) -> int:
     return max(1, int(n).bit_length())
 
@@ -119,7 +123,7 @@ def learn_profiles(train: DataFrame, size: int = PROFILE_SIZE) -> dict[str, list
     """N-grams by rank for each non-null ``lang`` of train(text, lang); at most ``size`` of them a language."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches):
+        for batch in text_slices(batches, limit=LEARN_BYTES):
             langs = np.array(batch.column("lang").to_pylist(), object)
             row, gram, n, alphabet = _grams(batch.column("text"))
             for lang in sorted(set(langs)):
@@ -220,7 +224,7 @@ def identify_language(docs: DataFrame, classifier: Classifier | None = None) ->
     model = classifier or train_classifier(docs)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches):
+        for batch in text_slices(batches, limit=COMPARE_BYTES):
             langs, score = model.predict(batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(langs, pa.string()), pa.array(score)], ["doc_id", "held_out", "lang_pred", "score"])
 
@@ -238,7 +242,7 @@ def keep_identified(docs: DataFrame, min_score: float = 0.0, classifier: Classif
     model = classifier or train_classifier(docs)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches):
+        for batch in text_slices(batches, limit=COMPARE_BYTES):
             texts = batch.column("text")
             if model.langs:
                 far = model.distances(texts)
