@@ -168,6 +168,15 @@ class NodeState:
             for name in ("manifest", "queue", "memory"):
                 self._fs().delete(self._path(f"{self.root}/{name}/v={old}"), True)
 
+    def start(self, memory: DataFrame | None = None) -> None:
+        """Version -1, before any batch: memory(node, memory, last_update) that nodes begin with, or none, which is zeros and 0; an
+        error if there are versions already."""
+        if self.versions():
+            raise ValueError("there is a state already")
+        nothing, queue = self.at()
+        self.put_memory(-1, nothing if memory is None else memory.select("node", "memory", "last_update"))
+        self.commit(-1, queue)
+
     def branch(self, version: int, root: str | None = None) -> NodeState:
         """A state of its own that begins with a copy of this one's version."""
         memory, queue = self.at(version)

@@ -156,6 +156,19 @@ def test_a_batch_without_manifest_does_not_count(spark, tmp_path):
     assert state.versions() == [1, 2]
 
 
+def test_memory_that_nodes_begin_with(spark, tmp_path):
+    model, batches = Y.MemoryModel(WIDTH, ("amt",), CODE, weights=GRU, eager=True), make_batches(7)
+    state, loop = Y.NodeState(spark, str(tmp_path / "state")), Loop(model)
+    loop.mem, loop.last = {n: np.array([n / 7, -0.5]) for n in (0, 3, 99)}, {0: 5, 3: 0, 99: 7}
+    state.start(spark.createDataFrame([(n, [float(v) for v in loop.mem[n]], loop.last[n]) for n in loop.mem], Y.MEMORY))
+    state.apply(events(spark, batches[0]).drop("batch"), 0, model)
+    loop.step(batches[0])
+    same(state.at()[0], loop)
+    assert state.versions() == [-1, 0] and state.at(-1)[0].count() == 3
+    with pytest.raises(ValueError, match="already"):
+        state.start()
+
+
 def test_late_messages_and_wrong_weights(spark, tmp_path):
     model = Y.MemoryModel(WIDTH, ("amt",), CODE, weights=GRU, eager=True)
     state = Y.NodeState(spark, str(tmp_path / "state"))
