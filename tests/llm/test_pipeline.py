@@ -50,7 +50,7 @@ def test_native_stages_use_no_python(spark, tmp_path):
 
 
 def test_every_operator_has_one_query():
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES) == list(range(1, 14))
 
 
 def test_identify_rejects_text_in_no_language(spark):
