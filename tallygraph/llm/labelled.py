@@ -1,4 +1,4 @@
-"""Bounded samples of labelled documents for fitting classifiers."""
+"""Labelled documents outside a held-out fold, and bounded samples of them for fitting classifiers."""
 
 from __future__ import annotations
 
@@ -12,14 +12,17 @@ from .common import fold
 MAX_TRAIN_BYTES = 65_536
 
 
-def labelled_ids(labels: DataFrame, label: str, modulus: int, held_out: int, bound: int, seed: int = 29) -> DataFrame:
-    """doc_id, y, rate: at most about ``bound`` labelled rows outside the held-out fold, half of either class where there are enough.
-
-    ``rate`` is the share of the class that was taken. Null ids and labels are left out; an id with both labels is too.
-    """
+def all_labelled_ids(labels: DataFrame, label: str, modulus: int, held_out: int) -> DataFrame:
+    """doc_id, y: every labelled id outside the held-out fold. Null ids and labels are left out; an id with both labels is too."""
     rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y"))
     rows = rows.filter(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1) & (fold("doc_id", modulus) != held_out))
-    rows = rows.groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("top")).filter("y = top").drop("top")
+    return rows.groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("top")).filter("y = top").drop("top")
+
+
+def labelled_ids(labels: DataFrame, label: str, modulus: int, held_out: int, bound: int, seed: int = 29) -> DataFrame:
+    """doc_id, y, rate: at most about ``bound`` of all_labelled_ids, half of either class where there are enough; ``rate`` is the
+    share of the class that was taken."""
+    rows = all_labelled_ids(labels, label, modulus, held_out)
     sizes = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
     few = min(sizes.values(), default=0) if len(sizes) == 2 else 0
     take = {y: min(1.0, (bound - min(few, bound // 2) if n > few else min(few, bound // 2)) / n) for y, n in sizes.items()}

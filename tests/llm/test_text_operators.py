@@ -694,6 +694,18 @@ def plain_distance(p, q):
     return np.sqrt(min(1.0, max(0.0, (part(p) + part(q)) / 2)))
 
 
+def test_limits_come_from_every_clean_document(spark):
+    """20,000 labelled documents, more than any sample held before: the quantile of all of them, by rank."""
+    n = 20_000
+    draw = lambda k: (F.col("doc_id") * k % 10_007) / 20_014.0
+    measured = spark.range(n).select(F.col("id").alias("doc_id")).select("doc_id", (F.col("doc_id") % 11 == 0).alias("base_failed"), F.lit(True).alias("class_long"), (F.col("doc_id") % 3 > 0).alias("word_long"), draw(7919).alias("class_distance"), draw(104_729).alias("word_distance"))
+    labels = spark.range(n).select(F.col("id").alias("doc_id"), (F.col("id") % 5 > 0).cast("int").alias("quality"))
+    got = divergence.learn_limits(measured, labels)
+    clean = [i for i in range(n) if i % 5 and i % 11 and zlib.crc32(str(i).encode()) % 4 != 2]
+    want = [np.quantile([i * k % 10_007 / 20_014 for i in ids], divergence.CLEAN_QUANTILE) * divergence.MARGIN for k, ids in ((7919, clean), (104_729, [i for i in clean if i % 3]))]
+    assert (got.max_class_distance, got.max_word_distance) == pytest.approx(tuple(want))
+
+
 def test_verdicts_equal_a_plain_loop(spark):
     """References counted over all texts, both distances and the verdict, one text after the other."""
     rng = random.Random(21)
