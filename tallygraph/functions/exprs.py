@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,8 +18,7 @@ OTHER_RISK = 0.4
 
 def finite(x: Column, fill: float | None = 0.0) -> Column:
     """x, or ``fill`` where it is null, NaN or infinite."""
-    bad = x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
-    return F.when(bad, F.lit(fill).cast("double")).otherwise(x)
+    return F.coalesce(F.when(F.abs(x) < float("inf"), x), F.lit(fill).cast("double"))
 
 
 def finite_capped(x: Column, nan: float = 0.0, top: float = 10.0, bottom: float = -10.0) -> Column:
@@ -115,25 +116,32 @@ def q_norm(df: DataFrame, columns: list[str], q: float = 0.95) -> DataFrame:
     The quantiles are exact, by rank (see quantile_row), and all come as one row. df is read several times: pass a table.
     """
     ranks = quantile_row(df, {f"_q_{c}": (F.col(c), q) for c in columns})
-    tops = df.agg(*[F.max(c).cast("double").alias(f"_m_{c}") for c in columns])
-    out = df.crossJoin(F.broadcast(ranks)).crossJoin(F.broadcast(tops))
+    most = df.agg(*[F.max(c).cast("double").alias(f"_m_{c}") for c in columns])
+    top = lambda c: F.when(F.col(f"_q_{c}") > 0, F.col(f"_q_{c}")).otherwise(F.when(F.col(f"_m_{c}") > 0, F.col(f"_m_{c}")))
+    out = df.crossJoin(F.broadcast(ranks.crossJoin(most).select(F.array(*[top(c) for c in columns]).alias("_tops"))))
+    scaled = lambda x, i: F.least(F.greatest(F.coalesce(x / F.get("_tops", i), F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
+    return each(out, columns, scaled, [f"{c}_n" for c in columns]).drop("_tops")
+
 
-    def scaled(c: str) -> Column:
-        top = F.when(F.col(f"_q_{c}") > 0, F.col(f"_q_{c}")).otherwise(F.when(F.col(f"_m_{c}") > 0, F.col(f"_m_{c}")))
-        return F.least(F.greatest(F.coalesce(F.col(c).cast("double") / top, F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
+def each(df: DataFrame, columns: list[str], f: Callable[[Column, Column], Column], names: list[str] | None = None) -> DataFrame:
+    """df with f(column as double, its number) for each of columns, under its own name or the one in names.
 
-    return out.select(*df.columns, *[scaled(c).alias(f"{c}_n") for c in columns])
+    The numbers go through one array, as so many expressions side by side make generated code too long to be compiled.
+    """
+    names = columns if names is None else names
+    values = F.transform(F.array(*[F.col(f"`{c}`").cast("double") for c in columns]), f)
+    rows = df.withColumn("_each", values)
+    new = {n: F.col("_each")[k].alias(n) for k, n in enumerate(names)}
+    kept = [new.pop(c) if c in new else F.col(f"`{c}`") for c in df.columns]
+    return rows.select(*kept, *new.values())
 
 
 def standardise(df: DataFrame, columns: list[str], mode: str = "eps", limit: float = 10.0) -> DataFrame:
     """df with each column as (x - mean) / spread, clipped: spread is std_pop + 1e-6 (``eps``), or std_pop with 1 for less than 1e-6 (``floor``).
     df is written once, as its means and its rows are both read."""
     df = materialize(df, "standardise")
-    one = df.agg(*[f for c in columns for f in (F.avg(c).alias(f"_a_{c}"), F.stddev_pop(c).alias(f"_s_{c}"))])
-
-    def z(c: str) -> Column:
-        s = F.col(f"_s_{c}")
-        spread = s + 1e-6 if mode == "eps" else F.when(s < 1e-6, F.lit(1.0)).otherwise(s)
-        return clip(finite_capped((F.col(c) - F.col(f"_a_{c}")) / spread, 0.0, limit, -limit), -limit, limit)
-
-    return df.crossJoin(F.broadcast(one)).select(*[z(c).alias(c) if c in columns else F.col(c) for c in df.columns])
+    spread = lambda s: s + 1e-6 if mode == "eps" else F.when(s < 1e-6, F.lit(1.0)).otherwise(s)
+    one = df.agg(F.array(*[F.avg(c) for c in columns]).alias("_means"), F.array(*[spread(F.stddev_pop(c)) for c in columns]).alias("_spreads"))
+    # Null and NaN are 0; infinite ones are at the limit.
+    z = lambda x, i: F.least(F.greatest(F.coalesce(F.nanvl((x - F.get("_means", i)) / F.get("_spreads", i), F.lit(0.0)), F.lit(0.0)), F.lit(-limit)), F.lit(limit))
+    return each(df.crossJoin(F.broadcast(one)), columns, z).drop("_means", "_spreads")

@@ -6,7 +6,7 @@ import json
 from dataclasses import dataclass
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
@@ -92,8 +92,17 @@ def build(tx: DataFrame, layout: str, accounts: DataFrame | None = None, theory:
             raise ValueError("the layout needs theory columns")
         edges = G.theory_edges(edges, theory, form.theory)
     columns = [c for c in edges.columns if c != "row_id"]
-    clean = lambda c: X.clip(X.finite(F.col(f"`{c}`").cast("double")), -form.limit, form.limit) if form.limit else X.finite(F.col(f"`{c}`").cast("double"))
-    features = edges.select("row_id", *[clean(c).alias(c) for c in columns])
+    standard = {*G.theory_columns(theory)} if form.theory else {}  # finite and within the limit already
+    whole = {c for c, t in edges.dtypes if t in ("int", "bigint")}
+
+    def clean(c: str) -> Column:
+        x = F.col(f"`{c}`").cast("double")
+        if c in standard:
+            return x.alias(c)
+        x = F.coalesce(x, F.lit(0.0)) if c in whole else X.finite(x)
+        return (F.least(F.greatest(x, F.lit(-form.limit)), F.lit(form.limit)) if form.limit else x).alias(c)
+
+    features = edges.select("row_id", *[clean(c) for c in columns])
     nodes = node_table(tx, layout, accounts, types)
     table = (G.event_table if form.typed else G.edge_table)(tx, features)
     keys = [*KEYS, *(["event_type"] if form.typed else [])]

@@ -40,17 +40,23 @@ def raw_features(tx: DataFrame, accounts: DataFrame, patterns: DataFrame, allow_
     """
     src = tx.groupBy("src").agg(F.countDistinct("dst").alias("src_out_degree"), F.avg("amt_paid").alias("_sm"), F.stddev_samp("amt_paid").alias("_ss"))
     dst = tx.groupBy("dst").agg(F.countDistinct("src").alias("dst_in_degree"), F.avg("amt_rec").alias("_dm"), F.stddev_samp("amt_rec").alias("_ds"), F.min("ts").alias("_df"))
-    day = F.to_date("ts").alias("_day")
-    s_day = tx.groupBy("src", day).agg(F.count("amt_paid").alias("src_burst"))
-    d_day = tx.groupBy("dst", day).agg(F.count("amt_rec").alias("dst_burst"))
+    # A transfer without time is on a day of its own, so that it meets its accounts; it counts on no day.
+    timed = lambda c: F.when(F.col("ts").isNotNull(), F.col(c))
+    tx = tx.withColumn("_day", F.coalesce(F.to_date("ts"), F.lit("0001-01-01").cast("date")))
+    s_day = tx.groupBy("src", "_day").agg(F.count(timed("amt_paid")).alias("src_burst"))
+    d_day = tx.groupBy("dst", "_day").agg(F.count(timed("amt_rec")).alias("dst_burst"))
     acct = accounts if allow_fanout else one_per_account(accounts)
     acct = acct.join(entity_sizes(accounts), "entity_id", "left").select("acct", "entity_id", F.coalesce("n_accounts", F.lit(1)).alias("n"))
     flagged = patterns.select("acct").distinct().withColumn("_p", F.lit(1))
-    side = lambda df, k, p: df.select(F.col("acct").alias(k), *[F.col(c).alias(f"_{p}_{c}") for c in df.columns if c != "acct"])
-    rows = tx.withColumn("_day", F.to_date("ts")).join(src, "src", "left").join(s_day, ["src", "_day"], "left").join(side(acct, "src", "s"), "src", "left").join(side(flagged, "src", "s"), "src", "left")
-    rows = rows.join(dst, "dst", "left").join(d_day, ["dst", "_day"], "left").join(side(acct, "dst", "d"), "dst", "left").join(side(flagged, "dst", "d"), "dst", "left")
-    rows = rows.join(src.select(F.col("src").alias("dst"), F.col("src_out_degree").alias("dst_out_degree")), "dst", "left")
+    # What an account has goes to its days first, so that transfers are dealt out once for each end.
+    side = lambda df, p: df.select("acct", *[F.col(c).alias(f"_{p}_{c}") for c in df.columns if c != "acct"])
+    has = lambda df, k, p: df.withColumn("acct", F.col(k)).join(side(acct, p), "acct", "left").join(side(flagged, p), "acct", "left").drop("acct")
+    sent = has(s_day.join(src, "src", "left"), "src", "s")
+    got = d_day.join(dst, "dst", "left").join(src.select(F.col("src").alias("dst"), F.col("src_out_degree").alias("dst_out_degree")), "dst", "left")
+    got = has(got, "dst", "d")
+    rows = tx.join(sent, ["src", "_day"], "left").join(got, ["dst", "_day"], "left")
     rows = rows.join(mutual_pairs(tx).withColumn("_m", F.lit(1)), ["src", "dst"], "left")
+    rows = rows.withColumns({k: timed(k) for k in ("src_burst", "dst_burst")})
     c, zero = F.col, F.lit(0)
     return rows.select(
         "row_id", "label", "src",

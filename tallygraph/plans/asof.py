@@ -23,10 +23,10 @@ def in_ranges(df: DataFrame, t: Column, times: DataFrame | None = None, at: Colu
     return df.crossJoin(F.broadcast(ends)).withColumn("_range", F.when(number.isNull(), F.lit(-1)).otherwise(F.greatest(F.lit(0), F.least(F.lit(ranges - 1), number)))).drop("_lo", "_hi")
 
 
-def _carried(df: DataFrame, sums: DataFrame, by: str) -> DataFrame:
-    """df with the column _carry of sums(by, _range, _carry)."""
-    side = sums.select(F.col(by).alias("_by"), F.col("_range").alias("_at"), "_carry")
-    return df.join(side, F.col(by).eqNullSafe(F.col("_by")) & (F.col("_range") == F.col("_at")), "left").drop("_by", "_at")
+def _with_carried(df: DataFrame, sums: DataFrame, by: str, value: str) -> DataFrame:
+    """df with _mark 1 and _value, and in front of the rows of each key and range one more, of _mark 0, whose _value is what
+    sums(by, _range, _carry) carries in: one shuffle serves both, where a join would deal all rows out again."""
+    return df.withColumns({"_mark": F.lit(1), "_value": F.col(value)}).unionByName(sums.select(by, "_range", F.lit(0).alias("_mark"), F.col("_carry").alias("_value")), allowMissingColumns=True)
 
 
 def previous(df: DataFrame, by: str, order: list[str], value: str, name: str, source: DataFrame | None = None) -> DataFrame:
@@ -34,9 +34,9 @@ def previous(df: DataFrame, by: str, order: list[str], value: str, name: str, so
     the first. order begins with what _range counts up with; source: a narrower plan with the same rows."""
     last = (df if source is None else source).groupBy(by, "_range").agg(F.max_by(value, F.struct(*order)).alias("_last"))
     sums = last.withColumn("_carry", F.lag("_last").over(Window.partitionBy(by).orderBy("_range")))
-    within = Window.partitionBy(by, "_range").orderBy(*order)
-    rows = df.withColumns({"_inside": F.lag(value).over(within), "_first": F.row_number().over(within) == 1})
-    return _carried(rows, sums, by).withColumn(name, F.when(F.col("_first"), F.col("_carry")).otherwise(F.col("_inside"))).drop("_carry", "_inside", "_first")
+    within = Window.partitionBy(by, "_range").orderBy("_mark", *order)
+    rows = _with_carried(df, sums, by, value).withColumn(name, F.lag("_value").over(within))
+    return rows.filter("_mark = 1").drop("_mark", "_value")
 
 
 def running(df: DataFrame, by: str, order: list[str], value: str, name: str) -> DataFrame:
@@ -44,6 +44,6 @@ def running(df: DataFrame, by: str, order: list[str], value: str, name: str) ->
     nulls count as 0."""
     sums = df.groupBy(by, "_range").agg(F.sum(value).alias("_sum"))
     sums = sums.withColumn("_carry", F.sum("_sum").over(Window.partitionBy(by).orderBy("_range").rowsBetween(*_BEFORE)))
-    within = Window.partitionBy(by, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    rows = df.withColumn("_inside", F.sum(value).over(within))
-    return _carried(rows, sums, by).withColumn(name, F.coalesce("_inside", F.lit(0)) + F.coalesce("_carry", F.lit(0))).drop("_carry", "_inside")
+    within = Window.partitionBy(by, "_range").orderBy("_mark", *order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = _with_carried(df, sums, by, value).withColumn(name, F.coalesce(F.sum("_value").over(within), F.lit(0)))
+    return rows.filter("_mark = 1").drop("_mark", "_value")

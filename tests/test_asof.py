@@ -44,6 +44,27 @@ def test_a_hub_is_spread_over_tasks(spark):
     assert all("_range" in line for line in plan.splitlines() if "row_number()" in line and "Window" in line)
 
 
+def test_carried_values_need_no_join(spark):
+    """What is carried into a range comes as one more row of the same shuffle; rows are not dealt out again for a join."""
+    placed = asof.in_ranges(spark.createDataFrame([(i, i % 5, i * 60, 1) for i in range(100)], "row_id long, k long, t long, v int"), F.col("t"))
+    for df in (asof.previous(placed, "k", ["t", "row_id"], "v", "p"), asof.running(placed, "k", ["t", "row_id"], "v", "n")):
+        assert df.columns == [*placed.columns, df.columns[-1]]
+        assert "LeftOuter" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_wide_tables_are_rounded_as_narrow_ones(spark):
+    """Many columns go through one array, whole numbers without decimals' arithmetic, with the results of one round a column."""
+    from tallygraph.plans.queries import r6
+
+    numbers = [0.0, -0.0, 1.5, 2.0000005, -2.0000005, 1e300, None, float("nan"), float("inf"), -7.0]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(numbers)], "i int, x double")
+    wide = r6(df.select("i", *[F.col("x").alias(f"x{k}") for k in range(14)]))
+    assert "transform" in wide._jdf.queryExecution().optimizedPlan().toString()
+    assert wide.dtypes == [("i", "bigint"), *[(f"x{k}", "double") for k in range(14)]]
+    got, want = wide.orderBy("i").collect(), r6(df).orderBy("i").collect()
+    assert [str(r["x13"]) for r in got] == [str(r["x"]) for r in want]
+
+
 def test_gaps_and_neighbours_of_a_hub_equal_brute_force(spark):
     r = random.Random(9)
     rows = [(i, at(r.randint(0, 3000)), 1 if r.random() < 0.5 else r.randint(0, 9), r.randint(0, 9)) for i in range(800)]
