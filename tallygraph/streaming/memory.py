@@ -229,21 +229,36 @@ class NodeState:
         stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{self.root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
 
 
+#: Rows of a batch that one file, and so one task, holds.
+ROWS_A_FILE = 250_000
+
+
 def stored_batches(events: DataFrame, path: str | None = None) -> DataFrame:
-    """A stream of events(batch, ...), one batch a micro-batch, in order of batch.
+    """A stream of events(batch, row_id, ...), one batch a micro-batch, in order of batch.
 
-    Events are written once, one file a batch (batches have a bounded size); the files' times tell the stream their
+    Events are written once, every batch in the same number of files, which grows with the largest batch: files without
+    rows fill up the smaller ones, so that a micro-batch takes so many files. The files' times tell the stream their
     order, so the shared folder must keep times that are set (NodeState.replay gives an error where it does not).
     """
     spark = events.sparkSession
     path = path or work_path(spark, f"event-batches-{uuid.uuid4().hex}")
-    events.repartition("batch").write.partitionBy("batch").parquet(path)
-    top = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    largest = events.groupBy("batch").count().agg(F.max("count")).first()[0] or 0
+    files = max(1, -(-largest // ROWS_A_FILE))
+    spread = events.repartition("batch", F.pmod(F.xxhash64("row_id"), F.lit(files))) if files > 1 else events.repartition("batch")
+    spread.write.partitionBy("batch").parquet(path)
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    top = hadoop.Path(path)
+    fs = top.getFileSystem(conf)
+    if files > 1:
+        events.drop("batch").limit(0).coalesce(1).write.parquet(f"{path}-none")
+        none = next(f.getPath() for f in fs.listStatus(hadoop.Path(f"{path}-none")) if f.getPath().getName().startswith("part-"))
     for folder in fs.listStatus(top):
         name = folder.getPath().getName()
         if name.startswith("batch="):
-            for file in fs.listStatus(folder.getPath()):
-                if file.getPath().getName().startswith("part-"):
-                    fs.setTimes(file.getPath(), 1_000_000_000_000 + 1000 * int(name[6:]), -1)
-    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).option("maxFileAge", "36500d").parquet(path)
+            parts = [f.getPath() for f in fs.listStatus(folder.getPath()) if f.getPath().getName().startswith("part-")]
+            for k in range(len(parts), files):
+                parts.append(hadoop.Path(f"{path}/{name}/part-none-{k}.parquet"))
+                hadoop.FileUtil.copy(fs, none, fs, parts[-1], False, conf)
+            for part in parts:
+                fs.setTimes(part, 1_000_000_000_000 + 1000 * int(name[6:]), -1)
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", files).option("maxFileAge", "36500d").parquet(path)

@@ -114,6 +114,27 @@ def test_batches_equal_a_plain_loop(spark, tmp_path, eager, aggregate, kind):
     assert state.at()[0].count() == memory.count()  # seeing changes nothing
 
 
+def test_large_batches_are_several_files(spark, tmp_path, monkeypatch):
+    """Every batch takes as many files as the largest, and the replay gives the same."""
+    monkeypatch.setattr(Y, "ROWS_A_FILE", 2)
+    model, batches = Y.MemoryModel(WIDTH, ("amt",), CODE, weights=GRU), make_batches(5)
+    batches[1] = batches[1][:1]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        stream = Y.stored_batches(events(spark, [r for b in batches for r in b]), str(tmp_path / "events"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    names = {b: list((tmp_path / "events" / f"batch={b}").glob("part-*")) for b in range(3)}
+    assert len({len(x) for x in names.values()}) == 1 and len(names[0]) == -(-max(map(len, batches)) // 2)
+    assert sum(spark.read.parquet(str(f)).count() > 0 for f in names[0]) > 1
+    state, loop = Y.NodeState(spark, str(tmp_path / "state")), Loop(model)
+    state.replay(stream, model)
+    assert state.versions() == [0, 1, 2]
+    for batch in batches:
+        loop.step(batch)
+    same(state.at()[0], loop)
+
+
 def test_stream_restart_restore_and_order(spark, tmp_path):
     model, batches = Y.MemoryModel(WIDTH, ("amt",), CODE, weights=GRU), make_batches(5)
     rows = [r for b in batches for r in b]
