@@ -31,7 +31,7 @@ def _path(spark: SparkSession, name: str) -> str:
 
 def _in_order(df: DataFrame, order: str, *ties: str) -> DataFrame:
     """df in files whose names and lines follow the order."""
-    return df.repartitionByRange(8, order).sortWithinPartitions(order, *ties)
+    return df.repartitionByRange(order).sortWithinPartitions(order, *ties)
 
 
 def _transfer_files(spark: SparkSession, d: str, stamp: Column | None = None) -> str:
