@@ -806,6 +806,18 @@ def test_a_wrong_alternative_cut_is_seen(spark, vocabulary, monkeypatch):
     assert not pieces._all_decode([ids, *others[0]], "the cat sat", vocabulary)
 
 
+def test_units_that_decode_otherwise_are_seen(vocabulary, monkeypatch):
+    """A cut is judged by the units in which it differs from the best one."""
+    right = pieces.n_best
+    coder = pieces.Encoder(vocabulary, 3)
+    coder.encode(["the cat sat", None])
+    assert coder.alike == [True, True]
+    monkeypatch.setattr(pieces, "n_best", lambda u, v, n: [right(u, v, n)[0], *((loss, ids[:-1]) for loss, ids in right(u, v, n)[1:])])
+    coder = pieces.Encoder(vocabulary, 3)
+    coder.encode(["the cat sat"])
+    assert coder.alike == [False]
+
+
 def test_round_trip_of_every_text(docs, hard, vocabulary):
     assert pieces.encode_and_verify(docs).filter("not round_trip").count() == 0
     got = pieces.encode_and_verify(hard)
