@@ -316,13 +316,14 @@ def near_lines(docs: DataFrame, key: str, distinct: DataFrame, bands: Sequence[t
     counts = cut.groupBy("key").agg(F.count("*").alias("c"))
     rated = cut.join(counts, "key").groupBy("k1", "region").agg(F.max("c").alias("c"))
     chosen = rated.groupBy("k1").agg(F.min(F.struct("c", "region")).alias("best")).select("k1", F.col("best.region").alias("region"))
-    rare = cut.join(chosen, ["k1", "region"]).select("k1", "key").join(texts.select("k1", bits.alias("u")), "k1")
+    rare = cut.join(chosen, ["k1", "region"]).select("k1", "key").join(texts.select("k1", "first", bits.alias("u")), "k1")
     left = asks.select(F.col("other").alias("k1")).distinct().join(near, "k1", "left_anti")
     left = texts.join(left, "k1", "left_semi").withColumn("layout", F.explode(layouts(n, bands, (-1, 0, 1)))).withColumn("region", F.explode(_regions()))
     keys = F.explode(_by_threshold(F.col("layout.t"), bands, lambda e: region_keys(line, n, F.col("layout.lo"), e, F.col("region"), True)))
-    sought = left.select(F.col("k1").alias("other"), bits.alias("v"), keys.alias("key"))
+    sought = left.select(F.col("k1").alias("other"), F.col("first").alias("place"), bits.alias("v"), keys.alias("key"))
     allowed = F.least("u.t", "v.t")
-    still = rare.join(sought, "key").filter(apart & _all_alike(F.col("u"), F.col("v"), allowed))
+    # Of a linked pair that shares hot segments alone both lines are indexed and both probe; the later one's probes are enough.
+    still = rare.join(sought, "key").filter((F.col("first") < F.col("place")) & _all_alike(F.col("u"), F.col("v"), allowed))
     again = materialize(still.select(*pair, allowed.alias("allowed")).distinct(), "region-pairs")
     return near.unionAll(_verified(again, texts, most)).distinct()
 
