@@ -7,10 +7,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
+from ..plans.asof import near_events
 from ..plans.work import materialize
 from . import scoring as S
 from . import temporal as T
@@ -28,7 +30,8 @@ def time_embedding(memory: DataFrame, gaps: DataFrame, weight: np.ndarray, bias:
 
 def sum_layer(own: np.ndarray, nbr: np.ndarray, code: np.ndarray, edge: np.ndarray, pad: np.ndarray, layer: Layer) -> np.ndarray:
     """[relu(sum of (neighbour, code, edge) @ w1 + b1), own, code of 0] @ w2 + b2; padded neighbours count as they are."""
-    total = np.maximum((np.concatenate([nbr, code, edge], axis=2) @ layer["w1"] + layer["b1"]).sum(axis=1), 0)
+    seen = np.concatenate([nbr, code, edge], axis=2)
+    total = np.maximum((seen.reshape(-1, seen.shape[2]) @ layer["w1"] + layer["b1"]).reshape(*seen.shape[:2], -1).sum(axis=1), 0)
     return np.concatenate([total, own, np.ones((len(own), code.shape[2]))], axis=1) @ layer["w2"] + layer["b2"]
 
 
@@ -52,56 +55,202 @@ def attention_layer(own: np.ndarray, nbr: np.ndarray, code: np.ndarray, edge: np
 LAYERS: dict[str, Callable[..., np.ndarray]] = {"sum": sum_layer, "attention": attention_layer}
 
 
-def graph_embeddings(tx: DataFrame, probes: DataFrame, features: DataFrame, edges: DataFrame, layers: list[Layer], k: int, time_dim: int, kind: str = "sum", memory: DataFrame | None = None) -> DataFrame:
+def graph_embeddings(tx: DataFrame, probes: DataFrame, features: DataFrame, edges: DataFrame | None, layers: list[Layer], k: int, time_dim: int, kind: str = "sum", memory: DataFrame | None = None) -> DataFrame:
     """node, t, z for each of probes(node, t): ``len(layers)`` layers over the k latest neighbours before t.
 
     Layer 0 is features(node_id, x), plus memory(node, memory) if given. The next layer of a node at t takes the one before of the
     node and of its neighbours, all at t, a cosine code of the seconds since each neighbour's event, and
-    edges(edge_id, e). Nodes and edges count from 1; 0 pads where there are fewer than k and, unless the tables have it, is
-    all zeros. Each layer's (node, t) are distinct, so a neighbour that many ask for at one time is computed once.
+    edges(edge_id, e), or tx's own column e where edges is None. Nodes and edges count from 1; 0 pads where there are fewer
+    than k (a neighbour that is null counts as none) and, unless the tables have it, is all zeros.
+
+    Layer 0 does not depend on t, so it goes along with the events, and one pass over a node's events in order of time both finds
+    neighbours and computes layer 1. Each layer more is one pass more: a probe asks for its neighbours at its time, which answer
+    under a place in the probe's tree, so neither asks nor answers are joined. A tree has 1 + k + ... places, one level less than layers;
+    what two probes ask alike is computed for both.
     """
     if kind not in LAYERS:
         raise ValueError(f"no such layer: {kind}")
-    frontier = probes.select("node", "t").distinct()
-    asked = []
-    for depth in range(len(layers)):
-        slots = materialize(T.padded_neighbours(tx, frontier, k), f"neighbours-{depth}")
-        asked.append(slots)
-        frontier = slots.select("node", "t").unionAll(slots.select(F.explode("nbr").alias("node"), "t")).distinct()
-    width = {"x": len(features.select("x").first()["x"]), "e": len(edges.select("e").first()["e"])} if layers else {"x": len(features.select("x").first()["x"])}
+    known = features.select(F.col("node_id").alias("node"), "x")
+    if memory is not None:
+        known = known.join(memory.select("node", "memory"), "node", "full")
+    known = materialize(known, "features")
+    width = _width(known, "x")
     zeros = lambda c, n: F.coalesce(c, F.array_repeat(F.lit(0.0), n))
-    z = zeros(F.col("x"), width["x"])
-    rows = frontier.join(features.select(F.col("node_id").alias("node"), "x"), "node", "left")
+    x = zeros(F.col("x"), width)
     if memory is not None:
-        rows = rows.join(memory.select("node", "memory"), "node", "left")
-        z = F.zip_with(z, zeros(F.col("memory"), width["x"]), lambda a, b: a + b)
-    known = rows.select("node", "t", z.alias("z"))
-    for slots, layer in zip(reversed(asked), layers):
-        known = materialize(known, "embeddings")
-        known = _layer(known, slots, edges, layer, width["e"], time_dim, LAYERS[kind])
-    return known
-
-
-def _layer(known: DataFrame, slots: DataFrame, edges: DataFrame, layer: Layer, edge_width: int, time_dim: int, step: Callable[..., np.ndarray]) -> DataFrame:
-    slot = F.posexplode(F.arrays_zip("nbr", "edge_id", "nbr_t"))
-    rows = slots.select("node", "t", slot.alias("slot", "s")).select("node", "t", "slot", "s.*")
-    rows = rows.join(known.select(F.col("node").alias("nbr"), "t", F.col("z").alias("nz")), ["nbr", "t"])
-    rows = rows.join(edges.select("edge_id", "e"), "edge_id", "left").withColumn("e", F.coalesce("e", F.array_repeat(F.lit(0.0), edge_width)))
-    code = X.cosine_ladder((F.col("t") - F.col("nbr_t")).cast("double"), time_dim)
-    got = F.sort_array(F.collect_list(F.struct("slot", "nz", code.alias("code"), "e", (F.col("nbr") == 0).alias("pad"))))
-    rows = rows.groupBy("node", "t").agg(got.alias("l")).join(known, ["node", "t"])
-    parts = [F.flatten(F.col(f"l.{c}")).alias(c) for c in ("nz", "code", "e")]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        x = F.zip_with(x, zeros(F.col("memory"), width), lambda a, b: a + b)
+    known = known.select("node", x.alias("x"))
+    asked = probes.select("node", "t").distinct().join(known, "node", "left").withColumn("x", zeros(F.col("x"), width))
+    if not layers:
+        return asked.withColumnRenamed("x", "z")
+    edge_width = _width(tx if edges is None else edges, "e")
+    none = {"x": _first(known.filter("node = 0"), "x", width), "e": np.zeros(edge_width) if edges is None else _first(edges.filter("edge_id = 0"), "e", edge_width)}
+    if edges is not None:
+        tx = tx.select("row_id", "src", "dst", "ts").join(edges.select(F.col("edge_id").alias("row_id"), "e"), "row_id", "left")
+    events = T.adjacency(tx, "e").filter("node is not null and t is not null").join(known.withColumnRenamed("node", "nbr"), "nbr", "left")
+    # Arrays go as one column a number, which is what sorting and handing over to Python do fastest.
+    numbers = lambda c, n, name: [F.coalesce(F.get(c, F.lit(i)), F.lit(0.0)).alias(f"{name}{i}") for i in range(n)]
+    kind_of = F.when(F.col("nbr").isNull(), F.lit(2)).otherwise(F.lit(1)).alias("kind")
+    events = events.select(F.col("node").cast("bigint"), "t", kind_of, "edge_id", F.coalesce(F.col("nbr").cast("bigint"), F.lit(0)).alias("nbr"), *numbers(F.col("x"), width, "x"), *numbers(F.col("e"), edge_width, "e"))
+    events = materialize(events, "events")
+    size = _places(k, len(layers))
+    asks = asked.filter("node is not null and t is not null").select((F.monotonically_increasing_id() * size).alias("id"), F.col("node").cast("bigint"), "t", *numbers(F.col("x"), width, "x"))
+    asks = materialize(asks, "asks")
+    shape, answers = (k, width, edge_width, time_dim), None
+    for depth in range(len(layers)):
+        more = depth + 1 < len(layers)
+        rows, wide = _first_layer(events, asks, layers[0], none, shape, LAYERS[kind], more)
+        rows = materialize(rows, "answers") if more else rows
+        z = [f"z{i}" for i in range(wide)]
+        got = rows.select("id", "node", "t", *z, "slots" if more else F.lit(None).cast("binary").alias("slots"))
+        answers = got if answers is None else answers.unionAll(got)
+        # Below place p of a tree are the places k * p + 1 to k * p + k.
+        below = lambda j: (F.col("id") + (F.col("id") % size) * (k - 1) + j).alias("id")
+        if more:
+            children = [F.struct(below(j), F.col(f"nbr{j}").alias("node"), "t", *[F.col(f"x{j}_{i}").alias(f"x{i}") for i in range(width)]) for j in range(1, k + 1)]
+            asks = rows.select(F.inline(F.array(*children)))
+    if len(layers) > 1:
+        answers, wide = _upper_layers(answers, layers[1:], wide, shape, LAYERS[kind])
+    return answers.select(F.col("node").cast(probes.schema["node"].dataType), F.col("t").cast(probes.schema["t"].dataType), F.array(*[F.col(f"z{i}") for i in range(wide)]).alias("z"))
+
+
+def _places(k: int, levels: int) -> int:
+    """Places of a tree of so many levels."""
+    return sum(k**d for d in range(levels))
+
+
+def _width(df: DataFrame, column: str) -> int:
+    row = df.select(column).filter(F.col(column).isNotNull()).first()
+    return len(row[0]) if row else 0
+
+
+def _first(df: DataFrame, column: str, width: int) -> np.ndarray:
+    """The array of df's first row, or zeros."""
+    row = df.select(column).first()
+    return np.array(row[0]) if row and row[0] is not None else np.zeros(width)
+
+
+def _wide(layer: Layer, width: int, shape: tuple[int, int, int, int], step: Callable[..., np.ndarray]) -> int:
+    """How many numbers a layer returns for own and neighbours' embeddings of ``width``."""
+    k, _, edge_width, time_dim = shape
+    return step(np.zeros((1, width)), np.zeros((1, k, width)), np.zeros((1, k, time_dim)), np.zeros((1, k, edge_width)), np.ones((1, k), bool), layer).shape[1]
+
+
+def _code(gap: np.ndarray, time_dim: int) -> np.ndarray:
+    """As exprs.cosine_ladder, along a new last axis."""
+    return np.cos(gap[..., None].astype(float) * np.array([10.0 ** (-9.0 * k / (time_dim - 1)) for k in range(time_dim)]))
+
+
+def _matrix(columns: dict[str, np.ndarray], name: str, width: int) -> np.ndarray:
+    return np.column_stack([columns[f"{name}{i}"] for i in range(width)]) if width else np.zeros((len(next(iter(columns.values()))), 0))
+
+
+def _packed(numbers: np.ndarray) -> pa.Array:
+    """Rows of doubles as binary values."""
+    offsets = np.arange(len(numbers) + 1, dtype=np.int32) * (8 * numbers.shape[1])
+    return pa.Array.from_buffers(pa.binary(), len(numbers), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(numbers, dtype=float))])
+
+
+def _unpacked(values: pa.Array, width: int) -> np.ndarray:
+    """The reverse of _packed; null is a row of zeros."""
+    out, there = np.zeros((len(values), width)), values.is_valid().to_numpy(zero_copy_only=False)
+    out[there] = np.frombuffer(b"".join(values.drop_null().to_pylist())).reshape(-1, width)
+    return out
+
+
+def latest_rows(starts: np.ndarray, event: np.ndarray, k: int) -> np.ndarray:
+    """For each row that is no event, where the k latest events above it in its group are, oldest first; -1 for lack of any.
+    starts: whether a group begins at a row."""
+    seen = np.cumsum(event)
+    first = np.maximum.accumulate(np.where(starts, seen - event, 0))[~event]
+    number = seen[~event][:, None] + np.arange(-k, 0)
+    return np.where(number >= first[:, None], np.append(np.flatnonzero(event), -1)[np.maximum(number, 0)], -1)
+
+
+def _first_layer(events: DataFrame, asks: DataFrame, layer: Layer, none: Layer, shape: tuple[int, int, int, int], step: Callable[..., np.ndarray], more: bool) -> tuple[DataFrame, int]:
+    """id, node, t and z0, z1, ... (and how many) of asks(id, node, t, x0, ...), their first layer; if ``more``, also the k neighbours'
+    nbr<j> and x<j>_<i>, and slots: their gaps, pads and edges for the layers above."""
+    k, width, edge_width, time_dim = shape
+    wide = _wide(layer, width, shape, step)
+    events, asks = near_events(events, asks, k, ["t", "edge_id", "nbr"])
+    blank = {"kind": F.lit(0), "edge_id": F.lit(None), "nbr": F.lit(0).cast("bigint")} | {f"e{i}": F.lit(0.0) for i in range(edge_width)}
+    rows = events.withColumn("id", F.lit(0).cast("bigint")).unionByName(asks.withColumns(blank))
+    # At one time asks come before events, which must be earlier to be seen.
+    order = ["_at", "node", "_range", "t", F.col("kind") > 0, "edge_id", "nbr"]
+    rows = rows.repartition("node", "_range").sortWithinPartitions(*order).drop("_at", "edge_id")
+    t = "double" if rows.schema["t"].dataType.simpleString() == "double" else "bigint"
+    schema = ["id bigint", "node bigint", f"t {t}", *[f"z{i} double" for i in range(wide)]]
+    if more:
+        schema += [f"nbr{j} bigint" for j in range(1, k + 1)] + [f"x{j}_{i} double" for j in range(1, k + 1) for i in range(width)] + ["slots binary"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = None
         for b in batches:
-            if not len(b):
+            if not b.num_rows:
                 continue
-            pad = np.stack(b["pad"]).astype(bool)
-            cube = lambda c: np.stack(b[c]).reshape(len(b), pad.shape[1], -1)  # noqa: B023, E731
-            yield pd.DataFrame({"node": b["node"], "t": b["t"], "z": list(step(np.stack(b["z"]), cube("nz"), cube("code"), cube("e"), pad, layer))})
-
-    kinds = {c: known.schema[c].dataType.simpleString() for c in ("node", "t")}
-    return rows.select("node", "t", "z", *parts, F.col("l.pad").alias("pad")).mapInPandas(run, f"node {kinds['node']}, t {kinds['t']}, z array<double>")
+            c = {name: v.to_numpy(zero_copy_only=False) for name, v in zip(b.schema.names, b.columns)}
+            if kept is not None:
+                c = {name: np.concatenate([kept[name], v]) for name, v in c.items()}
+            event = c["kind"] > 0
+            starts = np.append(True, (np.diff(c["node"]) != 0) | (np.diff(c["_range"]) != 0))
+            top = np.flatnonzero(starts)[-1]
+            last = np.flatnonzero(event[top:])[-k:] + top
+            kept = {name: v[last] for name, v in c.items()}
+            found, ask = latest_rows(starts, event, k), {name: v[~event] for name, v in c.items()}
+            if not len(found):
+                continue
+            lost = (found < 0) | (c["kind"][found] == 2)
+            nbr = np.where(lost, 0, c["nbr"][found])
+            gap = (ask["t"][:, None] - np.where(lost, 0, c["t"][found])).astype(float)
+            x = np.where(lost[:, :, None], none["x"], _matrix(c, "x", width)[found])
+            e = np.where(lost[:, :, None], none["e"], _matrix(c, "e", edge_width)[found])
+            z = step(_matrix(ask, "x", width), x, _code(gap, time_dim), e, nbr == 0, layer)
+            out = {name: pa.array(ask[name]) for name in ("id", "node", "t")} | {f"z{i}": pa.array(z[:, i]) for i in range(wide)}
+            if more:
+                out |= {f"nbr{j + 1}": pa.array(nbr[:, j]) for j in range(k)} | {f"x{j + 1}_{i}": pa.array(x[:, j, i]) for j in range(k) for i in range(width)}
+                out["slots"] = _packed(np.concatenate([gap, nbr == 0, e.reshape(len(e), -1)], axis=1))
+            yield pa.RecordBatch.from_pydict(out)
+
+    return rows.mapInArrow(run, ", ".join(schema)), wide
+
+
+def _upper_layers(answers: DataFrame, layers: list[Layer], width: int, shape: tuple[int, int, int, int], step: Callable[..., np.ndarray]) -> tuple[DataFrame, int]:
+    """node, t and z0, z1, ... (and how many): the layers above the first of each probe, from answers(id, node, t, z0, ..., slots) of its
+    whole tree, which has the same number of places for all; ids count them on."""
+    k, _, edge_width, time_dim = shape
+    size, inner, wide = _places(k, len(layers) + 1), _places(k, len(layers)), width
+    for layer in layers:
+        wide = _wide(layer, wide, shape, step)
+    rows = answers.repartition(F.col("id") - F.col("id") % size).sortWithinPartitions("id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            c = {name: b.column(name).to_numpy(zero_copy_only=False) for name in b.schema.names if name != "slots"}
+            c["slots"] = _unpacked(b.column("slots"), k * (2 + edge_width))
+            if kept is not None:
+                c = {name: np.concatenate([kept[name], v]) for name, v in c.items()}
+            n = len(c["id"]) // size
+            kept, c = {name: v[n * size :] for name, v in c.items()}, {name: v[: n * size] for name, v in c.items()}
+            if (c["id"] % size != np.tile(np.arange(size), n)).any():
+                raise ValueError("a probe's tree lacks places")
+            if not n:
+                continue
+            slots = c["slots"].reshape(n, size, -1)[:, :inner]
+            code, pad, e = _code(slots[..., :k], time_dim), slots[..., k : 2 * k] > 0, slots[..., 2 * k :].reshape(n, inner, k, edge_width)
+            z = _matrix(c, "z", width).reshape(n, size, -1)
+            for done, layer in enumerate(layers, 1):
+                own = _places(k, len(layers) + 1 - done)
+                part = lambda v: v[:, :own].reshape(n * own, *v.shape[2:])  # noqa: B023, E731
+                z = step(part(z), z[:, 1 : own * k + 1].reshape(n * own, k, -1), part(code), part(e), part(pad), layer).reshape(n, own, -1)
+            yield pa.RecordBatch.from_pydict({"node": pa.array(c["node"][::size]), "t": pa.array(c["t"][::size])} | {f"z{i}": pa.array(z[:, 0, i]) for i in range(wide)})
+        if kept is not None and len(kept["id"]):
+            raise ValueError("a probe's tree lacks places")
+
+    t = rows.schema["t"].dataType.simpleString()
+    return rows.mapInArrow(run, ", ".join(["node bigint", f"t {t}", *[f"z{i} double" for i in range(wide)]])), wide
 
 
 def _scaled_time(events: DataFrame) -> DataFrame:

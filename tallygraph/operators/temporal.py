@@ -10,10 +10,10 @@ from ..plans.asof import in_ranges, running
 from .splits import sample
 
 
-def adjacency(tx: DataFrame) -> DataFrame:
-    """node, nbr, edge_id, t for both directions of every transfer; a self-loop stands twice."""
+def adjacency(tx: DataFrame, *more: str) -> DataFrame:
+    """node, nbr, edge_id, t and more columns for both directions of every transfer; a self-loop stands twice."""
     t = X.epoch(F.col("ts")).alias("t")
-    one = lambda a, b: tx.select(F.col(a).alias("node"), F.col(b).alias("nbr"), F.col("row_id").alias("edge_id"), t)
+    one = lambda a, b: tx.select(F.col(a).alias("node"), F.col(b).alias("nbr"), F.col("row_id").alias("edge_id"), t, *more)
     return one("src", "dst").unionAll(one("dst", "src"))
 
 

@@ -25,7 +25,7 @@ from ..sources import fixtures as X0
 from ..streaming import memory as Y
 from ..streaming import state as K
 from . import weights as V
-from .work import work_path
+from .work import materialize, work_path
 
 QUERIES: dict = {}
 EVENT_TYPES = ["click", "login", "purchase", "view"]
@@ -738,11 +738,14 @@ def sage_edge_scores(spark, d):
     return r6(S.edge_mlp(edges, h, ["w"], rng.normal(size=(9, 8)), np.zeros(8), rng.normal(size=8), 0.0))
 
 
+def _degrees(tx: DataFrame) -> DataFrame:
+    return A.degree_stats(tx).select(F.col("acct").alias("node_id"), F.array(F.log1p("out_count"), F.log1p("in_count")).alias("x"))
+
+
 def _counted(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Transfers whose accounts and rows count from 1, their nodes' features (logs of degrees) and their edges' (log of the amount)."""
     tx = _tx(spark, d).withColumns({c: F.col(c) + 1 for c in ("src", "dst", "row_id")})
-    nodes = A.degree_stats(tx).select(F.col("acct").alias("node_id"), F.array(F.log1p("out_count"), F.log1p("in_count")).alias("x"))
-    return tx, nodes, tx.select(F.col("row_id").alias("edge_id"), F.array(X.log1p_safe(F.col("amt_paid"))).alias("e"))
+    return tx, _degrees(tx), tx.select(F.col("row_id").alias("edge_id"), F.array(X.log1p_safe(F.col("amt_paid"))).alias("e"))
 
 
 def _pair(df: DataFrame, *keys: str) -> DataFrame:
@@ -753,6 +756,13 @@ def _senders(tx: DataFrame) -> DataFrame:
     return tx.select(F.col("src").alias("node"), X.epoch(F.col("ts")).alias("t"))
 
 
+def _embedded(spark: SparkSession, d: str, layers: list, kind: str) -> DataFrame:
+    """Layers over the three latest neighbours, for every sender at each of its times. Transfers are parsed once and written with their edges' features."""
+    tx = _counted(spark, d)[0].select("row_id", "ts", "src", "dst", F.array(X.log1p_safe(F.col("amt_paid"))).alias("e"))
+    tx = materialize(tx, "transfers")
+    return _pair(E.graph_embeddings(tx, _senders(tx), _degrees(tx), None, layers, 3, 2, kind), "node", "t")
+
+
 @query
 def embedding_time(spark, d):
     """Senders' degrees as memory, scaled by the normalised time since they last sent."""
@@ -767,15 +777,13 @@ def embedding_time(spark, d):
 @query
 def embedding_graph_sum(spark, d):
     """Two summing layers over the three latest neighbours, for every sender at each of its times."""
-    tx, nodes, edges = _counted(spark, d)
-    return _pair(E.graph_embeddings(tx, _senders(tx), nodes, edges, V.SUM_LAYERS, 3, 2, "sum"), "node", "t")
+    return _embedded(spark, d, V.SUM_LAYERS, "sum")
 
 
 @query
 def embedding_graph_attention(spark, d):
     """One attention layer of two heads over the three latest neighbours."""
-    tx, nodes, edges = _counted(spark, d)
-    return _pair(E.graph_embeddings(tx, _senders(tx), nodes, edges, [V.ATTENTION], 3, 2, "attention"), "node", "t")
+    return _embedded(spark, d, [V.ATTENTION], "attention")
 
 
 def _event_rows(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:

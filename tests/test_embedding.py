@@ -5,9 +5,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallygraph.operators import embedding as E
+from tallygraph.plans import asof
 from tallygraph.plans import weights as V
 
-from test_splits_metrics_temporal import transfers
+from test_splits_metrics_temporal import at, transfers
 
 
 def code(gap):
@@ -57,6 +58,61 @@ def test_two_layers_equal_a_plain_recursion(spark, kind, layers):
         assert np.allclose(r["z"], plain(adj, seen, e, r["node"], r["t"], layers, 3, kind), atol=1e-9)
 
 
+def by_step(adj, x, e, node, t, layers, k, kind):
+    """As plain, by the layers' own functions, with a neighbour that is None as a pad."""
+    if not layers:
+        return x.get(node, np.zeros(2))
+    found = sorted((s, i, n) for m, n, i, s in adj if m == node and s < t)[-k:]
+    slots = [(0, 0, 0)] * (k - len(found)) + [(0, 0, 0) if f[2] is None else f for f in found]
+    own, *below = [by_step(adj, x, e, n, t, layers[:-1], k, kind) for n in (node, *(n for _, _, n in slots))]
+    codes, edges = [code(t - s) for s, _, _ in slots], [e.get(i, np.zeros(1)) for _, i, _ in slots]
+    return E.LAYERS[kind](own[None], np.array([below]), np.array([codes]), np.array([edges]), np.array([[n == 0 for _, _, n in slots]]), layers[-1])[0]
+
+
+@pytest.mark.parametrize("hub_rows,few_nodes,width", [(4, 0, 2**62), (4, 10**6, 2**62), (10**6, 10**6, 1)])
+def test_cut_histories_lost_neighbours_and_three_layers(spark, monkeypatch, hub_rows, few_nodes, width):
+    """Hubs in ranges and in batches of a few rows; a neighbour that is null is a pad, a probe without node or time is left out."""
+    monkeypatch.setattr(asof, "HUB_ROWS", hub_rows)
+    monkeypatch.setattr(asof, "FEW_NODES", few_nodes)
+    monkeypatch.setattr(asof, "MOST_AT", width)
+    r = np.random.default_rng(3)
+    rows = [(i, 1 if i % 2 else int(r.integers(1, 7)), None if i % 9 == 4 else int(r.integers(1, 7)), int(r.integers(0, 50)), [float(r.normal())]) for i in range(1, 90)]
+    tx = spark.createDataFrame([(i, at(t), s, d, e) for i, s, d, t, e in rows], "row_id long, ts timestamp_ntz, src long, dst long, e array<double>")
+    adj = [(s, d, i, t) for i, s, d, t, _ in rows] + [(d, s, i, t) for i, s, d, t, _ in rows]
+    x, e = {n: r.normal(size=2) for n in range(1, 6)}, {i: np.array(v) for i, *_, v in rows}
+    nodes = spark.createDataFrame([(n, v.tolist()) for n, v in x.items()], "node_id long, x array<double>")
+    probes = [(n, t) for n in range(1, 8) for t in (0, 9, 25, 26, 60)]
+    layers = [*V.SUM_LAYERS, V.SUM_LAYERS[0]]
+    for kind, used in (("sum", layers), ("attention", [V.ATTENTION, V.ATTENTION])):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "11")
+        try:
+            got = E.graph_embeddings(tx, spark.createDataFrame([*probes, (None, 9), (1, None)], "node long, t long"), nodes, None, used, 3, 2, kind).collect()
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        assert sorted((g["node"], g["t"]) for g in got) == sorted(probes)
+        for g in got:
+            assert np.allclose(g["z"], by_step(adj, x, e, g["node"], g["t"], used, 3, kind), atol=1e-9)
+
+
+def test_layer_0_is_not_asked_for(spark, monkeypatch):
+    """Two layers over three neighbours write a row for each event's end, and each probe asks for its neighbours once: no table of nodes
+    at times for layer 0, which does not depend on time, and none of what was asked before."""
+    written, write = {}, E.materialize
+
+    def counted(df, name):
+        table = write(df, name)
+        written[name] = written.get(name, 0) + table.count()
+        return table
+
+    monkeypatch.setattr(E, "materialize", counted)
+    tx = transfers(spark, 60, seed=6).withColumns({c: F.col(c) + 1 for c in ("src", "dst", "row_id")})
+    nodes = spark.createDataFrame([(n, [1.0, n / 7]) for n in range(1, 7)], "node_id long, x array<double>")
+    edges = tx.select(F.col("row_id").alias("edge_id"), F.array(F.lit(0.5)).alias("e"))
+    probes = spark.createDataFrame([(n, t) for n in range(1, 7) for t in range(4000, 4020)], "node long, t long")
+    assert E.graph_embeddings(tx, probes, nodes, edges, V.SUM_LAYERS, 3, 2).count() == 120
+    assert sum(written.values()) <= 2 * 60 + 6 + 2 * 120
+
+
 def test_no_layer_and_unknown_kind(spark):
     tx = transfers(spark, 5)
     nodes = spark.createDataFrame([(1, [1.0, 2.0])], "node_id long, x array<double>")
